@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, sharding, simhash, warc
+from . import audio, chat, exact_dedup, html_main, langid, mixing, packing, sharding, simhash, warc
 from .common import scratch_path
 
 
@@ -14,6 +14,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.report(table(spark, sf_dir, "documents"))
+
+
+def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.report(table(spark, sf_dir, "pages"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(table(spark, sf_dir, "documents"))
+
+
+def op4_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.report(table(spark, sf_dir, "documents"))
+
+
 def op5_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.report(table(spark, sf_dir, "documents"))
 
@@ -38,16 +54,25 @@ def op8_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.positions(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_audio_features": op1_audio_features,
+        "op2_html_main_text": op2_html_main_text,
+        "op3_language_id": op3_language_id,
+        "op4_mixture_packing": op4_mixture_packing,
         "op5_histogram_sharding": op5_histogram_sharding,
         "op6_warc_archives": op6_warc_archives,
         "op7_chat_formatting": op7_chat_formatting,
         "op8_simhash_components": op8_simhash_components,
+        "op9_pfair_mixing": op9_pfair_mixing,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
