@@ -65,3 +65,21 @@ def running_total(df: DataFrame, part: list[str], block: str, order: list[str |
     w = Window.partitionBy(*part, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     inner = df.withColumn("_before", F.coalesce(F.sum(value).over(w), F.lit(0)))
     return inner.join(starts, [*part, block]).withColumn(out, F.col("_start") + F.col("_before")).drop("_start", "_before")
+
+
+def keep_rows(docs: DataFrame, found: DataFrame, digest: Column) -> DataFrame:
+    """The rows of ``docs`` that ``found`` (doc_id, digest, kept; written) keeps, in their own columns. ``digest`` is the
+    expression that gave found's column. Of rows that repeat a kept doc_id and digest one stays; a null doc_id is
+    matched like any other."""
+    found = found.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "kept")
+    ids = found.groupBy("_id").agg(F.sum(F.when(F.col("kept"), 0).otherwise(1)).alias("_out"), F.count("*").alias("_rows"))
+    gone = ids.filter("_out = _rows")
+    clean = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]), "left_anti")
+    several = ids.filter("_rows > 1 and _out < _rows")
+    if several.isEmpty():
+        return clean
+    single = clean.join(several, clean["doc_id"].eqNullSafe(several["_id"]), "left_anti")
+    both = clean.join(several, clean["doc_id"].eqNullSafe(several["_id"]), "left_semi").withColumn("_d", digest)
+    kept = found.filter("kept")
+    both = both.join(kept, both["doc_id"].eqNullSafe(kept["_id"]) & (both["_d"] == kept["_digest"]), "left_semi")
+    return single.unionByName(both.dropDuplicates(["doc_id", "_d"]).select(*docs.columns))

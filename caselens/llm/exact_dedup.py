@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import keep_rows, written
 
 #: Counters of each Misra-Gries summary: the most digests that are broadcast (about 60 bytes each).
 COUNTERS = 512
@@ -57,8 +57,7 @@ def frequent(digests: DataFrame, rows: int, counters: int = COUNTERS) -> DataFra
 
 
 def resolve(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, digest (binary) and copies, the rows of the
-    group that repeat this doc_id."""
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept and digest (binary)."""
     table = written(docs.select("doc_id", normalised_digest("text").alias("digest"), F.monotonically_increasing_id().alias("rid")), "digests")
     best = F.max(F.struct(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("id"), F.col("rid"))).alias("best")
     found = written(
@@ -89,16 +88,5 @@ def report(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
 def deduplicate(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """``docs`` without the rows that are not kept, in its own columns. Only doc_ids cross the shuffle beside the
     rows themselves; a null doc_id is matched like any other."""
-    found = written(resolve(docs, counters).select(F.col("doc_id").alias("_id"), "digest", "kept"), "decisions")
-    ids = found.groupBy("_id").agg(F.sum(F.when(F.col("kept"), 0).otherwise(1)).alias("_out"), F.count("*").alias("_rows"))
-    gone = ids.filter("_out = _rows")
-    clean = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]), "left_anti")
-    mixed = ids.filter("_out > 0 and _out < _rows")
-    if mixed.isEmpty():
-        return clean
-    # a doc_id that occurs in several rows, of which some stay: one row for each kept text
-    single = clean.join(mixed, clean["doc_id"].eqNullSafe(mixed["_id"]), "left_anti")
-    both = clean.join(mixed, clean["doc_id"].eqNullSafe(mixed["_id"]), "left_semi").withColumn("_d", normalised_digest("text"))
-    kept = found.filter("kept").select("_id", F.col("digest").alias("_digest"))
-    both = both.join(kept, both["doc_id"].eqNullSafe(kept["_id"]) & (both["_d"] == kept["_digest"]), "left_semi")
-    return single.unionByName(both.dropDuplicates(["doc_id", "_d"]).select(*docs.columns))
+    found = written(resolve(docs, counters).select("doc_id", "digest", "kept"), "decisions")
+    return keep_rows(docs, found, normalised_digest("text"))
