@@ -1 +1 @@
-""""""
+"""Operators: functions that take DataFrames and return DataFrames."""
