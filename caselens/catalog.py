@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caselens.plans import retrieval
+from caselens.plans import analytics, pages, retrieval
 
-MODULES = [retrieval]
+MODULES = [retrieval, analytics, pages]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

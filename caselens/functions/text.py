@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -28,6 +29,16 @@ def nfkc_casefold(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).strip().casefold())
 
 
+def tokenise(text: str | None) -> list[str]:
+    """``tokens`` of the exactly folded text, for use inside tasks."""
+    out = []
+    for token in re.findall(TOKEN, unicodedata.normalize("NFKC", text or "").casefold()):
+        out.append(token)
+        if re.match(f"[{JAPANESE}]", token):
+            out += [token[i : i + n] for n in (2, 3) for i in range(len(token) - n + 1)]
+    return out
+
+
 def fold(text: Column) -> Column:
     """The same without leaving the JVM, exact for text that NFKC leaves alone and whose only special case is ß."""
     return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))

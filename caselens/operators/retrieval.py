@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caselens.functions.text import fold, tokens
+from caselens.functions.text import fold, tokenise, tokens
 
 K1, B = 1.5, 0.75
 PLACES = 6
@@ -85,9 +85,9 @@ def keyword(chunks: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def hash_embedder(dimensions: int = 256):
-    """A column function from terms to a unit vector by feature hashing: the first 8 bytes of a term's SHA-256, modulo
+    """A column function from a text to a unit vector of its terms by feature hashing: the first 8 bytes of a term's SHA-256, modulo
     ``dimensions``, pick the place, the low bit of the ninth the sign, 1 + ln(count) the weight; all zero without terms.
-    Another provider is any function from a column of terms to a column of arrays of one width."""
+    Another provider is any function from a column of texts to a column of arrays of one width."""
     if dimensions < 16:
         raise ValueError("dimensions must be at least 16")
 
@@ -95,9 +95,9 @@ def hash_embedder(dimensions: int = 256):
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         places: dict[str, tuple[int, float]] = {}
 
-        def one(terms) -> np.ndarray:
+        def one(text: str | None) -> np.ndarray:
             out = np.zeros(dimensions)
-            for term, count in Counter(terms).items():
+            for term, count in Counter(tokenise(text)).items():
                 if term not in places:
                     digest = hashlib.sha256(term.encode()).digest()
                     if len(places) > 200_000:
@@ -116,7 +116,7 @@ def hash_embedder(dimensions: int = 256):
 
 def embedded(chunks: DataFrame, dimensions: int = 256) -> DataFrame:
     """(document_id, chunk_index, vector) of each chunk."""
-    return with_terms(chunks).select("document_id", "chunk_index", hash_embedder(dimensions)("terms").alias("vector"))
+    return chunks.select("document_id", "chunk_index", hash_embedder(dimensions)("text").alias("vector"))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, top: int, places: int = PLACES) -> DataFrame:

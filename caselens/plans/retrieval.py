@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselens.functions.text import fold, tokens
 from caselens.operators import chunking, evaluation, retrieval
 
 TOP, POOL = 3, 50
@@ -57,7 +56,7 @@ def keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _hash_ranks(spark: SparkSession, sf_dir: str, top: int) -> DataFrame:
     numbered = retrieval.embedded(chunks(spark, sf_dir)).withColumn("id", F.col("document_id") * 10_000 + F.col("chunk_index"))
-    queries = asked(spark, sf_dir).select("query_id", retrieval.hash_embedder()(tokens(fold(F.col("query")))).alias("vector"))
+    queries = asked(spark, sf_dir).select("query_id", retrieval.hash_embedder()("query").alias("vector"))
     found = retrieval.nearest(numbered, queries, top).filter("score > 0")
     return found.select("query_id", F.floor(F.col("id") / 10_000).alias("document_id"), (F.col("id") % 10_000).cast("int").alias("chunk_index"), "score", "rank")
 

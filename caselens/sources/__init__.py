@@ -1 +1 @@
-""""""
+"""Readers and writers; all go through Spark's own file access."""
