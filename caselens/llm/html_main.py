@@ -3,7 +3,7 @@
 The nodes are the block elements of a page's DOM and its blocks of text. Each is content or not; a node's potential
 comes from its tag, its class, id and role words, or the size, links and punctuation of its text, and parent-child
 potentials connect the tree. A pass of sum-product messages upward and one downward give each block's marginal
-probability of being content. All potentials are smoothed counts over labelled pages.
+probability of being content. All potentials are learned from labelled pages.
 
 Text is taken from the whole page: character references are decoded, white space inside a block becomes one space,
 blocks are trimmed and joined in page order by an empty line; nothing else is dropped or cut. Defined cases: a null or
@@ -21,6 +21,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -159,59 +160,84 @@ class Potentials:
     root: float
     edges: list[list[list[float]]]
 
-    def marginals(self, page: Page) -> list[float]:
-        """P(content) of each node by sum-product: children follow parents, so one pass back and one forth."""
+    def beliefs(self, page: Page) -> tuple[list[float], list[float], list[float]]:
+        """Log-odds of each node without its parent's message, those of its parent without its own, and of both: by
+        sum-product. Children follow parents, so one pass goes back and one forth."""
         n = len(page.parent)
-        own = [0.0] * n  # log-odds of the node's potential and the messages of its children
-        up: list[tuple[float, float]] = [(0.0, 0.0)] * n
+        own = [0.0] * n
+        message = [0.0] * n
         get = self.features.get
         for i in range(n - 1, -1, -1):
-            own[i] += sum(get(f, 0.0) for f in page.features[i])
-            if i == 0:
-                break
-            e, b = self.edges[page.text[i] is not None], own[i]
-            up[i] = (log_add(e[0][0], e[0][1] + b), log_add(e[1][0], e[1][1] + b))
-            own[page.parent[i]] += up[i][1] - up[i][0]
-        belief = [0.0] * n
+            own[i] += sum([get(f, 0.0) for f in page.features[i]])
+            if i:
+                e, b = self.edges[page.text[i] is not None], own[i]
+                message[i] = log_add(e[1][0], e[1][1] + b) - log_add(e[0][0], e[0][1] + b)
+                own[page.parent[i]] += message[i]
+        belief, rest = [0.0] * n, [0.0] * n
         belief[0] = own[0] + self.root
         for i in range(1, n):
             e = self.edges[page.text[i] is not None]
-            rest = belief[page.parent[i]] - (up[i][1] - up[i][0])  # the parent without this child's message
-            belief[i] = own[i] + log_add(e[0][1], e[1][1] + rest) - log_add(e[0][0], e[1][0] + rest)
-        return [1 / (1 + math.exp(-max(-500.0, min(500.0, b)))) for b in belief]
+            r = rest[i] = belief[page.parent[i]] - message[i]
+            belief[i] = own[i] + log_add(e[0][1], e[1][1] + r) - log_add(e[0][0], e[1][0] + r)
+        return own, rest, belief
+
+    def marginals(self, page: Page) -> list[float]:
+        """P(content) of each node."""
+        return [1 / (1 + math.exp(-max(-500.0, min(500.0, b)))) for b in self.beliefs(page)[2]]
 
 
 def log_add(a: float, b: float) -> float:
     return max(a, b) + math.log1p(math.exp(-abs(a - b)))
 
 
-#: Weights of the features' log-odds: the texts below a node say much the same, so each says less; names say more.
-WEIGHTS = {"tag": 0.6, "word": 1.5, "size": 0.2, "links": 0.3, "marks": 0.2}
+def train(sources: Iterable[str], rounds: int = 40, rate: float = 1.0, decay: float = 0.05) -> Potentials:
+    """Potentials from labelled pages: elements with ``data-main`` = 1 are content, with 0 not, others as their parent.
+    Gradient ascent on the conditional likelihood of the labels (with decay), whose gradient is what is seen of each
+    feature and labelled edge less what the marginals expect."""
+    pages = [parse(s) for s in sources]
+    model = Potentials({f: 0.0 for p in pages for fs in p.features for f in fs}, -2.0, [[[0.5, -0.5], [-0.5, 0.5]] for _ in range(2)])
+    squares: dict = Counter()
+
+    def step(key, value: float, gradient: float) -> float:
+        gradient -= decay * value
+        squares[key] += gradient * gradient
+        return value + rate * gradient / math.sqrt(squares[key] + 1e-6)
+
+    for _ in range(rounds):
+        features: dict[str, float] = dict.fromkeys(model.features, 0.0)
+        edges = [[[0.0, 0.0], [0.0, 0.0]] for _ in range(2)]
+        root = 0.0
+        for page in pages:
+            own, rest, belief = model.beliefs(page)
+            for i, b in enumerate(belief):
+                gap = page.label[i] - 1 / (1 + math.exp(-max(-50.0, min(50.0, b))))
+                for f in page.features[i]:
+                    features[f] += gap
+                if i == 0:
+                    root += gap
+                    continue
+                kind = page.text[i] is not None
+                e = model.edges[kind]
+                logs = [[e[y][z] + y * rest[i] + z * own[i] for z in (0, 1)] for y in (0, 1)]
+                top = max(max(row) for row in logs)
+                weights = [[math.exp(x - top) for x in row] for row in logs]
+                total = sum(map(sum, weights))
+                edges[kind][page.label[page.parent[i]]][page.label[i]] += 1
+                for y in (0, 1):
+                    for z in (0, 1):
+                        edges[kind][y][z] -= weights[y][z] / total
+        model = Potentials(
+            {f: step(f, v, features[f]) for f, v in model.features.items()},
+            step("root", model.root, root),
+            [[[step((k, y, z), model.edges[k][y][z], edges[k][y][z]) for z in (0, 1)] for y in (0, 1)] for k in (0, 1)],
+        )
+    return model
 
 
-def train(pages: Iterable[str], smoothing: float = 0.5) -> Potentials:
-    """Potentials from labelled pages: elements with ``data-main`` = 1 are content, with 0 not, others as their parent."""
-    seen = [Counter(), Counter()]
-    nodes = [Counter(), Counter()]  # of each label: elements, texts
-    edges = [[[smoothing, smoothing] for _ in range(2)] for _ in range(2)]
-    root = [smoothing, smoothing]
-    for source in pages:
-        page = parse(source)
-        root[page.label[0]] += 1
-        for i, features in enumerate(page.features):
-            kind, label = page.text[i] is not None, page.label[i]
-            nodes[label][kind] += 1
-            seen[label].update(set(features))
-            if i:
-                edges[kind][page.label[page.parent[i]]][label] += 1
-    odds = {}
-    for f in seen[0] | seen[1]:
-        kind = not f.startswith(("tag:", "word:"))
-        odds[f] = WEIGHTS[f.partition(":")[0]] * (
-            math.log((seen[1][f] + smoothing) / (nodes[1][kind] + 2 * smoothing)) - math.log((seen[0][f] + smoothing) / (nodes[0][kind] + 2 * smoothing))
-        )
-    logs = [[[math.log(x / sum(row)) for x in row] for row in kind] for kind in edges]
-    return Potentials(odds, math.log(root[1] / root[0]), logs)
+@lru_cache
+def default_model() -> Potentials:
+    """The potentials learned from ``labelled_pages``."""
+    return train(labelled_pages())
 
 
 # Class and id words by which pages commonly name their parts.
@@ -227,12 +253,13 @@ JUNK_WORDS = {
 }
 
 
-def labelled_pages(count: int = 400, seed: int = 7) -> list[str]:
+def labelled_pages(count: int = 240, seed: int = 7) -> list[str]:
     """Pages made by rule, with their labels: an article among the parts that surround and interrupt it."""
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("bcdfglmnprstv") + rng.choice("aeiou") for _ in range(rng.randint(1, 4)))
     sentence = lambda n: " ".join(word() for _ in range(rng.randint(1, n))).capitalize() + rng.choice("...?!")
-    prose = lambda k: " ".join(sentence(14) for _ in range(rng.randint(1, k)))
+    plain = lambda k: " ".join([word()] * rng.randint(1, 20 * k)) if rng.random() < 0.5 else word()  # noqa: E731  neither long nor punctuated
+    prose = lambda k: plain(k) if rng.random() < 0.25 else " ".join(sentence(14) for _ in range(rng.randint(1, k)))
     link = lambda: f'<a href="/{word()}">{word()}</a>'
 
     def named(words: list[str]) -> str:
@@ -242,14 +269,20 @@ def labelled_pages(count: int = 400, seed: int = 7) -> list[str]:
     def junk(kind: str) -> str:
         words = JUNK_WORDS[kind]
         tag = rng.choice([kind, kind, "div"]) if kind != "div" else rng.choice(["div", "div", "p", "aside"])
-        name = named(words) if tag not in ("div", "p", "section") else f' {rng.choice(["class", "id"])}="{rng.choice(words)}"'
+        name = named(words) if tag not in ("div", "p", "section") and rng.random() < 0.7 else f' {rng.choice(["class", "id"])}="{rng.choice(words)}"'
         if kind in ("nav", "header", "aside") and rng.random() < 0.8:
             inner = "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(rng.randint(1, 8))) + "</ul>"
-            inner = rng.choice(["", f"<h1>{word()}</h1>", f"<h3>{word()}</h3>", f"<p>{prose(1)}</p>"]) + inner
+            size = rng.randint(1, 5)
+            inner = rng.choice(["", f"<h{size}>{prose(1)}</h{size}>", f"<p>{prose(2)}</p>"]) + rng.choice([inner, inner, f"<div>{link()} {link()}</div>", ""])
+            inner = inner or prose(1)
+        elif kind == "header":
+            size = rng.randint(1, 4)
+            inner = f"<h{size}>{prose(1)}</h{size}>" + rng.choice(["", f"<p>{prose(1)}</p>"])
         elif kind == "form":
             inner = f"<label>{word()}</label><input><p>{prose(1)}</p><button>{word()}</button>"
         elif kind == "section":
-            inner = f"<h3>{word()}</h3>" + "".join(f'<div class="comment"><p>{prose(3)}</p></div>' for _ in range(rng.randint(1, 5)))
+            reply = rng.choice(['<div class="comment"><p>{}</p></div>', "<p>{}</p>", "<li>{}</li>", "<article class='comment'><p>{}</p></article>"])
+            inner = rng.choice(["", f"<h3>{prose(1)}</h3>"]) + "".join(reply.format(prose(3)) for _ in range(rng.randint(1, 5)))
         else:
             inner = rng.choice([prose(2), prose(2) + " " + link(), f"<p>{prose(2)}</p>", f"&copy; {word()} &middot; {prose(1)}"])
         return f'<{tag}{name} data-main="0">{inner}</{tag}>'
@@ -261,19 +294,19 @@ def labelled_pages(count: int = 400, seed: int = 7) -> list[str]:
                 f"<p>{prose(2)} {link()} {prose(2)}</p>",
                 f"<p><b>{prose(1)}<br>",
                 f"<h2>{prose(1)}</h2>",
-                f"<ul><li>{prose(2)}</li><li>{prose(1)}</li></ul>",
+                f"<{rng.choice(['ul', 'ol'])}><li>{prose(2)}</li><li>{word()}<li>{prose(1)}</ul>",
                 f"<blockquote>{prose(2)}</blockquote>",
                 f"<div>{prose(4)}</div>",
                 f"<table><tr><td>{prose(1)}</td><td>{word()}</td></tr></table>",
                 f"<pre>{prose(1)}</pre>",
             ],
-            [10, 3, 2, 2, 1, 1, 2, 1, 1],
+            [8, 3, 2, 3, 3, 1, 2, 1, 1],
         )[0]
 
     out = []
     for _ in range(count):
         inside = [f"<h1>{prose(1)}</h1>"] + [block() for _ in range(rng.randint(1, 10))]
-        if rng.random() < 0.5:
+        for _ in range(rng.choice([0, 0, 1, 2, 3])):
             inside.insert(rng.randint(1, len(inside)), junk(rng.choice(list(JUNK_WORDS))))
         tag = rng.choice(["article", "article", "article", "main", "div", "section"])
         name = named(MAIN_WORDS) if tag in ("article", "main") else f' {rng.choice(["class", "id"])}="{rng.choice(MAIN_WORDS)}"'
@@ -295,7 +328,7 @@ def main_text(source: str | None, potentials: Potentials) -> str:
 
 def with_text(pages: DataFrame, potentials: Potentials | None = None) -> DataFrame:
     """``pages`` with text and n_chars, by the given potentials or those of ``labelled_pages``."""
-    model = potentials or train(labelled_pages())
+    model = potentials or default_model()
 
     @F.pandas_udf(T.StringType())
     def extract(html: pd.Series) -> pd.Series:
