@@ -8,7 +8,8 @@ bands), an Arrow tensor column beside their time spans, kept as an Arrow IPC str
 Defined cases: a null text is an empty payload, which padding makes one unit long; a payload of silence has no segment
 and an empty tensor column; the last patch of a segment is padded with zeros and says how many frames it has; long
 payloads are read in blocks of frames, so memory is bounded by the payload and one block; equal payloads give equal
-bytes; an empty table gives an empty result; further columns are kept by ``stored`` and ``with_features``.
+bytes; an empty table gives an empty result; further columns are kept by ``stored`` and ``with_features``,
+which replace those of the names they add.
 """
 
 from __future__ import annotations
@@ -189,7 +190,8 @@ def with_features(media: DataFrame) -> DataFrame:
             rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), *features(payload)))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in FEATURES.split(", ")])
 
-    return media.withColumn("_f", read("media")).select(*media.columns, "_f.*")
+    own = [c for c in media.columns if c not in {n.split()[0] for n in FEATURES.split(", ")}]
+    return media.select(*own, read("media").alias("_f")).select(*own, "_f.*")
 
 
 def report(docs: DataFrame) -> DataFrame:

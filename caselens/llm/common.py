@@ -23,6 +23,11 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Sets the rows of an Arrow batch, and so what a Python worker holds of long texts and their results at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder."""
     return f"{shared_dir(spark)}/caselens/{name}-{uuid.uuid4().hex}"
@@ -79,7 +84,7 @@ def keep_rows(docs: DataFrame, found: DataFrame, digest: Column) -> DataFrame:
     if several.isEmpty():
         return clean
     single = clean.join(several, clean["doc_id"].eqNullSafe(several["_id"]), "left_anti")
-    both = clean.join(several, clean["doc_id"].eqNullSafe(several["_id"]), "left_semi").withColumn("_d", digest)
+    both = clean.join(several, clean["doc_id"].eqNullSafe(several["_id"]), "left_semi").select(F.struct("*").alias("row"), "doc_id", digest.alias("_d"))
     kept = found.filter("kept")
     both = both.join(kept, both["doc_id"].eqNullSafe(kept["_id"]) & (both["_d"] == kept["_digest"]), "left_semi")
-    return single.unionByName(both.dropDuplicates(["doc_id", "_d"]).select(*docs.columns))
+    return single.unionByName(both.dropDuplicates(["doc_id", "_d"]).select("row.*"))

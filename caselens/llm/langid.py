@@ -8,7 +8,8 @@ documents; prediction takes every word of the whole text.
 Words are the runs of letters, lower-cased, each with the vocabulary's word mark before it. Defined cases: a null text,
 or one without a letter, is ``und`` with score 0; without any labelled document all texts are; ties go to the language
 that sorts first; rows with a null lang or text are never learned from; repeated rows count as often as they occur in
-training and each get a prediction; further columns are kept by ``predicted``, which adds lang_pred and score.
+training and each get a prediction; further columns are kept by ``predicted``,
+which adds or replaces lang_pred and score.
 """
 
 from __future__ import annotations
@@ -279,7 +280,8 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
         for batch in texts:
             yield pd.DataFrame(scorer.predict(list(batch)), columns=["lang_pred", "score"])
 
-    return docs.withColumn("_p", predict("text")).select(*docs.columns, "_p.lang_pred", "_p.score")
+    own = [c for c in docs.columns if c not in schema.names]
+    return docs.select(*own, predict("text").alias("_p")).select(*own, "_p.lang_pred", "_p.score")
 
 
 def report(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -290,5 +292,5 @@ def report(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 def accepted(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """``docs`` without the documents that have no letter, in their own columns."""
-    found = predicted(docs, train(docs, sample=sample))
-    return found.filter(F.col("lang_pred") != UND).select(*docs.columns)
+    found = predicted(docs.select(F.struct("*").alias("row"), "text"), train(docs, sample=sample))
+    return found.filter(F.col("lang_pred") != UND).select("row.*")

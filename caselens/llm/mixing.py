@@ -130,6 +130,7 @@ def positions(docs: DataFrame, weights: dict[str | None, float] | None = None, b
 
 def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None) -> DataFrame:
     """``docs`` in the order of their positions: files, and rows in them, follow the schedule."""
-    place = positions(docs, weights).groupBy(F.col("doc_id").alias("_id")).agg(F.min("position").alias("_position"))
-    joined = docs.join(place, docs["doc_id"].eqNullSafe(place["_id"]))
-    return joined.repartitionByRange("_position").sortWithinPartitions("_position").select(*docs.columns)
+    place = positions(docs, weights).groupBy("doc_id").agg(F.min("position").alias("position"))
+    rows = docs.select(F.struct("*").alias("row"))
+    joined = rows.join(place, F.col("row.doc_id").eqNullSafe(place["doc_id"]))
+    return joined.repartitionByRange("position").sortWithinPartitions("position").select("row.*")

@@ -7,7 +7,7 @@ until a cell holds no more than the tolerance or a single key. One exchange then
 
 Defined cases: size is the UTF-8 bytes of the text plus 8 (a null text has none, and CRC-32 0); a null doc_id has a key
 of its own; rows that repeat a doc_id and text share a key and stay in one shard, in any order; an empty table gives an
-empty result; further columns are kept by ``histogram_shard``, and its own new columns must not be among them.
+empty result; further columns are kept by ``histogram_shard``, which adds or replaces size, shard and slot.
 """
 
 from __future__ import annotations
@@ -70,7 +70,9 @@ def _shard(cuts: list[int]):
 def histogram_shard(docs: DataFrame, shards: int = 24, tolerance: float = 0.0, cell_rows: int = CELL_ROWS) -> DataFrame:
     """``docs`` with size, shard (0 to ``shards`` - 1) and slot (gapless from 0 in each shard, in the order of the
     keys), exchanged once by narrow ranges of the key."""
-    keyed = docs.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8).withColumn("key", key_column())
+    own = [c for c in docs.columns if c not in ("size", "shard", "slot")]
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
+    keyed = docs.select(F.struct(*own).alias("row"), "doc_id", size.alias("size"), key_column().alias("key"))
     narrow = written(keyed.select("key", "size"), "keys")
     cuts = splitters(narrow, shards, tolerance)
     narrow = narrow.withColumn("shard", _shard(cuts))
@@ -80,8 +82,8 @@ def histogram_shard(docs: DataFrame, shards: int = 24, tolerance: float = 0.0, c
     cells = narrow.groupBy("shard", cell.alias("cell")).agg(F.count("*").alias("rows"))
     starts = block_starts(cells, ["shard"], "cell", "rows", "start").select("shard", "cell", "start")
     place = Window.partitionBy("shard", "cell").orderBy("key", "doc_id")
-    out = keyed.withColumn("shard", _shard(cuts)).withColumn("cell", cell).withColumn("_n", F.row_number().over(place))
-    return out.join(starts, ["shard", "cell"]).withColumn("slot", F.col("start") + F.col("_n") - 1).select(*docs.columns, "size", "shard", "slot")
+    out = keyed.withColumn("shard", _shard(cuts)).withColumn("cell", cell).withColumn("n", F.row_number().over(place))
+    return out.join(starts, ["shard", "cell"]).select("row.*", "size", "shard", (F.col("start") + F.col("n") - 1).alias("slot"))
 
 
 def report(docs: DataFrame, shards: int = 24) -> DataFrame:
