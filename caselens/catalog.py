@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caselens.plans import analytics, pages, retrieval
+from caselens.plans import analytics, pages, ranking, retrieval
 
-MODULES = [retrieval, analytics, pages]
+MODULES = [retrieval, analytics, pages, ranking]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,10 +1,12 @@
 """SimHash near-duplicates by deletion-variant signatures.
 
 A fingerprint has 64 bits; two link if they differ in at most four. Cut into three segments, one segment of a linked
-pair differs in at most one bit. Each distinct fingerprint is indexed under every segment with one bit wildcarded (64
-keys), so each linked pair meets under an equal key. Within a key all fingerprints are first compared with one pivot,
-which joins large groups of near copies by as many links as members; after their components are known, only keys that
-still hold several components are joined with themselves, and each pair is verified on all 64 bits.
+pair differs in at most one bit. If it does not differ at all, of five parts of the other bits one is equal: 15 keys of
+that segment and a part. If it differs in one bit, so does a second segment, of which one half is equal: 130 keys of a
+segment with one bit wildcarded and a half of a later one. So each linked pair meets under an equal key, of about 30
+bits. Fingerprints are first compared with one pivot a key, which joins large groups of near copies by as many links as
+members; after their components are known, only keys that still hold several components are joined with themselves, and
+each pair is verified on all 64 bits.
 
 Defined cases: a null or empty text, or one of white space, has fingerprint zero and links like any other; fewer words
 than a shingle give one shingle of all of them; repeated rows and texts share a fingerprint; a null doc_id takes part,
@@ -20,11 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import keep_rows, written
 
 WORDS, BITS, DISTANCE = 4, 64, 4
 #: (lowest bit, bits) of the segments: fewer than DISTANCE, so that one of a linked pair differs in one bit at most.
 SEGMENTS = [(0, 22), (22, 21), (43, 21)]
+#: Keys of several components are broadcast if there are no more (16 MB in memory), else joined by a shuffle.
+BROADCAST_KEYS = 500_000
 #: Hashes whose bits are counted at a time.
 CHUNK = 1 << 14
 
@@ -57,18 +61,52 @@ def differing(a: str, b: str):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def _segment(column: str, low: int, bits: int):
+def _bits(column: str, low: int, bits: int):
     return F.shiftrightunsigned(column, low).bitwiseAND(F.lit((1 << bits) - 1))
 
 
-def variants(prints: DataFrame) -> DataFrame:
-    """Every row of ``prints`` (fp, ...) under the 64 keys of its one-wildcard segments."""
-    keys = [
-        (F.lit((low + i) << 22) + _segment("fp", low, bits).bitwiseAND(F.lit(((1 << bits) - 1) ^ (1 << i)))).cast("int")
-        for low, bits in SEGMENTS
-        for i in range(bits)
-    ]
-    return prints.withColumn("key", F.explode(F.array(*keys)))
+def _key(kind: int, *parts: tuple[int, int], wildcard: int | None = None):
+    """A long of the kind of key and the bits (lowest, number) of the fingerprint; ``wildcard`` is the bit left out."""
+    out = F.lit(kind).cast("long")
+    for low, bits in parts:
+        value = _bits("fp", low, bits)
+        if wildcard is not None and low <= wildcard < low + bits:
+            value = value.bitwiseAND(F.lit(((1 << bits) - 1) ^ (1 << (wildcard - low))))
+        out = F.shiftleft(out, bits).bitwiseOR(value)
+    return out
+
+
+def equal_keys() -> list:
+    """Keys of pairs of which one segment is equal: that segment and a fifth of the other bits (in two runs at most)."""
+    out = []
+    for at, (low, bits) in enumerate(SEGMENTS):
+        rest = [i for i in range(BITS) if not low <= i < low + bits]
+        for n in range(DISTANCE + 1):
+            part = rest[n * len(rest) // (DISTANCE + 1) : (n + 1) * len(rest) // (DISTANCE + 1)]
+            runs = [(part[0], len(part))]
+            if part[-1] - part[0] >= len(part):  # it goes on beyond the segment
+                before = low - part[0]
+                runs = [(part[0], before), (low + bits, len(part) - before)]
+            out.append(_key((1 << 8) + at * (DISTANCE + 1) + n, (low, bits), *runs))
+    return out
+
+
+def wildcard_keys() -> list:
+    """Keys of pairs of which two segments differ in one bit each: the first with that bit left out, half the second."""
+    out = []
+    for first in range(len(SEGMENTS)):
+        for second in range(first + 1, len(SEGMENTS)):
+            low, bits = SEGMENTS[second]
+            for half in ((low, bits // 2), (low + bits // 2, bits - bits // 2)):
+                for i in range(SEGMENTS[first][1]):
+                    out.append(_key((2 << 8) + len(out), SEGMENTS[first], half, wildcard=SEGMENTS[first][0] + i))
+    return out
+
+
+def keyed(prints: DataFrame, keys: list) -> DataFrame:
+    """Every row of ``prints`` (fp, ...) under each of the keys."""
+    spread = prints.repartition("fp")  # each row becomes many: over as many tasks as a shuffle has
+    return spread.withColumn("key", F.explode(F.array(*keys)))
 
 
 def links(edges: DataFrame, name: str) -> DataFrame:
@@ -95,14 +133,16 @@ def links(edges: DataFrame, name: str) -> DataFrame:
 
 def clusters(prints: DataFrame) -> DataFrame:
     """(fp, root) for each distinct fingerprint of ``prints`` (fp, n) that has a link."""
-    index = variants(prints)
+    index = keyed(prints, equal_keys())
     pivot = index.groupBy("key").agg(F.max(F.struct("n", "fp")).alias("p"), F.count("*").alias("_m")).filter("_m > 1").select("key", F.col("p.fp").alias("pivot"))
     first = index.join(pivot, "key").filter((F.col("fp") != F.col("pivot")) & (differing("fp", "pivot") <= DISTANCE))
     near = written(links(first.select(F.col("fp").alias("a"), F.col("pivot").alias("b")), "stars"), "components")
     labelled = written(prints.join(near, prints["fp"] == near["node"], "left").select("fp", F.coalesce("root", "fp").alias("c")), "labelled")
-    index = variants(labelled)
+    index = keyed(labelled, equal_keys() + wildcard_keys())
     open_keys = index.groupBy("key").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).filter("_lo < _hi").select("key")
-    several = index.join(open_keys, "key", "left_semi")
+    open_keys = written(open_keys, "open-keys")
+    small = open_keys.count() <= BROADCAST_KEYS
+    several = index.join(F.broadcast(open_keys) if small else open_keys, "key", "left_semi")
     a, b = several.select("key", "fp", "c"), several.select("key", F.col("fp").alias("fp2"), F.col("c").alias("c2"))
     pairs = a.join(b, (a["key"] == b["key"]) & (F.col("c") < F.col("c2")) & (differing("fp", "fp2") <= DISTANCE))
     across = written(links(pairs.select(F.col("c").alias("a"), F.col("c2").alias("b")), "across"), "merged")
@@ -128,5 +168,5 @@ def report(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The document of the smallest doc_id of each component, in the columns of ``docs``; of rows that repeat it, one
     stays, and a document without doc_id stays if its component has no other."""
-    gone = components(docs).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]), "left_anti")
+    found = components(docs).select("doc_id", F.col("fp").alias("digest"), F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return keep_rows(docs, written(found, "decisions"), fingerprint_column("text"))
