@@ -30,13 +30,17 @@ LIMITS = {"directness": 0.65, "grounding": 0.80, "coverage": 0.80, "technical_fi
 LOW_GROUNDING, LOW_COVERAGE = 0.30, 0.34
 
 
+def _claim_of(kind: str, major: bool):
+    return lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"), F.lit(major).alias("major"))
+
+
 def claims(text: Column) -> Column:
     """Different (kind, value, major) claims of a text, values folded."""
     parts = []
     for kind, pattern, major in CLAIMS:
         clean = lambda v: F.regexp_replace(F.regexp_replace(F.lower(v), r"\s+", " "), r"^[ .,():;\[\]{}]+|[ .,():;\[\]{}]+$", "")
         values = F.transform(F.regexp_extract_all(text, F.lit(pattern), 1), clean)
-        parts.append(F.transform(values, lambda v, k=kind, m=major: F.struct(F.lit(k).alias("kind"), v.alias("value"), F.lit(m).alias("major"))))
+        parts.append(F.transform(values, _claim_of(kind, major)))
     return F.array_distinct(F.filter(F.concat(*parts), lambda c: (c["value"] != "") & ~c["value"].isin(SAFE)))
 
 

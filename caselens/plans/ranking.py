@@ -163,9 +163,9 @@ QUERIES = {
     "hybrid_scores": (
         hybrid_scores,
         f"""WITH {BM25}{HASHED},
-            w AS (SELECT query_id, document_id, chunk_index, round(score / max(score) OVER (PARTITION BY query_id), 6) AS keyword FROM bm25_ranks WHERE rank <= 50),
-            b AS (SELECT w.*, coalesce(h.score, 0.0) AS semantic, document_id * 10000 + chunk_index AS o
-                  FROM w LEFT JOIN (SELECT * FROM hashed_ranks WHERE rank <= 50) h USING (query_id, document_id, chunk_index)),
+            worded AS (SELECT query_id, document_id, chunk_index, round(score / max(score) OVER (PARTITION BY query_id), 6) AS keyword FROM bm25_ranks WHERE rank <= 50),
+            b AS (SELECT worded.*, coalesce(h.score, 0.0) AS semantic, document_id * 10000 + chunk_index AS o
+                  FROM worded LEFT JOIN (SELECT * FROM hashed_ranks WHERE rank <= 50) h USING (query_id, document_id, chunk_index)),
             r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY keyword DESC, o)::INTEGER AS keyword_rank,
                   row_number() OVER (PARTITION BY query_id ORDER BY semantic DESC, o)::INTEGER AS semantic_rank FROM b)
             SELECT query_id, document_id, chunk_index, keyword_rank, semantic_rank, round(least(1.0, greatest(0.0,
