@@ -1,12 +1,13 @@
 """SimHash near-duplicates by deletion-variant signatures.
 
-A fingerprint has 64 bits; two link if they differ in at most four. Cut into three segments, one segment of a linked
-pair differs in at most one bit. If it does not differ at all, of five parts of the other bits one is equal: 15 keys of
-that segment and a part. If it differs in one bit, so does a second segment, of which one half is equal: 130 keys of a
-segment with one bit wildcarded and a half of a later one. So each linked pair meets under an equal key, of about 30
-bits. Fingerprints are first compared with one pivot a key, which joins large groups of near copies by as many links as
-members; after their components are known, only keys that still hold several components are joined with themselves, and
-each pair is verified on all 64 bits.
+A fingerprint has 64 bits; two link if they differ in at most four. Cut into four segments, one segment of a linked pair
+differs in at most one bit. If one of the three long segments is equal, of five parts of the other bits one is equal too:
+15 keys. If the short one is equal, of the six halves of the long ones two are: 15 keys. Else each segment differs in
+exactly one bit: then the short segment with that bit wildcarded, and a half of the first and of the second long one,
+are equal: 40 keys. So each linked pair meets under an equal key, of 27 bits or more. Fingerprints are first compared
+with one pivot a key, which joins large groups of near copies by as many links as members; after their components are
+known, only keys that still hold several components are joined with themselves, and each pair is verified on all 64
+bits.
 
 Defined cases: a null or empty text, or one of white space, has fingerprint zero and links like any other; fewer words
 than a shingle give one shingle of all of them; repeated rows and texts share a fingerprint; a null doc_id takes part,
@@ -16,6 +17,8 @@ input are not read by ``components`` and are kept by ``deduplicate``.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,8 +28,8 @@ from pyspark.sql import types as T
 from .common import keep_rows, written
 
 WORDS, BITS, DISTANCE = 4, 64, 4
-#: (lowest bit, bits) of the segments: fewer than DISTANCE, so that one of a linked pair differs in one bit at most.
-SEGMENTS = [(0, 22), (22, 21), (43, 21)]
+#: (lowest bit, bits) of the segments: as many as DISTANCE, so that one of a linked pair differs in one bit at most.
+SHORT, LONG = (0, 10), [(10, 18), (28, 18), (46, 18)]
 #: Keys of several components are broadcast if there are no more (16 MB in memory), else joined by a shuffle.
 BROADCAST_KEYS = 500_000
 #: Hashes whose bits are counted at a time.
@@ -76,10 +79,10 @@ def _key(kind: int, *parts: tuple[int, int], wildcard: int | None = None):
     return out
 
 
-def equal_keys() -> list:
-    """Keys of pairs of which one segment is equal: that segment and a fifth of the other bits (in two runs at most)."""
+def long_keys() -> list:
+    """Keys of pairs of which a long segment is equal: that segment and a fifth of the other bits (in two runs at most)."""
     out = []
-    for at, (low, bits) in enumerate(SEGMENTS):
+    for low, bits in LONG:
         rest = [i for i in range(BITS) if not low <= i < low + bits]
         for n in range(DISTANCE + 1):
             part = rest[n * len(rest) // (DISTANCE + 1) : (n + 1) * len(rest) // (DISTANCE + 1)]
@@ -87,25 +90,32 @@ def equal_keys() -> list:
             if part[-1] - part[0] >= len(part):  # it goes on beyond the segment
                 before = low - part[0]
                 runs = [(part[0], before), (low + bits, len(part) - before)]
-            out.append(_key((1 << 8) + at * (DISTANCE + 1) + n, (low, bits), *runs))
+            out.append(_key((1 << 6) + len(out), (low, bits), *runs))
     return out
 
 
-def wildcard_keys() -> list:
-    """Keys of pairs of which two segments differ in one bit each: the first with that bit left out, half the second."""
-    out = []
-    for first in range(len(SEGMENTS)):
-        for second in range(first + 1, len(SEGMENTS)):
-            low, bits = SEGMENTS[second]
-            for half in ((low, bits // 2), (low + bits // 2, bits - bits // 2)):
-                for i in range(SEGMENTS[first][1]):
-                    out.append(_key((2 << 8) + len(out), SEGMENTS[first], half, wildcard=SEGMENTS[first][0] + i))
+def halves(segment: tuple[int, int]) -> list[tuple[int, int]]:
+    low, bits = segment
+    return [(low, bits // 2), (low + bits // 2, bits - bits // 2)]
+
+
+def short_keys() -> list:
+    """Keys of pairs of which the short segment is equal (with two halves of long ones), or all segments differ in one
+    bit (the short one with that bit wildcarded, and a half of the first and second long one)."""
+    every = [h for segment in LONG for h in halves(segment)]
+    out = [_key((2 << 6) + n, SHORT, *two) for n, two in enumerate(combinations(every, 2))]
+    low, bits = SHORT
+    for i in range(low, low + bits):
+        for first in halves(LONG[0]):
+            for second in halves(LONG[1]):
+                out.append(_key((2 << 6) + len(out), SHORT, first, second, wildcard=i))
     return out
 
 
 def keyed(prints: DataFrame, keys: list) -> DataFrame:
     """Every row of ``prints`` (fp, ...) under each of the keys."""
-    spread = prints.repartition("fp")  # each row becomes many: over as many tasks as a shuffle has
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = prints.repartition(tasks, "fp")  # each row becomes many: over as many tasks as a shuffle has, not coalesced
     return spread.withColumn("key", F.explode(F.array(*keys)))
 
 
@@ -133,12 +143,12 @@ def links(edges: DataFrame, name: str) -> DataFrame:
 
 def clusters(prints: DataFrame) -> DataFrame:
     """(fp, root) for each distinct fingerprint of ``prints`` (fp, n) that has a link."""
-    index = keyed(prints, equal_keys())
+    index = keyed(prints, long_keys())
     pivot = index.groupBy("key").agg(F.max(F.struct("n", "fp")).alias("p"), F.count("*").alias("_m")).filter("_m > 1").select("key", F.col("p.fp").alias("pivot"))
     first = index.join(pivot, "key").filter((F.col("fp") != F.col("pivot")) & (differing("fp", "pivot") <= DISTANCE))
     near = written(links(first.select(F.col("fp").alias("a"), F.col("pivot").alias("b")), "stars"), "components")
     labelled = written(prints.join(near, prints["fp"] == near["node"], "left").select("fp", F.coalesce("root", "fp").alias("c")), "labelled")
-    index = keyed(labelled, equal_keys() + wildcard_keys())
+    index = keyed(labelled, long_keys() + short_keys())
     open_keys = index.groupBy("key").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).filter("_lo < _hi").select("key")
     open_keys = written(open_keys, "open-keys")
     small = open_keys.count() <= BROADCAST_KEYS

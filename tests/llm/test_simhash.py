@@ -77,3 +77,20 @@ def test_documents(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert simhash.report(docs).count() == 0 and simhash.deduplicate(docs).count() == 0
+
+
+def test_every_linked_pair_shares_a_key(spark):
+    """All ways to lay up to four differing bits over the segments, with bits at their edges and in them."""
+    rng = random.Random(11)
+    rows = []
+    for n in range(6000):
+        flips = rng.sample(range(64), rng.randint(1, 4))
+        if n % 2:  # one bit in each segment
+            flips = [rng.randrange(low, low + bits) for low, bits in [simhash.SHORT, *simhash.LONG]]
+        a = rng.getrandbits(64)
+        rows.append((a, a ^ sum(1 << b for b in flips)))
+    sign = lambda x: x - 2**64 if x >> 63 else x
+    pairs = spark.createDataFrame([(n, sign(f)) for n, two in enumerate(rows) for f in two], "n long, fp long")
+    keys = simhash.keyed(pairs, simhash.long_keys() + simhash.short_keys())
+    met = keys.groupBy("n", "key").count().filter("count > 1").select("n").distinct().count()
+    assert met == len(rows)
