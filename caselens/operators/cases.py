@@ -26,9 +26,10 @@ def status_summary(cases: DataFrame, key: str, open_if: Column, updated: str, as
 def pivot_with_total(rows: DataFrame, key: str, column: str, values: list, total: str = "total") -> DataFrame:
     """Counts per ``key`` and value of ``column`` (zeros filled, other values only in the total), and a row for all."""
     counts = [F.count_if(F.col(column) == v).alias(str(v)) for v in values]
-    grouped = rows.rollup(key).agg(F.grouping(key).alias("_all"), *counts, F.count("*").alias(total))
-    # the grand total of a table without rows is a row of zeros
-    return grouped.select(F.when(F.col("_all") == 1, "(all)").otherwise(F.col(key)).alias(key), *[str(v) for v in values], total)
+    grouped = rows.groupBy(key).agg(*counts, F.count("*").alias(total))
+    # summed from the groups, so that a table without rows has a total of zeros
+    every = grouped.agg(*[F.coalesce(F.sum(f"`{c}`"), F.lit(0)).cast("long").alias(c) for c in [*map(str, values), total]])
+    return grouped.unionByName(every.withColumn(key, F.lit("(all)")))
 
 
 def year_of(value: Column) -> Column:
