@@ -294,3 +294,8 @@ def accepted(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """``docs`` without the documents that have no letter, in their own columns."""
     found = predicted(docs.select(F.struct("*").alias("row"), "text"), train(docs, sample=sample))
     return found.filter(F.col("lang_pred") != UND).select("row.*")
+
+
+def tagged(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """``docs`` without the documents that have no letter, with lang_pred and score."""
+    return predicted(docs, train(docs, sample=sample)).filter(F.col("lang_pred") != UND)

@@ -18,7 +18,7 @@ from __future__ import annotations
 import heapq
 from fractions import Fraction
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bucket_count, running_total, written
@@ -88,11 +88,15 @@ def phases(blocks: dict[str, int], weights: dict[str, float], frame: int = FRAME
 PLAN = "queue string, phase int, first long, last long, slots int, frame int, base long, offsets array<int>"
 
 
-def positions(docs: DataFrame, weights: dict[str | None, float] | None = None, block_bytes: int = BLOCK_BYTES, frame: int = FRAME) -> DataFrame:
-    """One row per row of ``docs``: doc_id, source, n_bytes, block, phase, release and deadline (slots), slot, and
-    position (gapless from 0 over all rows). By default weights are the sources' bytes to the power ``TEMPERATURE``."""
+def queue_of() -> Column:
+    """The name of a row's queue: "=" and its source, or nothing for a null source."""
+    return F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
+
+
+def placed_with_targets(docs: DataFrame, weights: dict[str | None, float] | None, block_bytes: int, frame: int) -> tuple[DataFrame, dict[str, float]]:
+    """The rows of ``positions``, and the target weight of each queue."""
     spark = docs.sparkSession
-    queue = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
+    queue = queue_of()
     size = F.greatest(F.lit(1), F.coalesce(F.octet_length("text"), F.lit(0))).cast("long")
     rows = written(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "source", queue.alias("queue"), size.alias("n_bytes")), "sizes")
     totals = {r[0]: r[1] for r in rows.groupBy("queue").agg(F.sum("n_bytes")).collect()}
@@ -125,7 +129,27 @@ def positions(docs: DataFrame, weights: dict[str | None, float] | None = None, b
         "at",
         F.lit(1).cast("long").alias("one"),
     )
-    return running_total(placed, [], "slot", ["at", "rid"], "one", "position").drop("at", "rid", "one")
+    return running_total(placed, [], "slot", ["at", "rid"], "one", "position").drop("at", "rid", "one"), wanted
+
+
+def positions(docs: DataFrame, weights: dict[str | None, float] | None = None, block_bytes: int = BLOCK_BYTES, frame: int = FRAME) -> DataFrame:
+    """One row per row of ``docs``: doc_id, source, n_bytes, block, phase, release and deadline (slots), slot, and
+    position (gapless from 0 over all rows). By default weights are the sources' bytes to the power ``TEMPERATURE``."""
+    return placed_with_targets(docs, weights, block_bytes, frame)[0]
+
+
+def planned(docs: DataFrame, weights: dict[str | None, float] | None = None, block_bytes: int = BLOCK_BYTES, frame: int = FRAME) -> DataFrame:
+    """``docs`` in the order of their positions, with mix_position (of rows that repeat a doc_id, the first of theirs)
+    and mix_share: the target weight of the row's source over the sum of all sources' weights."""
+    placed, wanted = placed_with_targets(docs, weights, block_bytes, frame)
+    place = placed.groupBy("doc_id").agg(F.min("position").alias("mix_position")).withColumnRenamed("doc_id", "_id")
+    everything = sum(wanted.values())
+    targets = docs.sparkSession.createDataFrame([(q, float(w / everything)) for q, w in wanted.items()], "_queue string, mix_share double")
+    if sum(50 + len(q) for q in wanted) <= BROADCAST_BYTES:
+        targets = F.broadcast(targets)
+    own = [c for c in docs.columns if c not in ("mix_position", "mix_share")]
+    joined = docs.select(*own, queue_of().alias("_queue")).join(targets, "_queue").join(place, F.col("doc_id").eqNullSafe(F.col("_id")))
+    return joined.repartitionByRange("mix_position").sortWithinPartitions("mix_position").select(*own, "mix_position", "mix_share")
 
 
 def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None) -> DataFrame:

@@ -89,8 +89,9 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def tokenised(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """rid (a number of the row), doc_id, queue, n (its tokens) and ids of every row, written once."""
+def tokenised(docs: DataFrame, path: str, end_id: int = END_ID, keep: tuple[str, ...] = ()) -> DataFrame:
+    """rid (a number of the row), doc_id, queue, n (its tokens) and ids of every row, and its columns ``keep``, written
+    once."""
 
     @F.pandas_udf(T.BinaryType())
     def ids(text: pd.Series) -> pd.Series:
@@ -98,12 +99,15 @@ def tokenised(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
 
     width = encoder(path, end_id).kind.itemsize
     queue = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", queue.alias("queue"), ids("text").alias("ids"))
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", queue.alias("queue"), ids("text").alias("ids"), *keep)
     return written(rows.withColumn("n", (F.octet_length("ids") / width).cast("long")), "tokens")
 
 
-def quanta(tokens: DataFrame, window_tokens: int, weights: dict[str | None, float] | None) -> DataFrame:
-    """(queue, quantum) of each source: its weight, or else its share of all tokens, of a window."""
+def quanta(tokens: DataFrame, window_tokens: int, weights: dict[str | None, float] | None, planned: bool = False) -> DataFrame:
+    """(queue, quantum) of each source: its weight, or else its share of all tokens, of a window. ``planned``: its
+    mix_share."""
+    if planned:
+        return tokens.groupBy("queue").agg((F.max("mix_share") * window_tokens).alias("quantum"))
     sums = tokens.groupBy("queue").agg(F.sum("n").alias("total"))
     everything = tokens.agg(F.sum("n")).first()[0] or 1
     share = F.col("total") / F.lit(float(everything))
@@ -114,20 +118,32 @@ def quanta(tokens: DataFrame, window_tokens: int, weights: dict[str | None, floa
 
 
 def pack(
-    docs: DataFrame, tokenizer: str | None = None, sequence: int = SEQUENCE, window: int = WINDOW, weights: dict[str | None, float] | None = None, end_id: int = END_ID
+    docs: DataFrame,
+    tokenizer: str | None = None,
+    sequence: int = SEQUENCE,
+    window: int = WINDOW,
+    weights: dict[str | None, float] | None = None,
+    end_id: int = END_ID,
+    planned: bool = False,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per piece: doc_id, source's queue, start, length, doc_tokens, window, sequence_id, offset and ids (the
     piece's ids, little-endian unsigned 32-bit). ``weights``: the target proportion of each source (those without one,
-    and by default all, keep their share of the tokens, which holds in every window up to the last)."""
+    and by default all, keep their share of the tokens, which holds in every window up to the last). ``planned``: the
+    plan of ``mixing.planned`` holds instead: queues and windows are in the order of mix_position, and mix_share is the
+    target proportion. ``keep``: columns of ``docs`` that each of its pieces has too."""
     path = tokenizer or default_tokenizer()
-    tokens = tokenised(docs, path, end_id)
-    count, total = tokens.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    narrow = tokens.select("rid", "doc_id", "queue", "n", F.pmod(F.xxhash64("doc_id"), F.lit(bucket_count(count))).alias("b"))
-    queued = running_total(narrow, ["queue"], "b", ["doc_id", "rid"], "n", "at").join(quanta(tokens, window * sequence, weights), "queue")
+    place = ["mix_position"] if planned else []
+    tokens = tokenised(docs, path, end_id, (*keep, *place, *(["mix_share"] if planned else [])))
+    count, total, last = tokens.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.max(place[0]) if planned else F.lit(None)).first()
+    buckets = F.lit(bucket_count(count))
+    bucket = F.floor(F.col(place[0]) * buckets / F.lit((last or 0) + 1)) if planned else F.pmod(F.xxhash64("doc_id"), buckets)
+    narrow = tokens.select("rid", "doc_id", "queue", "n", *place, bucket.alias("b"))
+    queued = running_total(narrow, ["queue"], "b", [*place, "doc_id", "rid"], "n", "at").join(quanta(tokens, window * sequence, weights, planned), "queue")
     packets = queued.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(sequence).cast("long"))))
     packets = packets.withColumn("len", F.least(F.lit(sequence).cast("long"), F.col("n") - F.col("start"))).withColumn("at", F.col("at") + F.col("start"))
-    packets = packets.withColumn("window", F.ceil((F.col("at") + F.col("len")) / F.col("quantum")).cast("long")).select("rid", "queue", "at", "start", "len", "window")
-    dealt = running_total(packets, [], "window", ["queue", "at"], "len", "g")
+    packets = packets.withColumn("window", F.ceil((F.col("at") + F.col("len")) / F.col("quantum")).cast("long")).select("rid", "queue", *place, "at", "start", "len", "window")
+    dealt = running_total(packets, [], "window", [*place, "queue", "at"], "len", "g")
 
     full = total // sequence * sequence
     ends, at = [], full
@@ -165,8 +181,8 @@ def pack(
 
     grouped = pieces.groupBy("rid").agg(F.collect_list(F.struct("start", "length", "window", "sequence_id", "offset")).alias("pieces"))
     joined = tokens.join(grouped, "rid").withColumn("cut", cut("ids", F.col("pieces.start"), F.col("pieces.length")))
-    each = joined.select("doc_id", "queue", F.col("n").alias("doc_tokens"), F.explode(F.arrays_zip("pieces", "cut")).alias("x"))
-    return each.select("doc_id", "queue", "doc_tokens", "x.pieces.*", F.col("x.cut").alias("ids"))
+    each = joined.select("doc_id", "queue", F.col("n").alias("doc_tokens"), *keep, F.explode(F.arrays_zip("pieces", "cut")).alias("x"))
+    return each.select("doc_id", "queue", "doc_tokens", "x.pieces.*", F.col("x.cut").alias("ids"), *keep)
 
 
 def report(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:

@@ -9,9 +9,9 @@ from caselens.llm.common import bounded_batches, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any letter have no language and go."""
+    """Each document gets its language (lang_pred) and score; those without any letter have no language and go."""
     bounded_batches(spark)
-    return langid.accepted(docs)
+    return langid.tagged(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,15 +27,15 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in the order of the sources' schedule."""
+    """The documents in the order of the sources' schedule, with their places in it and their sources' target shares."""
     bounded_batches(spark)
-    return mixing.mixed(docs)
+    return mixing.planned(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences, with their token ids."""
+    """The pieces of all documents in sequences by the mixing plan, with their token ids, languages and scores."""
     bounded_batches(spark)
-    return packing.pack(docs)
+    return packing.pack(docs, planned=True, keep=("lang_pred", "score"))
 
 
 STAGES = [("language_id", language), ("exact_dedup", exact), ("simhash_dedup", near), ("mix_sources", mix), ("pack", pack)]
