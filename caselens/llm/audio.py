@@ -2,7 +2,8 @@
 
 A payload is stored as the 8-bit samples of a WAV file. Reading it back gives samples that are resampled by a polyphase
 filter, cut into overlapping frames, turned into log-mel energies, and segmented by energy with hysteresis (a segment
-begins above the upper threshold and ends below the lower one). Each segment becomes patches of a fixed shape (frames,
+begins above the upper threshold and ends below the lower one; both lie below the payload's own level, so that speech
+and text of any level are kept and pauses go). The padding counts as silence. Each segment becomes patches of a fixed shape (frames,
 bands), an Arrow tensor column beside their time spans, kept as an Arrow IPC stream.
 
 Defined cases: a null text is an empty payload, which padding makes one unit long; a payload of silence has no segment
@@ -31,8 +32,9 @@ UNIT = 576
 RATE, UP, DOWN, TAPS = 12_000, 2, 3, 12
 #: Samples of a frame and from one to the next, mel bands, frames of a patch, frames read at a time.
 FRAME, HOP, BANDS, PATCH, BLOCK = 256, 128, 32, 32, 2048
-#: Thresholds of the segments, in dB of a frame's mean square against full scale.
-UPPER, LOWER = -9.5, -9.8
+#: Thresholds of the segments, in dB of a frame's mean square against the payload's own level, and the level against full
+#: scale under which a frame is silence (a frame with one sample off by one step is at -66 dB).
+UPPER, LOWER, SILENCE = -6.0, -12.0, -70.0
 OUT_RATE = RATE * UP // DOWN
 
 
@@ -123,6 +125,12 @@ def log_mel(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(bands), np.concatenate(levels)
 
 
+def own_level(levels: np.ndarray) -> float:
+    """The mean level of the frames that are not silence, in dB; that of full scale if all are."""
+    sound = levels[levels >= SILENCE]
+    return float(10 * np.log10(np.mean(10 ** (sound.astype(np.float64) / 10)))) if len(sound) else 0.0
+
+
 def segments(levels: np.ndarray, upper: float = UPPER, lower: float = LOWER) -> np.ndarray:
     """[begin, end) frames of each segment: on from a level of ``upper`` or more, off from one under ``lower``."""
     decided = np.where(levels >= upper, 1, np.where(levels < lower, 0, -1))
@@ -159,10 +167,12 @@ def arrow_stream(tensors: np.ndarray, spans: np.ndarray) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def features(payload: bytes) -> tuple[int, int, bytes]:
-    """(frames, segments, Arrow IPC stream of the segments' tensors) of a payload."""
-    bands, levels = log_mel(payload)
-    spans = segments(levels)
+def features(payload: bytes, size: int | None = None) -> tuple[int, int, bytes]:
+    """(frames, segments, Arrow IPC stream of the segments' tensors) of a payload, whose bytes from ``size`` on are
+    padding."""
+    size = len(payload) if size is None else size
+    bands, levels = log_mel(payload[:size] + b"\x80" * (len(payload) - size))
+    spans = segments(levels - own_level(levels))
     return len(bands), len(spans), arrow_stream(*patches(bands, spans))
 
 
@@ -180,18 +190,19 @@ FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, frames l
 
 
 def with_features(media: DataFrame) -> DataFrame:
-    """``media`` with what its media column holds, read back, and the features computed from that."""
+    """``media`` (with n_bytes, the bytes before the padding) with what its media column holds, read back, and the
+    features computed from that."""
 
     @F.pandas_udf(FEATURES)
-    def read(column: pd.Series) -> pd.DataFrame:
+    def read(column: pd.Series, sizes: pd.Series) -> pd.DataFrame:
         rows = []
-        for m in column:
+        for m, size in zip(column, sizes, strict=True):
             payload = from_wav(m)
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), *features(payload)))
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), *features(payload, int(size))))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in FEATURES.split(", ")])
 
     own = [c for c in media.columns if c not in {n.split()[0] for n in FEATURES.split(", ")}]
-    return media.select(*own, read("media").alias("_f")).select(*own, "_f.*")
+    return media.select(*own, read("media", "n_bytes").alias("_f")).select(*own, "_f.*")
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -79,3 +79,34 @@ def test_report(spark):
         assert r["media_sha256"] == hashlib.sha256(audio.to_wav(payload)).hexdigest() and r["media_bytes"] == len(payload) + 44
     assert got[1]["feature"] == got[4]["feature"] != got[5]["feature"] and got[2]["feature"] == got[3]["feature"]
     assert audio.report(docs.limit(0)).count() == 0
+
+
+def test_every_part_of_a_text_counts():
+    rng = random.Random(5)
+    for letters in ("etaoin shrdlu", "ETAOIN SHRDLU", "0123456789", "éàüñ ", "漢字仮名", "слово "):
+        text = "".join(rng.choices(letters, k=3000)).encode()
+        payload = audio.padded(text)
+        frames, found, stream = audio.features(payload, len(text))
+        middle = len(text) // 2
+        other = text[:middle] + bytes(rng.sample(text[middle : middle + 300], 300)) + text[middle + 300 :]
+        assert audio.features(audio.padded(other), len(text))[2] != stream
+        kept = sum(pa.ipc.open_stream(stream).read_all()["frames"].to_pylist())
+        assert found and kept >= audio.frame_count(len(text)) - 1, letters
+    assert audio.features(audio.padded(b""), 0)[1] == audio.features(audio.padded(b"\x80" * 576), 576)[1] == 0
+
+
+def test_pauses_part_segments_and_padding_is_silent():
+    rng = random.Random(6)
+    sound = lambda n: bytes(rng.choice(b"abcdefgh ") for _ in range(n))
+    text = sound(6000) + b"\x80" * 3000 + sound(6000)
+    payload = audio.padded(text + sound(1))
+    assert audio.features(payload, len(text) + 1)[1] == 2
+    changed = payload[: len(text) + 1] + b"\x01" * (len(payload) - len(text) - 1)
+    assert audio.features(changed, len(text) + 1) == audio.features(payload, len(text) + 1)
+
+
+def test_hysteresis_follows_the_level():
+    levels = np.array([-60.0, -20, -20, -31, -31, -40, -31, -20, -50])
+    for shift in (0, 15, -15):
+        assert audio.segments(levels + shift - audio.own_level(levels + shift)).tolist() == [[1, 5], [7, 8]]
+    assert len({audio.features(audio.padded(t), len(t)) for t in (b"z", b"y", b"a", b"zz", b"")}) == 5
