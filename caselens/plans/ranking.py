@@ -127,14 +127,14 @@ def answer_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily counts of events by type, run as a stream; the last windows stay open, as the stream may go on."""
     base = _scratch(spark)
-    events = ingest.stream_of(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    events = ingest.stream_of(spark, sf_dir, "events", None).withColumn("ts", F.col("ts").cast("timestamp"))
     return ingest.drained(ingest.windowed_counts(events, "ts", ["event_type"], "value"), f"{base}/out", f"{base}/state").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "rows", "total")
 
 
 def stream_first_by_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first event of each user and type within the watermark, run as a stream."""
+    """The first event of each user and type of the whole backfill, run as a stream."""
     base = _scratch(spark)
-    events = ingest.stream_of(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    events = ingest.stream_of(spark, sf_dir, "events", None).withColumn("ts", F.col("ts").cast("timestamp"))
     first = ingest.first_by_content(events, "ts", ["user_id", "event_type"], "60 days")
     return ingest.drained(first.select("user_id", "event_type"), f"{base}/out", f"{base}/state")
 

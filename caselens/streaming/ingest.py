@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def stream_of(spark: SparkSession, folder: str, name: str, files_per_batch: int = 4) -> DataFrame:
-    """The Parquet table ``name`` in ``folder`` as a stream of its files."""
+def stream_of(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = 4) -> DataFrame:
+    """The Parquet table ``name`` in ``folder`` as a stream of its files. ``files_per_batch`` None: all that are there
+    make one batch, in which no row is late, so what a backfill gives does not depend on how files part the rows."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{folder}/{name}.parquet*")
+    stream = spark.readStream.schema(schema)
+    if files_per_batch is not None:
+        stream = stream.option("maxFilesPerTrigger", files_per_batch)
+    return stream.parquet(f"{folder}/{name}.parquet*")
 
 
 def first_by_content(rows: DataFrame, at: str, content: list[str], delay: str = "1 hour") -> DataFrame:
