@@ -6,7 +6,9 @@ potentials connect the tree. A pass of sum-product messages upward and one downw
 probability of being content. All potentials are learned from labelled pages.
 
 Text is taken from the whole page: character references are decoded, white space inside a block becomes one space,
-blocks are trimmed and joined in page order by an empty line; nothing else is dropped or cut. Defined cases: a null or
+blocks are trimmed and joined in page order by an empty line. What stands in elements that are not shown as text
+(``RAW``) is dropped up to their end tag; without one, only the tag is, but for script and style. Nothing else is dropped
+or cut: math and the fallback text in object are kept. Defined cases: a null or
 empty page, and one without content, gives the empty text; unclosed and misnested tags are closed as browsers do for
 paragraphs, list items and table cells; a stray "<" is text; an unfinished tag or comment at the end is dropped; repeated
 rows each get their text; an empty table gives an empty result; further columns are kept by ``with_text``.
@@ -34,7 +36,7 @@ BLOCKS = frozenset(
     "head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript iframe object svg math canvas audio video noembed noframes".split())
+RAW = frozenset("script style template noscript iframe svg annotation annotation-xml canvas audio video noembed noframes".split())
 CLOSES_P = BLOCKS - frozenset("body head html legend li dd dt option td th tr tbody thead tfoot summary title".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
@@ -46,6 +48,8 @@ TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",  # tag with an open quote, or the page's end in a tag
     re.S,
 )
+#: A "/" at the end of a tag that belongs to an attribute's value without quotes.
+UNQUOTED = re.compile(r"""=\s*[^\s"'>]+$""")
 NAMES = re.compile(r"""\b(class|id|role|data-main)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
@@ -80,6 +84,7 @@ def parse(source: str | None) -> Page:
     words: list[str] = []
     linked = in_link = 0
     at = 0
+    unended: set[str] = set()
 
     def flush() -> None:
         nonlocal linked
@@ -121,8 +126,16 @@ def parse(source: str | None) -> Page:
             continue
         name, ends = name.lower(), found[1] or found[4]
         if name in RAW and not ends:
-            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at)
-            at = end.end() if end else len(source)
+            attributes = found[3] or found[6] or ""
+            if name in unended or (name == "svg" and attributes.endswith("/") and not UNQUOTED.search(attributes)):
+                continue
+            end = re.compile(rf"</{name}(?![^\s/>])[^>]*>", re.I).search(source, at)
+            if end:
+                at = end.end()
+            elif name in ("script", "style"):
+                at = len(source)
+            else:
+                unended.add(name)
         elif name == "a":
             in_link = 0 if ends else 1
         elif name == "br":

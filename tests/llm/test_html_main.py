@@ -58,6 +58,21 @@ def test_odd_pages():
     assert h.main_text(long, MODEL).count("\n\n") == 19999
 
 
+def test_elements_without_text():
+    page = lambda inner: f"<body><article><h1>Title here</h1><p>Some words, before. {inner} Some words, after.</p><p>The last words, too.</p></article></body>"
+    want = lambda inner: ["Title here", " ".join(f"Some words, before. {inner} Some words, after.".split()), "The last words, too."]
+    found = lambda inner: h.main_text(page(inner), MODEL).split("\n\n")
+    for tag in ("<svg/>", "<svg class='x' />", '<svg a="b"/>', "<math/>", "<noscript>", "<template>", "<svg>", "<object>", "<video src=x>", "<iframe>", "<canvas>"):
+        assert found(tag) == want(""), tag
+    for hidden in ("<svg><text>no</text></svg>", "<svg width=1/><text>no</text></svg>", "<noscript>no</noscript>", "<script>no</script>", "<template>no</template>", "<svg/><svg><text>no</text></svg>"):
+        assert found(hidden) == want(""), hidden
+    assert found("<math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding='application/x-tex'>no</annotation></math>") == want("x=2")
+    assert found("<object data='a'>A picture.</object>") == want("A picture.")
+    assert found("<script>") == ["Title here", "Some words, before."]
+    many = "<svg>" * 50_000 + "word, word."
+    assert [t for t in h.parse(f"<article><p>{many}</p></article>").text if t] == ["word, word."]
+
+
 def test_report(spark):
     page = "<body><nav><a>x</a></nav><article><h1>One title</h1><p>Two words, é.</p></article></body>"
     pages = spark.createDataFrame([(1, "u", page, "c"), (2, None, None, "c"), (1, "u", page, "c")], "page_id long, url string, html string, text string")
