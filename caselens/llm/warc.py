@@ -6,7 +6,7 @@ page_id is a ``response``, the others ``revisit`` it.
 
 Defined cases: a null html is an empty payload, a null url gives no WARC-Target-URI, control characters and spaces in
 one are percent-encoded; payloads under ``LEAST`` bytes are always stored; of rows that repeat the smallest page_id of
-a group each is a response; an archive of too few or too small records has no dictionary; an empty table gives no
+a group each is a response; an archive of one record, or of fewer than 16 that are under 1 MB in all, or of too small records has no dictionary; an empty table gives no
 archive; further columns are not read.
 """
 
@@ -33,6 +33,8 @@ LEAST = 100
 ARCHIVE_BYTES = 8 << 20
 #: The dictionary's size, and the bytes of records that it is built from (evenly spaced over the archive).
 DICTIONARY_BYTES, SAMPLE_BYTES = 32 << 10, 512 << 10
+#: Records whole as samples, if so many make up the sample's bytes; else so many slices of records.
+WHOLE, SLICES = 16, 128
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "archive string, records long, bytes long, dictionary_bytes long"
 RECORD = "archive string, page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long"
@@ -77,11 +79,26 @@ def parse(data: bytes) -> tuple:
     return number(fields["WARC-Record-ID"]), url, "revisit", None, int(fields["X-Payload-Length"]), fields["WARC-Payload-Digest"].removeprefix("sha256:"), number(fields["WARC-Refers-To"])
 
 
+def slices(records: list[bytes]) -> list[bytes]:
+    """At least ``SLICES`` parts, evenly spaced within and over the records, of at most ``SAMPLE_BYTES`` in all."""
+    picked = records[:: max(1, len(records) // SLICES)]
+    each = -(-SLICES // len(picked))
+    size = SAMPLE_BYTES // (len(picked) * each)
+    out = []
+    for r in picked:
+        steps = min(each, -(-len(r) // size))
+        out += [r[(len(r) - size) * i // (steps - 1) :][:size] if steps > 1 else r[:size] for i in range(steps)]
+    return out
+
+
 def dictionary(records: list[bytes]) -> bytes:
-    """A dictionary trained on evenly spaced records of at most ``SAMPLE_BYTES`` in all; empty if there is too little."""
+    """A dictionary trained on evenly spaced records of about ``SAMPLE_BYTES`` in all, or on slices of records where
+    these are too long for ``WHOLE`` of them; empty if there is too little."""
     step = max(1, sum(map(len, records)) // SAMPLE_BYTES)
     samples = [r[: SAMPLE_BYTES // 8] for r in records[::step]]
-    if len(samples) < 16 or sum(map(len, samples)) < 16 << 10:
+    if step > 1 and len(samples) < WHOLE and len(records) > 1:
+        samples = slices(records)
+    if len(samples) < WHOLE or sum(map(len, samples)) < 16 << 10:
         return b""
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=200, d=8, steps=1).as_bytes()

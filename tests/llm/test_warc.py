@@ -1,4 +1,5 @@
 import hashlib
+import random
 import struct
 
 from caselens.llm import warc
@@ -26,6 +27,20 @@ def test_archive_has_a_dictionary_that_pays():
     assert list(warc.unarchive(warc.archive(long)[0])) == long
 
 
+def test_archives_of_long_records_have_a_dictionary():
+    rng = random.Random(4)
+    shared = rng.randbytes(2000)
+    for n, size in ((205, 40 << 10), (80, 100 << 10), (40, 200 << 10), (8, 1 << 20), (2, 4 << 20)):
+        records = [shared + rng.randbytes(size - 4000) + shared[::-1] for _ in range(n)]
+        data, words = warc.archive(records)
+        assert words > 0 and list(warc.unarchive(data)) == records
+        assert sum(map(len, warc.slices(records))) <= warc.SAMPLE_BYTES and len(warc.slices(records)) >= 100
+        if n >= 40:
+            assert len(data) < sum(map(len, records)) - (n - 30) * 2000
+    one = [rng.randbytes(9 << 20)]
+    assert warc.archive(one)[1] == 0 and list(warc.unarchive(warc.archive(one)[0])) == one
+
+
 def test_archives(spark, tmp_path):
     same, other = "S" * 120, "é" * 300
     rows = [(3, "u", same), (1, None, same), (2, "u", other), (7, "u", same), (4, "u", "tiny"), (5, "u", "tiny"), (6, "u", None), (8, "", ""), (1, None, same), (None, "u", same)]
