@@ -13,13 +13,14 @@ BLOCKS_PER_SUPER = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset (tests), a new one is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset a new one is set if all run
+    on one machine, as in tests; a cluster must name its own."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        known = spark.sparkContext.getCheckpointDir()
-        path = known or "file://" + tempfile.mkdtemp(prefix="caselens-shared-")
-        if not known:
-            spark.sparkContext.setCheckpointDir(path)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="caselens-shared-")
+        spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
@@ -41,32 +42,35 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucket_count(rows: int, per_bucket: int = 8192) -> int:
+def bucket_count(rows: int, per_bucket: int = 1024) -> int:
     """Buckets that keep about ``per_bucket`` rows each, however many rows there are."""
     return max(1, -(-rows // per_bucket))
 
 
-def block_starts(blocks: DataFrame, part: list[str], block: str, value: str, out: str) -> DataFrame:
-    """For rows (``part``, ``block``, ``value``), one per block, adds ``out``: the sum of ``value`` over the
-    lower blocks of the same ``part``. Two levels: blocks lie in super-blocks, so no window holds more than
-    ``BLOCKS_PER_SUPER`` blocks or the list of super-blocks. An empty table stays empty; a null block sorts first."""
-    sup = F.floor(F.coalesce(F.col(block), F.lit(-1)) / BLOCKS_PER_SUPER)
-    blocks = blocks.withColumn("_super", sup)
+def block_starts(blocks: DataFrame, part: list[str], block: str, value: str, out: str, levels: int = 3) -> DataFrame:
+    """For rows (``part``, ``block``, ``value``), one per block and none null, adds ``out``: the sum of ``value`` over the
+    lower blocks of the same ``part``. Blocks lie in super-blocks, and these in larger ones, over ``levels`` levels: a
+    window holds ``BLOCKS_PER_SUPER`` rows, or those of the highest level. ``blocks`` is read at each level, so it is best
+    a written table. An empty table stays empty."""
     before = (Window.unboundedPreceding, -1)
-    supers = blocks.groupBy(*part, "_super").agg(F.sum(value).alias("_sum"))
-    over = Window.partitionBy(*(part or [F.lit(0)])).orderBy("_super").rowsBetween(*before)
-    supers = supers.withColumn("_base", F.coalesce(F.sum("_sum").over(over), F.lit(0))).drop("_sum")
-    inner = Window.partitionBy(*part, "_super").orderBy(block).rowsBetween(*before)
+    if levels == 1:
+        over = Window.partitionBy(*(part or [F.lit(0)])).orderBy(block).rowsBetween(*before)
+        return blocks.withColumn(out, F.coalesce(F.sum(value).over(over), F.lit(0)))
+    sup, base = f"_super{levels}", f"_base{levels}"
+    blocks = blocks.withColumn(sup, F.floor(F.col(block) / BLOCKS_PER_SUPER))
+    supers = blocks.groupBy(*part, sup).agg(F.sum(value).alias("_sum"))
+    supers = block_starts(supers, part, sup, "_sum", base, levels - 1).drop("_sum")
+    inner = Window.partitionBy(*part, sup).orderBy(block).rowsBetween(*before)
     blocks = blocks.withColumn("_in", F.coalesce(F.sum(value).over(inner), F.lit(0)))
-    on = [*part, "_super"]
-    return blocks.join(supers, on).withColumn(out, F.col("_base") + F.col("_in")).drop("_super", "_base", "_in")
+    return blocks.join(supers, [*part, sup]).withColumn(out, F.col(base) + F.col("_in")).drop(sup, base, "_in")
 
 
 def running_total(df: DataFrame, part: list[str], block: str, order: list[str | Column], value: str, out: str) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over all rows of the same ``part`` that come earlier in the order
     (``block``, ``order``). Only (``part``, ``block``) groups are ordered within a task, so a hot ``part`` is
     spread over its blocks. ``part`` and ``block`` must not be null; ``order`` must be unique in a block."""
-    starts = block_starts(df.groupBy(*part, block).agg(F.sum(value).alias("_sum")), part, block, "_sum", "_start").drop("_sum")
+    blocks = written(df.groupBy(*part, block).agg(F.sum(value).alias("_sum")), "blocks")
+    starts = block_starts(blocks, part, block, "_sum", "_start").drop("_sum")
     w = Window.partitionBy(*part, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     inner = df.withColumn("_before", F.coalesce(F.sum(value).over(w), F.lit(0)))
     return inner.join(starts, [*part, block]).withColumn(out, F.col("_start") + F.col("_before")).drop("_start", "_before")

@@ -110,7 +110,7 @@ def placed_with_targets(docs: DataFrame, weights: dict[str | None, float] | None
     table = spark.createDataFrame(plan, PLAN)
     if sum(100 + 4 * len(p[-1]) for p in plan) <= BROADCAST_BYTES:
         table = F.broadcast(table)
-    rows = rows.withColumn("b", F.pmod(F.xxhash64("doc_id"), F.lit(bucket_count(rows.count()))))
+    rows = rows.withColumn("b", F.pmod(F.xxhash64("doc_id", "rid"), F.lit(bucket_count(rows.count()))))
     rows = running_total(rows, ["queue"], "b", ["doc_id", "rid"], "n_bytes", "at").withColumn("block", F.floor(F.col("at") / block_bytes))
     placed = rows.join(table, "queue").filter((F.col("block") >= F.col("first")) & (F.col("block") < F.col("last")))
     i = F.col("block") - F.col("first")
@@ -153,8 +153,7 @@ def planned(docs: DataFrame, weights: dict[str | None, float] | None = None, blo
 
 
 def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None) -> DataFrame:
-    """``docs`` in the order of their positions: files, and rows in them, follow the schedule."""
-    place = positions(docs, weights).groupBy("doc_id").agg(F.min("position").alias("position"))
-    rows = docs.select(F.struct("*").alias("row"))
-    joined = rows.join(place, F.col("row.doc_id").eqNullSafe(place["doc_id"]))
-    return joined.repartitionByRange("position").sortWithinPartitions("position").select("row.*")
+    """``docs`` in the order of ``planned``: files, and rows in them, follow the schedule; of rows that repeat a doc_id,
+    all lie at the place of the first."""
+    rows = planned(docs.select(F.struct("*").alias("row"), "doc_id", "source", "text"), weights)
+    return rows.select("row.*")

@@ -21,8 +21,9 @@ from .common import block_starts, written
 
 #: Bits of the key: those of the text, those of the doc_id, and those that one round of probes adds.
 TEXT_BITS, ID_BITS, ROUND_BITS = 12, 48, 12
-#: A cell of rows for the numbering of slots is cut into 4096 if it has more rows than this.
-CELL_ROWS = 100_000
+#: A cell of rows for the numbering of slots is cut into 4096 if it has more rows than this, or this many times the rows
+#: of a mean cell and 1024 more (a frequent text).
+CELL_ROWS, CELL_TIMES = 100_000, 8
 
 
 def key_column():
@@ -77,9 +78,11 @@ def histogram_shard(docs: DataFrame, shards: int = 24, tolerance: float = 0.0, c
     cuts = splitters(narrow, shards, tolerance)
     narrow = narrow.withColumn("shard", _shard(cuts))
     coarse = F.shiftright("key", ID_BITS)
-    heavy = [r[0] for r in narrow.groupBy(coarse.alias("c")).count().filter(F.col("count") > cell_rows).collect()]
+    counts = narrow.groupBy(coarse.alias("c")).count()
+    mean = (counts.agg(F.sum("count")).first()[0] or 0) >> TEXT_BITS
+    heavy = [r[0] for r in counts.filter(F.col("count") > min(cell_rows, CELL_TIMES * mean + 1024)).collect()]
     cell = F.when(coarse.isin(heavy), F.shiftright("key", ID_BITS - ROUND_BITS)).otherwise(F.shiftleft(coarse, ROUND_BITS))
-    cells = narrow.groupBy("shard", cell.alias("cell")).agg(F.count("*").alias("rows"))
+    cells = written(narrow.groupBy("shard", cell.alias("cell")).agg(F.count("*").alias("rows")), "cells")
     starts = block_starts(cells, ["shard"], "cell", "rows", "start").select("shard", "cell", "start")
     place = Window.partitionBy("shard", "cell").orderBy("key", "doc_id")
     out = keyed.withColumn("shard", _shard(cuts)).withColumn("cell", cell).withColumn("n", F.row_number().over(place))

@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from tokenizers import Tokenizer
 
 from caselens.llm import packing
@@ -14,10 +16,22 @@ def test_encoder_matches_the_tokenizer():
     plain.encode_special_tokens = True
     rng = random.Random(6)
     alphabet = ["word", "Wörd", " ", "  ", "\n", "\n\n", "\t", "'s", "12", "-", "。", "漢字", "\x1c", " ", " ", "\u0085", "<|endoftext|>", "😀", "​"]
-    for _ in range(400):
-        text = "".join(rng.choices(alphabet, k=rng.randrange(12)))
-        assert np.frombuffer(fast.encode(text), fast.kind).tolist() == plain.encode(text, add_special_tokens=False).ids + [1], repr(text)
-    assert np.frombuffer(fast.encode(None), fast.kind).tolist() == [1]
+    texts = ["".join(rng.choices(alphabet, k=rng.randrange(12))) for _ in range(2000)]
+    got = fast.encode(pa.array([*texts, None])).to_pylist()
+    for text, ids in zip([*texts, ""], got, strict=True):
+        assert np.frombuffer(ids, fast.kind).tolist() == plain.encode(text, add_special_tokens=False).ids + [1], repr(text)
+    assert fast.encode(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_encoder_forgets_and_slices(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE", 50)
+    monkeypatch.setattr(packing, "SLICE", 4000)
+    path = packing.default_tokenizer()
+    plain, fast = Tokenizer.from_file(path), packing.Encoder(path)
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choices("abcdé,", k=rng.randrange(1, 60))) for _ in range(rng.randrange(400))) for _ in range(60)]
+    for text, ids in zip(texts, fast.encode(pa.array(texts)).to_pylist(), strict=True):
+        assert np.frombuffer(ids, fast.kind).tolist() == plain.encode(text, add_special_tokens=False).ids + [1]
 
 
 def docs(spark, n=120):
@@ -70,5 +84,15 @@ def test_windows_hold_the_mixture(spark):
     assert all(abs(sum(even[w]["=b"]) - 4096) <= 110 for w in sorted(even)[:3])
 
 
+def test_weights_are_scaled_and_must_be_positive(spark):
+    table = spark.createDataFrame([(i, "word " * 50, "a" if i % 4 else "b", "") for i in range(400)], SCHEMA)
+    names = ["doc_id", "start", "window", "sequence_id", "offset"]
+    runs = [sorted(map(tuple, packing.pack(table, window=4, weights=w).select(*names).collect())) for w in ({"a": 1, "b": 3}, {"a": 0.25, "b": 0.75})]
+    assert runs[0] == runs[1]
+    for bad in (0.0, -1.0, float("nan"), float("inf")):
+        with pytest.raises(ValueError):
+            packing.pack(table, weights={"a": bad})
+
+
 def test_empty(spark):
     assert packing.report(spark.createDataFrame([], SCHEMA)).count() == 0
