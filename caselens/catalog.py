@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caselens.plans import analytics, pages, ranking, retrieval
+from caselens.plans import analytics, application, pages, ranking, retrieval
 
-MODULES = [retrieval, analytics, pages, ranking]
+MODULES = [retrieval, analytics, pages, ranking, application]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -25,8 +25,14 @@ REDACTIONS = [
 
 @F.pandas_udf(T.StringType())
 def nfkc_casefold(text: pd.Series) -> pd.Series:
-    """Unicode compatibility composition and full case folding, trimmed: the exact form for any script."""
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).strip().casefold())
+    """Unicode compatibility composition and full case folding: the exact form for any script."""
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
+
+
+@F.pandas_udf(T.StringType())
+def nfkc(text: pd.Series) -> pd.Series:
+    """Unicode compatibility composition."""
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
 def tokenise(text: str | None) -> list[str]:
@@ -39,9 +45,15 @@ def tokenise(text: str | None) -> list[str]:
     return out
 
 
+# Fixed value: texts of these characters alone are in NFKC form, and ß is the only one that folds to more than lower case.
+PLAIN = "^[\\x00-\\x7f\\u00c0-\\u00ff\\u0152\\u0153¡§«»¿°©€•–—‘’“”、。「」・一-龯々ぁ-んァ-ヶー]*$"
+
+
 def fold(text: Column) -> Column:
-    """The same without leaving the JVM, exact for text that NFKC leaves alone and whose only special case is ß."""
-    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    """NFKC and case folding. Texts that need no more than lower case and ß, which their characters tell, stay in the
+    JVM; only others go to Python."""
+    plain = text.rlike(PLAIN)
+    return F.when(text.isNull(), text).when(plain, F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))).otherwise(nfkc_casefold(F.when(~plain, text)))
 
 
 def tokens(folded: Column) -> Column:
@@ -68,6 +80,18 @@ def chunk_starts(text: Column, maximum: int, overlap: int) -> Column:
     return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: i * step)).otherwise(F.array().cast("array<int>"))
 
 
+def chunk_texts(text: Column, maximum: int, overlap: int) -> Column:
+    """The fixed chunks themselves, in one pass over the text: pieces of one step, each with the beginning of the next."""
+    starts, step = chunk_starts(text, maximum, overlap), maximum - overlap
+    if overlap > step:
+        return F.transform(starts, lambda i: F.substr(text, i + 1, F.lit(maximum)))
+    steps = F.regexp_extract_all(text, F.lit(f"(?s)(.{{1,{step}}})"), 1)
+    if not overlap:
+        return steps
+    tail = lambda i: F.coalesce(F.substr(F.get(steps, i + 1), F.lit(1), F.lit(overlap)), F.lit(""))
+    return F.transform(starts, lambda _, i: F.concat(F.get(steps, i), tail(i)))
+
+
 def chunk_id(document: Column, strategy: str, index: Column, section: Column, text: Column) -> Column:
     """document:strategy: and the first 20 hex digits of the SHA-256 of the five parts."""
     material = F.concat_ws("\x1f", document.cast("string"), F.lit(strategy), index.cast("string"), F.coalesce(section, F.lit("")), text)

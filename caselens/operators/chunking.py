@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caselens.functions.text import chunk_id, chunk_starts
+from caselens.functions.text import chunk_id, chunk_texts, nfkc
 
 # What makes a line a heading, and the categories of lines in the order in which they are tried.
 MARKDOWN_HEADING = r"^\s{0,3}#{1,6}\s+(.+?)\s*#*\s*$"
@@ -23,18 +23,24 @@ LINE_CATEGORIES = [
 BLOCK_RULES = 2
 
 
+def _cut(rows: DataFrame, keep: list[str], maximum: int, overlap: int, out: str) -> DataFrame:
+    """(keep..., out, text): the fixed chunks of each row's text. The texts are cut before they are dealt out, so a chunk
+    does not carry the whole of its text."""
+    cut = rows.select(*keep, chunk_texts(F.col("text"), maximum, overlap).alias("_texts"))
+    return cut.select(*keep, F.posexplode("_texts").alias(out, "text"))
+
+
 def fixed_chunks(docs: DataFrame, key: str, maximum: int = 1200, overlap: int = 120) -> DataFrame:
     """(key, chunk_index, chunk_id, text): pieces of ``maximum`` characters that overlap; an empty text has none."""
-    starts = docs.select(key, "text", F.posexplode(chunk_starts(F.col("text"), maximum, overlap)).alias("chunk_index", "start"))
-    chunks = starts.select(key, "chunk_index", F.substr(F.col("text"), F.col("start") + 1, F.lit(maximum)).alias("text"))
+    chunks = _cut(docs, [key], maximum, overlap, "chunk_index")
     return chunks.withColumn("chunk_id", chunk_id(F.col(key), "fixed", F.col("chunk_index"), F.lit(None).cast("string"), F.col("text")))
 
 
 def _resplit(rows: DataFrame, key: str, strategy: str, order: list[str], maximum: int) -> DataFrame:
     """Cuts each section (key, order..., section_title, text) to ``maximum`` characters and numbers a document's chunks."""
-    rows = rows.select("*", F.posexplode(chunk_starts(F.col("text"), maximum, 0)).alias("_n", "_start"))
+    rows = _cut(rows, [key, *order, "section_title"], maximum, 0, "_n")
     w = Window.partitionBy(key).orderBy(*order, "_n")
-    rows = rows.withColumn("chunk_index", F.row_number().over(w) - 1).withColumn("text", F.substr(F.col("text"), F.col("_start") + 1, F.lit(maximum)))
+    rows = rows.withColumn("chunk_index", F.row_number().over(w) - 1)
     rows = rows.withColumn("chunk_id", chunk_id(F.col(key), strategy, F.col("chunk_index"), F.col("section_title"), F.col("text")))
     return rows.select(key, "chunk_index", "chunk_id", "section_title", "text")
 
@@ -52,23 +58,30 @@ def heading_title(line: Column) -> Column:
     return F.trim(found)
 
 
+def section_lines(docs: DataFrame, key: str, title) -> DataFrame:
+    """(key, section, title, lines): each line for which ``title`` (a function of the line) is not null begins a section
+    and is its first line; lines before the first such one are a section too. Sections are found within the row of the
+    document, so nothing is shuffled."""
+    rows = docs.select(key, F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n", -1).alias("_lines"))
+    rows = rows.withColumn("_titles", F.transform("_lines", title))
+    begins = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: (i == 0) | F.get("_titles", i).isNotNull())
+    rows = rows.withColumn("_begins", begins)
+    stop = lambda n: F.coalesce(F.get("_begins", n + 1), F.size("_lines"))
+    found = F.transform("_begins", lambda i, n: F.struct(F.get("_titles", i).alias("title"), F.slice("_lines", i + 1, stop(n) - i).alias("lines")))
+    rows = rows.select(key, found.alias("_sections")).select(key, F.posexplode("_sections").alias("section", "_s"))
+    return rows.select(key, "section", "_s.title", "_s.lines")
+
+
+def sections(docs: DataFrame, key: str, title) -> DataFrame:
+    """(key, section, section_title, text) of ``section_lines``, trimmed."""
+    rows = section_lines(docs, key, title)
+    text = F.regexp_replace(F.array_join("lines", "\n"), r"^\s+|\s+$", "")
+    return rows.select(key, "section", F.col("title").alias("section_title"), text.alias("text"))
+
+
 def heading_chunks(docs: DataFrame, key: str, maximum: int = 1200) -> DataFrame:
-    """The same by sections: a heading begins one and stays in its text; its title holds for the lines below. Sections
-    are found line by line in the row of the document, so nothing is shuffled before the numbering."""
-    lines = F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n")
-    step = lambda acc, line: F.when(
-        heading_title(line).isNotNull() | (F.size(acc) == 0),
-        F.concat(acc, F.array(F.struct(heading_title(line).alias("title"), line.alias("body")))),
-    ).otherwise(
-        F.concat(
-            F.slice(acc, 1, F.size(acc) - 1),
-            F.array(F.struct(F.element_at(acc, -1)["title"].alias("title"), F.concat(F.element_at(acc, -1)["body"], F.lit("\n"), line).alias("body"))),
-        )
-    )
-    sections = F.aggregate(lines, F.array().cast("array<struct<title:string,body:string>>"), step)
-    rows = docs.select(key, F.posexplode(sections).alias("_s", "s"))
-    rows = rows.select(key, "_s", F.col("s.title").alias("section_title"), F.regexp_replace("s.body", r"^\s+|\s+$", "").alias("text"))
-    return _resplit(rows, key, "heading", ["_s"], maximum)
+    """(key, chunk_index, chunk_id, section_title, text) by sections of ``heading_title``."""
+    return _resplit(sections(docs, key, heading_title), key, "heading", ["section"], maximum)
 
 
 def line_category(line: Column) -> Column:
@@ -94,18 +107,16 @@ def classified_lines(docs: DataFrame, key: str, excluded: list[str]) -> DataFram
     return lines.withColumn("category", F.coalesce(F.first(begins, ignorenulls=True).over(w), own))
 
 
-def normalised(docs: DataFrame, key: str, excluded: list[str], blanks: int = 1) -> DataFrame:
-    """(key, text, removed_lines): the lines of the categories not excluded, runs of blank ones cut to ``blanks``."""
-    lines = classified_lines(docs, key, excluded)
-    out = F.coalesce(F.col("category").isin(excluded), F.lit(False)) if excluded else F.lit(False)
-    lines = lines.withColumn("out", out)
-    kept = lines.filter(~F.col("out"))
-    w = Window.partitionBy(key).orderBy("line_no")
-    solid = F.sum(F.when(F.col("line") != "", 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    kept = kept.withColumn("run", solid)
-    nth = F.row_number().over(Window.partitionBy(key, "run", F.col("line") == "").orderBy("line_no"))
-    kept = kept.withColumn("nth", nth).filter((F.col("line") != "") | (F.col("nth") <= blanks))
-    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
-    text = kept.groupBy(key).agg(F.regexp_replace(body, r"^\n+|\n+$", "").alias("text"))
-    removed = lines.groupBy(key).agg(F.count_if("out").alias("removed_lines"))
-    return removed.join(text, key, "left").select(key, F.coalesce("text", F.lit("")).alias("text"), "removed_lines")
+def normalised(docs: DataFrame, key: str, excluded: list[str], blanks: int = 1, compose: bool = False) -> DataFrame:
+    """(key, text, removed_lines): the lines of the categories not excluded, trimmed on the right, runs of blank ones cut
+    to ``blanks``; with ``compose`` in NFKC form. All within the row of the document."""
+    source = nfkc(F.col("text")) if compose else F.col("text")
+    lines = docs.select(key, F.transform(F.split(F.regexp_replace(source, r"\r\n?", "\n"), "\n", -1), lambda x: F.regexp_replace(x, r"\s+$", "")).alias("_lines"))
+    block = "|".join(p for n, p in LINE_CATEGORIES[:BLOCK_RULES] if n in excluded)
+    begun = F.array_position(F.transform("_lines", lambda x: F.regexp_replace(x, r"^\s+", "").rlike(block)), True) if block else F.lit(0)
+    lines = lines.withColumn("_from", begun)
+    inside = lambda i: (F.col("_from") == 0) | (i + 1 < F.col("_from"))
+    kept = F.filter("_lines", lambda x, i: inside(i) & ~F.coalesce(line_category(x).isin(excluded), F.lit(False)) if excluded else F.lit(True))
+    lines = lines.withColumn("_kept", kept)
+    text = F.regexp_replace(F.array_join("_kept", "\n"), f"\n{{{blanks + 2},}}", "\n" * (blanks + 1))
+    return lines.select(key, F.regexp_replace(text, r"^\n+|\n+$", "").alias("text"), (F.size("_lines") - F.size("_kept")).cast("long").alias("removed_lines"))

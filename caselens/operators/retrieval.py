@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caselens.functions.text import fold, tokenise, tokens
+from caselens.scratch import small, written
 
 K1, B = 1.5, 0.75
 PLACES = 6
@@ -31,17 +33,25 @@ def with_terms(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("terms", tokens(fold(F.col("text")))).withColumn("length", F.size("terms"))
 
 
+def indexed(chunks: DataFrame) -> DataFrame:
+    """(document_id, chunk_index, terms, length) of ``chunks``, tokenised and written once; an index is given back as it
+    is, so several searches can share one."""
+    if "terms" in chunks.columns:
+        return chunks
+    return written(with_terms(chunks).select("document_id", "chunk_index", "terms", "length"), "index")
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, term, query_tf, query_size): the terms of each query, and how many different ones it has."""
     terms = queries.select("query_id", F.explode(tokens(fold(F.col("query")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("query_tf"))
     return terms.withColumn("query_size", F.count("*").over(Window.partitionBy("query_id")))
 
 
-def matches(chunks: DataFrame, terms: DataFrame) -> DataFrame:
-    """(document_id, chunk_index, length, term, tf) for the terms that occur in a query."""
-    wanted = terms.select("term").distinct()
-    each = with_terms(chunks).select("document_id", "chunk_index", "length", F.explode("terms").alias("term"))
-    return each.join(wanted, "term", "left_semi").groupBy("document_id", "chunk_index", "length", "term").agg(F.count("*").alias("tf"))
+def matches(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """(document_id, chunk_index, length, term, tf) for the terms that occur in a query, written once."""
+    each = indexed(index).select("document_id", "chunk_index", "length", F.explode("terms").alias("term"))
+    each = each.join(small(terms.select("term").distinct()), "term", "left_semi")
+    return written(each.groupBy("document_id", "chunk_index", "length", "term").agg(F.count("*").alias("tf")), "matches")
 
 
 def ranked(scores: DataFrame, top: int) -> DataFrame:
@@ -52,32 +62,39 @@ def ranked(scores: DataFrame, top: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+def bm25(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, found: DataFrame | None = None) -> DataFrame:
     """(query_id, document_id, chunk_index, score) of every chunk that shares a term. Document frequencies and lengths
-    are those of all ``chunks``: filter afterwards."""
-    terms = query_terms(queries)
-    found = matches(chunks, terms)
-    total, mean = with_terms(chunks).agg(F.count("*"), F.avg("length")).first()
+    are those of all ``chunks`` (or their index): filter afterwards. ``found``: the ``matches`` if at hand."""
+    index = indexed(chunks)
+    terms = written(query_terms(queries), "terms")
+    found = matches(index, terms) if found is None else found
+    total, mean = index.agg(F.count("*"), F.avg("length")).first()
     idf = F.log(1 + (F.lit(total or 0) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = found.groupBy("term").agg(F.count("*").alias("df")).select("term", idf.alias("idf"))
-    joined = found.join(weights.join(terms, "term"), "term")
+    weights = written(found.groupBy("term").agg(F.count("*").alias("df")).select("term", idf.alias("idf")).join(terms, "term"), "weights")
+    joined = found.join(small(weights), "term")
     below = F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(mean or 1.0))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / below * F.col("query_tf")
     scores = joined.groupBy("query_id", "document_id", "chunk_index").agg(F.round(F.sum(part), PLACES).alias("score"))
     return scores.filter("score > 0")
 
 
-def keyword(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+def keyword(chunks: DataFrame, queries: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """(query_id, document_id, chunk_index, score): share of the query's terms, a bonus for their frequency, and one
     for the whole query as a phrase. A phrase can hide its first and last term in longer ones but no other, so only
-    chunks with all terms but two are searched for it."""
-    found = matches(chunks, query_terms(queries)).join(query_terms(queries), "term")
-    sums = found.groupBy("query_id", "document_id", "chunk_index").agg(
-        F.count("*").alias("matched"), F.max("query_size").alias("query_size"), F.sum(F.log1p("tf")).alias("logs")
+    chunks with all terms but two are searched for it. ``found``: the ``matches`` if at hand."""
+    terms = written(query_terms(queries), "terms")
+    found = matches(chunks, terms) if found is None else found
+    sums = written(
+        found.join(small(terms), "term")
+        .groupBy("query_id", "document_id", "chunk_index")
+        .agg(F.count("*").alias("matched"), F.max("query_size").alias("query_size"), F.sum(F.log1p("tf")).alias("logs")),
+        "sums",
     )
     phrase = queries.select("query_id", F.trim(fold(F.col("query"))).alias("phrase"))
-    near = sums.filter("matched >= query_size - 2").select("query_id", "document_id", "chunk_index")
-    near = near.join(phrase, "query_id").join(chunks.select("document_id", "chunk_index", fold(F.col("text")).alias("folded")), ["document_id", "chunk_index"])
+    near = written(sums.filter("matched >= query_size - 2").select("query_id", "document_id", "chunk_index"), "near")
+    texts = chunks.join(small(near.select("document_id", "chunk_index").distinct()), ["document_id", "chunk_index"], "left_semi")
+    texts = texts.select("document_id", "chunk_index", fold(F.col("text")).alias("folded"))
+    near = near.join(small(phrase), "query_id").join(texts, ["document_id", "chunk_index"])
     near = near.filter(F.contains("folded", "phrase") & (F.col("phrase") != "")).select("query_id", "document_id", "chunk_index", F.lit(0.25).alias("bonus"))
     out = sums.join(near, ["query_id", "document_id", "chunk_index"], "left")
     score = F.col("matched") / F.col("query_size") + 0.05 * F.col("logs") / F.greatest(F.lit(1), F.col("query_size")) + F.coalesce("bonus", F.lit(0.0))
@@ -119,41 +136,41 @@ def embedded(chunks: DataFrame, dimensions: int = 256) -> DataFrame:
     return chunks.select("document_id", "chunk_index", hash_embedder(dimensions)("text").alias("vector"))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, top: int, places: int = PLACES) -> DataFrame:
-    """(query_id, id, score, rank): the ``top`` vectors of the greatest cosine for each query, exactly. ``vectors`` has
-    (id, vector), ``queries`` (query_id, vector). Blocks of the queries, a stated set, go to the tasks as a matrix; each
-    batch of vectors is multiplied once and keeps its best, which one window per query then merges."""
-    out = None
-    rows = queries.toLocalIterator()
-    block: list = []
+def nearest(vectors: DataFrame, queries: DataFrame, top: int, places: int = PLACES, ids: tuple[str, ...] = ("id",)) -> DataFrame:
+    """(query_id, ids..., score, rank): the ``top`` vectors of the greatest cosine for each query, exactly. ``vectors`` has
+    ``ids`` (whole numbers that name a row together) and vector, ``queries`` (query_id, vector). Blocks of the queries, a
+    stated set, go to the tasks as a matrix; each batch of vectors is multiplied once and keeps its best, which one window
+    per query then merges."""
+    kinds = ", ".join(f"{c} long" for c in ids)
 
     def search(block: list) -> DataFrame:
-        ids = np.array([r[0] for r in block], np.int64)
+        names = np.array([r[0] for r in block], np.int64)
         matrix = _unit(np.array([r[1] for r in block], np.float64))
 
         def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 if not len(batch):
                     continue
-                names = batch["id"].to_numpy(np.int64)
+                own = [batch[c].to_numpy(np.int64) for c in ids]
                 scores = np.round(_unit(np.stack(batch["vector"].to_numpy()).astype(np.float64)) @ matrix.T, places)
                 found = []
-                for q in range(len(ids)):
-                    order = np.lexsort((names, -scores[:, q]))[:top]
-                    found.append(pd.DataFrame({"query_id": ids[q], "id": names[order], "score": scores[order, q]}))
+                for q in range(len(names)):
+                    order = np.lexsort((*own[::-1], -scores[:, q]))[:top]
+                    found.append(pd.DataFrame({"query_id": names[q], **{c: x[order] for c, x in zip(ids, own, strict=True)}, "score": scores[order, q]}))
                 yield pd.concat(found)
 
-        return vectors.select("id", "vector").mapInPandas(best, "query_id long, id long, score double")
+        return vectors.select(*ids, "vector").mapInPandas(best, f"query_id long, {kinds}, score double")
 
-    for row in rows:
+    out, block = None, []
+    for row in queries.toLocalIterator():
         block.append(row)
         if len(block) == QUERY_BLOCK:
             part, block = search(block), []
             out = part if out is None else out.unionByName(part)
     if block or out is None:
-        part = search(block) if block else vectors.sparkSession.createDataFrame([], "query_id long, id long, score double")
+        part = search(block) if block else vectors.sparkSession.createDataFrame([], f"query_id long, {kinds}, score double")
         out = part if out is None else out.unionByName(part)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), *ids)
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
 
 
@@ -169,18 +186,55 @@ def fused(left: DataFrame, right: DataFrame, constant: int = 60) -> DataFrame:
 
 
 def reranked(candidates: DataFrame, chunks: DataFrame, queries: DataFrame, top: int) -> DataFrame:
-    """The pool of max(20, 4 * ``top``) candidates ordered anew by base score, covered terms and the phrase."""
-    pool = candidates.filter(F.col("rank") <= max(20, 4 * top))
+    """The pool of max(20, 4 * ``top``) candidates ordered anew by base score, covered terms and the phrase. Only texts of
+    the pool are folded."""
+    pool = written(candidates.filter(F.col("rank") <= max(20, 4 * top)), "pool")
     base = F.col("score") / F.coalesce(F.nullif(F.max("score").over(Window.partitionBy("query_id")), F.lit(0.0)), F.lit(1.0))
-    asked = queries.select("query_id", F.array_distinct(tokens(fold(F.col("query")))).alias("asked"), F.trim(fold(F.col("query"))).alias("phrase"))
-    text = chunks.select("document_id", "chunk_index", fold(F.col("text")).alias("folded"))
-    rows = pool.withColumn("base", base).join(asked, "query_id").join(text, ["document_id", "chunk_index"])
+    asked = queries.select("query_id", fold(F.col("query")).alias("asked")).select("query_id", F.array_distinct(tokens(F.col("asked"))).alias("asked"), F.trim("asked").alias("phrase"))
+    text = chunks.join(small(pool.select("document_id", "chunk_index").distinct()), ["document_id", "chunk_index"], "left_semi")
+    text = text.select("document_id", "chunk_index", fold(F.col("text")).alias("folded"))
+    rows = pool.withColumn("base", base).join(small(asked), "query_id").join(text, ["document_id", "chunk_index"])
     covered = F.when(F.size("asked") > 0, F.size(F.array_intersect("asked", tokens(F.col("folded")))) / F.size("asked")).otherwise(0.0)
     phrase = F.when((F.col("phrase") != "") & F.contains("folded", "phrase"), 0.1).otherwise(0.0)
     scored = rows.select("query_id", "document_id", "chunk_index", F.round(0.7 * F.col("base") + 0.3 * covered + phrase, PLACES).alias("score"))
     return ranked(scored, top)
 
 
+# The metadata that is searched with the text, in order, and the columns that each filter mode compares.
+SEARCHED = ["product", "version", "case_type", "question", "error_summary", "cause", "solution", "vendor_answer", "customer_answer"]
+FILTER_MODES = {"none": [], "product": ["product"], "product_and_version": ["product", "version"]}
+
+
+def searchable(columns: list[str] | None = None) -> Column:
+    """The text and the non-empty metadata values, one a line."""
+    return F.concat_ws("\n", "text", *(F.nullif(F.col(c), F.lit("")) for c in (SEARCHED if columns is None else columns)))
+
+
+def meets(rows: DataFrame, wanted: dict[str, str | None]) -> DataFrame:
+    """The rows whose columns equal the wanted values after folding and trimming; a null value lets all pass, a null
+    column meets none."""
+    for column, value in wanted.items():
+        if value is not None:
+            same = F.trim(fold(F.col(column))) == F.lit(unicodedata.normalize("NFKC", value).strip().casefold())
+            rows = rows.filter(F.coalesce(same, F.lit(False)))
+    return rows
+
+
+def filtered(scores: DataFrame, chunks: DataFrame, queries: DataFrame, mode: str) -> DataFrame:
+    """``scores`` of the chunks that meet the product, or product and version, of their query (null: any), by ``mode``.
+    ``chunks`` has (document_id, chunk_index, product, version), ``queries`` (query_id, product, version)."""
+    columns = FILTER_MODES[mode]
+    if not columns:
+        return scores
+    form = lambda c: F.trim(fold(F.col(c)))
+    own = chunks.select("document_id", "chunk_index", *(form(c).alias(c) for c in columns))
+    asked = queries.select("query_id", *(form(c).alias(f"_{c}") for c in columns))
+    rows = scores.join(own, ["document_id", "chunk_index"]).join(small(asked), "query_id")
+    for c in columns:
+        rows = rows.filter(F.col(f"_{c}").isNull() | (F.col(f"_{c}") == F.col(c)))
+    return rows.select(*scores.columns)
+
+
 def containing(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """(query_id, document_id) of the documents whose text holds the passage: one pass with an automaton over the
     passages (query_id, query), a stated set."""

@@ -79,8 +79,12 @@ def cases_not_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def two_key_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
-    return cases.two_key_dedup(rows, "o_custkey", "o_orderpriority", "o_orderstatus", "o_orderkey")
+    """Orders by key: the customer's orders of a day and priority share the first key, equal prices the second."""
+    orders = read(spark, sf_dir, "orders")
+    path = F.concat_ws("|", "o_custkey", F.date_format("o_orderdate", "yyyyMM"))
+    number = F.when(F.col("o_orderkey") % 7 > 0, F.concat_ws("|", F.date_format("o_orderdate", "yyyyMMdd"), "o_orderstatus"))
+    rows = orders.select("o_orderkey", path.alias("path"), number.alias("number"))
+    return cases.two_key_dedup(rows, "path", "number", "o_orderkey")
 
 
 def retained_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,7 +231,13 @@ QUERIES = {
         cases_not_excluded,
         "SELECT o_orderstatus, count(*) AS cases FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) GROUP BY 1",
     ),
-    "two_key_dedup": (two_key_dedup, None),
+    "two_key_dedup": (
+        two_key_dedup,
+        """WITH r AS (SELECT o_orderkey, concat_ws('|', o_custkey, strftime(o_orderdate, '%Y%m')) AS path,
+                CASE WHEN o_orderkey % 7 > 0 THEN concat_ws('|', strftime(o_orderdate, '%Y%m%d'), o_orderstatus) END AS number FROM orders),
+            p AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY path ORDER BY o_orderkey) = 1)
+            SELECT o_orderkey, path, number FROM p QUALIFY number IS NULL OR row_number() OVER (PARTITION BY number ORDER BY o_orderkey) = 1""",
+    ),
     "retained_runs": (
         retained_runs,
         """SELECT event_type, ts, event_id FROM events WHERE ts >= TIMESTAMP '2024-02-05' - INTERVAL 30 DAY

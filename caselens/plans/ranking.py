@@ -2,28 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caselens.functions.text import fold, tokens
 from caselens.operators import quality, retrieval, selection, topics
+from caselens.scratch import scratch_path, small, written
 from caselens.streaming import ingest
 
 from .retrieval import BM25, HASHED, POOL, _hash_ranks, asked, chunks, read
 
 
 def _scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="caselens-")
-    return f"{base.rstrip('/')}/caselens/stream-{uuid.uuid4().hex}"
+    return scratch_path(spark, "stream")
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best chunks of each query by BM25 with their texts and scores relative to the best."""
     rows, queries = chunks(spark, sf_dir), asked(spark, sf_dir)
-    found = retrieval.ranked(retrieval.bm25(rows, queries), 20).join(rows, ["document_id", "chunk_index"]).join(queries, "query_id")
+    best = written(retrieval.ranked(retrieval.bm25(rows, queries), 20), "candidates")
+    rows = rows.join(small(best.select("document_id", "chunk_index").distinct()), ["document_id", "chunk_index"], "left_semi")
+    found = best.join(rows, ["document_id", "chunk_index"]).join(queries, "query_id")
     source = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "source", "lang")
     relative = F.col("score") / F.max("score").over(Window.partitionBy("query_id"))
     found = found.join(source, "document_id").withColumn("relative", F.round(relative, 6))
@@ -78,7 +77,7 @@ def hybrid_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = words.withColumn("keyword", F.round(F.col("score") / F.max("score").over(Window.partitionBy("query_id")), 6)).drop("score", "rank")
     vectors = _hash_ranks(spark, sf_dir, POOL).select("query_id", "document_id", "chunk_index", F.col("score").alias("semantic"))
     both = words.join(vectors, ["query_id", "document_id", "chunk_index"], "left")
-    both = both.withColumn("ordinal", F.col("document_id") * 10_000 + F.col("chunk_index")).withColumn("product_match", F.lit(None).cast("boolean"))
+    both = both.withColumn("ordinal", F.struct("document_id", "chunk_index")).withColumn("product_match", F.lit(None).cast("boolean"))
     scored = selection.hybrid_score(both)
     return scored.select("query_id", "document_id", "chunk_index", "keyword_rank", "semantic_rank", "score")
 

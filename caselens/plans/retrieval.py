@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +16,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of ``documents``, dealt over the cores if the table has fewer files than these: a file can be one row group."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", *columns)
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores * 2) if len(docs.inputFiles()) < cores else docs
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunking.fixed_chunks(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    rows = chunking.fixed_chunks(documents(spark, sf_dir), "doc_id")
     return rows.select(F.col("doc_id").alias("document_id"), "chunk_index", "text")
 
 
@@ -24,18 +33,18 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunking.fixed_chunks(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    rows = chunking.fixed_chunks(documents(spark, sf_dir), "doc_id")
     return rows.select("doc_id", "chunk_index", "chunk_id", F.char_length("text").alias("n_chars"))
 
 
 def paragraph_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunking.paragraph_chunks(read(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text")), "doc_id")
+    rows = chunking.paragraph_chunks(documents(spark, sf_dir).select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text")), "doc_id")
     return rows.select("doc_id", "chunk_index", "chunk_id", F.char_length("text").alias("n_chars"))
 
 
 def heading_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first line of each document serves as its heading."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("# "), "text").alias("text"))
+    docs = documents(spark, sf_dir).select("doc_id", F.concat(F.lit("# "), "text").alias("text"))
     rows = chunking.heading_chunks(docs, "doc_id")
     return rows.select("doc_id", "chunk_index", "section_title", F.char_length("text").alias("n_chars"))
 
@@ -55,10 +64,9 @@ def keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hash_ranks(spark: SparkSession, sf_dir: str, top: int) -> DataFrame:
-    numbered = retrieval.embedded(chunks(spark, sf_dir)).withColumn("id", F.col("document_id") * 10_000 + F.col("chunk_index"))
     queries = asked(spark, sf_dir).select("query_id", retrieval.hash_embedder()("query").alias("vector"))
-    found = retrieval.nearest(numbered, queries, top).filter("score > 0")
-    return found.select("query_id", F.floor(F.col("id") / 10_000).alias("document_id"), (F.col("id") % 10_000).cast("int").alias("chunk_index"), "score", "rank")
+    found = retrieval.nearest(retrieval.embedded(chunks(spark, sf_dir)), queries, top, ids=("document_id", "chunk_index")).filter("score > 0")
+    return found.withColumn("chunk_index", F.col("chunk_index").cast("int"))
 
 
 def hash_embedding_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,14 +90,14 @@ def rerank_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics of BM25 and keyword search per query and K, as one table."""
+    """Metrics of BM25 and keyword search per query and K, as one table, over one index."""
     rows, queries = chunks(spark, sf_dir), asked(spark, sf_dir)
-    ranks = None
-    for name, search in (("bm25", retrieval.bm25), ("keyword", retrieval.keyword)):
-        part = retrieval.ranked(search(rows, queries), POOL).select(F.lit(name).alias("search_method"), "query_id", "document_id", "rank")
-        ranks = part if ranks is None else ranks.unionByName(part)
-    expected = retrieval.containing(read(spark, sf_dir, "documents"), queries)
-    return evaluation.query_metrics(ranks, expected, queries, [1, 3, 5], ["search_method"])
+    index = retrieval.indexed(rows)
+    found = retrieval.matches(index, retrieval.query_terms(queries))
+    searches = {"bm25": retrieval.bm25(index, queries, found=found), "keyword": retrieval.keyword(rows, queries, found=found)}
+    scores = reduce(DataFrame.unionByName, [s.select(F.lit(name).alias("search_method"), "query_id", "document_id", "score") for name, s in searches.items()])
+    expected = retrieval.containing(documents(spark, sf_dir), queries)
+    return evaluation.scored_metrics(scores, expected, queries, [1, 3, 5], ["search_method"])
 
 
 def ir_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,8 +178,8 @@ HASHED = f""",
     hashed_ranks AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id, chunk_index)::INTEGER AS rank FROM hashed)"""
 METRICS = """,
     ranks AS (
-        SELECT 'bm25' AS search_method, query_id, document_id, rank FROM bm25_ranks WHERE rank <= 50
-        UNION ALL SELECT 'keyword', query_id, document_id, rank FROM keyword_ranks WHERE rank <= 50),
+        SELECT 'bm25' AS search_method, query_id, document_id, rank FROM bm25_ranks
+        UNION ALL SELECT 'keyword', query_id, document_id, rank FROM keyword_ranks),
     firsts AS (SELECT search_method, query_id, document_id, min(rank) AS r FROM ranks GROUP BY ALL),
     again AS (SELECT *, row_number() OVER (PARTITION BY search_method, query_id ORDER BY r) AS rank FROM firsts),
     expected AS (SELECT item_id AS query_id, doc_id AS document_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
