@@ -198,6 +198,15 @@ class Potentials:
         """P(content) of each node."""
         return [1 / (1 + math.exp(-max(-500.0, min(500.0, b)))) for b in self.beliefs(page)[2]]
 
+    def given_body(self, page: Page) -> list[float]:
+        """P(content) of each node if the page's body is content: the same messages with that as evidence."""
+        seen = Page(page.parent, [f + ["seen"] if "tag:body" in f or p < 0 else f for f, p in zip(page.features, page.parent, strict=True)], page.text, page.label)
+        return Potentials(self.features | {"seen": SEEN}, self.root, self.edges).marginals(seen)
+
+
+#: Log-odds that stand for certainty.
+SEEN = 30.0
+
 
 def log_add(a: float, b: float) -> float:
     return max(a, b) + math.log1p(math.exp(-abs(a - b)))
@@ -334,8 +343,13 @@ def labelled_pages(count: int = 240, seed: int = 7) -> list[str]:
 
 
 def main_text(source: str | None, potentials: Potentials) -> str:
+    """The text of the blocks that are more probably content than not. A page with words of which none is has no element
+    around its article, so its body is taken for it."""
     page = parse(source)
     kept = potentials.marginals(page)
+    texts = [(t, p) for t, p in zip(page.text, kept, strict=True) if t is not None]
+    if all(p <= 0.5 for _, p in texts) and any(c.isalnum() for t, _ in texts for c in t):
+        kept = potentials.given_body(page)
     return "\n\n".join(t for t, p in zip(page.text, kept, strict=True) if t is not None and p > 0.5)
 
 

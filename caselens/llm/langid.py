@@ -6,7 +6,7 @@ probabilities are learned by expectation-maximisation (forward-backward) from th
 documents; prediction takes every word of the whole text.
 
 Words are the runs of letters, lower-cased, each with the vocabulary's word mark before it. Defined cases: a null text,
-or one without a letter, is ``und`` with score 0; without any labelled document all texts are; ties go to the language
+or one without a letter, is ``und`` with score 0; texts and words of any length are read whole, in training too; without any labelled document all texts are; ties go to the language
 that sorts first; rows with a null lang or text are never learned from; repeated rows count as often as they occur in
 training and each get a prediction; further columns are kept by ``predicted``,
 which adds or replaces lang_pred and score.
@@ -162,13 +162,14 @@ def forward(ids: np.ndarray, probability: np.ndarray) -> np.ndarray:
 
 
 def fit(counts: dict[str, Counter], pieces: list[str], rounds: int = ROUNDS) -> Model:
-    """Learns the piece probabilities of each language from the counts of its words (of at most ``SHORT`` letters)."""
+    """Learns the piece probabilities of each language from the counts of its words, of any length."""
     languages = sorted(counts)
     lattice = Lattice(pieces)
     size = len(pieces) + 1
     learned = np.zeros((size, len(languages)))
     for k, language in enumerate(languages):
         by_size: dict[int, list[str]] = {}
+        long = [w for w in sorted(counts[language]) if len(w) > SHORT]
         for w in sorted(counts[language]):
             if len(w) <= SHORT:
                 by_size.setdefault(len(w), []).append(w)
@@ -178,6 +179,8 @@ def fit(counts: dict[str, Counter], pieces: list[str], rounds: int = ROUNDS) ->
             expected = np.zeros(size)
             for ids, times in groups:
                 expected += soft_counts(ids, times, p)
+            for w in long:
+                add_long_counts(expected, w, counts[language][w], lattice, p[:, 0])
             expected[-1] = 0
             p = ((expected + 0.01) / (expected.sum() + 0.01 * size))[:, None]
         learned[:, k] = expected
@@ -188,6 +191,28 @@ def fit(counts: dict[str, Counter], pieces: list[str], rounds: int = ROUNDS) ->
     return Model(languages, lattice, probability)
 
 
+def add_long_counts(out: np.ndarray, word: str, times: int, lattice: Lattice, p: np.ndarray) -> None:
+    """Adds the expected numbers of the pieces in one word of any length, by sums in logarithms; time is linear in it."""
+    text, log = MARK + word, np.log(p)
+    size = len(text)
+    found = [[] for _ in range(size + 1)]  # (begin, piece) of the pieces that end at each place
+    for end in range(1, size + 1):
+        for n in range(1, min(lattice.longest, end) + 1):
+            i = lattice.ids.get(text[end - n : end], lattice.unknown if n == 1 else None)
+            if i is not None:
+                found[end].append((end - n, i))
+    ahead, back = np.full(size + 1, -np.inf), np.full(size + 1, -np.inf)
+    ahead[0] = back[size] = 0.0
+    for end in range(1, size + 1):
+        ahead[end] = np.logaddexp.reduce([ahead[b] + log[i] for b, i in found[end]])
+    for end in range(size, 0, -1):
+        for b, i in found[end]:
+            back[b] = np.logaddexp(back[b], back[end] + log[i])
+    for end in range(1, size + 1):
+        for b, i in found[end]:
+            out[i] += times * np.exp(ahead[b] + log[i] + back[end] - ahead[size])
+
+
 def soft_counts(ids: np.ndarray, times: np.ndarray, p: np.ndarray) -> np.ndarray:
     """The expected number of each piece over all segmentations of words that occur ``times`` times."""
     n, width, longest = ids.shape

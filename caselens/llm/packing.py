@@ -235,13 +235,23 @@ def pack(
         F.when(F.col("p") < full, F.floor(F.col("p") / sequence)).otherwise(F.lit(full // sequence) + passed).cast("long").alias("sequence_id"),
         (F.col("p") - begun).alias("offset"),
     )
-    grouped = pieces.groupBy("rid").agg(F.collect_list(F.struct("start", "length", "window", "sequence_id", "offset")).alias("pieces"))
-    each = tokens.join(grouped, "rid").select("doc_id", "queue", F.col("n").alias("doc_tokens"), *keep, "ids", F.explode("pieces").alias("x"))
-    width = encoder(path, end_id).kind.itemsize
-    ids = F.substring("ids", (F.col("x.start") * width + 1).cast("int"), (F.col("x.length") * width).cast("int"))
-    if width == 2:  # to 4 bytes each
-        ids = F.unhex(F.regexp_replace(F.hex(ids), "(.{4})", "$10000"))
-    return each.select("doc_id", "queue", "doc_tokens", "x.*", ids.alias("ids"), *keep)
+    kind = encoder(path, end_id).kind
+
+    @F.arrow_udf(T.ArrayType(T.BinaryType()))
+    def cut(ids: pa.Array, lengths: pa.Array) -> pa.Array:
+        """The ids of each row in 4 bytes, cut into its pieces, which follow one another."""
+        ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]
+        wide = np.frombuffer(ids.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind).astype("<u4")
+        stops = np.concatenate(([0], np.cumsum(lengths.flatten().to_numpy()))) * 4
+        assert stops[-1] == wide.nbytes < 1 << 31
+        parts = pa.Array.from_buffers(pa.binary(), len(stops) - 1, [None, pa.py_buffer(stops.astype(np.int32)), pa.py_buffer(wide)])
+        counts = np.concatenate(([0], np.cumsum(pc.list_value_length(lengths).to_numpy(zero_copy_only=False))))
+        return pa.ListArray.from_arrays(pa.array(counts, pa.int32()), parts)
+
+    grouped = pieces.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "length", "window", "sequence_id", "offset"))).alias("pieces"))
+    joined = tokens.join(grouped, "rid").withColumn("cut", cut("ids", F.col("pieces.length")))
+    each = joined.select("doc_id", "queue", F.col("n").alias("doc_tokens"), *keep, F.explode(F.arrays_zip("pieces", "cut")).alias("x"))
+    return each.select("doc_id", "queue", "doc_tokens", "x.pieces.*", F.col("x.cut").alias("ids"), *keep)
 
 
 def report(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:

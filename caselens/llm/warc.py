@@ -6,8 +6,8 @@ page_id is a ``response``, the others ``revisit`` it.
 
 Defined cases: a null html is an empty payload, a null url gives no WARC-Target-URI, control characters and spaces in
 one are percent-encoded; payloads under ``LEAST`` bytes are always stored; of rows that repeat the smallest page_id of
-a group each is a response; an archive of one record, or of fewer than 16 that are under 1 MB in all, or of too small records has no dictionary; an empty table gives no
-archive; further columns are not read.
+a group each is a response; records too few or too small to train on give a dictionary of raw content; very long payloads make
+an archive of their own; an empty table gives no archive; further columns are not read.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 #: Fixed values of the format: the magic number of the dictionary's skippable frame, and of a Zstandard frame.
 SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528
-#: Payloads of fewer bytes are never deduplicated.
-LEAST = 100
+#: Payloads of fewer bytes are never deduplicated; tasks that one digest's payloads are dealt over.
+LEAST, SALTS = 100, 16
 #: Bytes of records, before compression, at which an archive ends: what one task holds.
 ARCHIVE_BYTES = 8 << 20
 #: The dictionary's size, and the bytes of records that it is built from (evenly spaced over the archive).
@@ -42,11 +42,14 @@ RECORD = "archive string, page_id long, url string, record_type string, payload
 
 def resolve(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, digest and refers_to (null: store the payload) of each page. The digests of repeated
-    payloads are counted on the map side; the join on them splits if one is frequent."""
+    payloads are counted on the map side; each is dealt over ``SALTS`` tasks, so a frequent page's payloads do not meet
+    in one."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     pages = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     groups = pages.filter(F.length("payload") >= LEAST).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    joined = pages.join(groups, "digest", "left")
+    groups = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = pages.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    joined = salted.join(groups, ["digest", "_salt"], "left")
     revisit = (F.length("payload") >= LEAST) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select("page_id", "url", "payload", "digest", F.when(revisit, F.col("first")).alias("refers_to"))
 
@@ -83,7 +86,7 @@ def slices(records: list[bytes]) -> list[bytes]:
     """At least ``SLICES`` parts, evenly spaced within and over the records, of at most ``SAMPLE_BYTES`` in all."""
     picked = records[:: max(1, len(records) // SLICES)]
     each = -(-SLICES // len(picked))
-    size = SAMPLE_BYTES // (len(picked) * each)
+    size = min(SAMPLE_BYTES // (len(picked) * each), max(64, sum(map(len, picked)) // SLICES))
     out = []
     for r in picked:
         steps = min(each, -(-len(r) // size))
@@ -92,18 +95,20 @@ def slices(records: list[bytes]) -> list[bytes]:
 
 
 def dictionary(records: list[bytes]) -> bytes:
-    """A dictionary trained on evenly spaced records of about ``SAMPLE_BYTES`` in all, or on slices of records where
-    these are too long for ``WHOLE`` of them; empty if there is too little."""
+    """A dictionary of evenly spaced records of about ``SAMPLE_BYTES`` in all, or of slices of records where these are
+    fewer than ``WHOLE`` or too long. What is too little or too varied to be trained on is itself the dictionary, as raw
+    content, so every archive has one."""
+    if not records:
+        return b""
     step = max(1, sum(map(len, records)) // SAMPLE_BYTES)
     samples = [r[: SAMPLE_BYTES // 8] for r in records[::step]]
-    if step > 1 and len(samples) < WHOLE and len(records) > 1:
+    if len(samples) < WHOLE:
         samples = slices(records)
-    if len(samples) < WHOLE or sum(map(len, samples)) < 16 << 10:
-        return b""
+    size = min(DICTIONARY_BYTES, max(1 << 10, sum(map(len, samples)) // 16))
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=200, d=8, steps=1).as_bytes()
-    except zstandard.ZstdError:  # samples that share nothing
-        return b""
+        return zstandard.train_dictionary(size, samples, k=200, d=8, steps=1).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[:DICTIONARY_BYTES]
 
 
 def archive(records: list[bytes], level: int = 3) -> tuple[bytes, int]:
@@ -135,8 +140,9 @@ def unarchive(data: bytes) -> Iterator[bytes]:
 
 def write_archives(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES, level: int = 3) -> DataFrame:
     """Writes the archives of ``pages`` (page_id, url, html) under ``path``, a URI that all executors share, and returns
-    their manifest (archive, records, bytes, dictionary_bytes). A task that runs again writes the same names anew, each
-    by a rename, so a lost executor leaves no half archive; the manifest is written beside them and read back."""
+    their manifest (archive, records, bytes, dictionary_bytes), which is written beside them and read back. Each archive
+    comes by a rename and bears the number of the attempt that wrote it; the manifest lists those of the attempts that
+    ended well, so what a lost executor leaves is never read."""
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
@@ -144,11 +150,12 @@ def write_archives(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00
 
         store, base = fs.FileSystem.from_uri(path)
         store.create_dir(base, recursive=True)
-        task, held, size, n = TaskContext.get().partitionId(), [], 0, 0
+        context = TaskContext.get()
+        task, held, size, n = f"{context.partitionId():06d}-{context.taskAttemptId():08d}", [], 0, 0
 
         def flush() -> pd.DataFrame:
             data, words = archive(held, level)
-            name = f"part-{task:06d}-{n:06d}.warc.zst"
+            name = f"part-{task}-{n:06d}.warc.zst"
             temporary = f"{base}/.{name}.{uuid.uuid4().hex}"
             with store.open_output_stream(temporary) as f:
                 f.write(data)
@@ -173,24 +180,30 @@ def write_archives(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """All records of the archives under ``path``."""
+    """All records of the archives that the manifest under ``path`` lists."""
+    names = [c.split()[0] for c in RECORD.split(", ")]
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=names)
+        return out.astype({"page_id": "Int64", "payload_bytes": "int64", "refers_to": "Int64"})
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in RECORD.split(", ")]
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(path)
         for batch in batches:
-            for name, data in zip(batch["path"], batch["content"], strict=True):
+            for name in batch["archive"]:
+                with store.open_input_stream(f"{base}/{name}", compression=None) as f:
+                    data = f.read()
                 rows, size = [], 0
                 for r in map(parse, unarchive(data)):
-                    rows.append((name.rpartition("/")[2], *r))
+                    rows.append((name, *r))
                     size += len(r[3] or b"")
                     if size > 4 << 20:
-                        yield frame(rows, names)
+                        yield frame(rows)
                         rows, size = [], 0
-                yield frame(rows, names)
-
-    def frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=names)
-        return out.astype({"page_id": "Int64", "payload_bytes": "int64", "refers_to": "Int64"})
+                yield frame(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path)
-    return files.select("path", "content").mapInPandas(read, RECORD)
+    manifest = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+    tasks = min(max(1, manifest.count()), 20 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return manifest.select("archive").repartition(tasks).mapInPandas(read, RECORD)

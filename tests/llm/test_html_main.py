@@ -73,6 +73,22 @@ def test_elements_without_text():
     assert [t for t in h.parse(f"<article><p>{many}</p></article>").text if t] == ["word, word."]
 
 
+#: Pages written by hand, not by the generator: what their readers came for, and what not.
+BY_HAND = [
+    ("<h1>Title</h1><p>Only plain paragraphs stand here, without any article.</p><p>A second one, with more words.</p>", ["Title", "Only plain paragraphs stand here, without any article.", "A second one, with more words."], []),
+    ("<article><h1>T</h1><p>Some text here, with words.</p><aside class='related'>Related: y</aside><p>More text goes on, and on.</p></article><footer>f</footer>", ["T", "Some text here, with words.", "More text goes on, and on."], ["f"]),
+    ("<center><h1>Old page</h1></center><p>Text of an old page. It has words.<p>Another one, too.<hr>", ["Old page", "Text of an old page. It has words.", "Another one, too."], []),
+    ("<main><table><tr><td>A cell, of a table.</td><td>Another cell, of it.</td></tr></table><p>And words below, as well.</p></main><nav><a href='/'>Home</a></nav>", ["A cell, of a table.", "Another cell, of it.", "And words below, as well."], ["Home"]),
+]
+
+
+def test_pages_by_hand():
+    for inner, wanted, unwanted in BY_HAND:
+        found = h.main_text(f"<html><head><title>x</title></head><body>{inner}</body></html>", h.default_model()).split("\n\n")
+        assert [t for t in wanted if t in found] == wanted, inner
+        assert not set(unwanted) & set(found), inner
+
+
 def test_report(spark):
     page = "<body><nav><a>x</a></nav><article><h1>One title</h1><p>Two words, é.</p></article></body>"
     pages = spark.createDataFrame([(1, "u", page, "c"), (2, None, None, "c"), (1, "u", page, "c")], "page_id long, url string, html string, text string")

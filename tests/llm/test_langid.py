@@ -4,6 +4,8 @@ from collections import Counter
 
 import numpy as np
 
+import pytest
+
 from caselens.llm import langid
 
 PIECES = sorted({"▁", "a", "b", "c", "ab", "bc", "abc", "▁a", "▁ab", "ca"})
@@ -82,13 +84,28 @@ def test_without_labels(spark):
     assert langid.report(docs.limit(0)).count() == 0
 
 
+def test_long_words_are_learned_from():
+    pieces = langid.pieces_of(langid.default_vocabulary())
+    lattice = langid.Lattice(pieces)
+    p = np.full((len(pieces) + 1, 1), 1 / (len(pieces) + 1))
+    word = "wissenschaft" * 2  # short enough for both ways
+    want = langid.soft_counts(lattice.look_up([word]), np.array([3.0]), p)
+    got = np.zeros(len(p))
+    langid.add_long_counts(got, word, 3, lattice, p[:, 0])
+    assert np.allclose(want, got)
+    long = "donaudampfschifffahrtsgesellschaftskapitaen" * 300
+    model = langid.fit({"de": Counter({long: 1}), "en": Counter({"the": 5})}, pieces)
+    scores = model.word_scores([long[:43]])[0]
+    assert scores[0] > scores[1] + 5
+
+
 def test_held_out_accuracy(spark):
     """On the driver's small documents, where they are at hand."""
     import os
 
     path = "/root/testdata/sf0.001/documents.parquet"
     if not os.path.exists(path):
-        return
+        pytest.skip("no driver tables here")
     docs = spark.read.parquet(path)
     joined = langid.report(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out and lang is not null").collect()
     assert sum(r["lang"] == r["lang_pred"] for r in joined) >= 0.97 * len(joined)

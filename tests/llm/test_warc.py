@@ -20,8 +20,11 @@ def test_archive_has_a_dictionary_that_pays():
     data, size = warc.archive(records)
     assert struct.unpack_from("<II", data) == (warc.SKIPPABLE, size) and size
     assert list(warc.unarchive(data)) == records
-    plain, none = warc.archive(records[:3])
-    assert none == 0 and list(warc.unarchive(plain)) == records[:3]
+    for n in (1, 3, 5, 15):
+        few, words = warc.archive(records[:n])
+        assert words and struct.unpack_from("<II", few) == (warc.SKIPPABLE, words) and list(warc.unarchive(few)) == records[:n]
+    five, words = warc.archive(records[:5])
+    assert len(five) - words < sum(map(len, records[:5])) / 3
     assert list(warc.unarchive(warc.archive([])[0])) == []
     long = [bytes(range(256)) * 4000, b""]
     assert list(warc.unarchive(warc.archive(long)[0])) == long
@@ -38,7 +41,7 @@ def test_archives_of_long_records_have_a_dictionary():
         if n >= 40:
             assert len(data) < sum(map(len, records)) - (n - 30) * 2000
     one = [rng.randbytes(9 << 20)]
-    assert warc.archive(one)[1] == 0 and list(warc.unarchive(warc.archive(one)[0])) == one
+    assert warc.archive(one)[1] > 0 and list(warc.unarchive(warc.archive(one)[0])) == one
 
 
 def test_archives(spark, tmp_path):
@@ -55,6 +58,15 @@ def test_archives(spark, tmp_path):
     assert got == want | {(i, "revisit", 1, 120, sha(same)) for i in (3, 7, None)}
 
 
+def test_left_over_archives_are_not_read(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"page {i} " * 40) for i in range(20)], "page_id long, url string, html string")
+    path = f"file://{tmp_path}/w"
+    warc.write_archives(pages, path)
+    archive = warc.archive([warc.record(99, "u", b"x", hashlib.sha256(b"x").hexdigest(), None, "1970-01-01T00:00:00Z")])[0]
+    (tmp_path / "w" / "part-000000-00000099-000000.warc.zst").write_bytes(archive)
+    assert sorted(r["page_id"] for r in warc.read_archives(spark, path).collect()) == list(range(20))
+
+
 def test_empty(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     path = f"file://{tmp_path}/w"
