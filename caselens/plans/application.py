@@ -20,7 +20,7 @@ def _folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = names.folder_name(date, F.col("c_name"), F.col("o_orderkey").cast("string"), status, F.date_format("o_orderdate", "yyyyMMdd"))
     name = (
         F.when(kind == 0, F.concat(F.substring(date, 1, 6), F.lit("("), F.col("c_name"), F.lit(")done 2024")))
-        .when(kind == 1, F.concat(F.substring(date, 1, 4), F.lit("(Old Company 77)"), F.lit("done")))
+        .when(kind == 1, F.concat(F.substring(date, 1, 4), F.lit("(Old Company 777)"), F.lit("done")))
         .when(kind == 2, F.concat(F.lit("archive-"), F.col("o_orderkey").cast("string")))
         .when(kind == 3, F.concat(date, F.lit("(Plain)open-20240102")))
         .otherwise(new)
@@ -31,7 +31,7 @@ def _folders(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FOLDERS = r"""folders AS (
     SELECT o_orderkey, CASE o_orderkey % 8
         WHEN 0 THEN strftime(o_orderdate, '%Y%m') || '(' || c_name || ')done 2024'
-        WHEN 1 THEN strftime(o_orderdate, '%Y') || '(Old Company 77)done'
+        WHEN 1 THEN strftime(o_orderdate, '%Y') || '(Old Company 777)done'
         WHEN 2 THEN 'archive-' || o_orderkey
         WHEN 3 THEN strftime(o_orderdate, '%Y%m%d') || '(Plain)open-20240102'
         ELSE strftime(o_orderdate, '%Y%m%d') || '(' || c_name || '_' || o_orderkey || ')'
@@ -449,7 +449,7 @@ QUERIES: dict[str, tuple] = {
         case_folders,
         _sql(
             r"""SELECT o_orderkey, name, CASE o_orderkey % 8 WHEN 0 THEN 'Customer#' WHEN 1 THEN 'Old Company' WHEN 2 THEN NULL WHEN 3 THEN 'Plain' ELSE regexp_extract(name, '\(([^)]*)_', 1) END AS company,
-                CASE o_orderkey % 8 WHEN 0 THEN regexp_extract(name, '#(\d+)\)', 1) WHEN 1 THEN '77' WHEN 2 THEN NULL WHEN 3 THEN '' ELSE o_orderkey::VARCHAR END AS support_number,
+                CASE o_orderkey % 8 WHEN 0 THEN regexp_extract(name, '#(\d+)\)', 1) WHEN 1 THEN '777' WHEN 2 THEN NULL WHEN 3 THEN '' ELSE o_orderkey::VARCHAR END AS support_number,
                 CASE o_orderkey % 8 WHEN 0 THEN 'done' WHEN 1 THEN 'done' WHEN 2 THEN NULL WHEN 3 THEN 'open' ELSE regexp_extract(name, '\)(.*)_\d{8}$', 1) END AS status,
                 CASE o_orderkey % 8 WHEN 0 THEN substr(name, 1, 6) || '01' WHEN 1 THEN substr(name, 1, 4) || '0101' WHEN 2 THEN NULL ELSE substr(name, 1, 8) END AS created_on,
                 CASE o_orderkey % 8 WHEN 0 THEN '2024' WHEN 1 THEN '' WHEN 2 THEN NULL WHEN 3 THEN '20240102' ELSE right(name, 8) END AS stamp FROM folders""",
@@ -458,8 +458,8 @@ QUERIES: dict[str, tuple] = {
     ),
     "iso_timestamps": (
         iso_timestamps,
-        """SELECT event_id, strftime(at, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(at) % 1000000 = 0 THEN '' ELSE strftime(at, '.%f') END AS iso
-           FROM (SELECT event_id, make_timestamp(epoch_us(ts) + CASE WHEN event_id % 3 = 0 THEN event_id ELSE 0 END) AS at FROM events)""",
+        """SELECT event_id, strftime(moment, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(moment) % 1000000 = 0 THEN '' ELSE strftime(moment, '.%f') END AS iso
+           FROM (SELECT event_id, make_timestamp(epoch_us(ts) + CASE WHEN event_id % 3 = 0 THEN event_id ELSE 0 END) AS moment FROM events)""",
     ),
     "date_texts": (
         date_texts,
