@@ -204,8 +204,10 @@ class Potentials:
         return Potentials(self.features | {"seen": SEEN}, self.root, self.edges).marginals(seen)
 
 
-#: Log-odds that stand for certainty.
-SEEN = 30.0
+#: Elements that stand around an article.
+AROUND = {"tag:article", "tag:main", "tag:div", "tag:section"}
+#: Log-odds that stand for certainty, and the probability of content that a block needs where the body is taken for it.
+SEEN, SURE = 30.0, 0.7
 
 
 def log_add(a: float, b: float) -> float:
@@ -343,13 +345,13 @@ def labelled_pages(count: int = 240, seed: int = 7) -> list[str]:
 
 
 def main_text(source: str | None, potentials: Potentials) -> str:
-    """The text of the blocks that are more probably content than not. A page with words of which none is has no element
-    around its article, so its body is taken for it."""
+    """The text of the blocks that are more probably content than not. A page that has words but no element of
+    ``AROUND`` that is content has its article in the body itself, which is then taken for it."""
     page = parse(source)
     kept = potentials.marginals(page)
-    texts = [(t, p) for t, p in zip(page.text, kept, strict=True) if t is not None]
-    if all(p <= 0.5 for _, p in texts) and any(c.isalnum() for t, _ in texts for c in t):
-        kept = potentials.given_body(page)
+    around = any(p > 0.5 and f[0] in AROUND for f, p in zip(page.features, kept, strict=True))
+    if not around and any(c.isalnum() for t in page.text if t for c in t):
+        kept = [p + 0.5 - SURE for p in potentials.given_body(page)]
     return "\n\n".join(t for t, p in zip(page.text, kept, strict=True) if t is not None and p > 0.5)
 
 
