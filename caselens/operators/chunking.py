@@ -120,3 +120,60 @@ def normalised(docs: DataFrame, key: str, excluded: list[str], blanks: int = 1,
     lines = lines.withColumn("_kept", kept)
     text = F.regexp_replace(F.array_join("_kept", "\n"), f"\n{{{blanks + 2},}}", "\n" * (blanks + 1))
     return lines.select(key, F.regexp_replace(text, r"^\n+|\n+$", "").alias("text"), (F.size("_lines") - F.size("_kept")).cast("long").alias("removed_lines"))
+
+
+# The fields of a support document with the words that head them and their labels, and the application's
+# chunks and headings.
+STRUCTURED = {
+    "question": ("質問", ["質問", "お問い合わせ", "問い合わせ"]),
+    "cause": ("原因", ["原因"]),
+    "resolution": ("対処", ["対処", "対応", "解決策"]),
+    "manufacturer_reply": ("メーカー回答", ["メーカー回答"]),
+    "customer_final_reply": ("お客様向け最終回答", ["お客様向け最終回答", "最終回答", "回答"]),
+}
+APP_MAXIMUM, APP_OVERLAP = 2600, 150
+APP_HEADING = r"^\s{0,3}#{1,3}\s+(.+?)\s*#*\s*$"
+
+
+def field_heading(line: Column) -> Column:
+    """struct(label, rest) if a line begins with the word of a field, else null."""
+    bare = F.regexp_replace(F.regexp_replace(line, r"^\s{0,3}#{1,6}\s*", ""), r"^\s+|\s+$", "")
+    out = F.lit(None).cast("struct<label:string,rest:string>")
+    for label, names in reversed(STRUCTURED.values()):
+        for name in reversed(names):
+            found = F.struct(F.lit(label).alias("label"), F.regexp_replace(bare, rf"^{name}\s*[:：]?\s*", "").alias("rest"))
+            out = F.when(bare.startswith(name), found).otherwise(out)
+    return out
+
+
+def structured_chunks(docs: DataFrame, key: str, maximum: int = 1200) -> DataFrame:
+    """(key, chunk_index, chunk_id, section_title, text) by fields: those of the columns named in ``STRUCTURED`` that are
+    not empty, each under its label; without any, the parts of the text that a field's word heads; else the whole text."""
+    given = [F.when(F.coalesce(F.col(c), F.lit("")) != "", F.struct(F.lit(label).alias("title"), F.concat(F.lit(f"{label}\n"), F.trim(F.col(c))).alias("body"))) for c, (label, _) in STRUCTURED.items() if c in docs.columns]
+    kind = "array<struct<title:string,body:string>>"
+    columns = F.filter(F.array(*given), lambda x: x.isNotNull()) if given else F.array().cast(kind)
+    rows = docs.withColumn("_lines", F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"\r\n?", "\n"), "\n", -1)).withColumn("_heads", F.transform("_lines", field_heading))
+    begins = F.filter(F.transform("_heads", lambda h, i: F.when(h.isNotNull(), i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("_begins", begins)
+    stop = lambda n: F.coalesce(F.get("_begins", n + 1), F.size("_lines"))
+    rest = lambda i: F.filter(F.array(F.get("_heads", i)["rest"]), lambda x: x != "")
+    body = lambda i, n: F.regexp_replace(F.array_join(F.concat(rest(i), F.slice("_lines", i + 2, F.greatest(F.lit(0), stop(n) - i - 1))), "\n"), r"^\s+|\s+$", "")
+    parsed = F.transform("_begins", lambda i, n: F.struct(F.get("_heads", i)["label"].alias("title"), body(i, n).alias("body")))
+    parsed = F.transform(F.filter(parsed, lambda x: x["body"] != ""), lambda x: F.struct(x["title"].alias("title"), F.concat(x["title"], F.lit("\n"), x["body"]).alias("body")))
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("title"), F.coalesce("text", F.lit("")).alias("body")))
+    rows = rows.select(key, columns.alias("_columns"), parsed.alias("_parsed"), whole.alias("_whole"))
+    chosen = F.when(F.size("_columns") > 0, F.col("_columns")).when(F.size("_parsed") > 0, F.col("_parsed")).otherwise(F.col("_whole"))
+    each = rows.select(key, F.posexplode(chosen).alias("_s", "_p")).select(key, "_s", F.col("_p.title").alias("section_title"), F.col("_p.body").alias("text"))
+    return _resplit(each, key, "structured", ["_s"], maximum)
+
+
+def app_chunks(files: DataFrame, path: str, maximum: int = APP_MAXIMUM, overlap: int = APP_OVERLAP) -> DataFrame:
+    """(path, chunk_index, chunk_id, section_title, text) of the application: sections by Markdown headings of the first
+    three levels, cut with an overlap, blank chunks left out; ids are 24 digits of a hash of path, index and section."""
+    docs = files.select(F.col(path).alias("_path"), "text")
+    title = lambda line: F.nullif(F.trim(F.regexp_extract(line, APP_HEADING, 1)), F.lit(""))
+    rows = section_lines(docs, "_path", title).select("_path", "section", F.coalesce("title", F.lit("")).alias("section_title"), F.array_join("lines", "\n").alias("text"))
+    cut = _cut(rows, ["_path", "section", "section_title"], maximum, overlap, "_n").filter(F.regexp_replace("text", r"\s", "") != "")
+    cut = cut.withColumn("chunk_index", F.row_number().over(Window.partitionBy("_path").orderBy("section", "_n")) - 1)
+    material = F.concat_ws("|", "_path", F.col("chunk_index").cast("string"), "section_title")
+    return cut.select(F.col("_path").alias(path), "chunk_index", F.substring(F.sha2(material, 256), 1, 24).alias("chunk_id"), "section_title", "text")

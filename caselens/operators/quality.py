@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import coverage, topics
 from .selection import clamp
 
 # Kinds of claims with their patterns and whether they are major, and markers in answers.
@@ -17,8 +18,8 @@ CLAIMS = [
     ("Path", r"(?<![A-Za-z0-9_.-])(/(?:[A-Za-z0-9_.-]+/)+[A-Za-z0-9_.-]+)", True),
     ("File", r"(?i)(?<![A-Za-z0-9_.-])([A-Za-z0-9_.-]+\.(?:json|xml|ya?ml|conf|cfg|ini|txt|log|pdf|qac|cct))(?=$|[^A-Za-z0-9_.-])", False),
     ("ErrorCode", r"\b([A-Z]{2,10}-\d{2,8})\b", True),
-    ("Version", r"(?i)(?:version|ver\.?|v|バージョン)\s*[:：]?\s*(\d+(?:\.\d+){1,3})", True),
-    ("Port", r"(?i)(?:port|ポート)\s*[:：]?\s*(\d{2,5})", True),
+    ("Version", r"(?i)((?:version|ver\.?|v|バージョン)\s*[:：]?\s*\d+(?:\.\d+){1,3})", True),
+    ("Port", r"(?i)((?:port|ポート)\s*[:：]?\s*\d{2,5})", True),
 ]
 SAFE = ["api", "cli", "gui", "http", "https", "os"]
 INTERNAL = [
@@ -26,22 +27,64 @@ INTERNAL = [
     "Phase 14", "Phase 15", "Phase 16", "Phase 17", "RAG内部", "内部スコア",
 ]
 INSUFFICIENT = ["根拠不足", "情報不足", "確認できません", "判断できません", "断定できません", "insufficient evidence"]
-LIMITS = {"directness": 0.65, "grounding": 0.80, "coverage": 0.80, "technical_fidelity": 1.0, "customer_readiness": 0.65}
+LIMITS = {"directness": 0.65, "grounding": 0.80, "topic_alignment": 0.75, "coverage": 0.80, "technical_fidelity": 1.0, "actionability": 0.65, "customer_readiness": 0.65}
 LOW_GROUNDING, LOW_COVERAGE = 0.30, 0.34
+HARD_REASONS = ["NoRelevantEvidence", "ProductMismatch", "VersionMismatch", "TopicConflict", "ConflictingEvidence"]
+#: What is cut from the front of a claim before it is compared.
+PREFIXES = {"Command": r"^qacli\s+", "Version": r"^(?:version|ver\.?|v|バージョン)\s*[:：]?\s*", "Port": r"^(?:port|ポート)\s*[:：]?\s*"}
+EDGES = r"^[ .,():;\[\]{}「」［］]+|[ .,():;\[\]{}「」［］]+$"
+STEP = r"(?m)^\s*(?:\d+[.)、]|[-*・])"
+# The catalog of a support product, what its questions need, and the words by which an answer covers it.
+CATALOG: topics.Catalog = {
+    "products": {"Validate": ["Perforce Validate"]},
+    "components": {"Validate": ["Perforce Validate"]},
+    "features": {
+        "Stream": ["ストリーム"], "License": ["ライセンス"], "IDE Plugin": ["IDEプラグイン", "Eclipse Plugin"],
+        "Build upload": ["validate build", "build upload", "解析結果をアップロード"],
+    },
+    "objects": {"Analysis result": ["解析結果"]},
+}
+UPLOAD_NEEDS = ["Command", "Option", "Authentication", "Association", "Execution", "Verification"]
+COVERED = {
+    "Overview": ["概要", "とは", "overview", "definition"],
+    "Setup": ["設定", "作成", "手順", "setup", "configure", "create"],
+    "Authentication": ["認証", "ログイン", "token", "credential", "authentication"],
+    "Association": ["接続", "関連付け", "紐付け", "project", "associate", "connection"],
+    "Execution": ["実行", "アップロード", "run", "execute", "upload"],
+    "Verification": ["確認", "検証", "表示", "verify", "confirm", "portal"],
+}
+DOES = ["実行", "操作", "run", "execute"]
+
+
+def catalog_of(product: str | None) -> topics.Catalog:
+    """The support catalog with a product of its own."""
+    own = {product: []} if product else {}
+    return CATALOG | {"products": own | CATALOG["products"]}
 
 
 def _claim_of(kind: str, major: bool):
     return lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"), F.lit(major).alias("major"))
 
 
-def claims(text: Column) -> Column:
-    """Different (kind, value, major) claims of a text, values folded."""
-    parts = []
-    for kind, pattern, major in CLAIMS:
-        clean = lambda v: F.regexp_replace(F.regexp_replace(F.lower(v), r"\s+", " "), r"^[ .,():;\[\]{}]+|[ .,():;\[\]{}]+$", "")
-        values = F.transform(F.regexp_extract_all(text, F.lit(pattern), 1), clean)
-        parts.append(F.transform(values, _claim_of(kind, major)))
-    return F.array_distinct(F.filter(F.concat(*parts), lambda c: (c["value"] != "") & ~c["value"].isin(SAFE)))
+def claims(text: Column, catalog: topics.Catalog | None = None) -> Column:
+    """Different (kind, value, major) claims of a text, values folded and without the words before them; products and
+    features of the catalog and names of systems count as minor claims."""
+    text = F.coalesce(text, F.lit(""))
+
+    def clean(kind: str):
+        def of(v: Column) -> Column:
+            out = F.regexp_replace(F.regexp_replace(F.trim(F.lower(v)), r"\s+", " "), EDGES, "")
+            return F.trim(F.regexp_replace(out, PREFIXES[kind], "")) if kind in PREFIXES else out
+
+        return of
+
+    parts = [F.transform(F.transform(F.regexp_extract_all(text, F.lit(pattern), 1), clean(kind)), _claim_of(kind, major)) for kind, pattern, major in CLAIMS]
+    folded = F.regexp_replace(F.lower(text), r"\s+", " ")
+    for d in ("products", "features"):
+        parts.append(F.transform(F.transform(topics.named(folded, (catalog or {}).get(d, {})), F.lower), _claim_of("ProductFeature", False)))
+    parts.append(F.transform(F.transform(topics.named(folded, topics.SYSTEMS, itself=False), F.lower), _claim_of("System", False)))
+    found = F.filter(F.concat(*parts), lambda c: (c["value"] != "") & ~c["value"].isin(SAFE))
+    return F.array_distinct(found)
 
 
 def hits(text: Column, words: list[str]) -> Column:
@@ -57,41 +100,111 @@ def customer_readiness(answer: Column, leaks: Column) -> Column:
     return F.when(size > 0, clamp(score)).otherwise(0.0)
 
 
-def evaluated(rows: DataFrame) -> DataFrame:
-    """Adds the scores and the decision to answers with the columns question, answer, evidence (array of texts),
-    alignment, coverage (scores) and insufficient_reasons (array)."""
+def needs_of(profile: Column) -> Column:
+    """What a question of this profile needs an answer to cover."""
+    asks = lambda names: F.arrays_overlap(profile["intents"], F.array(*map(F.lit, names)))
+    items = lambda names: F.array(*map(F.lit, names))
+    none = F.array().cast("array<string>")
+    stream = F.concat(F.when(asks(["Overview"]), items(["Overview"])).otherwise(none), F.when(asks(["HowTo", "Configuration"]), items(["Setup", "Association", "Verification"])).otherwise(none))
+    upload = F.array_contains(profile["operations"], "Upload") | F.array_contains(profile["features"], "Build upload")
+    return F.when(upload, items(UPLOAD_NEEDS)).when(F.array_contains(profile["features"], "Stream"), stream).when(asks(["HowTo", "Configuration", "Command"]), items(["Execution"])).otherwise(none)
+
+
+def covered_by(answer: Column, found: Column) -> Column:
+    """What an answer with these claims covers."""
+    folded = F.lower(answer)
+    kinds = F.transform(found, lambda c: c["kind"])
+    flags = [(k, F.array_contains(kinds, k)) for k in ("Command", "Option")]
+    return coverage.listed(flags + [(k, coverage.has_any(folded, w)) for k, w in COVERED.items()])
+
+
+def evaluated(rows: DataFrame, product: str | None = None, separated: bool = False) -> DataFrame:
+    """Adds the scores and the decision to answers with the columns question, answer, evidence (array of texts) and
+    insufficient_reasons (array): topic_alignment, grounding, technical_fidelity, coverage, directness, actionability,
+    customer_readiness, unsupported (kind, value, major), unsupported_claims, conflicts, leaks, blocking, warnings,
+    decision. ``separated``: evidence and answer must each cover what the question requires."""
+    catalog = catalog_of(product)
     answer, evidence = F.coalesce("answer", F.lit("")), F.coalesce("evidence", F.array().cast("array<string>"))
+    reasons = F.coalesce("insufficient_reasons", F.array().cast("array<string>"))
+    own = rows.columns
+    rows = rows.withColumns({"_answer": answer, "_evidence": evidence, "_reasons": reasons, "_q": topics.profile(F.col("question"), catalog), "_a": topics.profile(answer, catalog)})
+    answer, evidence, q, a = F.col("_answer"), F.col("_evidence"), F.col("_q"), F.col("_a")
     support = F.array_join(F.concat(F.array(F.coalesce("question", F.lit(""))), evidence), "\n")
-    rows = rows.withColumn("_claims", claims(answer)).withColumn("_known", F.transform(claims(support), lambda c: F.struct(c["kind"], c["value"])))
-    missing = F.filter("_claims", lambda c: ~F.array_contains("_known", F.struct(c["kind"], c["value"])))
-    rows = rows.withColumn("_missing", missing).withColumn("leaks", hits(answer, INTERNAL))
-    n, lost = F.size("_claims"), F.size("_missing")
+    pair = lambda c: F.concat_ws("\x1f", c["kind"], c["value"])
+    rows = rows.withColumns(
+        {
+            "_claims": claims(answer, catalog),
+            "_known": F.transform(claims(support, catalog), pair),
+            "_conflict": F.size(topics.conflicts(q, a)) > 0,
+            "_match": F.coalesce(topics.topic_match(q, a), F.lit(False)),
+            "leaks": hits(answer, INTERNAL),
+            "_versions": F.array_distinct(F.flatten(F.transform(evidence, lambda t: F.transform(F.filter(claims(t), lambda c: c["kind"] == "Version"), lambda c: c["value"])))),
+            "_off": F.size(F.filter(evidence, lambda t: F.size(topics.conflicts(q, topics.profile(t, catalog))) > 0)),
+            "_needs": coverage.required(F.col("question"), q) if separated else needs_of(q),
+        }
+    )
+    rows = rows.withColumn("unsupported", F.filter("_claims", lambda c: ~F.array_contains("_known", pair(c))))
+    rows = rows.withColumn("_got", coverage.observed(answer) if separated else covered_by(answer, F.col("_claims")))
+    lacking = F.array_except("_needs", coverage.observed_in_all(evidence)) if separated else F.array().cast("array<string>")
+    rows = rows.withColumns({"missing_evidence": lacking, "missing_answer": F.array_except("_needs", "_got"), "conflicts": F.col("_off") + F.when(F.size("_versions") > 1, 1).otherwise(0)})
+    n, lost, needs = F.size("_claims"), F.size("unsupported"), F.size("_needs")
+    specific = (F.size(q["features"]) > 0) | (F.size(q["components"]) > 0)
+    alignment = (
+        F.when(F.col("_conflict"), 0.0)
+        .when(specific, F.when(F.col("_match"), 1.0).otherwise(0.25))
+        .when(F.size(q["products"]) > 0, F.when(F.arrays_overlap(q["products"], a["products"]), 1.0).otherwise(0.5))
+        .otherwise(1.0)
+    )
+    rows = rows.withColumns({"topic_alignment": alignment, "coverage": F.when(needs > 0, (needs - F.size("missing_answer")) / needs).otherwise(1.0)})
     supported = F.when(n > 0, 1 - lost / n)
-    grounding = F.when(F.size(evidence) == 0, 0.0).otherwise(F.coalesce(supported, F.when(F.col("alignment") >= 0.75, 1.0).when(F.col("alignment") >= 0.5, 0.6).otherwise(0.3)))
-    direct = 0.65 * F.col("alignment") + 0.35 * F.col("coverage")
+    grounding = F.when(F.size(evidence) == 0, 0.0).otherwise(F.coalesce(supported, F.when(F.col("topic_alignment") >= 0.75, 1.0).when(F.col("topic_alignment") >= 0.5, 0.6).otherwise(0.3)))
+    direct = 0.65 * F.col("topic_alignment") + 0.35 * F.col("coverage")
     short = F.char_length(F.trim(answer)) < 20
     directness = F.when(F.trim(answer) == "", 0.0).when(hits(answer, INSUFFICIENT) > 0, 0.25).otherwise(clamp(F.when(short, direct * 0.5).otherwise(direct)))
+    got = lambda item: F.array_contains("_got", item)
+    third = lambda *tests: sum((t.cast("int") for t in tests), F.lit(0)) / 3
+    acts = F.arrays_overlap(q["intents"], F.array(*map(F.lit, ["HowTo", "Command", "Configuration"])))
+    stream = third(got("Setup"), got("Association"), got("Verification"))
+    steps = third(got("Command") | answer.rlike(STEP), got("Execution") | coverage.has_any(F.lower(answer), DOES), got("Verification"))
     rows = rows.withColumns(
         {
+            "topic_alignment": F.round("topic_alignment", 6),
+            "coverage": F.round("coverage", 6),
             "grounding": F.round(grounding, 6),
             "technical_fidelity": F.round(F.coalesce(supported, F.lit(1.0)), 6),
             "directness": F.round(directness, 6),
+            "actionability": F.round(F.when(~acts, 1.0).when(F.array_contains(q["features"], "Stream"), stream).otherwise(steps), 6),
             "customer_readiness": F.round(customer_readiness(answer, F.col("leaks")), 6),
             "unsupported_claims": lost,
+            "blocking": coverage.listed([("TopicConflict", F.col("_conflict")), ("MajorUnsupportedTechnicalClaim", F.exists("unsupported", lambda c: c["major"]))]),
         }
     )
-    major = F.exists("_missing", lambda c: c["major"])
-    weak = (F.size(evidence) == 0) | (F.size(F.coalesce("insufficient_reasons", F.array().cast("array<string>"))) > 0)
-    weak = weak | (F.col("grounding") < LOW_GROUNDING) | (F.col("coverage") < LOW_COVERAGE)
+    flags = [("InternalLeakage", F.col("leaks") > 0), ("EvidenceConflict", F.col("conflicts") > 0), ("UnsupportedTechnicalClaim", lost > 0)]
+    if separated:
+        flags += [("MissingEvidenceCoverage", F.size("missing_evidence") > 0), ("MissingAnswerCoverage", F.size("missing_answer") > 0)]
+        weak = F.arrays_overlap("_reasons", F.array(*map(F.lit, HARD_REASONS))) | (F.size("missing_evidence") > 0)
+        review = F.size("missing_answer") > 0
+    else:
+        weak, review = (F.size("_reasons") > 0) | (F.col("coverage") < LOW_COVERAGE), F.lit(False)
+    weak = weak | (F.size(evidence) == 0) | (F.col("grounding") < LOW_GROUNDING)
     ready = F.lit(True)
     for name, least in LIMITS.items():
         ready = ready & (F.col(name) >= least)
-    decision = F.when((F.col("alignment") == 0) | major, "Blocked").when(weak, "InsufficientEvidence").when((F.col("leaks") == 0) & ready, "CustomerReady").otherwise("NeedsReview")
-    return rows.withColumn("decision", decision).drop("_claims", "_known", "_missing")
+    decision = (
+        F.when(F.size("blocking") > 0, "Blocked")
+        .when(weak, "InsufficientEvidence")
+        .when(review | (F.col("conflicts") > 0) | (F.col("leaks") > 0) | ~ready, "NeedsReview")
+        .otherwise("CustomerReady")
+    )
+    added = ["topic_alignment", "grounding", "technical_fidelity", "coverage", "directness", "actionability", "customer_readiness", "unsupported", "unsupported_claims", "conflicts", "leaks", "missing_evidence", "missing_answer", "blocking", "warnings", "decision"]
+    rows = rows.withColumn("warnings", coverage.listed(flags)).withColumn("decision", decision)
+    return rows.select(*(c for c in own if c not in added), *added)
 
 
 def report(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Means to six places and counts of decisions per group of evaluated answers."""
-    means = [F.round(F.avg(c), 6).alias(f"mean_{c}") for c in ("directness", "grounding", "technical_fidelity", "customer_readiness")]
-    counts = [F.count_if(F.col("decision") == d).alias(d) for d in ("CustomerReady", "NeedsReview", "InsufficientEvidence", "Blocked")]
-    return rows.groupBy(*keys).agg(F.count("*").alias("answers"), *means, *counts, F.sum("unsupported_claims").alias("unsupported_claims"))
+    """Means and rates to six places and counts of decisions per group of evaluated answers."""
+    means = [F.round(F.avg(c), 6).alias(f"mean_{c}") for c in ("coverage", "topic_alignment", "directness", "grounding", "technical_fidelity", "actionability", "customer_readiness")]
+    decisions = ("CustomerReady", "NeedsReview", "InsufficientEvidence", "Blocked")
+    counts = [F.count_if(F.col("decision") == d).alias(d) for d in decisions]
+    rates = [F.round(F.avg((F.col("decision") == d).cast("int")), 6).alias(f"{d}_rate") for d in decisions]
+    return rows.groupBy(*keys).agg(F.count("*").alias("answers"), *means, *counts, *rates, F.sum("unsupported_claims").alias("unsupported_claims"), F.sum("conflicts").alias("conflicts"))

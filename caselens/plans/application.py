@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from caselens.functions import names
 from caselens.functions.text import bigram_dice, date_text, jaccard, occurrences, ochiai
-from caselens.operators import cases, incremental, notes, pairs, retrieval, search, sources
+from caselens.operators import cases, incremental, notes, pairs, replies, retrieval, search, sources
 
 from .retrieval import BM25, TOP, asked, chunks, documents, read
 
@@ -427,6 +427,40 @@ def inserted_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.insertable(table, new, "number")
 
 
+def selector_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of users as production runs."""
+    rows = read(spark, sf_dir, "events").select("user_id", (F.col("value") > F.col("user_id") % 3).alias("matched"), (F.col("event_type") == "error").alias("fallback"), ((F.col("user_id") % 5 == 0) & (F.col("value") > 90)).alias("failed"))
+    return replies.selector_readiness(rows, ["user_id"], 60, 0.22)
+
+
+def cut_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", replies.truncated(F.col("text"), 300).alias("prompt"))
+
+
+def notes_of_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as notes in their orders' folders or a folder below, by their number."""
+    folders = read(spark, sf_dir, "orders").filter("o_orderkey % 2 = 0").select(F.concat(F.lit("/b/"), F.col("o_orderkey").cast("string")).alias("path"))
+    note = F.concat(F.lit("/b/"), F.col("l_orderkey").cast("string"), F.when(F.col("l_linenumber") == 1, "/sub/deep/").when(F.col("l_linenumber") % 2 == 0, "/sub/").otherwise("/"), F.col("l_linenumber").cast("string"), F.lit(".txt"))
+    return replies.notes_of_cases(folders, read(spark, sf_dir, "lineitem").select(note.alias("note"))).groupBy("path").agg(F.count("*").alias("notes"))
+
+
+def topic_adjustments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _results(spark, sf_dir).filter("score is not null").withColumns(
+        {"asked_features": F.col("query_id") % 3, "matched_features": F.size("matched_terms"), "feature_conflict": F.col("manual"), "excluded_match": F.col("excluded"), "troubleshooting": F.col("query_id") % 2 == 1}
+    )
+    adjustment = replies.topic_adjustment(rows)
+    return rows.select("query_id", "source_id", F.round(search.bounded(F.col("score"), adjustment), 6).alias("score"))
+
+
+def closed_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The years of orders, the unknown one last."""
+    from pyspark.sql import Window
+
+    year = F.when(F.col("o_orderkey") % 9 == 0, "年不明").otherwise(F.date_format("o_orderdate", "yyyy"))
+    rows = read(spark, sf_dir, "orders").select(year.alias("year")).distinct()
+    return rows.select("year", F.row_number().over(Window.orderBy(*replies.unknown_last(F.col("year"), "年不明"))).alias("place"))
+
+
 def _sql(body: str, *parts: str) -> str:
     return f"WITH {', '.join(parts)} {body}" if parts else body
 
@@ -736,4 +770,28 @@ QUERIES |= {
         inserted_cases,
         "SELECT l_orderkey AS number, min(l_linenumber) AS l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 1) GROUP BY ALL",
     ),
+    "selector_readiness": (
+        selector_readiness,
+        """SELECT user_id, count(*) AS runs, CASE WHEN count(*) < 60 THEN 'NotEnoughData' WHEN bool_or(user_id % 5 = 0 AND value > 90) THEN 'Blocked'
+               WHEN NOT bool_and(value > user_id % 3) OR count(*) FILTER (event_type = 'error') / count(*) > 0.22 THEN 'NeedsInvestigation' ELSE 'Ready' END AS readiness FROM events GROUP BY user_id""",
+    ),
+    "cut_prompts": (
+        cut_prompts,
+        "SELECT doc_id, CASE WHEN length(text) <= 300 THEN text ELSE substr(text, 1, 300 - length(e)) || e END AS prompt FROM documents, (SELECT chr(10) || '...[MaxPromptCharsにより省略]' AS e)",
+    ),
+    "notes_of_cases": (notes_of_cases, "SELECT '/b/' || l_orderkey AS path, count(*) AS notes FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0) AND l_linenumber > 1 GROUP BY ALL"),
+    "topic_adjustments": (
+        topic_adjustments,
+        _sql(
+            """SELECT query_id, source_id, round(CASE WHEN a >= 0 THEN s + (1 - s) * least(0.95, a) ELSE s * (1 + greatest(-1, a)) END, 6) AS score FROM (
+                SELECT *, CASE WHEN query_id % 3 = 0 THEN 0 WHEN matched THEN 0.28 WHEN manual THEN -0.55 ELSE -0.24 END::DOUBLE + CASE WHEN excluded THEN -0.55 ELSE 0 END::DOUBLE
+                       + CASE WHEN NOT fresh THEN 0 WHEN t = 'officialdoc' THEN 0.12 WHEN t = 'manual' THEN 0.03 WHEN t IN ('pastcasenote', 'pastanswer', 'exactpastanswer') THEN -0.08 ELSE 0 END::DOUBLE
+                       + CASE WHEN query_id % 2 = 1 AND t = 'exactpastanswer' THEN 0.12 ELSE 0 END::DOUBLE AS a FROM results WHERE score IS NOT NULL)""",
+            _RESULTS,
+        ),
+    ),
+    "closed_years": (
+        closed_years,
+        "SELECT year, row_number() OVER (ORDER BY year = '年不明', year)::INTEGER AS place FROM (SELECT DISTINCT CASE WHEN o_orderkey % 9 = 0 THEN '年不明' ELSE strftime(o_orderdate, '%Y') END AS year FROM orders)",
+    ),
 }

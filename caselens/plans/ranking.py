@@ -118,9 +118,9 @@ def answer_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations")
     answers = rows.filter("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("answer"))
     others = rows.filter("role <> 'assistant'").groupBy("conv_id").agg(F.collect_list("text").alias("evidence"), F.min_by("text", "turn").alias("question"))
-    joined = answers.join(others, "conv_id", "left").withColumns({"alignment": F.lit(1.0), "coverage": F.lit(1.0), "insufficient_reasons": F.array().cast("array<string>")})
+    joined = answers.join(others, "conv_id", "left").withColumn("insufficient_reasons", F.array().cast("array<string>"))
     scored = quality.evaluated(joined)
-    return scored.select("conv_id", "turn", "directness", "grounding", "technical_fidelity", "customer_readiness", "unsupported_claims", "decision")
+    return scored.select("conv_id", "turn", "directness", "grounding", "technical_fidelity", "coverage", "actionability", "customer_readiness", "unsupported_claims", "decision")
 
 
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
