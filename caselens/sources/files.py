@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from caselens.functions.names import file_category, file_of, folder_parts
+from caselens.operators.incremental import merged
+
 # Limits of an archive (entries, bytes of one and of all, compression ratio) and kinds of files.
 MAX_ENTRIES, MAX_ENTRY, MAX_TOTAL, MAX_RATIO = 1000, 32 << 20, 256 << 20, 200
 KINDS = {
@@ -56,8 +59,8 @@ def kind(path: Column) -> Column:
 
 
 def read_notes(spark: SparkSession, folder: str, glob: str = "*.txt") -> DataFrame:
-    """(path, modified, text) of the files right in a folder, whatever their encoding."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
+    """(path, modified, text) of the files right in a folder, whatever their encoding, by path."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).orderBy("path")
     return files.select("path", F.col("modificationTime").alias("modified"), decoded("content").alias("text"))
 
 
@@ -68,6 +71,47 @@ def inventory(spark: SparkSession, folder: str, warn: int = 20 << 20, exclude: i
     return files.select("path", "modified", "size", kind(F.col("path")).alias("kind"), gate.alias("gate"))
 
 
+def inside(path: str, root: str) -> str:
+    """A path as it is read, if it lies under the root; else an error. Neither may be a link out of it."""
+    from pathlib import Path
+
+    top = Path(root).resolve()
+    found = (top / path).resolve()
+    if not found.is_relative_to(top):
+        raise ValueError(f"{path} lies outside of {root}")
+    return str(found)
+
+
+def scan_case_folders(files: DataFrame) -> DataFrame:
+    """(path, modified, company, support_number, status, created_on, stamp) of the folders among a listing (path, modified)
+    whose names are those of cases; others are passed over. The time is that of the last file below."""
+    parts = F.split(F.regexp_replace("path", "/[^/]*$", ""), "/")
+    each = files.select("modified", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("path"))
+    found = each.withColumn("_p", folder_parts(file_of(F.col("path")))).filter("_p is not null")
+    return found.groupBy("path", "_p").agg(F.max("modified").alias("modified")).select("path", "modified", "_p.*")
+
+
+def rescanned(known: DataFrame, files: DataFrame) -> DataFrame:
+    """``scan_case_folders`` that keeps the rows of ``known`` whose folder has not changed since."""
+    return merged(known, scan_case_folders(files), "path", "modified")
+
+
+def read_manuals(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """(path, modified, category, text) of all files under several folders, each once however often it is named; text is
+    null for what is not text."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(dict.fromkeys(folders)))
+    rows = files.select("path", F.col("modificationTime").alias("modified"), file_category(F.col("path")).alias("category"), "content")
+    rows = rows.withColumn("_key", F.lower("path")).dropDuplicates(["_key"]).drop("_key")
+    plain = kind(F.col("path")).isin("text", "web")
+    return rows.select("path", "modified", "category", decoded(F.when(plain, F.col("content"))).alias("text"))
+
+
+def archive_counters(entries: DataFrame) -> DataFrame:
+    """(archive, entries, read, rejected, reasons) of ``read_archives``' rows."""
+    bad = F.col("rejected").isNotNull()
+    return entries.groupBy("archive").agg(F.count("*").alias("entries"), F.count_if(~bad).alias("read"), F.count_if(bad).alias("rejected"), F.array_sort(F.collect_set("rejected")).alias("reasons"))
+
+
 def is_safe_entry(path: Column) -> Column:
     """Whether a path in an archive stays inside it: relative, without drive, and without . or .. parts."""
     flat = F.replace(path, F.lit("\\"), F.lit("/"))
@@ -136,7 +180,15 @@ def office_text(name: str, data: bytes) -> list[tuple[str | None, str]]:
         archive = zipfile.ZipFile(io.BytesIO(data))
         names = archive.namelist()
         wanted = {"docx": r"word/document\.xml", "xlsx": r"xl/(sharedStrings|worksheets/.*)\.xml", "pptx": r"ppt/slides/slide\d+\.xml"}[ending]
-        trees = [ElementTree.fromstring(archive.read(n)) for n in sorted(names) if re.fullmatch(wanted, n)]
+        if len(names) > MAX_ENTRIES or sum(i.file_size for i in archive.infolist()) > MAX_TOTAL:
+            return []
+        trees = []
+        for n in sorted(n for n in names if re.fullmatch(wanted, n)):
+            with archive.open(n) as f:
+                data = f.read(MAX_ENTRY + 1)
+            if len(data) > MAX_ENTRY:
+                return []
+            trees.append(ElementTree.fromstring(data))
     except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
         return []
     if ending != "docx":

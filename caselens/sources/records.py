@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# The metadata of a document and the columns of a summary.
 METADATA = (
     "product_id product_name support_id information_type document_name source_path target_version os error_code command "
     "created_or_updated_at source_type question cause resolution manufacturer_reply customer_final_reply"
@@ -14,6 +15,10 @@ DOCUMENT = T.StructType(
     [T.StructField("document_id", T.StringType()), T.StructField("text", T.StringType())]
     + [T.StructField("metadata", T.StructType([T.StructField(n, T.StringType()) for n in METADATA] + [T.StructField("confidence", T.DoubleType())]))]
 )
+SUMMARY = (
+    "chunk_strategy search_method reranker filter_mode top_k document_count chunk_count query_count mean_precision_at_k mean_recall_at_k mrr mean_ndcg_at_k "
+    "mean_required_term_coverage_at_k excluded_term_hit_count product_confusion_count version_mismatch_count mean_search_time_ms quality_gate_passed violations"
+).split()
 _LIST = T.ArrayType(T.StringType())
 EVALUATION_CASE = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("query_id", "product", "query", "target_version")]
@@ -89,7 +94,10 @@ def write_index_unless(rows: DataFrame, path: str, failures: int, exists: bool)
 
 
 def write_report(summary: DataFrame, path: str) -> None:
-    """A summary as JSON, CSV and a Markdown table (one line per row, numbers to six places)."""
+    """A summary as JSON, CSV and a Markdown table (one line per row, numbers to six places). Of its columns those of
+    ``SUMMARY`` are written, in that order; missing ones are empty."""
+    have = set(summary.columns)
+    summary = summary.select(*(F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in SUMMARY))
     flat = summary.select(*[F.to_json(c).alias(c) if "<" in kind else F.col(c) for c, kind in summary.dtypes])
     flat.coalesce(1).write.mode("overwrite").json(f"{path}/json")
     flat.coalesce(1).write.mode("overwrite").csv(f"{path}/csv", header=True)

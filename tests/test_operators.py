@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from caselens.operators import cases, chunking, evaluation, facts, incremental, quality, retrieval, selection
+from caselens.plans import golden
 
 CHUNKS = "document_id long, chunk_index int, text string"
 
@@ -29,6 +30,37 @@ def test_search_orders(spark):
     assert best(retrieval.bm25(chunks, ask("nothing here"))) == []
 
 
+def test_chunks_are_cut_in_one_pass(spark):
+    text = "".join(chr(97 + i % 26) for i in range(5000)) + "é😀"
+    docs = spark.createDataFrame([(1, text), (2, "x" * 14_000)], "doc_id long, text string")
+    rows = chunking.fixed_chunks(docs, "doc_id", 120, 50).filter("doc_id = 1").orderBy("chunk_index").collect()
+    assert [r["text"] for r in rows] == [text[i * 70 : i * 70 + 120] for i in range(len(rows))] and rows[-1]["text"].endswith("é😀")
+    many = chunking.fixed_chunks(docs, "doc_id", 2, 1)  # a document of over 10,000 chunks keeps its own id
+    assert many.filter("doc_id = 2").count() == 13_999
+    ask = spark.createDataFrame([(7, [1.0, 0.0])], "query_id long, vector array<double>")
+    vectors = spark.createDataFrame([(5, 12_345, [1.0, 0.0]), (6, 2, [0.0, 1.0])], "document_id long, chunk_index long, vector array<double>")
+    best = retrieval.nearest(vectors, ask, 1, ids=("document_id", "chunk_index")).first()
+    assert (best["document_id"], best["chunk_index"]) == (5, 12_345)
+
+
+def test_metrics_look_at_the_whole_ranking(spark):
+    scores = spark.createDataFrame([(1, d, c, 1.0 - 0.001 * d) for d in range(120) for c in (0, 1)], "query_id long, document_id long, chunk_index int, score double")
+    expected, queries = spark.createDataFrame([(1, 99)], "query_id long, document_id long"), spark.createDataFrame([(1,)], "query_id long")
+    row = evaluation.scored_metrics(scores, expected, queries, [3]).first()
+    assert (row["reciprocal_rank"], row["recall_at_k"], row["returned_document_count"]) == (1 / 100, 0.0, 3)
+
+
+def test_selection_without_candidates(spark):
+    empty = spark.createDataFrame([], golden.CANDIDATE)
+    required = spark.createDataFrame([("q", ["A"])], "query_id string, required_coverage array<string>")
+    assert selection.coverage_selection(empty, required).count() == 0
+
+
+def test_two_keys(spark):
+    rows = spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (3, "b", "x"), (4, "b", "y"), (5, None, "y"), (6, None, None), (7, "c", "y")], "n int, a string, b string")
+    assert [r["n"] for r in cases.two_key_dedup(rows, "a", "b", "n").orderBy("n").collect()] == [1, 5, 6]
+
+
 def test_nearest_vectors_and_fusion(spark):
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [1.0, 1.0]), (4, [0.0, 0.0])], "id long, vector array<double>")
     queries = spark.createDataFrame([(9, [0.0, 1.0])], "query_id long, vector array<double>")
@@ -88,6 +120,6 @@ def test_versions(spark):
 
 def test_unsupported_claim_blocks_an_answer(spark):
     rows = spark.createDataFrame([(1, "Use --force on port 8080.", ["port 8080"], "q"), (2, "Set port 8080.", ["port 8080"], "q")], "id long, answer string, evidence array<string>, question string")
-    rows = rows.withColumns({"alignment": F.lit(1.0), "coverage": F.lit(1.0), "insufficient_reasons": F.array().cast("array<string>")})
+    rows = rows.withColumn("insufficient_reasons", F.array().cast("array<string>"))
     got = {r["id"]: (r["unsupported_claims"], r["decision"] == "Blocked") for r in quality.evaluated(rows).collect()}
     assert got == {1: (1, True), 2: (0, False)}
