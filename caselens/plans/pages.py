@@ -20,7 +20,8 @@ def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.sections(read(spark, sf_dir, "pages"), "page_id", "html")
+    rows = html.sections(read(spark, sf_dir, "pages"), "page_id", "html")
+    return rows.select("page_id", "section", F.col("title").isNotNull().alias("titled"), F.size(F.split("text", " ")).alias("words"))
 
 
 def page_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,13 +53,27 @@ QUERIES = {
               AND NOT regexp_matches(regexp_replace(h, '[?#].*$', ''), '(?i)\.({"|".join(html.SKIPPED_EXTENSIONS)})$') GROUP BY 1, 2""",
     ),
     "page_titles": (page_titles, r"SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title FROM pages"),
-    "page_sections": (page_sections, None),
+    "page_sections": (
+        page_sections,
+        rf"""WITH c AS (SELECT page_id, regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>', ' ', 'g') AS c FROM pages),
+            p AS (SELECT page_id, string_split(regexp_replace(c, '(?is)(<h[1-6]\b[^>]*>.*?</h[1-6]\s*>)', chr(1) || '\1', 'g'), chr(1)) AS parts FROM c),
+            s AS (SELECT page_id, len(parts) > 1 AS titled, unnest(CASE WHEN len(parts) > 1 THEN parts[2:] ELSE parts END) AS part, generate_subscripts(CASE WHEN len(parts) > 1 THEN parts[2:] ELSE parts END, 1) - 1 AS section FROM p),
+            t AS (SELECT page_id, section::INTEGER AS section, titled, {_SHOWN.format("part")} AS t FROM s)
+            SELECT page_id, section, titled, len(string_split(t, ' '))::INTEGER AS words FROM t WHERE t <> ''""",
+    ),
     "page_bodies": (
         page_bodies,
         rf"""WITH p AS (SELECT page_id, {_SHOWN.format(r"regexp_extract(html, '(?is)<article\b[^>]*>(.*?)(?:</article\s*>|\z)', 1)")} AS main, {_SHOWN.format("html")} AS whole FROM pages)
             SELECT page_id, CASE WHEN length(main) >= 80 OR length(main) >= length(whole) THEN main ELSE whole END AS text FROM p""",
     ),
-    "redacted_documents": (redacted_documents, None),
+    "redacted_documents": (
+        redacted_documents,
+        r"""WITH a AS (SELECT doc_id, text, regexp_replace(text, '(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}', '[メールアドレス]', 'g') AS t FROM documents),
+            b AS (SELECT doc_id, text, regexp_replace(t, '(^|[^0-9])(?:\+?\d{1,3}[-\s]?)?(?:0\d{1,4}[-\s]?\d{1,4}[-\s]?\d{3,4})($|[^0-9])', '\1[電話番号]\2', 'g') AS t FROM a),
+            c AS (SELECT doc_id, text, regexp_replace(t, '[A-Za-z]:\\[^\r\n\t :;"''<>|]+(?:\\[^\r\n\t :;"''<>|]+)*', '[Windowsパス]', 'g') AS t FROM b),
+            d AS (SELECT doc_id, text, regexp_replace(t, '(?i)(?:sk-[A-Za-z0-9_-]{12,}|Bearer\s+[A-Za-z0-9._-]{12,}|(?:api[_-]?key|apikey)\s*[:=]\s*[A-Za-z0-9._-]{8,})', '[APIキー]', 'g') AS t FROM c)
+            SELECT doc_id, text <> t AS changed, sha256(t) AS text_sha256 FROM d""",
+    ),
     "document_excerpts": (
         document_excerpts,
         r"""WITH j AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents),

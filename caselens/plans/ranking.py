@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from caselens.operators import quality, retrieval, selection, topics
 from caselens.scratch import scratch_path, small, written
 from caselens.streaming import ingest
 
-from .retrieval import BM25, HASHED, POOL, _hash_ranks, asked, chunks, read
+from .retrieval import BM25, HASHED, POOL, _hash_ranks, asked, chunks, documents, read
 
 
 def _scratch(spark: SparkSession) -> str:
@@ -92,8 +94,8 @@ def topic_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents under a catalog of common words, as products and features stand in no driver table."""
     catalog = {"products": {"The": ["the"], "Und": ["und", "der"]}, "features": {"Con": ["con", "que"], "Les": ["les", "des"]}}
     p = topics.profile(F.col("text"), catalog)
-    rows = read(spark, sf_dir, "documents").select("doc_id", p.alias("p"))
-    return rows.select("doc_id", F.array_join("p.products", ",").alias("products"), F.array_join("p.features", ",").alias("features"), F.size("p.entities").alias("entities"))
+    rows = documents(spark, sf_dir).select("doc_id", p.alias("p"))
+    return rows.select("doc_id", *(F.array_join(f"p.{c}", ",").alias(c) for c in ("products", "features", "operations", "intents")))
 
 
 def topic_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,6 +147,19 @@ _CANDIDATES = f"""{BM25},
 _HAS = r"regexp_matches(t, '(^|[^a-z0-9])({})($|[^a-z0-9])')"
 _FOLDED = "replace(lower(text), 'ß', 'ss')"
 
+
+
+def _named(names: dict[str, list[str]]) -> str:
+    """The names of which a folded text has a word: ASCII ones stand between other characters than letters and digits."""
+
+    def test(words: list[str]) -> str:
+        plain = [re.escape(w.lower()) for w in words if w.isascii()]
+        parts = [_HAS.format("|".join(plain))] if plain else []
+        return " OR ".join(parts + [f"contains(t, '{w.lower()}')" for w in words if not w.isascii()])
+
+    return "concat_ws(',', " + ", ".join(f"CASE WHEN {test(words)} THEN '{name}' END" for name, words in names.items()) + ")"
+
+
 QUERIES = {
     "coverage_selection": (coverage_selection, None),
     "question_selection": (question_selection, None),
@@ -182,7 +197,18 @@ QUERIES = {
         )
         + ") AS types FROM f",
     ),
-    "topic_profiles": (topic_profiles, None),
+    "topic_profiles": (
+        topic_profiles,
+        "WITH f AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g') AS t FROM documents) SELECT doc_id, "
+        + _named({"The": ["the"], "Und": ["und", "der"]})
+        + " AS products, "
+        + _named({"Con": ["con", "que"], "Les": ["les", "des"]})
+        + " AS features, "
+        + _named(topics.OPERATIONS)
+        + " AS operations, "
+        + _named(topics.INTENTS)
+        + " AS intents FROM f",
+    ),
     "topic_ranking": (topic_ranking, None),
     "answer_quality": (answer_quality, None),
     "stream_windows": (

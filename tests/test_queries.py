@@ -46,12 +46,9 @@ def test_matches_sql(spark, duck, name):
 
 #: Queries without SQL, with what each row of theirs must satisfy.
 RULES = {
-    "page_sections": "page_id is not null",
-    "redacted_documents": "doc_id is not null",
     "coverage_selection": "pick between 1 and 5 and quality between 0.3 and 1",
     "question_selection": "pick between 1 and 3 and score <= 1",
     "budget_selection": "used <= 2500 and pick >= 1",
-    "topic_profiles": "doc_id is not null",
     "topic_ranking": "final_score between 0 and 1 and topic_score between 0 and 1",
     "answer_quality": "decision in ('CustomerReady', 'NeedsReview', 'InsufficientEvidence', 'Blocked') and grounding between 0 and 1",
 }
