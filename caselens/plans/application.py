@@ -571,8 +571,8 @@ QUERIES: dict[str, tuple] = {
     ),
     "case_diff": (
         case_diff,
-        """WITH o AS (SELECT l_orderkey, list(l_linenumber || '|' || l_quantity ORDER BY l_linenumber) AS m FROM lineitem WHERE l_orderkey % 10 <> 3 GROUP BY ALL),
-            n AS (SELECT l_orderkey, list(l_linenumber || '|' || (l_quantity + CASE WHEN l_orderkey % 6 = 1 THEN 1 ELSE 0 END) ORDER BY l_linenumber) AS m FROM lineitem WHERE NOT (l_orderkey % 4 = 0 AND l_linenumber = 1) GROUP BY ALL)
+        """WITH o AS (SELECT l_orderkey, list(l_linenumber || '|' || l_quantity ORDER BY l_linenumber, l_quantity) AS m FROM lineitem WHERE l_orderkey % 10 <> 3 GROUP BY ALL),
+            n AS (SELECT l_orderkey, list(l_linenumber || '|' || (l_quantity + CASE WHEN l_orderkey % 6 = 1 THEN 1 ELSE 0 END) ORDER BY l_linenumber, l_quantity) AS m FROM lineitem WHERE NOT (l_orderkey % 4 = 0 AND l_linenumber = 1) GROUP BY ALL)
             SELECT l_orderkey, CASE WHEN o.m IS NULL THEN 'added' WHEN n.m IS NULL THEN 'deleted' WHEN o.m = n.m THEN 'unchanged' ELSE 'changed' END AS change FROM o FULL JOIN n USING (l_orderkey)""",
     ),
     "same_url_sets": (
