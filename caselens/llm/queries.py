@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, chat, exact_dedup, html_main, langid, mixing, packing, sharding, simhash, warc
+from . import audio, chat, exact_dedup, filter_audit, html_main, langid, mixing, packing, quality_rff, sharding, simhash, spelling, warc
 from .common import bounded_batches, scratch_path
 
 
@@ -63,6 +63,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rff.report(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.report(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_audio_features": op1_audio_features,
@@ -75,6 +87,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash_components": op8_simhash_components,
         "op9_pfair_mixing": op9_pfair_mixing,
         "op10_exact_dedup": op10_exact_dedup,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op12_quality_classifier": op12_quality_classifier,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
@@ -113,4 +128,69 @@ def oracle_sql() -> dict[str, str]:
                 FROM documents),
             g AS (SELECT *, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size FROM d)
             SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g""",
+        "op11_spelling_variants": r"""
+            WITH RECURSIVE bytes_of AS (SELECT range AS b FROM range(256)),
+            steps(b, c, k) AS (
+                SELECT b, b, 0 FROM bytes_of UNION ALL
+                SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+            crc AS (SELECT list(c ORDER BY b) AS entries FROM steps WHERE k = 8),
+            found AS (
+                SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run
+                FROM documents),
+            counted AS (SELECT doc_id, run, count(*) AS n, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS named FROM found GROUP BY ALL),
+            hashed AS (
+                SELECT run, n, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(flatten(
+                           list_transform(string_split(named, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)] ELSE [192 | (ord(c) >> 6), 128 | (ord(c) & 63)] END)),
+                           lambda x: CAST(x AS BIGINT))), lambda h, b: xor(h >> 8, entries[xor(h & 255, b) + 1]))) AS h
+                FROM counted, crc),
+            cut AS (
+                SELECT CASE WHEN h % 97 = 0 THEN substring(run, 1, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+            v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM cut WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+            places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM v),
+            shorter AS (SELECT word, n, p, substring(word, 1, p - 1) || substring(word, p + 1) AS rest FROM places),
+            pairs AS (
+                SELECT a.word AS word, b.word AS near, b.n AS near_n FROM shorter a JOIN shorter b ON a.p = b.p AND a.rest = b.rest AND a.word <> b.word
+                UNION SELECT s.word, v.word, v.n FROM shorter s JOIN v ON s.rest = v.word
+                UNION SELECT v.word, s.word, s.n FROM shorter s JOIN v ON s.rest = v.word),
+            best AS (SELECT word, count(*) AS n_near, min(struct_pack(less := -near_n, near := near)) AS b FROM pairs GROUP BY word),
+            f AS (
+                SELECT v.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.less >= 2 * n THEN b.near END AS form,
+                       CASE WHEN -b.less >= 2 * n THEN -b.less END AS form_n
+                FROM v LEFT JOIN best USING (word)),
+            chain(word, reached) AS (SELECT word, word FROM f UNION ALL SELECT chain.word, f.form FROM chain JOIN f ON f.word = chain.reached WHERE f.form IS NOT NULL),
+            roots AS (SELECT chain.word, chain.reached AS root FROM chain JOIN f ON f.word = chain.reached WHERE f.form IS NULL)
+            SELECT word, form, root, n, n_near, form_n FROM f JOIN roots USING (word)""",
+        "op13_filter_audit": r"""
+            WITH w AS (
+                SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+                       list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+                FROM documents),
+            known AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) = 1 AS good, max(CAST(toxic = 1 AS INT)) = 1 AS toxic FROM labels GROUP BY doc_id),
+            d AS (
+                SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+                       CASE WHEN len(words) < 50 THEN 'A' ELSE '' END
+                       || CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' ELSE '' END
+                       || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 'C' ELSE '' END
+                       || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+                       || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS failed
+                FROM w LEFT JOIN known USING (doc_id)),
+            f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+            o AS (
+                SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM f a, f b, f c, f d, f e
+                WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+            x AS (
+                SELECT part, good, toxic, failed, filter_order,
+                       coalesce(list_min(list_transform(list_filter(string_split(failed, ''), lambda c: c <> ''), lambda c: strpos(filter_order, c))), 6) AS first
+                FROM d, o),
+            s AS (SELECT *, substring(filter_order, CAST(step AS INT), 1) AS filter FROM x, (SELECT unnest(range(1, 6)) AS step)),
+            c AS (
+                SELECT part, filter_order, CAST(step AS INT) AS step, filter,
+                       count(*) FILTER (first > step) AS kept, count(*) FILTER (first = step) AS removed,
+                       count(*) FILTER (contains(failed, filter) AND first < step) AS redundant,
+                       count(*) FILTER (failed = filter) AS unique_fails,
+                       count(*) FILTER (first = step AND good) AS good_lost, count(*) FILTER (first = step AND toxic) AS toxic_lost
+                FROM s GROUP BY ALL)
+            SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+                   CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley
+            FROM c""",
     }
