@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caselens.plans import analytics, application, golden, pages, ranking, reports, retrieval
+from caselens.plans import analytics, application, catalogs, pages, ranking, reports, retrieval
 
-MODULES = [retrieval, analytics, pages, ranking, application, reports, golden]
+MODULES = [retrieval, analytics, pages, ranking, application, reports, catalogs]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

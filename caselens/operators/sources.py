@@ -92,18 +92,20 @@ def relevant(rows: DataFrame, product: Column, types: Column) -> DataFrame:
 
 
 def best_per_source(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Of rows of one type and id, as different queries or variants found them, the one of the best score."""
+    """Of rows of one type and id, as different queries or variants found them, the one of the best score, of equal ones the
+    first by its other columns."""
     keys = ["source_type", "source_id"] if keys is None else keys
     rest = [c for c in rows.columns if c not in keys]
-    best = F.max_by(F.struct(*rest), F.struct(score_of().alias("s"), F.hash(*rest).alias("h")))
+    best = F.min(F.struct((-score_of()).alias("_s"), *rest))
     return rows.groupBy(*keys).agg(best.alias("_b")).select(*keys, "_b.*").select(*rows.columns)
 
 
 def first_wins(parts: list[DataFrame], keys: list[str]) -> DataFrame:
-    """The parts united; of rows of one key that of the earliest part stays."""
+    """The parts united; of rows of one key that of the earliest part stays, within a part that of the best score, then the
+    first by its other columns."""
     rows = reduce(DataFrame.unionByName, [p.withColumn("_part", F.lit(i)) for i, p in enumerate(parts)])
     rest = [c for c in rows.columns if c not in keys and c != "_part"]
-    first = F.min_by(F.struct(*rest), "_part")
+    first = F.min(F.struct("_part", (-score_of()).alias("_s"), *rest))
     return rows.groupBy(*keys).agg(first.alias("_f")).select(*keys, "_f.*").select(*parts[0].columns)
 
 

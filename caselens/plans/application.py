@@ -683,7 +683,7 @@ QUERIES |= {
         ),
     ),
     "variant_sources": (variant_sources, _sql("SELECT query_id, source_type, source_id, max(s) AS score FROM (SELECT * FROM va UNION ALL SELECT * FROM vb) GROUP BY ALL", _VARIANTS)),
-    "first_sources": (first_sources, _sql("SELECT query_id, source_id, arg_min(s, part) AS score FROM (SELECT * FROM va UNION ALL SELECT * FROM vb) GROUP BY ALL", _VARIANTS)),
+    "first_sources": (first_sources, _sql("SELECT query_id, source_id, s AS score FROM (SELECT * FROM va UNION ALL SELECT * FROM vb) QUALIFY row_number() OVER (PARTITION BY query_id, source_id ORDER BY part, s DESC) = 1", _VARIANTS)),
     "merged_sources": (
         merged_sources,
         _sql(

@@ -1,10 +1,11 @@
-"""Small stated tables for what no driver table holds (Japanese texts, products, versions), with the rows they must give.
-
-Each query runs an operator over a few rows made by hand; its SQL states the expected rows.
-"""
+"""Operators over a few rows made by hand, for what no driver table holds (Japanese texts, products, versions), with the rows
+they must give."""
 
 from __future__ import annotations
 
+import hashlib
+
+import pytest
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -181,22 +182,11 @@ def folded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", fold(F.col("text")).alias("folded"))
 
 
-def _values(names: str, rows: list[tuple]) -> str:
-    def literal(v) -> str:
-        if v is None:
-            return "NULL"
-        if isinstance(v, float):
-            return f"{v}::DOUBLE"
-        return str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
-
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) t({names})"
-
-
-QUERIES = {
-    "coverage_cases": (coverage_cases, _values("query_id, pick, candidate_id", [(k, i, c) for k, v in SELECTION.items() for i, c in enumerate(v[3], 1)])),
+CASES = {
+    "coverage_cases": (coverage_cases, ("query_id, pick, candidate_id", [(k, i, c) for k, v in SELECTION.items() for i, c in enumerate(v[3], 1)])),
     "coverage_outcomes": (
         coverage_outcomes,
-        _values(
+        (
             "query_id, missing, statuses, warnings, redundant",
             [
                 ("repeats", "", "CoverageSatisfied", "", 0),
@@ -214,26 +204,26 @@ QUERIES = {
             ],
         ),
     ),
-    "answer_cases": (answer_cases, _values("id, decision, unsupported_claims", [(a[0], a[4], a[5]) for a in ANSWERS])),
-    "negation_cases": (negation_cases, _values("id, kept, excluded", [(1, "Streamの設定。 不要", "License|Eclipse"), (2, "改行\n 手順", "Backup"), (3, "普通の文", ""), (4, "", "")])),
+    "answer_cases": (answer_cases, ("id, decision, unsupported_claims", [(a[0], a[4], a[5]) for a in ANSWERS])),
+    "negation_cases": (negation_cases, ("id, kept, excluded", [(1, "Streamの設定。 不要", "License|Eclipse"), (2, "改行\n 手順", "Backup"), (3, "普通の文", ""), (4, "", "")])),
     "redaction_cases": (
         redaction_cases,
-        _values("id, text", [(1, "mail [メールアドレス] or [電話番号]"), (2, "[Windowsパス] and [APIキー]"), (3, "[APIキー], [APIキー]"), (4, "12345 stays, [電話番号] not")]),
+        ("id, text", [(1, "mail [メールアドレス] or [電話番号]"), (2, "[Windowsパス] and [APIキー]"), (3, "[APIキー], [APIキー]"), (4, "12345 stays, [電話番号] not")]),
     ),
     "fullwidth_search": (
         fullwidth_search,
-        _values("mode, query_id, document_id, rank", [("none", 1, 1, 1), ("none", 1, 2, 2), ("none", 2, 3, 1), ("product", 1, 1, 1), ("product", 1, 2, 2), ("product", 2, 3, 1), ("product_and_version", 1, 1, 1), ("product_and_version", 2, 3, 1)]),
+        ("mode, query_id, document_id, rank", [("none", 1, 1, 1), ("none", 1, 2, 2), ("none", 2, 3, 1), ("product", 1, 1, 1), ("product", 1, 2, 2), ("product", 2, 3, 1), ("product_and_version", 1, 1, 1), ("product_and_version", 2, 3, 1)]),
     ),
-    "japanese_search": (japanese_search, _values("query_id, id, strong, told", [(1, 1, True, True), (1, 2, False, True), (2, 3, True, True)])),
-    "procedure_boosts": (procedure_boosts, _values("id, boost", [(1, 0.22), (2, 0.34), (3, 0.0), (4, 0.0), (5, 0.22), (6, 0.34)])),
-    "japanese_questions": (japanese_questions, _values("id, normal", [(1, "のcct生成 に失敗"), (2, "のcct & qacli"), (3, "")])),
-    "technical_diffs": (technical_diffs, _values("id, removed, added", [(1, "c:\\a\\b.txt|hf-12|qac-404", "/opt/qac/bin|5 mb|qacli analyze"), (2, "", "")])),
-    "reply_cases": (reply_cases, _values("id, reply, warnings", [(1, "[内部パス削除] を [根拠ID削除] で確認", "InternalPath,EvidenceId,InternalMemo"), (2, "問題ありません。", ""), (3, "", "")])),
-    "cell_cases": (cell_cases, _values("id, translate, reason", [(1, True, ""), (2, False, "formula"), (3, False, "blank"), (4, False, "not Japanese"), (5, False, "address")])),
-    "reply_json": (reply_json, _values("id, status, answer, confidence, evidence", [(1, "ok", "yes", 0.5, "a,b"), (2, "3", None, None, None), (3, None, None, None, None), (4, None, None, None, None)])),
+    "japanese_search": (japanese_search, ("query_id, id, strong, told", [(1, 1, True, True), (1, 2, False, True), (2, 3, True, True)])),
+    "procedure_boosts": (procedure_boosts, ("id, boost", [(1, 0.22), (2, 0.34), (3, 0.0), (4, 0.0), (5, 0.22), (6, 0.34)])),
+    "japanese_questions": (japanese_questions, ("id, normal", [(1, "のcct生成 に失敗"), (2, "のcct & qacli"), (3, "")])),
+    "technical_diffs": (technical_diffs, ("id, removed, added", [(1, "c:\\a\\b.txt|hf-12|qac-404", "/opt/qac/bin|5 mb|qacli analyze"), (2, "", "")])),
+    "reply_cases": (reply_cases, ("id, reply, warnings", [(1, "[内部パス削除] を [根拠ID削除] で確認", "InternalPath,EvidenceId,InternalMemo"), (2, "問題ありません。", ""), (3, "", "")])),
+    "cell_cases": (cell_cases, ("id, translate, reason", [(1, True, ""), (2, False, "formula"), (3, False, "blank"), (4, False, "not Japanese"), (5, False, "address")])),
+    "reply_json": (reply_json, ("id, status, answer, confidence, evidence", [(1, "ok", "yes", 0.5, "a,b"), (2, "3", None, None, None), (3, None, None, None, None), (4, None, None, None, None)])),
     "question_classes": (
         question_classes,
-        _values(
+        (
             "id, types, requested",
             [
                 (1, "LatestVersionQuestion", "LatestSastVersion,LatestEnginePackVersion"),
@@ -246,9 +236,18 @@ QUERIES = {
     ),
     "product_folders": (
         product_folders,
-        "SELECT id, CASE id WHEN 1 THEN 'QAC' WHEN 2 THEN 'a_b_c_' || substr(sha256('a/b:c'), 1, 8) WHEN 3 THEN 'Default' ELSE 'Product_' || substr(sha256('..'), 1, 8) END AS folder FROM (VALUES (1), (2), (3), (4)) t(id)",
+        ("id, folder", [(1, "QAC"), (2, "a_b_c_" + hashlib.sha256(b"a/b:c").hexdigest()[:8]), (3, "Default"), (4, "Product_" + hashlib.sha256(b"..").hexdigest()[:8])]),
     ),
-    "query_variants": (query_variants, _values("n, query", [(0, "Stream の設定"), (1, "ストリーム の設定")])),
-    "folded_texts": (folded_texts, _values("id, folded", [(1, "abc 1"), (2, "strasse école"), (3, "ガイド"), (4, "iv fi"), (5, None)])),
-    "upload_flags": (upload_flags, _values("id, flags, score", [(1, "ABCDEF", 0.75), (2, "G", 1.0), (3, "", 1.0), (4, "", 0.0)])),
+    "query_variants": (query_variants, ("n, query", [(0, "Stream の設定"), (1, "ストリーム の設定")])),
+    "folded_texts": (folded_texts, ("id, folded", [(1, "abc 1"), (2, "strasse école"), (3, "ガイド"), (4, "iv fi"), (5, None)])),
+    "upload_flags": (upload_flags, ("id, flags, score", [(1, "ABCDEF", 0.75), (2, "G", 1.0), (3, "", 1.0), (4, "", 0.0)])),
 }
+
+
+@pytest.mark.parametrize("name", sorted(CASES))
+def test_gives_the_stated_rows(spark, name):
+    function, (columns, want) = CASES[name]
+    got = function(spark, "")
+    assert got.columns == columns.split(", ")
+    plain = lambda rows: sorted(tuple(f"{v:.6g}" if isinstance(v, float) else str(v) for v in r) for r in rows)
+    assert plain(got.collect()) == plain(want)
