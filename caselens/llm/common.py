@@ -1,45 +1,19 @@
-"""What several operators share: scratch tables in the cluster's shared folder and distributed running totals."""
+"""What several operators share: scratch tables in the cluster's shared folder and distributed running totals.
 
-from __future__ import annotations
+What a Python worker holds of texts at a time is bounded by the bytes of an Arrow batch
+(``spark.sql.execution.arrow.maxBytesPerBatch``, 64 MB unless the caller sets it); no operator changes the session."""
 
-import tempfile
-import uuid
+from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Blocks that one super-block of ``running_total`` holds.
-BLOCKS_PER_SUPER = 512
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset a new one is set if all run
-    on one machine, as in tests; a cluster must name its own."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="caselens-shared-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
+from caselens.scratch import scratch_path, shared_dir, written
 
+__all__ = ["block_starts", "bucket_count", "keep_rows", "running_total", "scratch_path", "shared_dir", "written"]
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Sets the rows of an Arrow batch, and so what a Python worker holds of long texts and their results at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder."""
-    return f"{shared_dir(spark)}/caselens/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back: a lost executor costs no earlier work,
-    and values such as ``monotonically_increasing_id`` are fixed from here on."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Blocks that one super-block of ``running_total`` holds.
+BLOCKS_PER_SUPER = 512
 
 
 def bucket_count(rows: int, per_bucket: int = 1024) -> int:

@@ -81,6 +81,7 @@ def parse(source: str | None) -> Page:
     source, page = source or "", Page()
     root = page.add(-1, ["tag:#root"], None, False)
     stack: list[tuple[str, int]] = [("#root", root)]
+    opened: Counter[str] = Counter()  # names on the stack, so that a stray end tag is passed over without a search
     words: list[str] = []
     linked = in_link = 0
     at = 0
@@ -106,9 +107,12 @@ def parse(source: str | None) -> Page:
 
     def close(names: Iterable[str], scope: Iterable[str] = ()) -> bool:
         """Closes the innermost open block of one of the names, and all in it."""
+        if not any(opened[name] for name in names):
+            return False
         for i in range(len(stack) - 1, 0, -1):
             if stack[i][0] in names:
                 flush()
+                opened.subtract(name for name, _ in stack[i:])
                 del stack[i:]
                 return True
             if stack[i][0] in scope:
@@ -161,6 +165,7 @@ def parse(source: str | None) -> Page:
             node = page.add(stack[-1][1], features, None, label)
             if name not in VOID:
                 stack.append((name, node))
+                opened[name] += 1
     flush()
     return page
 

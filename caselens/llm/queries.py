@@ -7,11 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import audio, chat, exact_dedup, filter_audit, html_main, langid, mixing, packing, quality_rff, sharding, simhash, spelling, warc
-from .common import bounded_batches, scratch_path
+from .common import scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -64,15 +63,15 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spelling.report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return spelling.report(table(spark, sf_dir, "documents"))
 
 
 def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rff.report(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_rff.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_audit.report(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return filter_audit.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

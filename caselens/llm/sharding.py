@@ -3,7 +3,8 @@
 The sort key of a row is one long: 12 bits of the text's MD5, then 48 bits of the MD5 of its doc_id. Equal texts so lie
 in one narrow range of keys, and a group of copies of any size still has as many keys as rows. Rounds of exact counts
 find the splitters: each round counts the bytes of the cells that a target falls into, over 4096 finer probes a cell,
-until a cell holds no more than the tolerance or a single key. One exchange then puts the rows in order.
+until a cell holds no more than the tolerance or a single key. One exchange of the rows, by shard and cell of keys, then
+numbers each shard's rows in the order of their keys; a file may hold cells of several shards.
 
 Defined cases: size is the UTF-8 bytes of the text plus 8 (a null text has none, and CRC-32 0); a null doc_id has a key
 of its own; rows that repeat a doc_id and text share a key and stay in one shard, in any order; an empty table gives an

@@ -95,3 +95,12 @@ def test_report(spark):
     got = [tuple(r) for r in h.report(pages).orderBy("page_id").collect()]
     assert got == [(1, "u", "One title\n\nTwo words, é.", 24)] * 2 + [(2, None, "", 0)]
     assert h.report(pages.limit(0)).count() == 0
+
+
+def test_stray_end_tags_are_passed_over():
+    """100,000 end tags without an open element under 100,000 open ones: no search of the stack for each."""
+    import time
+
+    began = time.perf_counter()
+    page = h.parse("<div>" * 100_000 + "words" + "</table></ul>" * 100_000)
+    assert len(page.parent) > 100_000 and time.perf_counter() - began < 20

@@ -4,7 +4,8 @@ import random
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from caselens.llm import mixing, packing
+from caselens.llm import mixing, packing, simhash
+from caselens.llm.common import written
 
 
 def by_hand(rows):
@@ -62,3 +63,81 @@ def test_run_follows_the_mixing_plan(spark, tmp_path, monkeypatch):
     assert all(p["lang_pred"] == "en" and 0 < p["score"] <= 1 for p in pieces)
     unmixed = {tuple(p[c] for c in names) for p in packing.pack(table.filter("doc_id < 901")).collect()}
     assert got != unmixed
+
+
+def lowered(text):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+
+
+def kept_by_hand(rows):
+    """The (doc_id, text, source) that the first three stages keep."""
+    rows = [r for r in rows if any(map(str.isalpha, r[1] or ""))]
+    best = {}
+    for r in rows:
+        if lowered(r[1]) not in best or r[0] > best[lowered(r[1])][0]:
+            best[lowered(r[1])] = r
+    rows = list(best.values())
+    prints = [simhash.fingerprint(r[1]) for r in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for k in range(i):
+            if ((prints[i] ^ prints[k]) & (2**64 - 1)).bit_count() <= simhash.DISTANCE:
+                a, b = group[i], group[k]
+                group = [min(a, b) if g in (a, b) else g for g in group]
+    least = {}
+    for r, g in zip(rows, group, strict=True):
+        least[g] = min(least.get(g, r), r)
+    return sorted(least.values())
+
+
+def cases():
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(2, 9))) for _ in range(3000)]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    rows = [(i, text(rng.choice([1, 30, 300])), rng.choice(["a", "a", "b", None])) for i in range(120)]
+    rows += [(200, None, "a"), (201, "", "b"), (202, " \n ", None), (203, "12 + 34", "a")]
+    rows += [(300 + i, rows[i][1].upper(), "b") for i in range(10)] + [rows[20], rows[20]]  # exact copies, repeated rows
+    for i in range(8):  # near copies: one word in 300 differs
+        near = text(300).split(" ")
+        rows += [(400 + 3 * i + k, " ".join([*near[: 50 * k], f"new{k}", *near[50 * k + 1 :]]), "a") for k in range(3)]
+    return rows + [(500, text(30_000), "b"), (501, "é" * 5000, "a")]
+
+
+def test_nulls_copies_repeated_rows_long_texts_and_clashing_columns(spark, tmp_path):
+    rows = cases()
+    kept = kept_by_hand(rows)
+    assert len(kept) <= len({r[0] for r in rows}) - 20
+    schema = "doc_id long, text string, source string, lang string, score string, mix_position string, digest int, row int, fp int, kept int"
+    table = spark.createDataFrame([(*r, "en" if r[0] % 7 else None, "x", "y", 1, 2, 3, 4) for r in rows], schema)
+    table.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    docs, columns = spark.read.parquet(f"{tmp_path}/documents.parquet"), None
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, str(tmp_path)), name)
+        assert {c for c, _ in schema_of(table)} <= set(docs.columns) and len(set(docs.columns)) == len(docs.columns)
+        if name in ("exact_dedup", "simhash_dedup"):
+            assert docs.columns == columns
+        columns = docs.columns
+        if name == "simhash_dedup":
+            assert sorted((r.doc_id, r.text, r.source) for r in docs.collect()) == kept
+            assert {(r.digest, r.row, r.fp, r.kept) for r in docs.collect()} == {(1, 2, 3, 4)}
+    names = ["doc_id", "start", "length", "window", "sequence_id", "offset"]
+    pieces = [tuple(p[c] for c in names) for p in corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()]
+    assert len(set(pieces)) == len(pieces) and set(pieces) == by_hand(kept)
+
+
+def schema_of(table):
+    return table.dtypes
+
+
+def test_empty_table_and_rows_without_doc_id(spark, tmp_path):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions")}
+    schema = "doc_id long, text string, source string, lang string"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+    rows = [(None, "the same words", "a", "en"), (None, "the same words", "a", "en"), (None, "other things said here", None, None), (1, "The Same Words", "a", "en")]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/some/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/some/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, ""), name)
+    assert sorted((str(r.doc_id), r.text) for r in docs.collect()) == [("1", "The Same Words"), ("None", "other things said here")]
+    assert before == {k: spark.conf.get(k) for k in before}
