@@ -56,6 +56,12 @@ def fold(text: Column) -> Column:
     return F.when(text.isNull(), text).when(plain, F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))).otherwise(nfkc_casefold(F.when(~plain, text)))
 
 
+def composed(text: Column) -> Column:
+    """NFKC form. Texts that are in it, which their characters tell, stay in the JVM."""
+    plain = text.rlike(PLAIN)
+    return F.when(text.isNull() | plain, text).otherwise(nfkc(F.when(~plain, text)))
+
+
 def tokens(folded: Column) -> Column:
     """Tokens of a folded text, repeats kept; a Japanese token is followed by its 2-grams and 3-grams."""
     found = F.regexp_extract_all(folded, F.lit(f"({TOKEN})"), 1)

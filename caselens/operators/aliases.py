@@ -2,12 +2,8 @@
 
 A catalog has the columns dimension (products, components, ...), name and alias. Aliases are folded by NFKC and case, with
 white space joined, as the texts are. One that begins and ends with an ASCII letter or digit must stand between other
-characters than these; any other is found wherever it stands. Of the aliases, and their names, each is compared once.
-
-A small catalog, whose bytes are summed first, is compiled once a task to an automaton that reads each text once, however
-many aliases there are. A larger one is never sent anywhere whole: places of texts where an alias may begin are joined
-with the aliases by their first characters, in the cluster. Both plans give the same rows, and neither grows in steps
-with the catalog.
+characters than these; any other is found wherever it stands. Of the aliases, and their names, each is compared once, in
+one pass over the texts (``containment``), whose plan does not grow with the catalog.
 
 Defined cases: null texts, names and aliases, and blank ones, name nothing; a null key is kept; repeated rows of the texts
 give repeated rows; an empty table or catalog gives an empty result; other columns of both are not read.
@@ -15,19 +11,14 @@ give repeated rows; an empty table or catalog gives an empty result; other colum
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caselens.functions.text import fold
 from caselens.scratch import written
 
-#: Bytes of the aliases up to which they are sent to all tasks (their automaton takes some thirty times that).
-BYTES = 4 << 20
-#: Characters by which places of a text are joined with aliases where the catalog is larger.
-PREFIX = 6
+from . import containment
+
 CATALOG = "dimension string, name string, alias string"
 
 
@@ -44,73 +35,18 @@ def entries(catalog: DataFrame, itself: bool = True) -> DataFrame:
     return rows.withColumn("alias", comparable(F.col("alias"))).filter("alias <> ''").distinct()
 
 
-def _bounded(alias: str) -> bool:
-    ends = alias[0] + alias[-1]
-    return ends.isascii() and ends.isalnum()
-
-
-def _inside(c: str) -> bool:
-    return c.isascii() and c.isalnum()
-
-
-def _by_automaton(texts: DataFrame, known: list[tuple[str, str, str]]) -> DataFrame:
-    """(_id, dimension, name) for texts (_id, text), with an automaton over ``known``."""
-
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        who: dict[str, list[int]] = {}
-        for i, (_, _, alias) in enumerate(known):
-            who.setdefault(alias, []).append(i)
-        for alias, rows in who.items():
-            automaton.add_word(alias, (len(alias), _bounded(alias), rows))
-        automaton.make_automaton()
-        for batch in batches:
-            ids, found = [], []
-            for key, text in zip(batch["_id"], batch["text"], strict=True):
-                hits: set[int] = set()
-                for end, (size, bounded, rows) in automaton.iter(text) if who else ():
-                    if bounded and (end - size >= 0 and _inside(text[end - size]) or end + 1 < len(text) and _inside(text[end + 1])):
-                        continue
-                    hits.update(rows)
-                named = sorted({known[i][:2] for i in hits})
-                ids += [key] * len(named)
-                found += named
-            yield pd.DataFrame({"_id": pd.Series(ids, dtype="int64"), "dimension": pd.Series([d for d, _ in found], dtype=object), "name": pd.Series([n for _, n in found], dtype=object)})
-
-    return texts.mapInPandas(find, "_id long, dimension string, name string")
-
-
-def _by_join(texts: DataFrame, aliases: DataFrame) -> DataFrame:
-    """The same with ``aliases`` (written) as a table: places of the texts meet aliases by their first characters."""
-    bounds = aliases.agg(F.max(F.char_length("alias")), F.collect_set(F.least(F.char_length("alias"), F.lit(PREFIX)))).first()
-    longest, sizes = bounds[0], sorted(bounds[1])  # at most PREFIX sizes
-    plain = r"^[a-z0-9](?:.*[a-z0-9])?$"
-    keyed = aliases.select("*", F.substring("alias", 1, PREFIX).alias("_head"), F.col("alias").rlike(plain).alias("_bounded"))
-    # each place with the character before it and as many as the longest alias has, and one more
-    places = F.transform(F.sequence(F.lit(1), F.char_length("text")), lambda i: F.substr(F.concat(F.lit(" "), F.col("text"), F.lit(" ")), i, F.lit(longest + 2)))
-    each = texts.filter("text <> ''").select("_id", F.explode(places).alias("_place"))
-    heads = F.array_distinct(F.array(*(F.substring("_place", 2, n) for n in sizes)))
-    each = each.select("_id", "_place", F.explode(heads).alias("_head"))
-    joined = each.join(keyed, "_head").filter(F.substring(F.col("_place"), F.lit(2), F.char_length("alias")) == F.col("alias"))
-    outside = lambda at: ~F.substring(F.col("_place"), at, F.lit(1)).rlike("[a-z0-9]")
-    stands = ~F.col("_bounded") | (outside(F.lit(1)) & outside(F.char_length("alias") + 2))
-    return joined.filter(stands).select("_id", "dimension", "name").distinct()
-
-
-def mentions(rows: DataFrame, key: str, text: str, catalog: DataFrame, itself: bool = True, most: int = BYTES) -> DataFrame:
+def mentions(rows: DataFrame, key: str, text: str, catalog: DataFrame, itself: bool = True, most: int = containment.BYTES) -> DataFrame:
     """(key, dimension, name): what each text names, each name once a row. Beyond ``most`` bytes of aliases the catalog is
     joined, not sent."""
     aliases = written(entries(catalog, itself), "aliases")
-    size = aliases.agg(F.sum(F.octet_length("alias") + F.octet_length("name") + F.octet_length("dimension"))).first()[0] or 0
-    ids = written(rows.select(F.col(key).alias("_key"), comparable(F.col(text)).alias("text"), F.monotonically_increasing_id().alias("_id")), "texts")
-    texts = ids.select("_id", "text")
-    found = _by_automaton(texts, [tuple(r) for r in aliases.toLocalIterator()]) if size <= most else _by_join(texts, aliases)
-    return ids.select("_id", F.col("_key").alias(key)).join(found, "_id").drop("_id")
+    terms = aliases.select(F.col("alias").alias("term"), F.col("alias").rlike(r"(?s)^[a-z0-9](?:.*[a-z0-9])?$").alias("bounded")).distinct()
+    ids = written(rows.select(F.col(key).alias("_own"), comparable(F.col(text)).alias("text"), F.monotonically_increasing_id().alias("_key")), "texts")
+    hits = containment.found(ids.select("_key", "text"), terms, most)
+    named = hits.join(aliases, hits["term"] == aliases["alias"]).select("_key", "dimension", "name").distinct()
+    return ids.select("_key", F.col("_own").alias(key)).join(named, "_key").drop("_key")
 
 
-def profiled(rows: DataFrame, key: str, text: str, catalog: DataFrame, dimensions: list[str], itself: bool = True, most: int = BYTES) -> DataFrame:
+def profiled(rows: DataFrame, key: str, text: str, catalog: DataFrame, dimensions: list[str], itself: bool = True, most: int = containment.BYTES) -> DataFrame:
     """``rows``, whose ``key`` names each once, with one array of names (sorted) for each dimension."""
     found = mentions(rows, key, text, catalog, itself, most)
     lists = [F.array_sort(F.collect_set(F.when(F.col("dimension") == d, F.col("name")))).alias(d) for d in dimensions]

@@ -1,16 +1,13 @@
 """Keyword, BM25, vector and fused retrieval over chunks.
 
-Chunks are rows (document_id, chunk_index, text); queries are rows (query_id, query), a stated set. Only terms of the
-queries are counted, so what is shuffled is far less than the corpus; ranks keep the best per query on the map side.
-Scores are rounded to six places before they are ranked, and ties go by document and chunk.
+Chunks are rows (document_id, chunk_index, text); queries are rows (query_id, query), a stated set. Chunks are folded and
+tokenised once, as an index that all searches and rerankers share; a search reads it once for all queries (``scoring``) and
+keeps the best of each while a task runs. Scores are rounded to six places before they are ranked, and ties go by document and chunk.
 """
 
 from __future__ import annotations
 
-import hashlib
-import math
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,39 +16,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caselens.functions.text import fold, tokenise, tokens
+from caselens.functions.text import fold, tokens
 from caselens.scratch import small, written
 
-K1, B = 1.5, 0.75
-PLACES = 6
+from . import scoring
+from .scoring import K1, PLACES, B
+
 #: Rows of the query matrix that one pass over the corpus takes.
 QUERY_BLOCK = 4096
 
 
 def with_terms(chunks: DataFrame) -> DataFrame:
-    """``chunks`` with their terms and length (terms, repeats counted)."""
-    return chunks.withColumn("terms", tokens(fold(F.col("text")))).withColumn("length", F.size("terms"))
+    """``chunks`` with their folded text, terms and length (terms, repeats counted)."""
+    folded = chunks.withColumn("folded", fold(F.col("text")))
+    return folded.withColumn("terms", tokens(F.col("folded"))).withColumn("length", F.size("terms"))
 
 
-def indexed(chunks: DataFrame) -> DataFrame:
-    """(document_id, chunk_index, terms, length) of ``chunks``, tokenised and written once; an index is given back as it
-    is, so several searches can share one."""
+def indexed(chunks: DataFrame, tag: str | None = None) -> DataFrame:
+    """(tag, document_id, chunk_index, folded, terms, length) of ``chunks``, folded and tokenised and written once; an index is
+    given back as it is, so several searches and rerankers can share one."""
     if "terms" in chunks.columns:
         return chunks
-    return written(with_terms(chunks).select("document_id", "chunk_index", "terms", "length"), "index")
-
-
-def query_terms(queries: DataFrame) -> DataFrame:
-    """(query_id, term, query_tf, query_size): the terms of each query, and how many different ones it has."""
-    terms = queries.select("query_id", F.explode(tokens(fold(F.col("query")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("query_tf"))
-    return terms.withColumn("query_size", F.count("*").over(Window.partitionBy("query_id")))
-
-
-def matches(index: DataFrame, terms: DataFrame) -> DataFrame:
-    """(document_id, chunk_index, length, term, tf) for the terms that occur in a query, written once."""
-    each = indexed(index).select("document_id", "chunk_index", "length", F.explode("terms").alias("term"))
-    each = each.join(small(terms.select("term").distinct()), "term", "left_semi")
-    return written(each.groupBy("document_id", "chunk_index", "length", "term").agg(F.count("*").alias("tf")), "matches")
+    return written(with_terms(chunks).select(*([tag] if tag else []), "document_id", "chunk_index", "folded", "terms", "length"), "index")
 
 
 def ranked(scores: DataFrame, top: int) -> DataFrame:
@@ -62,71 +48,28 @@ def ranked(scores: DataFrame, top: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, found: DataFrame | None = None) -> DataFrame:
-    """(query_id, document_id, chunk_index, score) of every chunk that shares a term. Document frequencies and lengths
-    are those of all ``chunks`` (or their index): filter afterwards. ``found``: the ``matches`` if at hand."""
-    index = indexed(chunks)
-    terms = written(query_terms(queries), "terms")
-    found = matches(index, terms) if found is None else found
-    total, mean = index.agg(F.count("*"), F.avg("length")).first()
-    idf = F.log(1 + (F.lit(total or 0) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = written(found.groupBy("term").agg(F.count("*").alias("df")).select("term", idf.alias("idf")).join(terms, "term"), "weights")
-    joined = found.join(small(weights), "term")
-    below = F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(mean or 1.0))
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / below * F.col("query_tf")
-    scores = joined.groupBy("query_id", "document_id", "chunk_index").agg(F.round(F.sum(part), PLACES).alias("score"))
-    return scores.filter("score > 0")
+def bm25(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, top: int | None = None) -> DataFrame:
+    """(query_id, document_id, chunk_index, score) of every chunk that shares a term, or with ``top`` of no fewer than the best.
+    Document frequencies and lengths are those of all ``chunks`` (or their index): filter afterwards."""
+    return scoring.scored(indexed(chunks), queries, ("bm25",), top=top, k1=k1, b=b).withColumnRenamed("bm25", "score")
 
 
-def keyword(chunks: DataFrame, queries: DataFrame, found: DataFrame | None = None) -> DataFrame:
+def keyword(chunks: DataFrame, queries: DataFrame, top: int | None = None) -> DataFrame:
     """(query_id, document_id, chunk_index, score): share of the query's terms, a bonus for their frequency, and one
-    for the whole query as a phrase. A phrase can hide its first and last term in longer ones but no other, so only
-    chunks with all terms but two are searched for it. ``found``: the ``matches`` if at hand."""
-    terms = written(query_terms(queries), "terms")
-    found = matches(chunks, terms) if found is None else found
-    sums = written(
-        found.join(small(terms), "term")
-        .groupBy("query_id", "document_id", "chunk_index")
-        .agg(F.count("*").alias("matched"), F.max("query_size").alias("query_size"), F.sum(F.log1p("tf")).alias("logs")),
-        "sums",
-    )
-    phrase = queries.select("query_id", F.trim(fold(F.col("query"))).alias("phrase"))
-    near = written(sums.filter("matched >= query_size - 2").select("query_id", "document_id", "chunk_index"), "near")
-    texts = chunks.join(small(near.select("document_id", "chunk_index").distinct()), ["document_id", "chunk_index"], "left_semi")
-    texts = texts.select("document_id", "chunk_index", fold(F.col("text")).alias("folded"))
-    near = near.join(small(phrase), "query_id").join(texts, ["document_id", "chunk_index"])
-    near = near.filter(F.contains("folded", "phrase") & (F.col("phrase") != "")).select("query_id", "document_id", "chunk_index", F.lit(0.25).alias("bonus"))
-    out = sums.join(near, ["query_id", "document_id", "chunk_index"], "left")
-    score = F.col("matched") / F.col("query_size") + 0.05 * F.col("logs") / F.greatest(F.lit(1), F.col("query_size")) + F.coalesce("bonus", F.lit(0.0))
-    return out.select("query_id", "document_id", "chunk_index", F.round(score, PLACES).alias("score"))
+    for the whole query as a phrase."""
+    return scoring.scored(indexed(chunks), queries, ("keyword",), top=top).withColumnRenamed("keyword", "score")
 
 
 def hash_embedder(dimensions: int = 256):
-    """A column function from a text to a unit vector of its terms by feature hashing: the first 8 bytes of a term's SHA-256, modulo
-    ``dimensions``, pick the place, the low bit of the ninth the sign, 1 + ln(count) the weight; all zero without terms.
-    Another provider is any function from a column of texts to a column of arrays of one width."""
-    if dimensions < 16:
-        raise ValueError("dimensions must be at least 16")
+    """A column function from a text to the unit vector of its terms by feature hashing (``scoring.Hashed``). Another provider is
+    any function from a column of texts to a column of arrays of one width."""
+    scoring.Hashed(dimensions)
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        places: dict[str, tuple[int, float]] = {}
-
-        def one(text: str | None) -> np.ndarray:
-            out = np.zeros(dimensions)
-            for term, count in Counter(tokenise(text)).items():
-                if term not in places:
-                    digest = hashlib.sha256(term.encode()).digest()
-                    if len(places) > 200_000:
-                        places.clear()
-                    places[term] = (int.from_bytes(digest[:8], "big") % dimensions, 1.0 if digest[8] & 1 else -1.0)
-                at, sign = places[term]
-                out[at] += sign * (1 + math.log(count))
-            norm = math.sqrt(float(out @ out))
-            return out / norm if norm else out
-
+        hashed = scoring.Hashed(dimensions)
         for batch in batches:
-            yield batch.map(one)
+            yield batch.map(lambda t: hashed.vector(scoring.counted(t)))
 
     return embed
 
@@ -139,25 +82,23 @@ def embedded(chunks: DataFrame, dimensions: int = 256) -> DataFrame:
 def nearest(vectors: DataFrame, queries: DataFrame, top: int, places: int = PLACES, ids: tuple[str, ...] = ("id",)) -> DataFrame:
     """(query_id, ids..., score, rank): the ``top`` vectors of the greatest cosine for each query, exactly. ``vectors`` has
     ``ids`` (whole numbers that name a row together) and vector, ``queries`` (query_id, vector). Blocks of the queries, a
-    stated set, go to the tasks as a matrix; each batch of vectors is multiplied once and keeps its best, which one window
+    stated set, go to the tasks as a matrix; a task multiplies each batch of vectors once and keeps its best, which one window
     per query then merges."""
     kinds = ", ".join(f"{c} long" for c in ids)
 
     def search(block: list) -> DataFrame:
         names = np.array([r[0] for r in block], np.int64)
-        matrix = _unit(np.array([r[1] for r in block], np.float64))
+        matrix = scoring.unit(np.array([r[1] for r in block], np.float64))
 
         def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            kept = scoring.Best(len(names), top, positive=False)
             for batch in batches:
-                if not len(batch):
-                    continue
-                own = [batch[c].to_numpy(np.int64) for c in ids]
-                scores = np.round(_unit(np.stack(batch["vector"].to_numpy()).astype(np.float64)) @ matrix.T, places)
-                found = []
-                for q in range(len(names)):
-                    order = np.lexsort((*own[::-1], -scores[:, q]))[:top]
-                    found.append(pd.DataFrame({"query_id": names[q], **{c: x[order] for c, x in zip(ids, own, strict=True)}, "score": scores[order, q]}))
-                yield pd.concat(found)
+                if len(batch):
+                    own = [batch[c].to_numpy(np.int64) for c in ids]
+                    kept.add(np.round(scoring.unit(np.stack(batch["vector"].to_numpy()).astype(np.float64)) @ matrix.T, places), own)
+            if kept.rows is not None:
+                q, scores, *own = kept.rows
+                yield pd.DataFrame({"query_id": names[q], **dict(zip(ids, own, strict=True)), "score": scores})
 
         return vectors.select(*ids, "vector").mapInPandas(best, f"query_id long, {kinds}, score double")
 
@@ -174,11 +115,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int, places: int = PLAC
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
 
 
-def _unit(rows: np.ndarray) -> np.ndarray:
-    norm = np.linalg.norm(rows, axis=1, keepdims=True)
-    return np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
-
-
 def fused(left: DataFrame, right: DataFrame, constant: int = 60) -> DataFrame:
     """Reciprocal-rank fusion of two ranked lists: (query_id, document_id, chunk_index, score)."""
     both = left.select("query_id", "document_id", "chunk_index", "rank").unionByName(right.select("query_id", "document_id", "chunk_index", "rank"))
@@ -186,15 +122,15 @@ def fused(left: DataFrame, right: DataFrame, constant: int = 60) -> DataFrame:
 
 
 def reranked(candidates: DataFrame, chunks: DataFrame, queries: DataFrame, top: int) -> DataFrame:
-    """The pool of max(20, 4 * ``top``) candidates ordered anew by base score, covered terms and the phrase. Only texts of
-    the pool are folded."""
+    """The pool of max(20, 4 * ``top``) candidates ordered anew by base score, covered terms and the phrase. ``chunks`` are the
+    chunks or their index; only those of the pool are read again."""
     pool = written(candidates.filter(F.col("rank") <= max(20, 4 * top)), "pool")
     base = F.col("score") / F.coalesce(F.nullif(F.max("score").over(Window.partitionBy("query_id")), F.lit(0.0)), F.lit(1.0))
     asked = queries.select("query_id", fold(F.col("query")).alias("asked")).select("query_id", F.array_distinct(tokens(F.col("asked"))).alias("asked"), F.trim("asked").alias("phrase"))
-    text = chunks.join(small(pool.select("document_id", "chunk_index").distinct()), ["document_id", "chunk_index"], "left_semi")
-    text = text.select("document_id", "chunk_index", fold(F.col("text")).alias("folded"))
+    wanted = chunks.join(small(pool.select("document_id", "chunk_index").distinct()), ["document_id", "chunk_index"], "left_semi")
+    text = (wanted if "terms" in chunks.columns else with_terms(wanted)).select("document_id", "chunk_index", "folded", "terms")
     rows = pool.withColumn("base", base).join(small(asked), "query_id").join(text, ["document_id", "chunk_index"])
-    covered = F.when(F.size("asked") > 0, F.size(F.array_intersect("asked", tokens(F.col("folded")))) / F.size("asked")).otherwise(0.0)
+    covered = F.when(F.size("asked") > 0, F.size(F.array_intersect("asked", "terms")) / F.size("asked")).otherwise(0.0)
     phrase = F.when((F.col("phrase") != "") & F.contains("folded", "phrase"), 0.1).otherwise(0.0)
     scored = rows.select("query_id", "document_id", "chunk_index", F.round(0.7 * F.col("base") + 0.3 * covered + phrase, PLACES).alias("score"))
     return ranked(scored, top)

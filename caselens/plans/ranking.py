@@ -22,7 +22,7 @@ def _scratch(spark: SparkSession) -> str:
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best chunks of each query by BM25 with their texts and scores relative to the best."""
     rows, queries = chunks(spark, sf_dir), asked(spark, sf_dir)
-    best = written(retrieval.ranked(retrieval.bm25(rows, queries), 20), "candidates")
+    best = written(retrieval.ranked(retrieval.bm25(rows, queries, top=20), 20), "candidates")
     rows = rows.join(small(best.select("document_id", "chunk_index").distinct()), ["document_id", "chunk_index"], "left_semi")
     found = best.join(rows, ["document_id", "chunk_index"]).join(queries, "query_id")
     source = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "source", "lang")
@@ -75,7 +75,7 @@ def evidence_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hybrid_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword (relative BM25) and semantic (hashed vectors) scores of the fifty best chunks of each."""
-    words = retrieval.ranked(retrieval.bm25(chunks(spark, sf_dir), asked(spark, sf_dir)), POOL)
+    words = retrieval.ranked(retrieval.bm25(chunks(spark, sf_dir), asked(spark, sf_dir), top=POOL), POOL)
     words = words.withColumn("keyword", F.round(F.col("score") / F.max("score").over(Window.partitionBy("query_id")), 6)).drop("score", "rank")
     vectors = _hash_ranks(spark, sf_dir, POOL).select("query_id", "document_id", "chunk_index", F.col("score").alias("semantic"))
     both = words.join(vectors, ["query_id", "document_id", "chunk_index"], "left")

@@ -50,17 +50,20 @@ def heading_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = retrieval.with_terms(chunks(spark, sf_dir)).select("document_id", "chunk_index", F.explode("terms").alias("term"))
-    counts = each.groupBy("document_id", "chunk_index", "term").agg(F.count("*").alias("tf"))
-    return counts.groupBy("term").agg(F.count("*").alias("chunk_frequency"), F.sum("tf").alias("total_frequency"))
+    """A chunk is one row, so its terms are counted within it: a sorted array's runs end where the next term differs."""
+    rows = retrieval.with_terms(chunks(spark, sf_dir)).select(F.array_sort("terms").alias("t"))
+    ends = F.filter(F.sequence(F.lit(1), F.size("t")), lambda i: (i == F.size("t")) | (F.get("t", i) != F.get("t", i - 1)))
+    runs = rows.filter(F.size("t") > 0).withColumn("e", ends)
+    each = F.transform("e", lambda e, n: F.struct(F.get("t", e - 1).alias("term"), (e - F.coalesce(F.get("e", n - 1), F.lit(0))).alias("tf")))
+    return runs.select(F.inline(each)).groupBy("term").agg(F.count("*").alias("chunk_frequency"), F.sum("tf").alias("total_frequency"))
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.ranked(retrieval.bm25(chunks(spark, sf_dir), asked(spark, sf_dir)), TOP)
+    return retrieval.ranked(retrieval.bm25(chunks(spark, sf_dir), asked(spark, sf_dir), top=TOP), TOP)
 
 
 def keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.ranked(retrieval.keyword(chunks(spark, sf_dir), asked(spark, sf_dir)), TOP)
+    return retrieval.ranked(retrieval.keyword(chunks(spark, sf_dir), asked(spark, sf_dir), top=TOP), TOP)
 
 
 def _hash_ranks(spark: SparkSession, sf_dir: str, top: int) -> DataFrame:
@@ -80,21 +83,19 @@ def vector_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = retrieval.ranked(retrieval.bm25(chunks(spark, sf_dir), asked(spark, sf_dir)), POOL)
+    left = retrieval.ranked(retrieval.bm25(chunks(spark, sf_dir), asked(spark, sf_dir), top=POOL), POOL)
     return retrieval.ranked(retrieval.fused(left, _hash_ranks(spark, sf_dir, POOL)), TOP)
 
 
 def rerank_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, queries = chunks(spark, sf_dir), asked(spark, sf_dir)
-    return retrieval.reranked(retrieval.ranked(retrieval.bm25(rows, queries), 20), rows, queries, TOP)
+    rows, queries = retrieval.indexed(chunks(spark, sf_dir)), asked(spark, sf_dir)
+    return retrieval.reranked(retrieval.ranked(retrieval.bm25(rows, queries, top=20), 20), rows, queries, TOP)
 
 
 def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of BM25 and keyword search per query and K, as one table, over one index."""
-    rows, queries = chunks(spark, sf_dir), asked(spark, sf_dir)
-    index = retrieval.indexed(rows)
-    found = retrieval.matches(index, retrieval.query_terms(queries))
-    searches = {"bm25": retrieval.bm25(index, queries, found=found), "keyword": retrieval.keyword(rows, queries, found=found)}
+    index, queries = retrieval.indexed(chunks(spark, sf_dir)), asked(spark, sf_dir)
+    searches = {"bm25": retrieval.bm25(index, queries), "keyword": retrieval.keyword(index, queries)}
     scores = reduce(DataFrame.unionByName, [s.select(F.lit(name).alias("search_method"), "query_id", "document_id", "score") for name, s in searches.items()])
     expected = retrieval.containing(documents(spark, sf_dir), queries)
     return evaluation.scored_metrics(scores, expected, queries, [1, 3, 5], ["search_method"])

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from caselens.operators import cases, chunking, evaluation, facts, incremental, quality, retrieval, selection
-from caselens.plans import golden
+from test_stated_rows import CANDIDATE
 
 CHUNKS = "document_id long, chunk_index int, text string"
 
@@ -51,7 +51,7 @@ def test_metrics_look_at_the_whole_ranking(spark):
 
 
 def test_selection_without_candidates(spark):
-    empty = spark.createDataFrame([], golden.CANDIDATE)
+    empty = spark.createDataFrame([], CANDIDATE)
     required = spark.createDataFrame([("q", ["A"])], "query_id string, required_coverage array<string>")
     assert selection.coverage_selection(empty, required).count() == 0
 
