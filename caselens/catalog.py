@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caselens.plans import analytics, application, catalogs, inquiries, pages, ranking, reports, retrieval
+from caselens.plans import analytics, application, catalogs, grid, inquiries, pages, ranking, reports, retrieval
 
-MODULES = [retrieval, analytics, pages, ranking, application, reports, catalogs, inquiries]
+MODULES = [retrieval, analytics, pages, ranking, application, reports, catalogs, inquiries, grid]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

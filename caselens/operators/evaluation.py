@@ -38,11 +38,18 @@ def scored_metrics(scores: DataFrame, expected: DataFrame, queries: DataFrame, k
     best = written(scores.groupBy(*group, "document_id").agg(F.max("score").alias("score")), "scores")
     w = Window.partitionBy(*group).orderBy(F.desc("score"), "document_id")
     top = best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max(ks)).select(*group, "document_id", "rank")
+    return document_metrics(best, top, expected, queries, ks, keys)
+
+
+def document_metrics(best: DataFrame, top: DataFrame, expected: DataFrame, queries: DataFrame, ks: list[int], keys: list[str]) -> DataFrame:
+    """``query_metrics`` of the documents' best scores (keys..., query_id, document_id, score; written) and of the first of them
+    (keys..., query_id, document_id, rank)."""
+    group = [*keys, "query_id"]
     relevant = best.join(expected.distinct(), ["query_id", "document_id"], "left_semi")
     mark = relevant.groupBy(*group).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("document_id").alias("d"))).alias("_first"))
     before = F.struct((-F.col("score")).alias("s"), F.col("document_id").alias("d")) < F.col("_first")
     first = best.join(small(mark), group).groupBy(*group).agg((F.count_if(before) + 1).alias("first_relevant_rank"))
-    return _metrics(top, first, expected, queries, ks, keys, best)
+    return _metrics(top.select(*group, "document_id", "rank"), first, expected, queries, ks, keys, best)
 
 
 def query_metrics(ranked: DataFrame, expected: DataFrame, queries: DataFrame, ks: list[int], keys: list[str] | None = None) -> DataFrame:
@@ -82,16 +89,15 @@ def _metrics(ranked: DataFrame, first: DataFrame, expected: DataFrame, queries:
     )
 
 
+def means() -> list[Column]:
+    """The number of queries and the means of their metrics, to six places."""
+    named = {"precision_at_k": "mean_precision_at_k", "recall_at_k": "mean_recall_at_k", "reciprocal_rank": "mrr", "ndcg_at_k": "mean_ndcg_at_k"}
+    return [F.count("*").alias("query_count"), *(F.round(F.avg(c), 6).alias(name) for c, name in named.items())]
+
+
 def summary(metrics: DataFrame, keys: list[str]) -> DataFrame:
-    """Means over the queries for each configuration and K, to six places."""
-    mean = lambda c, name: F.round(F.avg(c), 6).alias(name)
-    return metrics.groupBy(*keys, "top_k").agg(
-        F.count("*").alias("query_count"),
-        mean("precision_at_k", "mean_precision_at_k"),
-        mean("recall_at_k", "mean_recall_at_k"),
-        mean("reciprocal_rank", "mrr"),
-        mean("ndcg_at_k", "mean_ndcg_at_k"),
-    )
+    """Means over the queries for each configuration and K."""
+    return metrics.groupBy(*keys, "top_k").agg(*means())
 
 
 def violations(minima: dict[str, float] = MINIMA, maxima: dict[str, int] = MAXIMA) -> Column:
