@@ -1,19 +1,26 @@
-"""What several operators share: scratch tables in the cluster's shared folder and distributed running totals.
-
-What a Python worker holds of texts at a time is bounded by the bytes of an Arrow batch
-(``spark.sql.execution.arrow.maxBytesPerBatch``, 64 MB unless the caller sets it); no operator changes the session."""
+"""What several operators share: scratch tables in the cluster's shared folder and distributed running totals."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caselens.scratch import scratch_path, shared_dir, written
 
-__all__ = ["block_starts", "bucket_count", "keep_rows", "running_total", "scratch_path", "shared_dir", "written"]
+__all__ = ["block_starts", "bounded_batches", "bucket_count", "keep_rows", "running_total", "scratch_path", "shared_dir", "written"]
 
 #: Blocks that one super-block of ``running_total`` holds.
 BLOCKS_PER_SUPER = 512
+#: The setting of the rows of an Arrow batch, and its default.
+BATCH_ROWS, DEFAULT_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Sets the rows of an Arrow batch for the session, and so what a Python worker holds of long texts and their results at a
+    time; a session in which the caller has set it is left as it is. A batch's bytes alone (64 MB) are not enough: Python's
+    texts and what is made of them take several times these."""
+    if spark.conf.get(BATCH_ROWS) == DEFAULT_ROWS:
+        spark.conf.set(BATCH_ROWS, str(rows))
 
 
 def bucket_count(rows: int, per_bucket: int = 1024) -> int:

@@ -130,7 +130,9 @@ def schema_of(table):
 
 
 def test_empty_table_and_rows_without_doc_id(spark, tmp_path):
-    before = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions")}
+    rows_set = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(rows_set, "77")
+    before = {k: spark.conf.get(k) for k in (rows_set, "spark.sql.shuffle.partitions")}
     schema = "doc_id long, text string, source string, lang string"
     spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
@@ -140,4 +142,5 @@ def test_empty_table_and_rows_without_doc_id(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = written(stage(spark, docs, ""), name)
     assert sorted((str(r.doc_id), r.text) for r in docs.collect()) == [("1", "The Same Words"), ("None", "other things said here")]
-    assert before == {k: spark.conf.get(k) for k in before}
+    assert before == {k: spark.conf.get(k) for k in before}, "what the caller sets is left"
+    spark.conf.unset(rows_set)
