@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caselens.functions.names import file_category, file_of, folder_parts
-from caselens.operators.incremental import merged
 
 # Limits of an archive (entries, bytes of one and of all, compression ratio) and kinds of files.
 MAX_ENTRIES, MAX_ENTRY, MAX_TOTAL, MAX_RATIO = 1000, 32 << 20, 256 << 20, 200
@@ -59,8 +58,8 @@ def kind(path: Column) -> Column:
 
 
 def read_notes(spark: SparkSession, folder: str, glob: str = "*.txt") -> DataFrame:
-    """(path, modified, text) of the files right in a folder, whatever their encoding, by path."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).orderBy("path")
+    """(path, modified, text) of the files right in a folder, whatever their encoding, by path; links are passed over."""
+    files = without_links(spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder), folder).orderBy("path")
     return files.select("path", F.col("modificationTime").alias("modified"), decoded("content").alias("text"))
 
 
@@ -91,17 +90,70 @@ def scan_case_folders(files: DataFrame) -> DataFrame:
     return found.groupBy("path", "_p").agg(F.max("modified").alias("modified")).select("path", "modified", "_p.*")
 
 
+def listed_folders(files: DataFrame) -> DataFrame:
+    """(path, modified): every folder above a listed file (path, modified), with the time of the last file below. Names are not
+    looked at."""
+    parts = F.split(F.regexp_replace("path", "/[^/]*$", ""), "/")
+    each = files.select("modified", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("path"))
+    return each.filter("path <> ''").groupBy("path").agg(F.max("modified").alias("modified"))
+
+
+#: A folder in the cache of a scan; record is null where the name is none of a case.
+SCANNED = "path string, modified timestamp, record struct<company:string,support_number:string,status:string,created_on:string,stamp:string>"
+
+
+def cached_scan(known: DataFrame, folders: DataFrame, parse=None) -> DataFrame:
+    """(path, modified, record, state) from the cache of the last scan and a listing of folders (path, modified). Folders whose
+    path and time are in the cache keep their record (state kept); only others reach ``parse``, a function from a path to a
+    record or null (parsed); those of the cache that the listing lacks are tombstones (gone). Without the tombstones the
+    rows are the next scan's cache; those with a record are its cases.
+
+    The listing is anti-joined before anything is parsed, so a scan costs what has changed. Repeated rows of the cache or
+    the listing count once; null times never match and are parsed again; an empty cache parses all, an empty listing leaves
+    tombstones alone."""
+    parse = parse or (lambda path: folder_parts(file_of(path)))
+    known, folders = known.dropDuplicates(["path", "modified"]), folders.dropDuplicates(["path"])
+    fresh = folders.join(known, ["path", "modified"], "left_anti").select("path", "modified", parse(F.col("path")).alias("record"), F.lit("parsed").alias("state"))
+    kept = known.join(folders, ["path", "modified"], "left_semi").select("path", "modified", "record", F.lit("kept").alias("state"))
+    gone = known.join(folders, "path", "left_anti").select("path", "modified", "record", F.lit("gone").alias("state"))
+    return fresh.unionByName(kept).unionByName(gone)
+
+
 def rescanned(known: DataFrame, files: DataFrame) -> DataFrame:
-    """``scan_case_folders`` that keeps the rows of ``known`` whose folder has not changed since."""
-    return merged(known, scan_case_folders(files), "path", "modified")
+    """The rows of ``scan_case_folders`` for a listing of files, with those of ``known`` (its last result) whose folder has not
+    changed since; names of unchanged folders are not parsed."""
+    record = F.struct(*[F.col(c) for c in known.columns if c not in ("path", "modified")])
+    found = cached_scan(known.select("path", "modified", record.alias("record")), listed_folders(files))
+    return found.filter("state <> 'gone' AND record IS NOT NULL").select("path", "modified", "record.*")
+
+
+def without_links(files: DataFrame, root: str) -> DataFrame:
+    """The listed files (path) that are no links and lie in no linked folder below the root. Only local paths can be links."""
+    import os
+    from urllib.parse import unquote, urlparse
+
+    top = urlparse(root).path or root
+
+    @F.pandas_udf(T.BooleanType())
+    def linked(paths: pd.Series) -> pd.Series:
+        seen: dict[str, bool] = {}
+
+        def test(path: str) -> bool:
+            if path not in seen:
+                seen[path] = len(path) > len(top.rstrip("/")) and (os.path.islink(path) or test(os.path.dirname(path)))
+            return seen[path]
+
+        return paths.map(lambda p: urlparse(p).scheme in ("", "file") and test(unquote(urlparse(p).path)))
+
+    return files.filter(~linked("path"))
 
 
 def read_manuals(spark: SparkSession, folders: list[str]) -> DataFrame:
-    """(path, modified, category, text) of all files under several folders, each once however often it is named; text is
-    null for what is not text."""
+    """(path, modified, category, text) of all files under several folders, each once however often it is named, by path; text
+    is null for what is not text."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(dict.fromkeys(folders)))
     rows = files.select("path", F.col("modificationTime").alias("modified"), file_category(F.col("path")).alias("category"), "content")
-    rows = rows.withColumn("_key", F.lower("path")).dropDuplicates(["_key"]).drop("_key")
+    rows = rows.withColumn("_key", F.lower("path")).dropDuplicates(["_key"]).orderBy("path").drop("_key")
     plain = kind(F.col("path")).isin("text", "web")
     return rows.select("path", "modified", "category", decoded(F.when(plain, F.col("content"))).alias("text"))
 

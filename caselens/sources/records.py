@@ -1,11 +1,18 @@
-"""JSON documents, evaluation cases and case indexes; index tables and reports as sinks."""
+"""JSON documents, evaluation cases and case indexes, with their faults as a table; reports as sinks."""
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from caselens.scratch import written
+
 # The metadata of a document and the columns of a summary.
 METADATA = (
     "product_id product_name support_id information_type document_name source_path target_version os error_code command "
@@ -54,16 +61,128 @@ def _pick(prefix: str, schema: T.StructType) -> list:
     return out
 
 
-def read_records(spark: SparkSession, path: str, root: str, schema: T.StructType, strict: bool = True) -> DataFrame:
-    """Rows of JSON files whose root is an array of records, one record, or an object that holds the array under
-    ``root``. Strict readers fail on a bad file, others skip it."""
+PIECE = "file string, place int, line int, column int, record string, error string"
+
+
+def _place(text: str, at: int) -> tuple[int, int]:
+    """The line and column, from 1, of a place in a text."""
+    return text.count("\n", 0, at) + 1, at - text.rfind("\n", 0, at)
+
+
+def _after_bad(text: str, at: int) -> int:
+    """Where the element of an array that begins at ``at`` and cannot be read ends: at the next comma or closing bracket that is in no
+    string and no bracket of its own, or at the end of the line on which a string does not end."""
+    depth = 0
+    while at < len(text):
+        c = text[at]
+        if c == '"':
+            end = re.compile(r'"(?:[^"\\\n]|\\.)*"').match(text, at)
+            if not end:
+                return text.find("\n", at) if "\n" in text[at:] else len(text)
+            at = end.end() - 1
+        elif c in "[{":
+            depth += 1
+        elif c in "]}":
+            if depth == 0 and c == "]":
+                return at
+            depth = max(0, depth - 1)
+        elif c == "," and depth == 0:
+            return at
+        at += 1
+    return len(text)
+
+
+def pieces(text: str, root: str) -> Iterator[tuple[int, str | None, str | None]]:
+    """(place in the text, record, fault) for each record of a text: the elements of an array, which is the whole or lies under
+    ``root``, else the one object that the text is. A fault in an element costs that element alone."""
+    decoder, blank = json.JSONDecoder(), re.compile(r"[ \t\r\n]*")
+    at = blank.match(text).end()
+    if text[at : at + 1] == "{":
+        head = re.compile(rf'\{{\s*"{re.escape(root)}"\s*:\s*(?=\[)').match(text, at)
+        if not head:
+            try:
+                value, end = decoder.raw_decode(text, at)
+                if blank.match(text, end).end() != len(text):
+                    raise json.JSONDecodeError("Extra data", text, end)
+            except json.JSONDecodeError as e:
+                yield e.pos, None, e.msg
+                return
+            found = value.get(root)
+            for record in found if isinstance(found, list) else [value]:
+                yield at, json.dumps(record), None
+            return
+        at = head.end()
+    if text[at : at + 1] != "[":
+        yield at, None, "Expecting an array or an object"
+        return
+    at = blank.match(text, at + 1).end()
+    while text[at : at + 1] != "]":
+        if at >= len(text):
+            yield len(text), None, "Unterminated array"
+            return
+        try:
+            _, end = decoder.raw_decode(text, at)
+            after = blank.match(text, end).end()
+            if text[after : after + 1] not in (",", "]", ""):
+                raise json.JSONDecodeError("Expecting ',' delimiter", text, after)
+            yield at, text[at:end], None
+        except json.JSONDecodeError as e:
+            yield e.pos, None, e.msg
+            after = _after_bad(text, at)
+        at = blank.match(text, after + 1 if text[after : after + 1] == "," else after).end()
+
+
+def file_pieces(name: str, data: bytes, root: str) -> Iterator[tuple]:
+    """The rows of ``PIECE`` of one file."""
+    data = data.removeprefix(b"\xef\xbb\xbf")
+    try:
+        text = data.decode("utf-8")
+    except UnicodeDecodeError as e:
+        before = data[: e.start].decode("utf-8")
+        yield name, 0, *_place(before, len(before)), None, "not UTF-8"
+        return
+    for n, (at, record, fault) in enumerate(pieces(text, root)):
+        yield name, n, *_place(text, at), record, fault
+
+
+def scan_records(spark: SparkSession, path: str, root: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """(rows, faults): the records of JSON files whose root is an array of records, one record, or an object that holds the array
+    under ``root``, in the columns of ``schema``, with file, place, line and column; and (file, place, line, column, error) of what cannot be
+    read: bytes that are not UTF-8, faults of syntax, records that are no objects or of which a value is of another kind or
+    the first column is missing. A bad record spares the rest of its file. A file is read in one task, as its brackets
+    tell where records end."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in PIECE.split(", ")]
+        for batch in batches:
+            for name, data in zip(batch["path"], batch["content"], strict=True):
+                rows = list(file_pieces(name, bytes(data), root))
+                yield pd.DataFrame(rows, columns=names)
+
     row = _both(schema)
-    reader = spark.read.option("multiLine", True).option("mode", "FAILFAST" if strict else "DROPMALFORMED")
-    whole = reader.schema(T.StructType([*row.fields, T.StructField(root, T.ArrayType(row))])).json(path)
-    own = F.struct(*[F.col(f.name) for f in row.fields])
-    listed = F.when(F.col(root).isNotNull(), F.col(root)).otherwise(F.array(own))
-    rows = whole.select(F.explode(listed).alias("r")).select(*_pick("r.", schema))
-    return rows.filter(F.coalesce(*[F.col(f.name).isNotNull().cast("int") for f in schema.fields[:1]]) == 1)
+    kept = T.StructType([*row.fields, T.StructField("_corrupt", T.StringType())])
+    found = written(files.mapInPandas(cut, PIECE), "records")
+    found = found.withColumn("r", F.from_json("record", kept, {"columnNameOfCorruptRecord": "_corrupt"}))
+    first = F.coalesce(*[F.col(f"r.{n}") for n in dict.fromkeys((schema.fields[0].name, camel(schema.fields[0].name)))])
+    fault = (
+        F.when(F.col("error").isNotNull(), F.col("error"))
+        .when(~F.startswith(F.trim("record"), F.lit("{")), "Expecting an object")
+        .when(F.col("r._corrupt").isNotNull(), "A value is of another kind")
+        .when(first.isNull(), f"Missing {schema.fields[0].name}")
+    )
+    found = found.withColumn("error", fault)
+    where = ["file", "place", "line", "column"]
+    return found.filter("error IS NULL").select(*where, *_pick("r.", schema)), found.filter("error IS NOT NULL").select(*where, "error")
+
+
+def read_records(spark: SparkSession, path: str, root: str, schema: T.StructType, strict: bool = True) -> DataFrame:
+    """The rows of ``scan_records``. Strict readers fail on a fault and say where it is, others pass over it."""
+    rows, faults = scan_records(spark, path, root, schema)
+    rows = rows.drop("file", "place", "line", "column")
+    if strict and (bad := faults.orderBy("file", "place").first()):
+        raise ValueError(f"{bad['file']}, line {bad['line']}, column {bad['column']}: {bad['error']}")
+    return rows
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -80,19 +199,6 @@ def read_case_index(spark: SparkSession, path: str) -> DataFrame:
     return read_records(spark, path, "cases", CASE, strict=False)
 
 
-def write_index(rows: DataFrame, path: str, partition: str = "product") -> None:
-    """Overwrites the partitions that ``rows`` holds, and no others."""
-    rows.write.partitionBy(partition).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
-
-
-def write_index_unless(rows: DataFrame, path: str, failures: int, exists: bool) -> bool:
-    """Keeps the last good index: writes only if nothing failed or there is none yet."""
-    if failures and exists:
-        return False
-    rows.write.mode("overwrite").parquet(path)
-    return True
-
-
 def write_report(summary: DataFrame, path: str) -> None:
     """A summary as JSON, CSV and a Markdown table (one line per row, numbers to six places). Of its columns those of
     ``SUMMARY`` are written, in that order; missing ones are empty."""

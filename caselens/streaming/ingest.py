@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caselens.scratch import written
+
 
 def stream_of(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = 4) -> DataFrame:
     """The Parquet table ``name`` in ``folder`` as a stream of its files. ``files_per_batch`` None: all that are there
@@ -37,17 +39,24 @@ def drained(rows: DataFrame, path: str, checkpoint: str, mode: str = "append") -
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def index_updater(path: str, key: str, content: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that keeps the index at ``path``/v<n> (one version a batch): rows whose key is new or
-    whose content changed replace the old ones. A batch that runs again writes the same version anew."""
-    from caselens.operators.incremental import first_per_content
+def index_updater(path: str, schema, key: str, content: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that keeps the published index at ``path`` (rows of ``schema``): rows whose key is new or whose
+    content changed replace the old ones, and counts of each change are appended to ``path``/counts. Readers see the index
+    before or after a batch; a batch that runs again after it was published changes nothing."""
+    from caselens.operators.incremental import diff, first_per_content, merged
+    from caselens.sources import published
 
     def update(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = first_per_content(batch, F.col(key), [F.desc(content)])
-        if number:
-            old = spark.read.schema(batch.schema).parquet(f"{path}/v{number - 1}")
-            new = old.join(new.select(key), key, "left_anti").unionByName(new)
-        new.write.mode("overwrite").parquet(f"{path}/v{number}")
+        if number + 1 <= published.version(spark, path):
+            return
+        new = written(first_per_content(batch, F.col(key), [F.desc(content)]), "batch")
+        old = published.read_published(spark, path, schema)
+        changes = diff(old.join(new.select(key), key, "left_semi"), new, key, content)
+        counted = changes.groupBy("change").agg(F.count("*").alias("rows"))
+        counted = written(counted, "counts")
+        rest = old.join(new.select(key), key, "left_anti")
+        published.publish(rest.unionByName(merged(old, new, key, content).select(rest.columns)), path, number=number + 1)
+        counted.coalesce(1).write.mode("overwrite").parquet(f"{path}/counts/batch={number}")
 
     return update

@@ -1,11 +1,15 @@
 """Files, archives and JSON records made by hand."""
 
+import datetime
 import io
 import json
 import zipfile
 
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from caselens.scratch import written
 from caselens.sources import files, records
 
 
@@ -86,14 +90,78 @@ def test_records(spark, tmp_path):
     assert [r["company"] for r in records.read_case_index(spark, str(tmp_path / "cases")).collect()] == ["Acme"]
 
 
-def test_reports_and_indexes(spark, tmp_path):
-    rows = spark.createDataFrame([("a", 1), ("b", 2)], "product string, n int")
-    records.write_index(rows, f"{tmp_path}/i")
-    records.write_index(rows.filter("n = 2").withColumn("n", rows["n"] * 10), f"{tmp_path}/i")
-    assert {(r["product"], r["n"]) for r in spark.read.parquet(f"{tmp_path}/i").collect()} == {("a", 1), ("b", 20)}
-    assert records.write_index_unless(rows, f"{tmp_path}/k", 1, False) and not records.write_index_unless(rows, f"{tmp_path}/k", 1, True)
+def test_a_bad_record_spares_the_rest_of_its_file(spark, tmp_path):
+    text = """[
+  {"company": "A", "supportNumber": "1"},
+  {"company": "B" "supportNumber": "2"},
+  {"company": "C, ] {", "status": [1, {"x": "]"}]},
+  {"company": "D", "supportNumber": 4},
+  17,
+  {"status": "no company"},
+  {"company": "broken},
+  {"company": "E"}
+]"""
+    (tmp_path / "cases").mkdir()
+    (tmp_path / "cases" / "a.json").write_text(text)
+    (tmp_path / "cases" / "b.json").write_text('{"cases": [{"company": "F"}, oops, {"company": "G"}]}')
+    (tmp_path / "cases" / "c.json").write_bytes(b'[{"company": "\xff"}]')
+    (tmp_path / "cases" / "d.json").write_text("[]")
+    (tmp_path / "cases" / "e.json").write_text('[{"company": "H"},')
+    rows, faults = records.scan_records(spark, str(tmp_path / "cases"), "cases", records.CASE)
+    assert sorted(r.company for r in rows.collect()) == ["A", "C, ] {", "D", "E", "F", "G", "H"]
+    places = {(r.file.rpartition("/")[2], r.line, r.column): r.error for r in faults.collect()}
+    assert places["a.json", 3, 19] == "Expecting ',' delimiter" and places["a.json", 6, 3] == "Expecting an object"
+    assert places["a.json", 7, 3] == "Missing company" and any(k[:2] == ("a.json", 8) for k in places)
+    assert ("b.json", 1, 30) in places and places["c.json", 1, 15] == "not UTF-8" and any(k[0] == "e.json" for k in places)
+    assert not any(k[0] == "d.json" for k in places)
+    with pytest.raises(ValueError, match="a.json, line 3, column 19"):
+        records.read_records(spark, str(tmp_path / "cases" / "a.json"), "cases", records.CASE)
+
+
+def test_evaluation_cases(spark, tmp_path):
+    (tmp_path / "cases.json").write_text(json.dumps({"evaluation_cases": [{"queryId": "q", "query": "x", "requiredTerms": ["a", "b"]}, {"query_id": "r", "expected_document_ids": ["d"]}]}))
+    rows = {r.query_id: (r.query, r.required_terms, r.expected_document_ids) for r in records.read_evaluation_cases(spark, str(tmp_path / "cases.json")).collect()}
+    assert rows == {"q": ("x", ["a", "b"], None), "r": (None, None, ["d"])}
+
+
+def test_a_scan_parses_what_has_changed(spark):
+    """Only names of new and changed folders reach the parser, which counts them."""
+    parsed = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf(files.SCANNED.partition("record ")[2])
+    def parse(paths: pd.Series) -> pd.DataFrame:
+        parsed.add(len(paths))
+        return pd.DataFrame({"company": paths.str[-1], "support_number": "1", "status": "s", "created_on": "d", "stamp": None})
+
+    at = lambda *ns: spark.createDataFrame([(f"/r/{n}", datetime.datetime(2024, 1, d)) for n, d in ns], "path string, modified timestamp")
+    first = written(files.cached_scan(spark.createDataFrame([], files.SCANNED), at(("a", 1), ("b", 1), ("c", 1), ("d", 1)), parse), "scan")
+    assert parsed.value == 4 and {r.state for r in first.collect()} == {"parsed"}
+    known = first.filter("state <> 'gone'").drop("state")
+    second = written(files.cached_scan(known, at(("a", 1), ("b", 2), ("c", 1), ("e", 1)), parse), "scan")
+    assert parsed.value == 4 + 2
+    assert {(r.path[-1], r.state) for r in second.collect()} == {("a", "kept"), ("b", "parsed"), ("c", "kept"), ("e", "parsed"), ("d", "gone")}
+    assert {r.record.company for r in second.collect()} == set("abcde")
+    empty = files.cached_scan(known, at(), parse).collect()
+    assert parsed.value == 6 and {r.state for r in empty} == {"gone"} and len(empty) == 4
+
+
+def test_links_are_passed_over(spark, tmp_path):
+    (tmp_path / "real").mkdir()
+    (tmp_path / "real" / "n.txt").write_text("x")
+    (tmp_path / "root" / "own").mkdir(parents=True)
+    (tmp_path / "root" / "own" / "a.txt").write_text("a")
+    (tmp_path / "root" / "b.txt").write_text("b")
+    (tmp_path / "root" / "linked").symlink_to(tmp_path / "real")
+    (tmp_path / "root" / "c.txt").symlink_to(tmp_path / "real" / "n.txt")
+    listing = spark.createDataFrame([(f"file:{tmp_path}/root/{n}",) for n in ("own/a.txt", "b.txt", "linked/n.txt", "c.txt")] + [("s3a://bucket/c.txt",)], "path string")
+    kept = {r.path.rpartition("/")[2] for r in files.without_links(listing.filter("path LIKE 'file%'"), str(tmp_path / "root")).collect()}
+    assert kept == {"a.txt", "b.txt"} and files.without_links(listing.filter("path LIKE 's3%'"), str(tmp_path / "root")).count() == 1
+    assert [r.text for r in files.read_notes(spark, str(tmp_path / "root")).collect()] == ["b"]
+
+
+def test_reports(spark, tmp_path):
     summary = spark.createDataFrame([("fixed", 3, 0.5, ["x"], "more")], "chunk_strategy string, top_k int, mrr double, violations array<string>, extra string")
     records.write_report(summary, f"{tmp_path}/r")
-    written = spark.read.option("header", True).csv(f"{tmp_path}/r/csv")
-    assert written.columns == records.SUMMARY and len(records.SUMMARY) == 19 and written.first()["mrr"] == "0.5"
+    found = spark.read.option("header", True).csv(f"{tmp_path}/r/csv")
+    assert found.columns == records.SUMMARY and len(records.SUMMARY) == 19 and found.first()["mrr"] == "0.5"
     assert any("0.500000" in r[0] for r in spark.read.text(f"{tmp_path}/r/markdown").collect())
