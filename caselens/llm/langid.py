@@ -305,6 +305,7 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
         for batch in texts:
             yield pd.DataFrame(scorer.predict(list(batch)), columns=["lang_pred", "score"])
 
+    predict = predict.asNondeterministic()  # else a filter of its result would be a second prediction
     own = [c for c in docs.columns if c not in schema.names]
     return docs.select(*own, predict("text").alias("_p")).select(*own, "_p.lang_pred", "_p.score")
 
