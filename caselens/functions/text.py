@@ -56,6 +56,12 @@ def fold(text: Column) -> Column:
     return F.when(text.isNull(), text).when(plain, F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))).otherwise(nfkc_casefold(F.when(~plain, text)))
 
 
+def fold_all(texts: Column) -> Column:
+    """``fold`` of each member of an array, a null one empty; as one text, as no Python function may be called for a member."""
+    given = F.transform(texts, lambda t: F.replace(F.coalesce(t, F.lit("")), F.lit("\x1e"), F.lit(" ")))
+    return F.when(F.size(given) > 0, F.split(fold(F.array_join(given, "\x1e")), "\x1e")).otherwise(F.array().cast("array<string>"))
+
+
 def composed(text: Column) -> Column:
     """NFKC form. Texts that are in it, which their characters tell, stay in the JVM."""
     plain = text.rlike(PLAIN)

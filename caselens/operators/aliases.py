@@ -43,14 +43,14 @@ def mentions(rows: DataFrame, key: str, text: str, catalog: DataFrame, itself: b
     ids = written(rows.select(F.col(key).alias("_own"), comparable(F.col(text)).alias("text"), F.monotonically_increasing_id().alias("_key")), "texts")
     hits = containment.found(ids.select("_key", "text"), terms, most)
     named = hits.join(aliases, hits["term"] == aliases["alias"]).select("_key", "dimension", "name").distinct()
-    return ids.select("_key", F.col("_own").alias(key)).join(named, "_key").drop("_key")
+    return ids.select("_key", "_own").join(named, "_key").select(F.col("_own").alias(key), "dimension", "name")
 
 
 def profiled(rows: DataFrame, key: str, text: str, catalog: DataFrame, dimensions: list[str], itself: bool = True, most: int = containment.BYTES) -> DataFrame:
     """``rows``, whose ``key`` names each once, with one array of names (sorted) for each dimension."""
     found = mentions(rows, key, text, catalog, itself, most)
     lists = [F.array_sort(F.collect_set(F.when(F.col("dimension") == d, F.col("name")))).alias(d) for d in dimensions]
-    sums = found.groupBy(F.col(key).alias("_key")).agg(*lists)  # no more names a text than it has places
+    sums = found.groupBy(F.col(key).alias("_named")).agg(*lists)  # no more names a text than it has places
     none = F.array().cast("array<string>")
     own = [c for c in rows.columns if c not in dimensions]
-    return rows.join(sums, F.col(key) == F.col("_key"), "left").select(*own, *(F.coalesce(d, none).alias(d) for d in dimensions))
+    return rows.join(sums, F.col(key) == F.col("_named"), "left").select(*own, *(F.coalesce(d, none).alias(d) for d in dimensions))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caselens.functions.text import fold, fold_all
+
 from . import topics
 
 # Requirements of the two kinds of questions, and the words that cover each item. An item may need a word
@@ -29,7 +31,7 @@ OBSERVED: list[tuple[list[str], list[list[str]]]] = [
 OPTION_WORDS = ["オプション", "option", "parameter"]
 # What excludes the clause before it, what begins a clause, and the marks around an excluded part.
 EXCLUSION = "(?:ではなく(?:て)?|ではない|ではありません|以外(?:は|の)?|を除く)"
-CLAUSE = "[^。！？!?\\n\\r;；]*?"
+CLAUSE, CLAUSE_END = "[^。！？!?\\n\\r;；]", "[。！？!?\\n\\r;；]"
 MARKS = "^[ 、,。]+|[ 、,。]+$"
 # The items that a question about an upload may have covered, with their words, and scores of types.
 CODE, STEP = r"```|`[^`]+`", r"(?m)^\s*\d+[.)、]"
@@ -64,16 +66,16 @@ def listed(flags: list[tuple[str, Column]]) -> Column:
 
 def required(question: Column, profile: Column) -> Column:
     """What an answer to a question must cover: an upload's or a stream's items, or nothing."""
-    folded = F.lower(F.coalesce(question, F.lit("")))
+    folded = fold(F.coalesce(question, F.lit("")))
     upload = F.array_contains(profile["operations"], "Upload") | F.array_contains(profile["features"], "Build upload") | (has_any(folded, VALIDATE) & has_any(folded, ["upload", "アップロード"]))
     items = lambda names: F.array(*map(F.lit, names))
     return F.when(upload, items(UPLOAD)).when(F.array_contains(profile["features"], "Stream"), items(STREAM)).otherwise(F.array().cast("array<string>"))
 
 
-def observed(text: Column) -> Column:
-    """The items that a text covers."""
+def observed(text: Column, folded: Column | None = None) -> Column:
+    """The items that a text covers. Within arrays its ``folded`` form is given."""
     text = F.coalesce(text, F.lit(""))
-    folded = F.lower(text)
+    folded = fold(text) if folded is None else folded
     option = text.rlike(OPTION) | has_any(folded, OPTION_WORDS)
     flags = [("Command", text.rlike(COMMAND)), ("Options", option), ("Option", option)]
     for names, needs in OBSERVED:
@@ -86,7 +88,8 @@ def observed(text: Column) -> Column:
 
 def observed_in_all(texts: Column) -> Column:
     """The items that any of an array of texts covers."""
-    return F.array_distinct(F.flatten(F.transform(texts, observed)))
+    both = F.arrays_zip(texts.alias("t"), fold_all(texts).alias("f"))
+    return F.array_distinct(F.flatten(F.transform(both, lambda x: observed(x["t"], x["f"]))))
 
 
 def group_coverage(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -96,25 +99,40 @@ def group_coverage(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 
 def negation(text: Column) -> Column:
-    """struct(primary, excluded): a text with each clause that an exclusion ends replaced by spaces, and those clauses."""
+    """struct(primary, excluded): a text in which each clause is blank up to the end of its last exclusion, and for each
+    exclusion what stands before it in its clause, earlier exclusions included, without marks around it."""
     text = F.coalesce(text, F.lit(""))
-    clause = f"({CLAUSE}){EXCLUSION}"
-    parts = F.transform(F.regexp_extract_all(text, F.lit(clause), 1), lambda x: F.regexp_replace(x, MARKS, ""))
-    primary = F.regexp_replace(text, clause, " ")
-    return F.struct(primary.alias("primary"), F.filter(parts, lambda x: x != "").alias("excluded"))
+    clauses = F.regexp_extract_all(text, F.lit(f"{CLAUSE}*{CLAUSE_END}?"), 0)
+
+    def before(clause: Column) -> Column:
+        parts, found = F.split(clause, EXCLUSION), F.regexp_extract_all(clause, F.lit(EXCLUSION), 0)
+        upto = lambda k: F.array_join(F.flatten(F.transform(F.slice(parts, F.lit(1), k), lambda p, i: F.array(F.coalesce(F.get(found, i - 1), F.lit("")), p))), "")
+        return F.when(F.size(found) > 0, F.transform(F.sequence(F.lit(1), F.size(found)), upto)).otherwise(F.array().cast("array<string>"))
+
+    def blanked(clause: Column) -> Column:
+        parts = F.split(clause, EXCLUSION)
+        rest = F.element_at(parts, -1)
+        return F.when(F.size(parts) > 1, F.concat(F.repeat(F.lit(" "), F.char_length(clause) - F.char_length(rest)), rest)).otherwise(clause)
+
+    excluded = F.transform(F.flatten(F.transform(clauses, before)), lambda x: F.regexp_replace(x, MARKS, ""))
+    return F.struct(F.array_join(F.transform(clauses, blanked), "").alias("primary"), F.filter(excluded, lambda x: x != "").alias("excluded"))
+
+
+def profiles_overlap(a: Column, b: Column) -> Column:
+    """Whether two profiles share a product, component, feature, object or entity."""
+    return F.coalesce(*[F.when(F.arrays_overlap(a[d], b[d]), True) for d in [*topics.DIMENSIONS, "entities"]], F.lit(False))
 
 
 def excluded_overlap(text: Column, candidate: Column, catalog: topics.Catalog) -> Column:
     """Whether a candidate's profile shares a topic or entity with what the text excludes."""
-    parts = F.transform(negation(text)["excluded"], lambda x: topics.profile(x, catalog))
-    shared = lambda p: F.arrays_overlap(p["entities"], candidate["entities"])
-    topic = lambda p: F.arrays_overlap(p["products"], candidate["products"]) | F.arrays_overlap(p["components"], candidate["components"]) | F.arrays_overlap(p["features"], candidate["features"]) | F.arrays_overlap(p["objects"], candidate["objects"])
-    return F.exists(parts, lambda p: F.coalesce(shared(p), F.lit(False)) | F.coalesce(topic(p), F.lit(False)))
+    parts = negation(text)["excluded"]
+    both = F.arrays_zip(parts.alias("t"), fold_all(parts).alias("f"))
+    return F.exists(both, lambda x: profiles_overlap(topics.profile(x["t"], catalog, x["f"]), candidate))
 
 
 def upload_flags(question: Column, text: Column) -> Column:
     """The letters A to G of what a text covers of an upload, if that is what the question is about."""
-    asked, folded = F.lower(F.coalesce(question, F.lit(""))), F.lower(F.coalesce(text, F.lit("")))
+    asked, folded = fold(F.coalesce(question, F.lit(""))), fold(F.coalesce(text, F.lit("")))
     command = has_any(folded, ["qacli", "command", "コマンド"]) | text.rlike(CODE)
     flags = [
         ("A", command & has_any(folded, ["upload", "アップロード", "validate"])),
@@ -132,7 +150,7 @@ def upload_flags(question: Column, text: Column) -> Column:
 def type_score(types: Column, text: Column) -> Column:
     """How well a text suits the types of a question: the best of their shares of features."""
     text = F.coalesce(text, F.lit(""))
-    folded = F.lower(text)
+    folded = fold(text)
     share = lambda tests: sum((t.cast("int") for t in tests), F.lit(0)) / len(tests)
     command = [text.rlike(CODE), text.rlike(OPTION), has_any(folded, ["qacli", "cli", "command", "コマンド"]), has_any(folded, ["parameter", "option", "引数", "オプション"])]
     scores = [("CommandQuestion", share(command)), ("HowToQuestion", share([text.rlike(STEP), *(has_any(folded, w) for w in HOW_TO)]))]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caselens.functions.text import fold
+from caselens.functions.text import fold, fold_all
 from caselens.scratch import small, written
 
 from .incremental import fingerprint, version_conflicts
@@ -158,16 +158,17 @@ def term_metrics(top: DataFrame, cases: DataFrame) -> DataFrame:
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "_text"))), lambda x: x["_text"]), "\n")
     sums = rows.groupBy("query_id").agg(text.alias("_all"), wrong("_ap", "_p").alias("product_confusion_count"), wrong("_av", "_v").alias("version_mismatch_count"))
     joined = asked.join(sums, "query_id", "left").withColumn("_all", F.coalesce("_all", F.lit("")))
-    found = lambda terms: F.filter(terms, lambda t: F.contains(F.col("_all"), F.trim(F.lower(t))))
     given = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
+    both = lambda c: F.arrays_zip(given(c).alias("t"), fold_all(given(c)).alias("f"))
+    among = lambda c, there: F.transform(F.filter(both(c), lambda x: F.contains(F.col("_all"), F.trim(x["f"])) == F.lit(there)), lambda x: x["t"])
     needed = given("required_terms")
-    missing = F.array_except(needed, found(needed))
+    missing = F.array_distinct(among("required_terms", False))
     zero = F.lit(0).cast("long")
     return joined.select(
         "query_id",
         F.when(F.size(needed) > 0, (F.size(needed) - F.size(missing)) / F.size(needed)).otherwise(1.0).alias("required_term_coverage_at_k"),
         missing.alias("required_terms_missing"),
-        found(given("excluded_terms")).alias("excluded_terms_found"),
+        among("excluded_terms", True).alias("excluded_terms_found"),
         F.coalesce("product_confusion_count", zero).alias("product_confusion_count"),
         F.coalesce("version_mismatch_count", zero).alias("version_mismatch_count"),
     )
@@ -250,7 +251,7 @@ def annotated(rows: DataFrame, as_of: str, stale_days: int) -> DataFrame:
     matched_terms) product_match, version_match (null if not asked for), possibly_stale (null without a date),
     possible_conflict (another version of the product in the query's evidence), keyword_matches (the longest 20),
     warnings and unverified."""
-    form = lambda c: F.nullif(F.trim(F.lower(F.col(c))), F.lit(""))
+    form = lambda c: F.nullif(F.trim(fold(F.col(c))), F.lit(""))
     match = lambda want, got: F.when(form(want).isNotNull(), form(want).eqNullSafe(form(got)))
     date = F.to_timestamp(F.col("updated"))
     conflicts = version_conflicts(rows.withColumn("_key", F.struct("query_id", "product")), "_key", "version").drop("_key")

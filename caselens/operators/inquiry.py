@@ -145,7 +145,7 @@ def focused(rows: DataFrame, text: str = "text", own: list[str] | None = None) -
     every = F.array_sort(F.concat(lacking, known, free))
     names = F.array_distinct(F.transform(every, lambda e: e["term"]))  # a term stands where its best score puts it
     for column in own or []:
-        names = F.filter(names, lambda t, c=column: ~t.eqNullSafe(F.trim(F.col(c))))
+        names = F.filter(names, lambda t: ~t.eqNullSafe(F.trim(F.col(column))))  # noqa: B023
     rows = rows.withColumn("_terms", F.slice(names, 1, MOST_TERMS))
     fresh = held(F.col("_flat"), FRESH_WORDS)
     return rows.withColumns(
@@ -168,7 +168,7 @@ def evidence_terms(rows: DataFrame) -> DataFrame:
 
     def grams(token: Column) -> Column:
         size = F.char_length(token)
-        runs = [F.when(size >= n, F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i, n=n: F.substr(token, i, F.lit(n)))).otherwise(none) for n in GRAM_SIZES]
+        runs = [F.when(size >= n, F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.substr(token, i, F.lit(n)))).otherwise(none) for n in GRAM_SIZES]
         return F.when(token.rlike(JAPANESE) & (size <= LONGEST_GRAMMED), F.concat(F.array(token), *runs)).otherwise(F.array(token))
 
     tokens = F.filter(F.split("_composed", SEPARATORS), given)

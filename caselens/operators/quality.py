@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caselens.functions.text import fold, fold_all
+
 from . import coverage, topics
 from .selection import clamp
 
@@ -66,10 +68,11 @@ def _claim_of(kind: str, major: bool):
     return lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"), F.lit(major).alias("major"))
 
 
-def claims(text: Column, catalog: topics.Catalog | None = None) -> Column:
+def claims(text: Column, catalog: topics.Catalog | None = None, folded: Column | None = None) -> Column:
     """Different (kind, value, major) claims of a text, values folded and without the words before them; products and
-    features of the catalog and names of systems count as minor claims."""
+    features of the catalog and names of systems count as minor claims. Within arrays its ``folded`` form is given."""
     text = F.coalesce(text, F.lit(""))
+    folded = F.regexp_replace(fold(text) if folded is None else folded, r"\s+", " ")
 
     def clean(kind: str):
         def of(v: Column) -> Column:
@@ -79,7 +82,6 @@ def claims(text: Column, catalog: topics.Catalog | None = None) -> Column:
         return of
 
     parts = [F.transform(F.transform(F.regexp_extract_all(text, F.lit(pattern), 1), clean(kind)), _claim_of(kind, major)) for kind, pattern, major in CLAIMS]
-    folded = F.regexp_replace(F.lower(text), r"\s+", " ")
     for d in ("products", "features"):
         parts.append(F.transform(F.transform(topics.named(folded, (catalog or {}).get(d, {})), F.lower), _claim_of("ProductFeature", False)))
     parts.append(F.transform(F.transform(topics.named(folded, topics.SYSTEMS, itself=False), F.lower), _claim_of("System", False)))
@@ -112,7 +114,7 @@ def needs_of(profile: Column) -> Column:
 
 def covered_by(answer: Column, found: Column) -> Column:
     """What an answer with these claims covers."""
-    folded = F.lower(answer)
+    folded = fold(answer)
     kinds = F.transform(found, lambda c: c["kind"])
     flags = [(k, F.array_contains(kinds, k)) for k in ("Command", "Option")]
     return coverage.listed(flags + [(k, coverage.has_any(folded, w)) for k, w in COVERED.items()])
@@ -129,6 +131,7 @@ def evaluated(rows: DataFrame, product: str | None = None, separated: bool = Fal
     own = rows.columns
     rows = rows.withColumns({"_answer": answer, "_evidence": evidence, "_reasons": reasons, "_q": topics.profile(F.col("question"), catalog), "_a": topics.profile(answer, catalog)})
     answer, evidence, q, a = F.col("_answer"), F.col("_evidence"), F.col("_q"), F.col("_a")
+    each = F.arrays_zip(evidence.alias("t"), fold_all(evidence).alias("f"))
     support = F.array_join(F.concat(F.array(F.coalesce("question", F.lit(""))), evidence), "\n")
     pair = lambda c: F.concat_ws("\x1f", c["kind"], c["value"])
     rows = rows.withColumns(
@@ -138,8 +141,8 @@ def evaluated(rows: DataFrame, product: str | None = None, separated: bool = Fal
             "_conflict": F.size(topics.conflicts(q, a)) > 0,
             "_match": F.coalesce(topics.topic_match(q, a), F.lit(False)),
             "leaks": hits(answer, INTERNAL),
-            "_versions": F.array_distinct(F.flatten(F.transform(evidence, lambda t: F.transform(F.filter(claims(t), lambda c: c["kind"] == "Version"), lambda c: c["value"])))),
-            "_off": F.size(F.filter(evidence, lambda t: F.size(topics.conflicts(q, topics.profile(t, catalog))) > 0)),
+            "_versions": F.array_distinct(F.flatten(F.transform(each, lambda x: F.transform(F.filter(claims(x["t"], None, x["f"]), lambda c: c["kind"] == "Version"), lambda c: c["value"])))),
+            "_off": F.size(F.filter(each, lambda x: F.size(topics.conflicts(q, topics.profile(x["t"], catalog, x["f"]))) > 0)),
             "_needs": coverage.required(F.col("question"), q) if separated else needs_of(q),
         }
     )
@@ -165,7 +168,7 @@ def evaluated(rows: DataFrame, product: str | None = None, separated: bool = Fal
     third = lambda *tests: sum((t.cast("int") for t in tests), F.lit(0)) / 3
     acts = F.arrays_overlap(q["intents"], F.array(*map(F.lit, ["HowTo", "Command", "Configuration"])))
     stream = third(got("Setup"), got("Association"), got("Verification"))
-    steps = third(got("Command") | answer.rlike(STEP), got("Execution") | coverage.has_any(F.lower(answer), DOES), got("Verification"))
+    steps = third(got("Command") | answer.rlike(STEP), got("Execution") | coverage.has_any(fold(answer), DOES), got("Verification"))
     rows = rows.withColumns(
         {
             "topic_alignment": F.round("topic_alignment", 6),

@@ -1,7 +1,8 @@
-"""Topics and entities of texts, their comparison, and the rank score that rests on them, as column expressions.
+"""Topics and entities of texts, their comparison, and the rank score that rests on them.
 
-A catalog maps a dimension (products, components, features, objects) to canonical names and their aliases; it is small
-and stated, so each alias becomes one test of the text. Texts are folded first.
+A catalog of aliases is a table (``profiled``), looked for in one pass whatever its size; a small stated one, a mapping of
+a dimension (products, components, features, objects) to names and their aliases, may be given as tests of a column
+(``profile``). Texts are folded by NFKC and case first.
 """
 
 from __future__ import annotations
@@ -11,6 +12,9 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caselens.functions.text import fold
+
+from . import aliases
 from .selection import clamp
 
 Catalog = dict[str, dict[str, list[str]]]
@@ -54,7 +58,7 @@ ENTITIES = {
     "file": r"(?i)(?<![A-Za-z0-9_.-])([A-Za-z0-9_.-]+\.(?:json|xml|yaml|yml|ini|conf|cfg|log|txt|csv|pdf|zip))(?![A-Za-z0-9_.-])",
     "version": r"(?i)(?<![A-Za-z0-9_.])(v?\d+(?:\.\d+){1,3})(?![A-Za-z0-9_.])",
 }
-SCORE = {"features": 0.24, "components": 0.16, "product": 0.11, "entities": 0.10, "operations": 0.10, "intents": 0.09, "technical": 0.08, "trust": 0.02, "version": 0.02, "base": 0.08}
+SCORE = {"features": 0.24, "components": 0.16, "product": 0.11, "entities": 0.10, "operations": 0.10, "intents": 0.09, "technical": 0.08, "trust": 0.02, "version": 0.02, "base": 0.08, "lexical": 0.05, "semantic": 0.03}
 PENALTY = {"product": 0.65, "features": 0.55, "components": 0.30, "no_topic": 0.20, "version": 0.18, "excluded": 0.90}
 DIMENSIONS = ["products", "components", "features", "objects"]
 
@@ -82,20 +86,33 @@ def named(folded: Column, names: dict[str, list[str]], itself: bool = True) -> C
 
 def entities(text: Column, folded: Column) -> Column:
     """Different ``kind:value`` of a text, values folded."""
-    parts = []
-    for kind, pattern in ENTITIES.items():
-        values = F.regexp_extract_all(text, F.lit(pattern), 1)
-        parts.append(F.transform(values, lambda v, kind=kind: F.concat(F.lit(f"{kind}:"), F.regexp_replace(F.lower(v), r"\s+", " "))))
+
+    def of(kind: str):
+        return lambda v: F.concat(F.lit(f"{kind}:"), F.regexp_replace(F.lower(v), r"\s+", " "))
+
+    parts = [F.transform(F.regexp_extract_all(text, F.lit(pattern), 1), of(kind)) for kind, pattern in ENTITIES.items()]
     parts.append(F.transform(named(folded, SYSTEMS, itself=False), lambda v: F.concat(F.lit("system:"), F.lower(v))))
     return F.array_distinct(F.concat(*parts))
 
 
-def profile(text: Column, catalog: Catalog) -> Column:
-    """The struct of a text's products, components, features, objects, operations, intents and entities."""
-    folded = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " ")
+def profile(text: Column, catalog: Catalog, folded: Column | None = None) -> Column:
+    """The struct of a text's products, components, features, objects, operations, intents and entities. Within arrays, where
+    a text cannot be folded, its ``folded`` form is given."""
+    folded = F.regexp_replace(fold(F.coalesce(text, F.lit(""))) if folded is None else folded, r"\s+", " ")
     columns = [named(folded, catalog.get(d, {})).alias(d) for d in DIMENSIONS]
-    more = [named(folded, OPERATIONS, False).alias("operations"), named(folded, INTENTS, False).alias("intents")]
-    return F.struct(*columns, *more, entities(F.coalesce(text, F.lit("")), folded).alias("entities"))
+    return F.struct(*columns, *_actions(folded), entities(F.coalesce(text, F.lit("")), folded).alias("entities"))
+
+
+def _actions(folded: Column) -> list[Column]:
+    return [named(folded, OPERATIONS, False).alias("operations"), named(folded, INTENTS, False).alias("intents")]
+
+
+def profiled(rows: DataFrame, key: str, text: str, catalog: DataFrame, out: str = "profile") -> DataFrame:
+    """``rows``, whose ``key`` names each once, with the struct of ``profile`` by a catalog that is a table (dimension, name,
+    alias), names sorted."""
+    found = aliases.profiled(rows, key, text, catalog, DIMENSIONS).withColumn("_folded", aliases.comparable(F.col(text)))
+    struct = F.struct(*DIMENSIONS, *_actions(F.col("_folded")), entities(F.coalesce(F.col(text), F.lit("")), F.col("_folded")).alias("entities"))
+    return found.withColumn(out, struct).drop("_folded", *[d for d in DIMENSIONS if d not in rows.columns])
 
 
 def conflicts(query: Column, evidence: Column) -> Column:
@@ -121,19 +138,24 @@ def weighted(*parts: tuple[float, Column, Column]) -> Column:
     return F.when(weight > 0, total / weight).otherwise(0.0)
 
 
-def ranked(rows: DataFrame) -> DataFrame:
-    """Adds conflict_kinds, has_topic_match, topic_score and final_score to candidates with the columns query_profile,
-    profile, product_match (may be null), technical_score, version_match, source_trust, base_score and excluded."""
+def ranked(rows: DataFrame, shares: bool = False) -> DataFrame:
+    """Adds conflict_kinds, has_topic_match, topic_score, entity_score, penalty and final_score to candidates with the columns
+    query_profile, profile, product_match (may be null), technical_score, version_match, source_trust, base_score and
+    excluded. Topics count if any agrees, or with ``shares`` by the share of the asked ones; where there is a lexical_score or
+    semantic_score, these stand for the base score."""
     q, e = F.col("query_profile"), F.col("profile")
     asked = lambda d: F.size(q[d]) > 0
     share = lambda d: F.when(asked(d), F.size(F.array_intersect(q[d], e[d])) / F.size(q[d])).otherwise(0.0)
-    hit = lambda d: F.when(F.arrays_overlap(q[d], e[d]), 1.0).otherwise(0.0)
+    hit = share if shares else lambda d: F.when(F.arrays_overlap(q[d], e[d]), 1.0).otherwise(0.0)
     version = F.when(F.col("version_match") == "exact", 1.0).when(F.col("version_match") == "near", 0.5).otherwise(0.0)
     wants_version = F.col("version_match") != "not_requested"
     product = F.when(F.col("product_match"), 1.0).otherwise(0.0)
     named_product = F.col("product_match").isNotNull()
     topic = [(SCORE["features"], hit("features"), asked("features")), (SCORE["components"], hit("components"), asked("components")), (SCORE["product"], product, named_product)]
     always = F.lit(True)
+    given = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("double")
+    lexical, semantic = given("lexical_score"), given("semantic_score")
+    neither = lexical.isNull() & semantic.isNull()
     score = weighted(
         *topic,
         (SCORE["entities"], share("entities"), asked("entities")),
@@ -142,13 +164,16 @@ def ranked(rows: DataFrame) -> DataFrame:
         (SCORE["technical"], F.col("technical_score"), F.col("technical_score").isNotNull()),
         (SCORE["trust"], F.col("source_trust"), always),
         (SCORE["version"], version, wants_version),
-        (SCORE["base"], F.col("base_score"), always),
+        (SCORE["base"], F.col("base_score"), neither),
+        (SCORE["lexical"], lexical, lexical.isNotNull()),
+        (SCORE["semantic"], semantic, semantic.isNotNull()),
     )
     rows = rows.withColumn("conflict_kinds", conflicts(q, e)).withColumn("has_topic_match", F.coalesce(topic_match(q, e), F.lit(False)))
     kinds = F.col("conflict_kinds")
     no_topic = (asked("features") | asked("components")) & ~F.col("has_topic_match")
     penalty = F.when(~F.col("product_match"), PENALTY["product"]).otherwise(0.0)
     penalty = penalty + F.when(F.array_contains(kinds, "Feature"), PENALTY["features"]).when(F.array_contains(kinds, "Component"), PENALTY["components"]).when(no_topic, PENALTY["no_topic"]).otherwise(0.0)
-    penalty = penalty + F.when(F.col("version_match") == "mismatch", PENALTY["version"]).otherwise(0.0) + F.when(F.col("excluded"), PENALTY["excluded"]).otherwise(0.0)
+    penalty = penalty + F.when(F.col("version_match") == "mismatch", PENALTY["version"]).otherwise(0.0)
+    shunned = F.when(F.col("excluded"), PENALTY["excluded"]).otherwise(0.0)
     scored = rows.withColumn("topic_score", F.round(weighted(*topic, (SCORE["operations"], hit("operations"), asked("operations"))), 6))
-    return scored.withColumn("final_score", F.round(clamp(score - penalty), 6))
+    return scored.withColumns({"entity_score": share("entities"), "penalty": penalty, "final_score": F.round(clamp(score - penalty - shunned), 6)})

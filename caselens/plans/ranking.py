@@ -98,23 +98,6 @@ def topic_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *(F.array_join(f"p.{c}", ",").alias(c) for c in ("products", "features", "operations", "intents")))
 
 
-def topic_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    catalog = {"products": {"The": ["the"], "Und": ["und", "der"]}, "features": {"Con": ["con", "que"], "Les": ["les", "des"]}}
-    rows = _candidates(spark, sf_dir).withColumn("query_profile", topics.profile(F.col("query"), catalog)).withColumn("profile", topics.profile(F.col("text"), catalog))
-    rows = rows.withColumns(
-        {
-            "product_match": F.lit(None).cast("boolean"),
-            "technical_score": F.lit(None).cast("double"),
-            "version_match": F.lit("not_requested"),
-            "source_trust": selection.source_trust(F.col("source")),
-            "base_score": F.col("relative"),
-            "excluded": F.lit(False),
-        }
-    )
-    scored = topics.ranked(rows)
-    return scored.select("query_id", "candidate_id", "topic_score", "final_score", "has_topic_match", F.array_join("conflict_kinds", ",").alias("conflict_kinds"))
-
-
 def answer_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation's answers against its other turns."""
     rows = read(spark, sf_dir, "conversations")
@@ -209,7 +192,6 @@ QUERIES = {
         + _named(topics.INTENTS)
         + " AS intents FROM f",
     ),
-    "topic_ranking": (topic_ranking, None),
     "answer_quality": (answer_quality, None),
     "stream_windows": (
         stream_windows,
