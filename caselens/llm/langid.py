@@ -66,6 +66,7 @@ class Lattice:
     def __init__(self, pieces: list[str]):
         self.pieces, self.longest, self.unknown = pieces, max(map(len, pieces), default=1), len(pieces)
         self.ids = {p: i for i, p in enumerate(pieces)}
+        self.kind = np.int16 if self.unknown < 1 << 15 else np.int32
         codes = np.array([self._hash(p) for p in pieces], np.uint64)
         order = np.argsort(codes)
         self.codes, self.order = codes[order], order
@@ -88,7 +89,7 @@ class Lattice:
         prefix = np.zeros((len(marked), width + 1), np.uint64)
         for j in range(width):
             prefix[:, j + 1] = prefix[:, j] * self.base + chars[:, j] + np.uint64(1)
-        ids = np.full((len(marked), width + 1, self.longest), -1, np.int32)
+        ids = np.full((len(marked), width + 1, self.longest), -1, self.kind)
         for n in range(1, min(self.longest, width) + 1):
             power = np.uint64(pow(int(self.base), n, 1 << 64))
             codes = prefix[:, n:] - prefix[:, :-n] * power
