@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caselens.plans import analytics, application, catalogs, grid, inquiries, pages, ranking, reports, retrieval, topic_ranking
+from caselens.plans import analytics, application, catalogs, evidence, grid, inquiries, pages, phases, ranking, reports, retrieval, topic_ranking
 
-MODULES = [retrieval, analytics, pages, ranking, application, reports, catalogs, inquiries, grid, topic_ranking]
+MODULES = [retrieval, analytics, pages, ranking, application, reports, catalogs, inquiries, grid, topic_ranking, phases, evidence]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

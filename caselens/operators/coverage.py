@@ -124,7 +124,7 @@ def profiles_overlap(a: Column, b: Column) -> Column:
 
 
 def excluded_overlap(text: Column, candidate: Column, catalog: topics.Catalog) -> Column:
-    """Whether a candidate's profile shares a topic or entity with what the text excludes."""
+    """Whether a candidate's profile, a column of a table, shares a topic or entity with what the text excludes."""
     parts = negation(text)["excluded"]
     both = F.arrays_zip(parts.alias("t"), fold_all(parts).alias("f"))
     return F.exists(both, lambda x: profiles_overlap(topics.profile(x["t"], catalog, x["f"]), candidate))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caselens.functions.text import fold, fold_all
+from caselens.scratch import written
 
 from . import coverage, topics
 from .selection import clamp
@@ -129,15 +130,17 @@ def evaluated(rows: DataFrame, product: str | None = None, separated: bool = Fal
     answer, evidence = F.coalesce("answer", F.lit("")), F.coalesce("evidence", F.array().cast("array<string>"))
     reasons = F.coalesce("insufficient_reasons", F.array().cast("array<string>"))
     own = rows.columns
-    rows = rows.withColumns({"_answer": answer, "_evidence": evidence, "_reasons": reasons, "_q": topics.profile(F.col("question"), catalog), "_a": topics.profile(answer, catalog)})
+    folds = {"_answer": answer, "_evidence": evidence, "_reasons": reasons, "_fq": fold(F.coalesce("question", F.lit(""))), "_fa": fold(answer), "_fe": fold_all(evidence)}
+    rows = written(rows.withColumns(folds), "answers")  # each step is written, as its arrays are read many times by the next
     answer, evidence, q, a = F.col("_answer"), F.col("_evidence"), F.col("_q"), F.col("_a")
-    each = F.arrays_zip(evidence.alias("t"), fold_all(evidence).alias("f"))
+    rows = rows.withColumns({"_q": topics.profile(F.col("question"), catalog, F.col("_fq")), "_a": topics.profile(answer, catalog, F.col("_fa"))})
+    each = F.arrays_zip(evidence.alias("t"), F.col("_fe").alias("f"))
     support = F.array_join(F.concat(F.array(F.coalesce("question", F.lit(""))), evidence), "\n")
     pair = lambda c: F.concat_ws("\x1f", c["kind"], c["value"])
     rows = rows.withColumns(
         {
-            "_claims": claims(answer, catalog),
-            "_known": F.transform(claims(support, catalog), pair),
+            "_claims": claims(answer, catalog, F.col("_fa")),
+            "_known": F.transform(claims(support, catalog, F.concat_ws("\n", "_fq", F.array_join("_fe", "\n"))), pair),
             "_conflict": F.size(topics.conflicts(q, a)) > 0,
             "_match": F.coalesce(topics.topic_match(q, a), F.lit(False)),
             "leaks": hits(answer, INTERNAL),
@@ -146,6 +149,7 @@ def evaluated(rows: DataFrame, product: str | None = None, separated: bool = Fal
             "_needs": coverage.required(F.col("question"), q) if separated else needs_of(q),
         }
     )
+    rows = written(rows, "profiled-answers")
     rows = rows.withColumn("unsupported", F.filter("_claims", lambda c: ~F.array_contains("_known", pair(c))))
     rows = rows.withColumn("_got", coverage.observed(answer) if separated else covered_by(answer, F.col("_claims")))
     lacking = F.array_except("_needs", coverage.observed_in_all(evidence)) if separated else F.array().cast("array<string>")

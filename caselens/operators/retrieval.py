@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
@@ -136,6 +137,49 @@ def reranked(candidates: DataFrame, chunks: DataFrame, queries: DataFrame, top:
     return ranked(scored, top)
 
 
+class Search(Protocol):
+    """A search: over an index (``indexed``) and queries (query_id, query), (query_id, document_id, chunk_index, score) of no fewer than
+    the best ``top`` of each query; ``pool`` is how many of each list a fusion takes."""
+
+    def __call__(self, index: DataFrame, queries: DataFrame, top: int, pool: int) -> DataFrame: ...
+
+
+class Reranker(Protocol):
+    """A reranker: ranked candidates in a new order, ``top`` of each query, with rank."""
+
+    def __call__(self, candidates: DataFrame, index: DataFrame, queries: DataFrame, top: int) -> DataFrame: ...
+
+
+def cosine(index: DataFrame, queries: DataFrame, top: int, dimensions: int = 256) -> DataFrame:
+    """(query_id, document_id, chunk_index, score) by feature-hashed vectors of the terms, greater than 0."""
+    return scoring.scored(index, queries, ("cosine",), top=top, dimensions=dimensions).withColumnRenamed("cosine", "score")
+
+
+def _hybrid(index: DataFrame, queries: DataFrame, top: int, pool: int) -> DataFrame:
+    lists = [ranked(s(index, queries, top=pool), pool) for s in (bm25, cosine)]
+    return fused(*lists)
+
+
+#: The searches and rerankers by name; others are added by their names.
+SEARCHES: dict[str, Search] = {
+    "keyword": lambda index, queries, top, pool: keyword(index, queries, top=top),
+    "bm25": lambda index, queries, top, pool: bm25(index, queries, top=top),
+    "hash_embedding": lambda index, queries, top, pool: cosine(index, queries, top),
+    "hybrid": _hybrid,
+}
+RERANKERS: dict[str, Reranker] = {"none": lambda candidates, index, queries, top: candidates.filter(F.col("rank") <= top), "lexical": reranked}
+
+
+def search(index: DataFrame, queries: DataFrame, top: int, method: str = "bm25", reranker: str = "none", pool: int = 50) -> DataFrame:
+    """The best ``top`` chunks of each query by a registered search and reranker, with rank. Unknown names raise."""
+    if method not in SEARCHES or reranker not in RERANKERS:
+        raise ValueError(f"unsupported search method or reranker: {method}, {reranker}")
+    if top <= 0:
+        raise ValueError("top must be greater than zero")
+    taken = top if reranker == "none" else max(20, 4 * top)
+    return RERANKERS[reranker](ranked(SEARCHES[method](index, queries, taken, pool), taken), index, queries, top)
+
+
 # The metadata that is searched with the text, in order, and the columns that each filter mode compares.
 SEARCHED = ["product", "version", "case_type", "question", "error_summary", "cause", "solution", "vendor_answer", "customer_answer"]
 FILTER_MODES = {"none": [], "product": ["product"], "product_and_version": ["product", "version"]}
