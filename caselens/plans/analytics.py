@@ -157,12 +157,21 @@ def fact_disagreements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def technical_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts.technical_values(read(spark, sf_dir, "documents"), "doc_id", "text")
+    """The technical values of each document, with some of every kind behind its text, by its number."""
+    n = F.col("doc_id").cast("string")
+    more = F.concat(
+        F.lit("\nv9."), (F.col("doc_id") % 7).cast("string"), F.lit(".1, HF-"), n, F.lit("; ERR_"), (F.col("doc_id") + 10).cast("string"), F.lit(" https://h/"), n, F.lit("?a=1. C:\\d\\"), n, F.lit(".txt\n/opt/q"), n, F.lit("/bin `run "), n, F.lit("` "),
+        (F.col("doc_id") % 9).cast("string"), F.lit(".5 MB and v9."), (F.col("doc_id") % 7).cast("string"), F.lit(".1"),
+    )
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), more).alias("text"))
+    return facts.technical_values(rows, "doc_id", "text")
 
 
 def unsupported_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Technical values of answers that the conversation's other turns do not hold."""
-    rows = read(spark, sf_dir, "conversations")
+    """Technical values of answers that the conversation's other turns do not hold: each turn names a version of its own and a
+    hotfix that it shares with the turn before or after."""
+    more = F.concat(F.lit(" v"), (F.col("conv_id") % 5).cast("string"), F.lit("."), F.col("turn").cast("string"), F.lit(" HF-"), F.floor(F.col("turn") / 2).cast("string"), F.lit(" "))
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "role", F.concat(F.coalesce("text", F.lit("")), F.coalesce(more, F.lit(""))).alias("text"))
     answers = facts.technical_values(rows.filter("role = 'assistant'"), "conv_id", "text").distinct()
     return facts.unsupported(answers, facts.technical_values(rows.filter("role <> 'assistant'"), "conv_id", "text"), ["conv_id"])
 
@@ -172,13 +181,22 @@ def line_normalisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.sha2("text", 256).alias("text_sha256"), "removed_lines")
 
 
-_TECH = """SELECT {key}, kind, unnest(list_distinct(vals)) AS value FROM (
-    SELECT {key}, unnest([
-        {{kind: 'version', vals: regexp_extract_all(text, '\\b(\\d+(?:\\.\\d+){{1,3}})\\b', 1)}},
-        {{kind: 'url', vals: regexp_extract_all(text, '(https?://[^\\s"''<>]+)', 1)}},
-        {{kind: 'option', vals: regexp_extract_all(text, '(--[A-Za-z0-9][A-Za-z0-9_-]*)', 1)}},
-        {{kind: 'error', vals: regexp_extract_all(text, '\\b([A-Z]{{2,}}-?\\d{{3,}})\\b', 1)}},
-        {{kind: 'unit', vals: regexp_extract_all(text, '(?i)\\b(\\d+(?:\\.\\d+)?\\s?(?:ms|sec|s|min|kb|mb|gb|%))(?:\\b|$)', 1)}}], recursive := true) FROM {rows})"""
+#: The kinds of technical values with patterns for SQL, whose second group is the value: SQL has no look behind.
+_KINDS = {
+    "version": r"(?i)(^|[^A-Za-z0-9])(v?\d+(?:\.\d+){1,4}(?:[-+][A-Za-z0-9._-]+)?)", "hotfix": r"(?i)(\b)((?:HF|EP)[-_ ]?\d+[A-Za-z0-9._-]*)\b", "error": r"(?i)(\b)(0x[0-9A-F]+|[A-Z]{1,8}[-_]\d{2,})\b",
+    "url": r"""(?i)()(https?://[^\s<>"'']+)""", "windows_path": r"""(\b)([A-Za-z]:\\[^\r\n\t<>"|?*]+)""", "unix_path": r"(^|[^A-Za-z0-9_])(/(?:[A-Za-z0-9._-]+/)+[A-Za-z0-9._-]+)", "quoted": r"()`([^`\r\n]{2,120})`",
+    "unit": r"(?i)(^|[^A-Za-z0-9])(\d+(?:\.\d+)?\s*(?:MB|GB|KB|ms|秒|分|%|件|回))\b",
+}
+
+
+def _tech(key: str, rows: str) -> str:
+    kinds = ", ".join(f"{{'kind': '{k}', 'vals': regexp_extract_all(text, '{p}', 2)}}" for k, p in _KINDS.items())
+    return f"SELECT DISTINCT {key}, kind, value FROM (SELECT {key}, kind, regexp_replace(trim(unnest(vals)), '[.,、。]+$', '') AS value FROM (SELECT {key}, unnest([{kinds}], recursive := true) FROM ({rows}))) WHERE value <> ''"
+
+
+_VALUED = r"""SELECT doc_id, coalesce(text, '') || chr(10) || 'v9.' || doc_id % 7 || '.1, HF-' || doc_id || '; ERR_' || (doc_id + 10) || ' https://h/' || doc_id || '?a=1. C:\d\' || doc_id || '.txt' || chr(10)
+    || '/opt/q' || doc_id || '/bin `run ' || doc_id || '` ' || doc_id % 9 || '.5 MB and v9.' || doc_id % 7 || '.1' AS text FROM documents"""
+_TURNS = "SELECT conv_id, role, coalesce(text, '') || coalesce(' v' || conv_id % 5 || '.' || turn || ' HF-' || turn // 2 || ' ', '') AS text FROM conversations"
 
 QUERIES = {
     "status_summary": (
@@ -298,10 +316,10 @@ QUERIES = {
         fact_disagreements,
         f"WITH {_LINES} SELECT key, o_orderstatus AS curated_value, status AS found_value FROM orders JOIN lines ON o_orderkey = key WHERE status <> o_orderstatus",
     ),
-    "technical_values": (technical_values, _TECH.format(key="doc_id", rows="documents")),
+    "technical_values": (technical_values, _tech("doc_id", _VALUED)),
     "unsupported_claims": (
         unsupported_claims,
-        f"""WITH a AS ({_TECH.format(key="conv_id", rows="conversations WHERE role = 'assistant'")}), e AS ({_TECH.format(key="conv_id", rows="conversations WHERE role <> 'assistant'")})
+        f"""WITH t AS ({_TURNS}), a AS ({_tech("conv_id", "SELECT * FROM t WHERE role = 'assistant'")}), e AS ({_tech("conv_id", "SELECT * FROM t WHERE role <> 'assistant'")})
             SELECT DISTINCT * FROM a ANTI JOIN e USING (conv_id, kind, value)""",
     ),
     "line_normalisation": (

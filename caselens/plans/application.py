@@ -121,7 +121,7 @@ def file_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 def content_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as files, every third with lines of a log before them."""
     log = F.concat(F.repeat(F.lit("2024-01-02 03:04:05 INFO started\n$ run x\n"), 40), F.lit("\n"))
-    text = F.when(F.col("doc_id") % 3 == 0, F.concat(log, F.substring("text", 1, 60))).otherwise(F.col("text"))
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat(log, "text")).otherwise(F.col("text"))
     return _files(spark, sf_dir).select("doc_id", names.content_scores(F.col("path"), text).alias("s")).select("doc_id", "s.*")
 
 
@@ -211,11 +211,23 @@ def weighted_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("query_id", "document_id", "score", "covered", "terms", F.array_join("matched_terms", " ").alias("matched"), "rank")
 
 
+def manual_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as manuals in that search's own order: those of a third of the numbers end with a procedure, of a fifth begin with a
+    table of contents; a third of the questions asks how to do it."""
+    d = F.col("doc_id")
+    text = F.concat(F.when(d % 5 == 0, "目次 ").otherwise(""), F.coalesce("text", F.lit("")), F.when(d % 3 == 0, " create > ").otherwise(""))
+    rows = documents(spark, sf_dir, "lang", "source").select("doc_id", F.element_at(F.split("text", "\n", 2), 1).alias("title"), F.col("lang").alias("section_title"), F.col("source").alias("file_name"), text.alias("text"))
+    n = F.col("query_id")
+    queries = asked(spark, sf_dir).select("query_id", F.concat("query", F.when(n % 3 == 0, " how to create it by GUI and CLI").otherwise("")).alias("query"))
+    found = search.found(rows, ["doc_id"], "manuals", queries, 5)
+    return found.select("query_id", "doc_id", "boost", "score", "rank")
+
+
 def contents_penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with a list of contents put before them by their number, and what it costs."""
     entry = F.lit("設定する12 A ")
     text = F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("目次 "), "html")).otherwise(F.concat(F.expr("repeat('設定する12 A ', cast(page_id % 9 as int))"), "html"))
-    rows = read(spark, sf_dir, "pages").select("page_id", F.substring(F.coalesce(text, entry), 1, 300).alias("t"))
+    rows = read(spark, sf_dir, "pages").select("page_id", F.coalesce(text, entry).alias("t"))
     penalty = search.contents_penalty(F.col("t"))
     score = (F.col("page_id") % 10) / 10
     return rows.select("page_id", penalty.alias("penalty"), F.round(search.bounded(score, -penalty), 6).alias("lowered"), F.round(search.bounded(score, penalty), 6).alias("raised"))
@@ -531,7 +543,7 @@ QUERIES: dict[str, tuple] = {
         content_classes,
         _sql(
             r"""t AS (SELECT doc_id, doc_id % 4 = 0 AS manual_name, doc_id % 4 = 1 AS log_name,
-                    CASE WHEN doc_id % 3 = 0 THEN repeat('2024-01-02 03:04:05 INFO started' || chr(10) || '$ run x' || chr(10), 40) || chr(10) || substr(text, 1, 60) ELSE text END AS text FROM files),
+                    CASE WHEN doc_id % 3 = 0 THEN repeat('2024-01-02 03:04:05 INFO started' || chr(10) || '$ run x' || chr(10), 40) || chr(10) || text ELSE text END AS text FROM files),
             l AS (SELECT *, list_filter(list_transform(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS lines FROM t),
             k AS (SELECT *, list_transform(lines, lambda x: {'log': regexp_matches(x, '(?i)^\s*(?:\d{4}[-/]\d{2}[-/]\d{2}[T\s]\d{2}:\d{2}:\d{2}|\[?(?:TRACE|DEBUG|INFO|WARN|ERROR|FATAL)\]?(?:\s|:)|at\s+[\w.]+\([^)]*\))'),
                     'shell': regexp_matches(x, '(?i)^\s*PS\s+[A-Z]:\\') OR regexp_matches(x, '(?i)^\s*[A-Z]:\\[^>\r\n]*>'),
@@ -613,6 +625,32 @@ QUERIES: dict[str, tuple] = {
             SELECT query_id, document_id, score, covered, terms, rank, (SELECT string_agg(term, ' ' ORDER BY best DESC, term) FROM (
                 SELECT term, best FROM p WHERE p.query_id = k.query_id AND p.doc_id = k.document_id ORDER BY best DESC, term LIMIT 12)) AS matched FROM k""",
     ),
+    "manual_search": (
+        manual_search,
+        f"""WITH asked AS (SELECT item_id AS q, text || CASE WHEN item_id % 3 = 0 THEN ' how to create it by GUI and CLI' ELSE '' END AS t FROM benchmark),
+            q AS (SELECT q, term, max(CASE WHEN length(term) >= 4 THEN 1.0 ELSE 0.75 END) AS w FROM (SELECT q, unnest(string_split({_FLAT.format("t")}, ' ')) AS term FROM asked)
+                  WHERE length(term) >= 2 AND term NOT IN ('please', 'thanks', 'thank') GROUP BY ALL),
+            b AS (SELECT q, count(*) AS terms, greatest(4.0, 4 * sum(w)) AS most FROM q GROUP BY ALL),
+            m AS (SELECT doc_id, coalesce(string_split(text, chr(10))[1], '') AS title, coalesce(lang, '') AS section, coalesce(source, '') AS file,
+                         CASE WHEN doc_id % 5 = 0 THEN '目次 ' ELSE '' END || coalesce(text, '') || CASE WHEN doc_id % 3 = 0 THEN ' create > ' ELSE '' END AS text FROM documents),
+            f AS (SELECT doc_id, 3.4 AS fw, 'title' AS kind, {_FLAT.format("title")} AS v FROM m UNION ALL SELECT doc_id, 3.0, 'title', {_FLAT.format("section")} FROM m
+                  UNION ALL SELECT doc_id, 2.0, 'metadata', {_FLAT.format("file")} FROM m UNION ALL SELECT doc_id, 1.0, 'body', {_FLAT.format("text")} FROM m),
+            t AS (SELECT DISTINCT term FROM q),
+            hits AS (SELECT doc_id, term, fw, kind, least(3, (length(v) - length(replace(v, term, ''))) // length(term)) AS n FROM f JOIN t ON contains(v, term)),
+            g AS (SELECT q, doc_id, term, kind, w * fw * n AS gain FROM hits JOIN q USING (term)),
+            s AS (SELECT q, doc_id, count(DISTINCT term) AS covered, sum(gain) AS strength, bool_or(kind = 'title') AS title, bool_or(kind = 'metadata') AS meta FROM g GROUP BY ALL),
+            c AS (SELECT q, doc_id, covered, title OR meta AS more, 0.55 * (covered / terms) + 0.25 * least(1.0, strength / most) + CASE WHEN title THEN 0.10 ELSE 0 END + CASE WHEN meta THEN 0.06 ELSE 0 END AS x FROM s JOIN b USING (q)),
+            r AS (SELECT q, doc_id, round_even(greatest(0, least(1, CASE WHEN more THEN x WHEN covered < 2 THEN least(0.42, x - 0.06) ELSE least(0.70, x - 0.06) END)), 3) AS score FROM c),
+            said AS (SELECT doc_id, file, section, text, lower(concat_ws(' ', CASE WHEN trim(title) <> '' THEN title END, CASE WHEN trim(section) <> '' THEN section END, CASE WHEN trim(text) <> '' THEN text END)) AS all_text FROM m),
+            names AS (SELECT DISTINCT q, name FROM (SELECT q, unnest(regexp_extract_all(lower(t), '[a-z][a-z0-9_.-]+')) AS name FROM asked WHERE q % 3 = 0) WHERE length(name) >= 3 AND name <> 'how'),
+            told AS (
+                SELECT DISTINCT q, doc_id, CASE WHEN contains(all_text, 'qa gui') THEN 1 ELSE 0 END + CASE WHEN contains(all_text, 'qacli') THEN 1 ELSE 0 END AS uses
+                FROM said JOIN names ON doc_id % 3 = 0 AND name <> 'create' AND (contains(substr(all_text, greatest(1, length(all_text) - 60)), name) OR (length(all_text) <= 122 AND contains(all_text, name))) OR (doc_id % 3 = 0 AND name = 'create')),
+            boosted AS (SELECT r.*, coalesce(round(0.22 + 0.06 * uses, 2), 0)::DOUBLE AS boost FROM r LEFT JOIN told USING (q, doc_id)),
+            raised AS (SELECT b.*, file, section, CASE WHEN boost > 0 THEN round_even(score + (1 - score) * boost, 3) ELSE score END AS up, contains(substr(text, 1, 400), '目次') AS listed FROM boosted b JOIN said USING (doc_id)),
+            final AS (SELECT q, doc_id, boost, file, section, CASE WHEN listed THEN round_even(greatest(0, up - 0.38), 3) ELSE up END AS score FROM raised)
+            SELECT q AS query_id, doc_id, boost, score, row_number() OVER (PARTITION BY q ORDER BY boost DESC, score DESC, lower(file) NULLS FIRST, lower(section) NULLS FIRST, doc_id)::INTEGER AS rank FROM final QUALIFY rank <= 5""",
+    ),
     "contents_penalties": (
         contents_penalties,
         """WITH p AS (SELECT page_id, CASE WHEN page_id % 5 = 0 OR page_id % 9 >= 5 THEN 0.38 ELSE 0 END::DOUBLE AS penalty, page_id % 10 / 10 AS s FROM pages)

@@ -50,7 +50,7 @@ def baseline_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ingestion_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as files: what was to be read and what was, by flags; copies share a hash."""
-    rows = read(spark, sf_dir, "lineitem").filter("l_orderkey % 4 = 1")
+    rows = read(spark, sf_dir, "lineitem")
     path = F.when(F.col("l_linenumber") == 2, "a.zip!/../x").when(F.col("l_linenumber") == 3, "a.zip!/docs/x.md").when(F.col("l_linenumber") == 4, "plain.txt").otherwise("b.ZIP!/x")
     rows = rows.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("case_id"), (F.col("l_returnflag") == "N").alias("expected_included"), (F.col("l_linestatus") == "O").alias("actual_included"),
@@ -71,7 +71,7 @@ def term_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_nationkey").cast("long").alias("query_id"), F.when(F.col("n_nationkey") % 3 > 0, "en").alias("product"), F.when(F.col("n_nationkey") % 2 > 0, "web").alias("version"),
         F.when(F.col("n_nationkey") % 4 > 0, F.array(F.lit("The "), F.lit("und"), F.lit("zzzz"), F.lower("n_name"))).alias("required_terms"), F.array(F.lit("QQQQ"), F.lit(" Der ")).alias("excluded_terms"),
     )
-    rows = evaluation.term_metrics(docs.filter("rank < 8"), cases)
+    rows = evaluation.term_metrics(docs, cases)
     return rows.select("query_id", F.round("required_term_coverage_at_k", 6).alias("required_term_coverage_at_k"), F.size("required_terms_missing").alias("missing"), F.size("excluded_terms_found").alias("excluded"), "product_confusion_count", "version_mismatch_count")
 
 
@@ -91,7 +91,7 @@ def page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind, n = F.col("page_id") % 5, F.col("page_id").cast("string")
     title = F.when(kind == 0, F.concat(F.lit("Release Notes for 9."), n, F.lit(".0"))).when(kind == 1, F.lit("Engine Pack")).when(kind == 2, "All Hotfixes").when(kind == 3, "SCA Release Notes 1.2.3").otherwise("Other")
     text = F.concat(F.lit("CxSAST 9."), n, F.lit(".1 and Engine Pack version 9."), n, F.lit(".2, HF"), n, F.lit(" and hf1. "), F.coalesce("html", F.lit("")))
-    rows = read(spark, sf_dir, "pages").select(title.alias("title"), F.lit("").alias("section_title"), F.concat(F.lit("u/"), n).alias("url"), F.substring(text, 1, 70).alias("text"))
+    rows = read(spark, sf_dir, "pages").select(title.alias("title"), F.lit("").alias("section_title"), F.concat(F.lit("u/"), n).alias("url"), text.alias("text"))
     return facts.page_facts(rows).select("key", "value", "url", "title", "confidence")
 
 
@@ -181,7 +181,7 @@ QUERIES = {
     ),
     "ingestion_report": (
         ingestion_report,
-        """WITH f AS (SELECT l_orderkey || '-' || l_linenumber AS id, l_returnflag = 'N' AS e, l_linestatus = 'O' AS a, 'ab' || l_orderkey AS h, l_linenumber > 1 AS z, l_linenumber AS n FROM lineitem WHERE l_orderkey % 4 = 1),
+        """WITH f AS (SELECT l_orderkey || '-' || l_linenumber AS id, l_returnflag = 'N' AS e, l_linestatus = 'O' AS a, 'ab' || l_orderkey AS h, l_linenumber > 1 AS z, l_linenumber AS n FROM lineitem),
             g AS (SELECT h, count(*) AS n, count(*) FILTER (a) AS i, bool_or(NOT z) AS o, bool_or(z) AS z, bool_or(a AND NOT z) AS k FROM f GROUP BY h)
             SELECT 'false_positive' AS kind, id FROM f WHERE a AND NOT e UNION ALL SELECT 'false_negative', id FROM f WHERE e AND NOT a
             UNION ALL SELECT 'invalid_archive_source', id FROM f WHERE n IN (2, 4) UNION ALL SELECT 'duplicate_group', h FROM g WHERE n > 1
@@ -190,7 +190,7 @@ QUERIES = {
     "content_fingerprints": (content_fingerprints, r"SELECT doc_id, sha256(regexp_replace(CASE WHEN doc_id % 2 = 0 THEN replace(text, chr(10), chr(13) || chr(10)) ELSE replace(text, chr(10), chr(13)) END, '\r\n?', chr(10), 'g')) AS fingerprint FROM documents"),
     "term_metrics": (
         term_metrics,
-        """WITH d AS (SELECT doc_id % 25 AS q, doc_id // 25 AS k, replace(lower(text), 'ß', 'ss') AS t, lang, source FROM documents WHERE text IS NOT NULL AND doc_id // 25 < 8),
+        """WITH d AS (SELECT doc_id % 25 AS q, doc_id // 25 AS k, replace(lower(text), 'ß', 'ss') AS t, lang, source FROM documents WHERE text IS NOT NULL),
             a AS (SELECT q, string_agg(trim(t, ' '), chr(10) ORDER BY k, t) AS t FROM d GROUP BY q),
             c AS (SELECT n_nationkey AS q, n_nationkey % 4 > 0 AS asks, ['the', 'und', 'zzzz', lower(n_name)] AS terms, n_nationkey % 3 > 0 AS p, n_nationkey % 2 > 0 AS v FROM nation),
             m AS (SELECT c.q, asks, p, v, len(list_filter(terms, lambda w: contains(coalesce(t, ''), w))) AS hit, CASE WHEN contains(coalesce(t, ''), 'der') THEN 1 ELSE 0 END AS excluded FROM c LEFT JOIN a USING (q))
