@@ -14,11 +14,12 @@ further columns are not read.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -131,6 +132,7 @@ def strings(column: pa.Array) -> list[str]:
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
+_kinds: dict[tuple[str, int], np.dtype] = {}
 
 
 def encoder(path: str, end_id: int = END_ID) -> Encoder:
@@ -144,6 +146,19 @@ def encoder(path: str, end_id: int = END_ID) -> Encoder:
     return _encoders[key]
 
 
+def id_kind(spark: SparkSession, path: str, end_id: int = END_ID) -> np.dtype:
+    """The type of the ids of a tokenizer, which a task looks up: the driver has no use for the tokenizer itself."""
+    known = (path, end_id)
+    if known not in _kinds:
+
+        def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_pydict({"width": pa.array([encoder(path, end_id).kind.itemsize] * len(batch), pa.int32())})
+
+        _kinds[known] = np.dtype(f"<u{spark.range(1).mapInArrow(look, 'width int').first()[0]}")
+    return _kinds[known]
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -158,7 +173,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int = END_ID, keep: tuple[str,
     def ids(text: pa.Array) -> pa.Array:
         return encoder(path, end_id).encode(text)
 
-    width = encoder(path, end_id).kind.itemsize
+    width = id_kind(docs.sparkSession, path, end_id).itemsize
     queue = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", queue.alias("queue"), ids("text").alias("ids"), *keep)
     return written(rows.withColumn("n", (F.octet_length("ids") / width).cast("long")), "tokens")
@@ -235,7 +250,7 @@ def pack(
         F.when(F.col("p") < full, F.floor(F.col("p") / sequence)).otherwise(F.lit(full // sequence) + passed).cast("long").alias("sequence_id"),
         (F.col("p") - begun).alias("offset"),
     )
-    kind = encoder(path, end_id).kind
+    kind = id_kind(docs.sparkSession, path, end_id)
 
     @F.arrow_udf(T.ArrayType(T.BinaryType()))
     def cut(ids: pa.Array, lengths: pa.Array) -> pa.Array:
