@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a side of a join is broadcast.
 SMALL = 1_000_000
+#: Bytes of such a side, written as text.
+SMALL_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,6 +38,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
-    """``df``, to be broadcast if it has no more than ``rows`` rows, which are counted."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = SMALL, most: int = SMALL_BYTES) -> DataFrame:
+    """``df``, to be broadcast if it has no more than ``rows`` rows, and these no more than ``most`` bytes as text; both are counted."""
+    size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    n, held = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and held <= most else df
