@@ -25,6 +25,9 @@ WARNINGS = {
 }
 OPEN = {"version": "根拠の対象バージョン", "updated": "根拠の作成日または更新日", "confidence": "根拠の信頼度"}
 UNASKED = "未指定"
+# Items that are taken over from elsewhere (by default and at most) and the bytes of a file that holds them.
+TAKEN, MOST_TAKEN, MOST_BYTES = 3, 5, 10 << 20
+VERSION_WARNING, VERSION_WORD = "対象バージョンと根拠のバージョンが一致しません。", "バージョン"
 
 
 def excerpt(text: Column) -> Column:
@@ -97,3 +100,29 @@ def payloads(items: DataFrame, queries: DataFrame) -> DataFrame:
     grouped = items.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", item.alias("item")))), lambda x: x["item"]).alias("selectedEvidence"))
     body = F.to_json(F.struct("query", "selectedEvidence"), {"ignoreNullFields": "false"})
     return grouped.join(queries.select("query_id", "query"), "query_id").select("query_id", body.alias("payload"))
+
+
+def taken_over(items: DataFrame, most: int = 0) -> DataFrame:
+    """``items`` of payloads made elsewhere (query_id, place, document_id, text, product, version, product_match, version_match, warnings,
+    asked_product, asked_version, ready) with state: NotReady where the baseline they rest on is not, Incomplete without document or text,
+    OtherProduct, Taken for the first ``most`` others of a query (3 by default, 5 at most) or Beyond; those of another version get a
+    warning of it."""
+    limit = min(MOST_TAKEN, max(1, TAKEN if most <= 0 else most))
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    differs = lambda asked, got, told: F.coalesce(~F.col(told), F.lit(False)) | (~blank(asked) & ~blank(got) & (F.lower(F.trim(asked)) != F.lower(F.trim(got))))
+    out = F.when(~F.coalesce("ready", F.lit(False)), "NotReady").when(blank("document_id") | blank("text"), "Incomplete").when(differs("asked_product", "product", "product_match"), "OtherProduct")
+    rows = items.withColumn("_out", out)
+    nth = F.row_number().over(Window.partitionBy("query_id", F.col("_out").isNull()).orderBy("place"))
+    rows = rows.withColumn("state", F.coalesce("_out", F.when(nth <= limit, "Taken").otherwise("Beyond")))
+    given = F.filter(F.coalesce("warnings", F.array().cast("array<string>")), lambda w: F.trim(F.coalesce(w, F.lit(""))) != "")
+    told = F.exists(given, lambda w: F.contains(w, F.lit(VERSION_WORD)))
+    more = differs("asked_version", "version", "version_match") & ~told
+    return rows.withColumn("warnings", F.when(more, F.concat(given, F.array(F.lit(VERSION_WARNING)))).otherwise(given)).drop("_out")
+
+
+def takeover_reasons(rows: DataFrame) -> DataFrame:
+    """(query_id, taken, left_out, reason): how many items of each query of ``taken_over`` are taken, how many are left out, and why none is:
+    BaselineNotReady or NoApplicableEvidence; null if some are."""
+    taken = F.count_if(F.col("state") == "Taken")
+    reason = F.when(F.max(F.col("state") == "NotReady"), "BaselineNotReady").when(taken == 0, "NoApplicableEvidence")
+    return rows.groupBy("query_id").agg(taken.alias("taken"), F.count_if(F.col("state").isin("Incomplete", "OtherProduct")).alias("left_out"), reason.alias("reason"))

@@ -38,6 +38,14 @@ def built_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "source_id", "pick", F.char_length("excerpt").alias("n_chars"), "used", F.round("relevance", 6).alias("relevance"))
 
 
+def taken_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items of ``evidence_items`` as if made elsewhere, for questions of which some rest on no ready baseline."""
+    rows = evidence.payload_items(_found(spark, sf_dir), 5, "2026-01-01", 365 * 4).withColumns({"warnings": F.col("warning_texts"), "ready": F.col("query_id").cast("long") % 7 > 0})
+    rows = rows.withColumn("text", F.when(F.col("document_id") % 6 > 0, F.col("text")))
+    found = evidence.taken_over(rows.withColumn("version_match", F.lit(None).cast("boolean")))
+    return found.select("query_id", "place", "document_id", "state", F.size("warnings").alias("warnings"))
+
+
 def registered_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best three chunks of each passage by each registered search and reranker, over one index."""
     index, queries = retrieval.indexed(chunks(spark, sf_dir)), asked(spark, sf_dir)
@@ -106,6 +114,19 @@ QUERIES = {
                    concat_ws('|', CASE WHEN version IS NULL THEN '{evidence.OPEN["version"]}' END, CASE WHEN y IS NULL THEN '{evidence.OPEN["updated"]}' END, CASE WHEN NOT sure THEN '{evidence.OPEN["confidence"]}' END) AS open_texts,
                    array_to_string(list_transform(list_sort(list_transform(terms, lambda t: {{'n': -length(t), 't': t}})), lambda x: x.t), ' ') AS keywords FROM told""",
     ),
+    "taken_evidence": (
+        taken_evidence,
+        f"""WITH {_FOUND},
+            one AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY query_id, d ORDER BY rank) = 1),
+            placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank)::INTEGER AS place FROM one QUALIFY place <= 5),
+            told AS (
+                SELECT *, CASE WHEN n % 3 > 0 THEN coalesce(product = 'en', false) END AS pm, CASE WHEN n % 2 > 0 THEN coalesce(version = '1', false) END AS vm, make_timestamp(y, 6, 1, 0, 0, 0) < TIMESTAMP '2026-01-01' - INTERVAL 1460 DAY AS stale,
+                       version IS NOT NULL AND product IS NOT NULL AND coalesce(min(version) OVER w <> max(version) OVER w, false) AS clash FROM placed WINDOW w AS (PARTITION BY query_id, product)),
+            outs AS (SELECT *, CASE WHEN n % 7 = 0 THEN 'NotReady' WHEN d % 6 = 0 THEN 'Incomplete' WHEN NOT pm THEN 'OtherProduct' END AS o,
+                            coalesce(NOT pm, false)::INTEGER + coalesce(NOT vm, false)::INTEGER + coalesce(stale, false)::INTEGER + clash::INTEGER AS w FROM told)
+            SELECT query_id, place, d AS document_id, coalesce(o, CASE WHEN row_number() OVER (PARTITION BY query_id, o IS NULL ORDER BY place) <= 3 THEN 'Taken' ELSE 'Beyond' END) AS state,
+                   (w + CASE WHEN n % 2 > 0 AND version <> '1' AND NOT (coalesce(NOT vm, false) OR clash) THEN 1 ELSE 0 END)::INTEGER AS warnings FROM outs""",
+    ),
     "built_evidence": (
         built_evidence,
         f"""WITH {_BUILT}{_round(2)}{_round(3)}

@@ -199,6 +199,29 @@ def read_case_index(spark: SparkSession, path: str) -> DataFrame:
     return read_records(spark, path, "cases", CASE, strict=False)
 
 
+#: The items of a payload of evidence in a file.
+PAYLOAD = T.StructType(
+    [T.StructField("query", T.StringType())]
+    + [T.StructField("selectedEvidence", T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in "documentId text product version sourceType selectionReason".split()] + [T.StructField(n, T.BooleanType()) for n in ("productMatch", "versionMatch")] + [T.StructField("warnings", _LIST)])))]
+)
+
+
+def read_payloads(spark: SparkSession, path: str, most: int = 10 << 20) -> tuple[DataFrame, DataFrame]:
+    """(items, faults) of JSON files that hold a payload of evidence each: items (file, query, place, document_id, text, product, version,
+    source_type, product_match, version_match, warnings), and (file, error) of files that are larger than ``most`` bytes (their contents
+    are not read), no JSON, or without items. Empty files are not listed."""
+    files = spark.read.format("binaryFile").load(path)
+    gate = F.when(F.col("length") > most, "too large")
+    sized = files.select("path", gate.alias("gate"))
+    text = files.filter(F.col("length") <= most).select("path", F.col("content").cast("string").alias("text"))
+    parsed = written(text.select("path", F.from_json("text", T.StructType([*PAYLOAD.fields, T.StructField("_corrupt", T.StringType())]), {"columnNameOfCorruptRecord": "_corrupt"}).alias("p")), "payloads")
+    bad = F.when(F.col("p").isNull() | F.col("p._corrupt").isNotNull(), "no JSON").when(F.coalesce(F.size("p.selectedEvidence"), F.lit(0)) <= 0, "no items")
+    faults = sized.filter("gate IS NOT NULL").select(F.col("path").alias("file"), F.col("gate").alias("error")).unionByName(parsed.select(F.col("path").alias("file"), bad.alias("error")).filter("error IS NOT NULL"))
+    each = parsed.filter(bad.isNull()).select(F.col("path").alias("file"), F.col("p.query").alias("query"), F.posexplode("p.selectedEvidence").alias("place", "i"))
+    names = {"documentId": "document_id", "text": "text", "product": "product", "version": "version", "sourceType": "source_type", "productMatch": "product_match", "versionMatch": "version_match", "warnings": "warnings"}
+    return each.select("file", "query", "place", *(F.col(f"i.{n}").alias(c) for n, c in names.items())), faults
+
+
 def write_report(summary: DataFrame, path: str) -> None:
     """A summary as JSON, CSV and a Markdown table (one line per row, numbers to six places). Of its columns those of
     ``SUMMARY`` are written, in that order; missing ones are empty."""

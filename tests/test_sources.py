@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from caselens.operators import evidence
 from caselens.scratch import written
 from caselens.sources import files, records
 
@@ -124,6 +125,26 @@ def test_evaluation_cases(spark, tmp_path):
     assert rows == {"q": ("x", ["a", "b"], None), "r": (None, None, ["d"])}
 
 
+def test_payloads_of_evidence(spark, tmp_path):
+    items = [{"documentId": f"d{i}", "text": "t", "product": "QAC", "version": "9", "warnings": ["w", " "]} for i in range(6)]
+    items[0] = {"documentId": " ", "text": "t"}
+    items[1] = {"documentId": "x", "text": "t", "product": "Other"}
+    (tmp_path / "a.json").write_text(json.dumps({"query": "q", "selectedEvidence": items}))
+    (tmp_path / "c.json").write_text(json.dumps({"query": "q", "selectedEvidence": [{"text": "x" * 5000}]}))
+    (tmp_path / "d.json").write_text("{no")
+    (tmp_path / "e.json").write_text('{"query": "q"}')
+    rows, faults = records.read_payloads(spark, str(tmp_path), most=3000)
+    assert {(r.file[-6:], r.error) for r in faults.collect()} == {("c.json", "too large"), ("d.json", "no JSON"), ("e.json", "no items")}
+    asked = rows.withColumns({"query_id": F.lit(1), "asked_product": F.lit(" qac "), "asked_version": F.lit("10"), "ready": F.lit(True)})
+    got = evidence.taken_over(asked)
+    assert [(r.place, r.state) for r in got.orderBy("place").collect()] == [(0, "Incomplete"), (1, "OtherProduct"), (2, "Taken"), (3, "Taken"), (4, "Taken"), (5, "Beyond")]
+    assert got.filter("place = 2").first().warnings == ["w", evidence.VERSION_WARNING]
+    reason = lambda df: tuple(evidence.takeover_reasons(df).first())
+    assert reason(got) == (1, 3, 2, None) and reason(evidence.taken_over(asked.withColumn("ready", F.lit(False)))) == (1, 0, 0, "BaselineNotReady")
+    assert reason(evidence.taken_over(asked.filter("place < 2"))) == (1, 0, 2, "NoApplicableEvidence")
+    assert evidence.taken_over(asked, 9).filter("state = 'Taken'").count() == 4
+
+
 def test_a_scan_parses_what_has_changed(spark):
     """Only names of new and changed folders reach the parser, which counts them."""
     parsed = spark.sparkContext.accumulator(0)
