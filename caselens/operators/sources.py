@@ -201,6 +201,37 @@ def selection_summary(rows: DataFrame, threshold: float, display: float = 0.0, s
     )
 
 
+def official_diagnostics(queries: DataFrame, results: DataFrame, index: DataFrame, indexed: DataFrame) -> DataFrame:
+    """How official pages came into each query's answer: its counts of them found, selected, sent and of an asked version, the chunks of its product's
+    index, those of an asked feature, and the diagnosis: the first step at which there were none. ``queries`` has query_id, product,
+    document_urls (registered ones), target_versions and features; ``results`` the rows of ``selection`` with title, text, url and matched_terms;
+    ``index`` (product, chunks, fetch_failures) the indexes there are; ``indexed`` (product, chunk_id, feature) what their chunks are about."""
+    asked = queries.select("query_id", "product", "document_urls", F.coalesce("target_versions", F.array().cast("array<string>")).alias("target_versions"), F.coalesce("features", F.array().cast("array<string>")).alias("features"))
+    told = lambda v: F.coalesce(F.contains(F.lower(F.concat_ws("\n", "title", "text", "url")), F.lower(v)), F.lit(False)) | F.exists(F.coalesce("matched_terms", F.array().cast("array<string>")), lambda t: F.lower(t) == F.lower(v))
+    official = results.filter(is_type("OfficialDoc")).join(asked.select("query_id", "target_versions"), "query_id")
+    counts = official.groupBy("query_id").agg(
+        F.count("*").alias("found"),
+        F.count_if("selected").alias("selected"),
+        F.count_if(F.coalesce(F.col("state") == "sent", F.lit(False))).alias("sent"),
+        F.count_if(F.exists("target_versions", told)).alias("version_matches"),
+    )
+    features = asked.select("query_id", "product", F.explode("features").alias("feature")).join(indexed, ["product", "feature"])
+    about = features.groupBy("query_id").agg(F.count_distinct("chunk_id").alias("feature_matches"))
+    rows = asked.join(index, "product", "left").join(counts, "query_id", "left").join(about, "query_id", "left")
+    number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    diagnosis = (
+        F.when(F.col("product").isNull() | (number("document_urls") == 0), "CrawlNotConfigured")
+        .when(F.col("chunks").isNull(), "IndexMissing")
+        .when(F.col("chunks") == 0, F.when(number("fetch_failures") > 0, "CrawlFailed").otherwise("IndexEmpty"))
+        .when((F.size("features") > 0) & (number("feature_matches") == 0), "IndexCoverageMissing")
+        .when(number("found") == 0, "SearchMismatch")
+        .when(number("selected") == 0, "SelectorExcluded")
+        .when(number("sent") == 0, "FinalSelectionExcluded")
+        .otherwise("Selected")
+    )
+    return rows.select("query_id", *(number(c).alias(c) for c in ("chunks", "feature_matches", "found", "selected", "sent", "version_matches")), diagnosis.alias("diagnosis"))
+
+
 def quality_evidence(chosen: DataFrame, reported: DataFrame, keys: list[str]) -> DataFrame:
     """The sources and what a result reports as evidence beyond them."""
     return chosen.unionByName(reported.join(chosen.select(*keys).distinct(), keys, "left_anti"))

@@ -319,6 +319,20 @@ def selection_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.selection_summary(sources.selection(_results(spark, sf_dir), 5, 0.95), 0.95, 0.3, "Manual")
 
 
+def official_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The products of lines have indexes: A and N of their first lines, R one that failed, X none; a query's number says what it asks for."""
+    rows = sources.selection(_results(spark, sf_dir), 5, 0.95).withColumns({"title": F.col("source_id"), "text": F.col("source_id"), "url": F.lit(None).cast("string")})
+    n = F.col("query_id")
+    asked_for = rows.select("query_id").distinct().select(
+        "query_id", F.get(F.array(*map(F.lit, ["A", "N", "R", "X", None])), (n % 5).cast("int")).alias("product"), (n % 7).alias("document_urls"), F.when(n % 2 == 0, F.array(F.lit("TERM"))).alias("target_versions"),
+        F.when(n % 3 > 0, F.array(F.concat(F.lit("F"), (n % 4).cast("string")))).alias("features"),
+    )
+    lines = read(spark, sf_dir, "lineitem").filter("l_linenumber = 1")
+    chunked = lines.filter("l_returnflag <> 'R'").select(F.col("l_returnflag").alias("product"), F.col("l_orderkey").alias("chunk_id"), F.concat(F.lit("F"), (F.col("l_suppkey") % 3).cast("string")).alias("feature"))
+    index = lines.groupBy(F.col("l_returnflag").alias("product")).agg(F.count_if(F.col("l_returnflag") != "R").alias("chunks"), F.count_if(F.col("l_returnflag") == "R").alias("fetch_failures"))
+    return sources.official_diagnostics(asked_for, rows, index, chunked)
+
+
 def _variants(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     rows = _results(spark, sf_dir).select("query_id", "source_type", "source_id", "score", "retrieved_at")
     return [rows, rows.filter("query_id % 3 > 0").withColumn("score", F.round(1 - F.coalesce("score", F.lit(0.0)), 2))]
@@ -720,6 +734,19 @@ QUERIES |= {
             _SELECTION,
         ),
     ),
+    "official_diagnostics": (
+        official_diagnostics,
+        _sql(
+            """SELECT query_id, CASE WHEN product IN ('A', 'N') THEN chunks ELSE 0 END AS chunks, feature_matches, found, selected, sent, version_matches,
+                      CASE WHEN product IS NULL OR query_id % 7 = 0 THEN 'CrawlNotConfigured' WHEN product = 'X' THEN 'IndexMissing' WHEN product = 'R' THEN 'CrawlFailed' WHEN query_id % 3 > 0 AND feature_matches = 0 THEN 'IndexCoverageMissing'
+                           WHEN found = 0 THEN 'SearchMismatch' WHEN selected = 0 THEN 'SelectorExcluded' WHEN sent = 0 THEN 'FinalSelectionExcluded' ELSE 'Selected' END AS diagnosis
+               FROM (SELECT query_id, ['A', 'N', 'R', 'X', NULL][query_id % 5 + 1] AS product, count(*) FILTER (t = 'officialdoc') AS found, count(*) FILTER (t = 'officialdoc' AND selected) AS selected,
+                            count(*) FILTER (t = 'officialdoc' AND state = 'sent') AS sent, count(*) FILTER (t = 'officialdoc' AND query_id % 2 = 0 AND matched) AS version_matches FROM picked GROUP BY query_id)
+               LEFT JOIN (SELECT l_returnflag AS product, count(*) AS chunks FROM lineitem WHERE l_linenumber = 1 GROUP BY ALL) USING (product),
+               LATERAL (SELECT count(DISTINCT l_orderkey) AS feature_matches FROM lineitem WHERE l_linenumber = 1 AND l_returnflag = product AND product <> 'R' AND query_id % 3 > 0 AND l_suppkey % 3 = query_id % 4)""",
+            _SELECTION,
+        ),
+    ),
     "variant_sources": (variant_sources, _sql("SELECT query_id, source_type, source_id, max(s) AS score FROM (SELECT * FROM va UNION ALL SELECT * FROM vb) GROUP BY ALL", _VARIANTS)),
     "first_sources": (first_sources, _sql("SELECT query_id, source_id, s AS score FROM (SELECT * FROM va UNION ALL SELECT * FROM vb) QUALIFY row_number() OVER (PARTITION BY query_id, source_id ORDER BY part, s DESC) = 1", _VARIANTS)),
     "merged_sources": (
