@@ -83,25 +83,22 @@ def tokens(folded: Column) -> Column:
     return F.when(folded.rlike(f"[{JAPANESE}]"), F.flatten(F.transform(found, grams))).otherwise(found)
 
 
-def chunk_starts(text: Column, maximum: int, overlap: int) -> Column:
-    """0-based starts of the fixed chunks of a text: steps of ``maximum`` - ``overlap`` until a chunk reaches the end."""
+def chunk_texts(text: Column, maximum: int, overlap: int) -> Column:
+    """The fixed chunks of a text, at steps of ``maximum`` - ``overlap`` until a chunk reaches the end: pieces of one step, each with
+    the beginning of the next, which stands beside it and is not looked up by its place, as that would cut the text once for each."""
     if not 0 <= overlap < maximum:
         raise ValueError("the overlap must be smaller than the chunk, and not negative")
     size, step = F.char_length(text), maximum - overlap
     count = F.when(size == 0, 0).when(size <= maximum, 1).otherwise(F.ceil((size - overlap) / step)).cast("int")
-    return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: i * step)).otherwise(F.array().cast("array<int>"))
-
-
-def chunk_texts(text: Column, maximum: int, overlap: int) -> Column:
-    """The fixed chunks themselves, in one pass over the text: pieces of one step, each with the beginning of the next."""
-    starts, step = chunk_starts(text, maximum, overlap), maximum - overlap
     if overlap > step:
+        starts = F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: i * step)).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.substr(text, i + 1, F.lit(maximum)))
     steps = F.regexp_extract_all(text, F.lit(f"(?s)(.{{1,{step}}})"), 1)
     if not overlap:
         return steps
-    tail = lambda i: F.coalesce(F.substr(F.get(steps, i + 1), F.lit(1), F.lit(overlap)), F.lit(""))
-    return F.transform(starts, lambda _, i: F.concat(F.get(steps, i), tail(i)))
+    behind = F.slice(steps, 2, F.greatest(F.size(steps), F.lit(1)))
+    both = F.zip_with(steps, behind, lambda own, more: F.concat(own, F.coalesce(F.substring(more, 1, overlap), F.lit(""))))
+    return F.slice(both, 1, F.coalesce(count, F.lit(0)))
 
 
 def chunk_id(document: Column, strategy: str, index: Column, section: Column, text: Column) -> Column:

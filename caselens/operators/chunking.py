@@ -62,14 +62,21 @@ def section_lines(docs: DataFrame, key: str, title) -> DataFrame:
     """(key, section, title, lines): each line for which ``title`` (a function of the line) is not null begins a section
     and is its first line; lines before the first such one are a section too. Sections are found within the row of the
     document, so nothing is shuffled."""
-    rows = docs.select(key, F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n", -1).alias("_lines"))
-    rows = rows.withColumn("_titles", F.transform("_lines", title))
-    begins = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: (i == 0) | F.get("_titles", i).isNotNull())
-    rows = rows.withColumn("_begins", begins)
-    stop = lambda n: F.coalesce(F.get("_begins", n + 1), F.size("_lines"))
-    found = F.transform("_begins", lambda i, n: F.struct(F.get("_titles", i).alias("title"), F.slice("_lines", i + 1, stop(n) - i).alias("lines")))
-    rows = rows.select(key, found.alias("_sections")).select(key, F.posexplode("_sections").alias("section", "_s"))
-    return rows.select(key, "section", "_s.title", "_s.lines")
+    lines = F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n", -1)
+    titled = F.transform(lines, lambda line, i: F.struct(i.alias("at"), title(line).alias("title")))
+    begins = F.filter(titled, lambda x: (x["at"] == 0) | x["title"].isNotNull())
+    rows = _spans(docs.select(key, lines.alias("_lines"), begins.alias("_begins")), key, "section")
+    return rows.select(key, "section", "_b.title", F.slice("_lines", F.col("_b.at") + 1, F.col("_stop") - F.col("_b.at")).alias("lines"))
+
+
+def _spans(rows: DataFrame, key: str, out: str) -> DataFrame:
+    """(key, _lines, out, _b, _stop): each of ``_begins`` (structs with at, in order) with its number and where the next one stands, or
+    the lines end. What begins is paired with what follows it: an array looked up by place in a function of its members is
+    computed anew for each of them."""
+    behind = F.slice("_begins", 2, F.greatest(F.size("_begins"), F.lit(1)))
+    paired = F.zip_with("_begins", behind, lambda own, after: F.struct(own.alias("b"), after["at"].alias("stop")))
+    each = rows.select(key, "_lines", F.posexplode(paired).alias(out, "_p"))
+    return each.select(key, "_lines", out, F.col("_p.b").alias("_b"), F.coalesce("_p.stop", F.size("_lines")).alias("_stop"))
 
 
 def sections(docs: DataFrame, key: str, title) -> DataFrame:
@@ -152,13 +159,15 @@ def structured_chunks(docs: DataFrame, key: str, maximum: int = 1200) -> DataFra
     given = [F.when(F.coalesce(F.col(c), F.lit("")) != "", F.struct(F.lit(label).alias("title"), F.concat(F.lit(f"{label}\n"), F.trim(F.col(c))).alias("body"))) for c, (label, _) in STRUCTURED.items() if c in docs.columns]
     kind = "array<struct<title:string,body:string>>"
     columns = F.filter(F.array(*given), lambda x: x.isNotNull()) if given else F.array().cast(kind)
-    rows = docs.withColumn("_lines", F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"\r\n?", "\n"), "\n", -1)).withColumn("_heads", F.transform("_lines", field_heading))
-    begins = F.filter(F.transform("_heads", lambda h, i: F.when(h.isNotNull(), i)), lambda i: i.isNotNull())
-    rows = rows.withColumn("_begins", begins)
-    stop = lambda n: F.coalesce(F.get("_begins", n + 1), F.size("_lines"))
-    rest = lambda i: F.filter(F.array(F.get("_heads", i)["rest"]), lambda x: x != "")
-    body = lambda i, n: F.regexp_replace(F.array_join(F.concat(rest(i), F.slice("_lines", i + 2, F.greatest(F.lit(0), stop(n) - i - 1))), "\n"), r"^\s+|\s+$", "")
-    parsed = F.transform("_begins", lambda i, n: F.struct(F.get("_heads", i)["label"].alias("title"), body(i, n).alias("body")))
+    lines = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"\r\n?", "\n"), "\n", -1)
+    begins = F.filter(F.transform(lines, lambda line, i: F.struct(i.alias("at"), field_heading(line).alias("head"))), lambda x: x["head"].isNotNull())
+    # exploded as one row, so that the lines are split and their heads found once and not anew for each part
+    rows = docs.withColumn("_r", F.explode(F.array(F.struct(lines.alias("lines"), begins.alias("begins")))))
+    behind = F.slice("_r.begins", 2, F.greatest(F.size("_r.begins"), F.lit(1)))
+    stop = lambda after: F.coalesce(after["at"], F.size("_r.lines"))
+    rest = lambda own: F.filter(F.array(own["head"]["rest"]), lambda x: x != "")
+    body = lambda own, after: F.regexp_replace(F.array_join(F.concat(rest(own), F.slice("_r.lines", own["at"] + 2, F.greatest(F.lit(0), stop(after) - own["at"] - 1))), "\n"), r"^\s+|\s+$", "")
+    parsed = F.zip_with("_r.begins", behind, lambda own, after: F.struct(own["head"]["label"].alias("title"), body(own, after).alias("body")))
     parsed = F.transform(F.filter(parsed, lambda x: x["body"] != ""), lambda x: F.struct(x["title"].alias("title"), F.concat(x["title"], F.lit("\n"), x["body"]).alias("body")))
     whole = F.array(F.struct(F.lit(None).cast("string").alias("title"), F.coalesce("text", F.lit("")).alias("body")))
     rows = rows.select(key, columns.alias("_columns"), parsed.alias("_parsed"), whole.alias("_whole"))
