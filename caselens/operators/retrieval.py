@@ -94,9 +94,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int, places: int = PLAC
         def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             kept = scoring.Best(len(names), top, positive=False)
             for batch in batches:
-                if len(batch):
-                    own = [batch[c].to_numpy(np.int64) for c in ids]
-                    kept.add(np.round(scoring.unit(np.stack(batch["vector"].to_numpy()).astype(np.float64)) @ matrix.T, places), own)
+                for part in scoring.slices(len(batch), len(names)):
+                    rows = batch.iloc[part]
+                    own = [rows[c].to_numpy(np.int64) for c in ids]
+                    kept.add(np.round(scoring.unit(np.stack(rows["vector"].to_numpy()).astype(np.float64)) @ matrix.T, places), own)
             if kept.rows is not None:
                 q, scores, *own = kept.rows
                 yield pd.DataFrame({"query_id": names[q], **dict(zip(ids, own, strict=True)), "score": scores})

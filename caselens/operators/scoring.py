@@ -26,6 +26,8 @@ K1, B = 1.5, 0.75
 PLACES = 6
 #: Bytes of one block's matrices and queries in one block.
 BYTES, BLOCK = 32 << 20, 4096
+#: Scores that one step of a task holds at once, whatever the number of queries: its rows are taken in slices.
+CELLS = 1 << 20
 #: Hash places that a task remembers.
 REMEMBERED = 200_000
 
@@ -55,6 +57,12 @@ class Best:
         self.least[rows[0][full]] = rows[1][full]
 
 
+def slices(rows: int, queries: int) -> Iterator[slice]:
+    """Slices of so many rows, each of no more than ``CELLS`` scores, or one row."""
+    step = max(1, CELLS // max(1, queries))
+    return (slice(i, min(rows, i + step)) for i in range(0, rows, step))
+
+
 def unit(rows: np.ndarray) -> np.ndarray:
     norm = np.linalg.norm(rows, axis=1, keepdims=True)
     return np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
@@ -115,11 +123,17 @@ class Block:
     def vectors(self, hashed: Hashed) -> np.ndarray:
         return np.array([hashed.vector(c) for c in self.counts]).reshape(len(self.ids), hashed.dimensions).T
 
+    def own(self, hashed: Hashed) -> np.ndarray:
+        """``vectors``, made once a task."""
+        if getattr(hashed, "asked", None) is None:
+            hashed.asked = self.vectors(hashed)
+        return hashed.asked
+
     def scores(self, words: list[str], folded: list[str], tags: list[str], wanted: tuple[str, ...], hashed: Hashed | None = None) -> dict[str, np.ndarray]:
         """Of the wanted scores (bm25, keyword, cosine, covered, phrase) a matrix (chunk, query); 0 where nothing is shared."""
         shape = (len(words), len(self.ids))
         out = {name: np.zeros(shape) for name in wanted}
-        own = self.vectors(hashed) if "cosine" in wanted else None
+        own = self.own(hashed) if "cosine" in wanted else None
         phrased = {"keyword", "phrase"} & set(wanted)
         for i, text in enumerate(words):
             all_terms = text.split(" ") if text else []
@@ -214,20 +228,24 @@ def scored(index: DataFrame, queries: DataFrame, wanted: tuple[str, ...], tag: s
     def run(block: Block) -> DataFrame:
         ids = np.array(block.ids)
 
+        def step(batch: pd.DataFrame, hashed: Hashed, best: dict[str, Best]) -> Iterator[pd.DataFrame]:
+            tags = list(batch[tag]) if tag else [""] * len(batch)
+            keys = [np.array(list(batch[c])) for c in ("document_id", "chunk_index")]
+            found = block.scores(list(batch["words"]), list(batch["folded"]), tags, wanted, hashed)
+            if top is not None:
+                for name in set(tags):
+                    own = np.array([t == name for t in tags])
+                    best.setdefault(name, Best(len(ids), top)).add(found[wanted[0]][own], [k[own] for k in keys])
+                return
+            at, q = np.nonzero(sum(found[r] > 0 for r in ranking))
+            given = {tag: np.array(tags, object)[at]} if tag else {}
+            yield pd.DataFrame(given | {"query_id": ids[q], "document_id": keys[0][at], "chunk_index": keys[1][at]} | {w: found[w][at, q] for w in wanted})
+
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             hashed, best = Hashed(dimensions), {}
             for batch in batches:
-                tags = list(batch[tag]) if tag else [""] * len(batch)
-                keys = [np.array(list(batch[c])) for c in ("document_id", "chunk_index")]
-                found = block.scores(list(batch["words"]), list(batch["folded"]), tags, wanted, hashed)
-                if top is not None:
-                    for name in set(tags):
-                        own = np.array([t == name for t in tags])
-                        best.setdefault(name, Best(len(ids), top)).add(found[wanted[0]][own], [k[own] for k in keys])
-                    continue
-                at, q = np.nonzero(sum(found[r] > 0 for r in ranking))
-                given = {tag: np.array(tags, object)[at]} if tag else {}
-                yield pd.DataFrame(given | {"query_id": ids[q], "document_id": keys[0][at], "chunk_index": keys[1][at]} | {w: found[w][at, q] for w in wanted})
+                for part in slices(len(batch), len(ids)):
+                    yield from step(batch.iloc[part], hashed, best)
             for name, kept in best.items():
                 q, scores, *own = kept.rows
                 given = {tag: [name] * len(q)} if tag else {}
