@@ -206,7 +206,7 @@ def weighted_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as manuals: the first line is the title, the language the section, the source the file."""
     rows = documents(spark, sf_dir, "lang", "source")
     rows = rows.select("doc_id", F.element_at(F.split("text", "\n", 2), 1).alias("title"), F.col("lang").alias("section_title"), F.col("source").alias("file_name"), "text")
-    found = search.scored(rows, ["doc_id"], search.FIELDS["manuals"], asked(spark, sf_dir))
+    found = search.scored(rows, ["doc_id"], search.FIELDS["manuals"], asked(spark, sf_dir), TOP)
     top = retrieval.ranked(found.withColumnRenamed("doc_id", "document_id").withColumn("chunk_index", F.lit(0)), TOP)
     return top.select("query_id", "document_id", "score", "covered", "terms", F.array_join("matched_terms", " ").alias("matched"), "rank")
 
