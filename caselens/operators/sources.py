@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caselens.scratch import small
+
 # The order of the united sources, priorities by type of question, and limits.
 UNION_ORDER = ["OfficialDoc", "Manual", "PastAnswer", "PastCaseNote"]
 PRIORITY = {
@@ -201,6 +203,17 @@ def selection_summary(rows: DataFrame, threshold: float, display: float = 0.0, s
     )
 
 
+def _chunks_about(sets: DataFrame, indexed: DataFrame) -> DataFrame:
+    """(product, _set, feature_matches): the different chunks about a feature of each set, counted once for all queries that ask for it.
+    Those of a single feature are a sum over the chunks; only sets of several meet the chunks themselves."""
+    own = indexed.select("product", "feature", "chunk_id").filter("product IS NOT NULL AND feature IS NOT NULL")
+    sums = own.groupBy("product", "feature").agg(F.count_distinct("chunk_id").alias("feature_matches"))
+    one = sums.select("product", F.array("feature").alias("_set"), "feature_matches").join(sets, ["product", "_set"], "left_semi")
+    several = sets.filter(F.size("_set") > 1).select("product", "_set", F.explode("_set").alias("feature"))
+    met = own.join(small(several), ["product", "feature"]).groupBy("product", "_set").agg(F.count_distinct("chunk_id").alias("feature_matches"))
+    return one.unionByName(met)
+
+
 def official_diagnostics(queries: DataFrame, results: DataFrame, index: DataFrame, indexed: DataFrame) -> DataFrame:
     """How official pages came into each query's answer: its counts of them found, selected, sent and of an asked version, the chunks of its product's
     index, those of an asked feature, and the diagnosis: the first step at which there were none. ``queries`` has query_id, product,
@@ -215,8 +228,8 @@ def official_diagnostics(queries: DataFrame, results: DataFrame, index: DataFram
         F.count_if(F.coalesce(F.col("state") == "sent", F.lit(False))).alias("sent"),
         F.count_if(F.exists("target_versions", told)).alias("version_matches"),
     )
-    features = asked.select("query_id", "product", F.explode("features").alias("feature")).join(indexed, ["product", "feature"])
-    about = features.groupBy("query_id").agg(F.count_distinct("chunk_id").alias("feature_matches"))
+    sets = asked.select("query_id", "product", F.array_sort(F.array_distinct("features")).alias("_set"))
+    about = sets.join(_chunks_about(sets.select("product", "_set").distinct(), indexed), ["product", "_set"]).select("query_id", "feature_matches")
     rows = asked.join(index, "product", "left").join(counts, "query_id", "left").join(about, "query_id", "left")
     number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     diagnosis = (
