@@ -4,7 +4,7 @@ Sentences are cut, scored and compared within the row of their text, so a text o
 a query's sources is a minimum over them, taken on the map side first.
 
 Defined cases: a null or blank text, and one without a fitting sentence, gives null; equal scores go to the shorter sentence,
-then to the earlier source and place; repeated rows are rows; null terms are no terms; empty tables give empty results.
+of past cases then to the earlier place, as evidence then to the earlier source and the sentence that sorts first; repeated rows are rows; null terms are no terms; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -32,10 +32,15 @@ GUI_RUN, PER_ACTION, FOR_RUN = ["実行", "開始", "確認", "run"], 8, 6
 Scored = "struct<less:int,size:int,place:int,sentence:string>"
 
 
-def best_of(sentences: Column, score) -> Column:
+def best_of(sentences: Column, score, placed: bool = True) -> Column:
     """The struct (less, size, place, sentence) of the sentence of the greatest score, then of the fewest characters, then the
-    first; ``score`` is a function of a sentence, and null leaves it out."""
-    scored = F.transform(sentences, lambda s, i: F.when(score(s).isNotNull(), F.struct((-score(s)).cast("int").alias("less"), F.char_length(s).alias("size"), i.alias("place"), s.alias("sentence"))))
+    first by place or, unless ``placed``, in the order of texts; ``score`` is a function of a sentence, and null leaves it out."""
+
+    def told(s: Column, i: Column) -> Column:
+        last = [i.alias("place"), s.alias("sentence")]
+        return F.struct((-score(s)).cast("int").alias("less"), F.char_length(s).alias("size"), *(last if placed else last[::-1]))
+
+    scored = F.transform(sentences, lambda s, i: F.when(score(s).isNotNull(), told(s, i)))
     return F.array_min(F.filter(scored, lambda x: x.isNotNull()))
 
 
@@ -90,7 +95,7 @@ def best_sentences(sources: DataFrame, score=None, analysis: bool = False) -> Da
     """(query_id, sentence, score, source): the best sentence of each query's sources (query_id, source_index, source_type, text,
     and terms and excluded unless ``score``, a function of a sentence, is given). Queries without one are left out."""
     of = score or (lambda s: evidence_score(s, F.col("terms"), F.col("excluded"), F.col("source_type"), F.col("source_index"), analysis))
-    rows = sources.select("query_id", "source_index", best_of(sentences_of(F.col("text")), of).alias("_b")).filter("_b IS NOT NULL")
+    rows = sources.select("query_id", "source_index", best_of(sentences_of(F.col("text")), of, placed=False).alias("_b")).filter("_b IS NOT NULL")
     order = F.struct(F.col("_b.less").alias("less"), F.col("_b.size").alias("size"), "source_index", F.col("_b.sentence").alias("sentence"))
     best = rows.groupBy("query_id").agg(F.min(order).alias("_m"))
     return best.select("query_id", F.col("_m.sentence").alias("sentence"), (-F.col("_m.less")).alias("score"), F.col("_m.source_index").alias("source"))
