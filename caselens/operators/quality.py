@@ -113,9 +113,8 @@ def needs_of(profile: Column) -> Column:
     return F.when(upload, items(UPLOAD_NEEDS)).when(F.array_contains(profile["features"], "Stream"), stream).when(asks(["HowTo", "Configuration", "Command"]), items(["Execution"])).otherwise(none)
 
 
-def covered_by(answer: Column, found: Column) -> Column:
-    """What an answer with these claims covers."""
-    folded = fold(answer)
+def covered_by(folded: Column, found: Column) -> Column:
+    """What a folded answer with these claims covers."""
     kinds = F.transform(found, lambda c: c["kind"])
     flags = [(k, F.array_contains(kinds, k)) for k in ("Command", "Option")]
     return coverage.listed(flags + [(k, coverage.has_any(folded, w)) for k, w in COVERED.items()])
@@ -151,7 +150,7 @@ def evaluated(rows: DataFrame, product: str | None = None, separated: bool = Fal
     )
     rows = written(rows, "profiled-answers")
     rows = rows.withColumn("unsupported", F.filter("_claims", lambda c: ~F.array_contains("_known", pair(c))))
-    rows = rows.withColumn("_got", coverage.observed(answer) if separated else covered_by(answer, F.col("_claims")))
+    rows = rows.withColumn("_got", coverage.observed(answer) if separated else covered_by(F.col("_fa"), F.col("_claims")))
     lacking = F.array_except("_needs", coverage.observed_in_all(evidence)) if separated else F.array().cast("array<string>")
     rows = rows.withColumns({"missing_evidence": lacking, "missing_answer": F.array_except("_needs", "_got"), "conflicts": F.col("_off") + F.when(F.size("_versions") > 1, 1).otherwise(0)})
     n, lost, needs = F.size("_claims"), F.size("unsupported"), F.size("_needs")
@@ -172,7 +171,7 @@ def evaluated(rows: DataFrame, product: str | None = None, separated: bool = Fal
     third = lambda *tests: sum((t.cast("int") for t in tests), F.lit(0)) / 3
     acts = F.arrays_overlap(q["intents"], F.array(*map(F.lit, ["HowTo", "Command", "Configuration"])))
     stream = third(got("Setup"), got("Association"), got("Verification"))
-    steps = third(got("Command") | answer.rlike(STEP), got("Execution") | coverage.has_any(fold(answer), DOES), got("Verification"))
+    steps = third(got("Command") | answer.rlike(STEP), got("Execution") | coverage.has_any(F.col("_fa"), DOES), got("Verification"))
     rows = rows.withColumns(
         {
             "topic_alignment": F.round("topic_alignment", 6),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from caselens.operators import phases, retrieval
 from caselens.scratch import written
 
-from .retrieval import _FOLD, BM25, HASHED, _hash_ranks, asked, chunks, read
+from .retrieval import _FOLD, BM25, HASHED, _hash_ranks, asked, chunks, dealt, read
 
 TOP = 10
 
@@ -43,7 +43,7 @@ def quality_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = rows.filter("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("question"))
     answers = rows.filter("role = 'assistant'").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
     told = F.concat("text", F.lit(" 設定を確認してください。qacli validate build を実行し、portalで表示を確認します。"))
-    each = answers.join(first, "conv_id").select(
+    each = dealt(answers.join(first, "conv_id")).select(
         F.concat_ws("-", "conv_id", "turn").alias("case_id"), F.concat(F.coalesce("question", F.lit("")), F.lit(" Validateへアップロードするコマンドの方法は?")).alias("question"),
         F.array("text", F.lit("qacli validate build を実行し、Validate portalで表示を確認する。tokenで認証し、projectを接続する。")).alias("evidence"), F.array().cast("array<string>").alias("insufficient_reasons"),
         F.lit("Blocked").alias("expected_decision"), F.lit(1).alias("expected_unsupported"),
