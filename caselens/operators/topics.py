@@ -99,8 +99,12 @@ def profile(text: Column, catalog: Catalog, folded: Column | None = None) -> Col
     """The struct of a text's products, components, features, objects, operations, intents and entities. Within arrays, where
     a text cannot be folded, its ``folded`` form is given."""
     folded = F.regexp_replace(fold(F.coalesce(text, F.lit(""))) if folded is None else folded, r"\s+", " ")
-    columns = [named(folded, catalog.get(d, {})).alias(d) for d in DIMENSIONS]
-    return F.struct(*columns, *_actions(folded), entities(F.coalesce(text, F.lit("")), folded).alias("entities"))
+
+    def of(form: Column) -> Column:
+        columns = [named(form, catalog.get(d, {})).alias(d) for d in DIMENSIONS]
+        return F.struct(*columns, *_actions(form), entities(F.coalesce(text, F.lit("")), form).alias("entities"))
+
+    return F.transform(F.array(folded), of)[0]  # a lambda's variable: the text is folded once and not for each alias
 
 
 def _actions(folded: Column) -> list[Column]:
