@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caselens.functions.text import fold, tokenise, tokens
-from caselens.scratch import small
+from caselens.scratch import small, written
 
 K1, B = 1.5, 0.75
 PLACES = 6
@@ -33,10 +33,11 @@ REMEMBERED = 200_000
 
 
 class Best:
-    """The ``top`` rows of each query that were seen so far, by score and then by their keys."""
+    """The ``top`` rows of each query that were seen so far, by score and then by their keys; with ``documents`` the best row alone of
+    those of one first key."""
 
-    def __init__(self, queries: int, top: int, positive: bool = True):
-        self.top, self.positive = top, positive
+    def __init__(self, queries: int, top: int, positive: bool = True, documents: bool = False):
+        self.top, self.positive, self.documents = top, positive, documents
         self.least = np.full(queries, -np.inf)
         self.rows: list[np.ndarray] | None = None  # query, score, keys...
 
@@ -48,6 +49,11 @@ class Best:
         at, q = np.nonzero(able)
         new = [q, scores[at, q], *(k[at] for k in keys)]
         rows = new if self.rows is None else [np.concatenate(pair) for pair in zip(self.rows, new, strict=True)]
+        if self.documents:
+            order = np.lexsort((-rows[1], rows[2], rows[0]))
+            rows = [r[order] for r in rows]
+            first = np.r_[True, (rows[0][1:] != rows[0][:-1]) | (rows[2][1:] != rows[2][:-1])][: len(rows[0])]
+            rows = [r[first] for r in rows]
         order = np.lexsort((*rows[:1:-1], -rows[1], rows[0]))
         rows = [r[order] for r in rows]
         begins = np.flatnonzero(np.r_[True, rows[0][1:] != rows[0][:-1]]) if len(rows[0]) else np.zeros(0, int)
@@ -256,6 +262,50 @@ def scored(index: DataFrame, queries: DataFrame, wanted: tuple[str, ...], tag: s
     return united([run(block) for block in blocks(index, queries, tag, k1, b)], index.sparkSession, schema)
 
 
+def document_scores(index: DataFrame, queries: DataFrame, wanted: tuple[str, ...], top: int, expected: DataFrame) -> DataFrame:
+    """(search_method, query_id, document_id, score) of chunks, for each of the ``wanted`` scores (bm25, keyword, cosine): of each query at
+    least the ``top`` documents of the best chunks and all whose score is no less than that of the best document it ``expected``
+    (query_id, document_id). So ranks down to the first expected document are those of the whole list, but no pairs behind it leave
+    a task. The expected documents are scored first, then all in one pass."""
+    kinds = dict(index.dtypes) | {"query_id": dict(queries.dtypes)["query_id"]}
+    schema = f"search_method string, query_id {kinds['query_id']}, document_id {kinds['document_id']}, score double"
+    known = list(blocks(index, queries))
+
+    def run(block: Block, rows: DataFrame, least: dict[tuple, float] | None) -> DataFrame:
+        ids = np.array(block.ids)
+        floor = {m: np.array([0.0 if least is None else least.get((m, i), np.inf) for i in block.ids]) for m in wanted}
+
+        def frame(name: str, q: np.ndarray, documents: np.ndarray, scores: np.ndarray) -> pd.DataFrame:
+            return pd.DataFrame({"search_method": np.full(len(q), name, object), "query_id": ids[q], "document_id": documents, "score": scores})
+
+        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            hashed, best = Hashed(), {m: Best(len(ids), top, documents=True) for m in wanted}
+            for batch in batches:
+                for part in slices(len(batch), len(ids)):
+                    own = batch.iloc[part]
+                    documents = np.array(list(own["document_id"]))
+                    found = block.scores(list(own["words"]), list(own["folded"]), [""] * len(own), wanted, hashed)
+                    for m in wanted:
+                        at, q = np.nonzero((found[m] > 0) & (found[m] >= floor[m]))
+                        yield frame(m, q, documents[at], found[m][at, q])
+                        if least is not None:
+                            best[m].add(found[m], [documents])
+            for m, kept in best.items():
+                if kept.rows is not None:
+                    q, scores, documents = kept.rows
+                    yield frame(m, q, documents, scores)
+
+        return rows.select("document_id", "folded", F.array_join("terms", " ").alias("words")).mapInPandas(score, schema)
+
+    def all_blocks(rows: DataFrame, least: dict[tuple, float] | None) -> DataFrame:
+        return united([run(block, rows, least) for block in known], index.sparkSession, schema)
+
+    expected = written(expected.select("query_id", "document_id").distinct(), "expected")
+    held = index.join(small(expected.select("document_id").distinct()), "document_id", "left_semi")
+    firsts = all_blocks(held, None).join(small(expected), ["query_id", "document_id"], "left_semi").groupBy("search_method", "query_id").agg(F.max("score"))
+    return all_blocks(index, {(m, q): s for m, q, s in firsts.toLocalIterator()})  # no more than the queries
+
+
 def counted(text: str | None) -> Counter:
     """The terms of a text, folded exactly, for use inside tasks."""
     return Counter(tokenise(text))
