@@ -45,15 +45,21 @@ def tokenise(text: str | None) -> list[str]:
     return out
 
 
-# Fixed value: texts of these characters alone are in NFKC form, and ß is the only one that folds to more than lower case.
-PLAIN = "^[\\x00-\\x7f\\u00c0-\\u00ff\\u0152\\u0153¡§«»¿°©€•–—‘’“”、。「」・一-龯々ぁ-んァ-ヶー]*$"
+# Fixed value: texts of these characters and ASCII alone are in NFKC form, and ß is the only one that folds to more than lower case.
+PLAIN = "^[\\u00c0-\\u00ff\\u0152\\u0153¡§«»¿°©€•–—‘’“”、。「」・一-龯々ぁ-んァ-ヶー]*$"
+
+
+def plain(text: Column) -> Column:
+    """Whether a text is of the characters of ``PLAIN`` and ASCII alone. ASCII is told by the bytes or taken out first: a class of many
+    ranges is slow to try on each character."""
+    return (F.octet_length(text) == F.char_length(text)) | F.regexp_replace(text, "[\\x00-\\x7f]+", "").rlike(PLAIN)
 
 
 def fold(text: Column) -> Column:
     """NFKC and case folding. Texts that need no more than lower case and ß, which their characters tell, stay in the
     JVM; only others go to Python."""
-    plain = text.rlike(PLAIN)
-    return F.when(text.isNull(), text).when(plain, F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))).otherwise(nfkc_casefold(F.when(~plain, text)))
+    easy = plain(text)
+    return F.when(text.isNull(), text).when(easy, F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))).otherwise(nfkc_casefold(F.when(~easy, text)))
 
 
 def fold_all(texts: Column) -> Column:
@@ -64,8 +70,8 @@ def fold_all(texts: Column) -> Column:
 
 def composed(text: Column) -> Column:
     """NFKC form. Texts that are in it, which their characters tell, stay in the JVM."""
-    plain = text.rlike(PLAIN)
-    return F.when(text.isNull() | plain, text).otherwise(nfkc(F.when(~plain, text)))
+    easy = plain(text)
+    return F.when(text.isNull() | easy, text).otherwise(nfkc(F.when(~easy, text)))
 
 
 def tokens(folded: Column) -> Column:
@@ -96,9 +102,13 @@ def chunk_texts(text: Column, maximum: int, overlap: int) -> Column:
     steps = F.regexp_extract_all(text, F.lit(f"(?s)(.{{1,{step}}})"), 1)
     if not overlap:
         return steps
-    behind = F.slice(steps, 2, F.greatest(F.size(steps), F.lit(1)))
-    both = F.zip_with(steps, behind, lambda own, more: F.concat(own, F.coalesce(F.substring(more, 1, overlap), F.lit(""))))
-    return F.slice(both, 1, F.coalesce(count, F.lit(0)))
+
+    def lapped(own: Column) -> Column:
+        behind = F.slice(own, 2, F.greatest(F.size(own), F.lit(1)))
+        return F.zip_with(own, behind, lambda x, more: F.concat(x, F.coalesce(F.substring(more, 1, overlap), F.lit(""))))
+
+    # a function of the one member of an array: what it names more than once is computed once
+    return F.slice(F.get(F.transform(F.array(steps), lapped), F.lit(0)), 1, F.coalesce(count, F.lit(0)))
 
 
 def chunk_id(document: Column, strategy: str, index: Column, section: Column, text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caselens.functions.text import PLAIN, bigram_dice, nfkc
+from caselens.functions.text import bigram_dice, composed
 
 from .incremental import first_per_content
 
@@ -27,8 +27,7 @@ def normal_question(text: Column, company: Column | None = None) -> Column:
     odd marks, with single spaces."""
 
     def lower(value: Column) -> Column:
-        plain = value.rlike(PLAIN)
-        return F.lower(F.when(plain, value).otherwise(nfkc(F.when(~plain, value))))
+        return F.lower(composed(value))
 
     out = F.regexp_replace(lower(F.coalesce(text, F.lit(""))), r"\r\n?", "\n")
     if company is not None:

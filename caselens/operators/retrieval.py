@@ -33,12 +33,12 @@ def with_terms(chunks: DataFrame) -> DataFrame:
     return folded.withColumn("terms", tokens(F.col("folded"))).withColumn("length", F.size("terms"))
 
 
-def indexed(chunks: DataFrame, tag: str | None = None) -> DataFrame:
-    """(tag, document_id, chunk_index, folded, terms, length) of ``chunks``, folded and tokenised and written once; an index is
-    given back as it is, so several searches and rerankers can share one."""
+def indexed(chunks: DataFrame, tag: str | None = None, columns: tuple[str, ...] = ()) -> DataFrame:
+    """(tag, document_id, chunk_index, folded, terms, length, columns...) of ``chunks``, folded and tokenised and written once; an index
+    is given back as it is, so several searches and rerankers can share one."""
     if "terms" in chunks.columns:
         return chunks
-    return written(with_terms(chunks).select(*([tag] if tag else []), "document_id", "chunk_index", "folded", "terms", "length"), "index")
+    return written(with_terms(chunks).select(*([tag] if tag else []), "document_id", "chunk_index", "folded", "terms", "length", *columns), "index")
 
 
 def ranked(scores: DataFrame, top: int) -> DataFrame:
@@ -138,6 +138,12 @@ def reranked(candidates: DataFrame, chunks: DataFrame, queries: DataFrame, top:
     return ranked(scored, top)
 
 
+def lists(index: DataFrame, queries: DataFrame, tops: dict[str, int]) -> dict[str, DataFrame]:
+    """Of each score of ``tops`` (bm25, keyword, cosine) the list of its best so many chunks of each query, with rank: all by one pass."""
+    found = written(scoring.leading(index, queries, tops).drop("filter_mode"), "leading")
+    return {name: ranked(found.filter(F.col("search_method") == name).drop("search_method"), top) for name, top in tops.items()}
+
+
 class Search(Protocol):
     """A search: over an index (``indexed``) and queries (query_id, query), (query_id, document_id, chunk_index, score) of no fewer than
     the best ``top`` of each query; ``pool`` is how many of each list a fusion takes."""
@@ -157,8 +163,7 @@ def cosine(index: DataFrame, queries: DataFrame, top: int, dimensions: int = 256
 
 
 def _hybrid(index: DataFrame, queries: DataFrame, top: int, pool: int) -> DataFrame:
-    lists = [ranked(s(index, queries, top=pool), pool) for s in (bm25, cosine)]
-    return fused(*lists)
+    return fused(*lists(index, queries, {"bm25": pool, "cosine": pool}).values())
 
 
 #: The searches and rerankers by name; others are added by their names.
@@ -181,6 +186,17 @@ def search(index: DataFrame, queries: DataFrame, top: int, method: str = "bm25",
     return RERANKERS[reranker](ranked(SEARCHES[method](index, queries, taken, pool), taken), index, queries, top)
 
 
+def searches(index: DataFrame, queries: DataFrame, top: int, pool: int = 50) -> dict[str, DataFrame]:
+    """The ranked lists of all registered searches, as long as a reranker to ``top`` wants them. The scores of those that are built in
+    come from one pass."""
+    wide = max(20, 4 * top)
+    found = lists(index, queries, {"keyword": wide, "bm25": max(wide, pool), "cosine": max(wide, pool)})
+    best = lambda name, most: found[name].filter(F.col("rank") <= most)
+    out = {"keyword": found["keyword"], "bm25": best("bm25", wide), "hash_embedding": best("cosine", wide)}
+    out["hybrid"] = ranked(fused(best("bm25", pool), best("cosine", pool)), wide)
+    return {name: out[name] if name in out else ranked(method(index, queries, wide, pool), wide) for name, method in SEARCHES.items()}
+
+
 # The metadata that is searched with the text, in order, and the columns that each filter mode compares.
 SEARCHED = ["product", "version", "case_type", "question", "error_summary", "cause", "solution", "vendor_answer", "customer_answer"]
 FILTER_MODES = {"none": [], "product": ["product"], "product_and_version": ["product", "version"]}
@@ -216,6 +232,26 @@ def filtered(scores: DataFrame, chunks: DataFrame, queries: DataFrame, mode: str
     return rows.select(*scores.columns)
 
 
+def passes(queries: DataFrame) -> dict[str, scoring.Passes]:
+    """Each filter mode as a test inside a task (``scoring.leading``) of rows with product and version, folded and trimmed, for
+    ``queries`` (query_id, product, version), a stated set: the rule of ``filtered``."""
+    form = lambda c: F.trim(fold(F.col(c))).alias(c)
+    wanted = {r[0]: r for r in queries.select("query_id", form("product"), form("version")).toLocalIterator()}
+
+    def test(columns: list[str]) -> scoring.Passes:
+        def passed(batch: pd.DataFrame, ids: np.ndarray) -> np.ndarray:
+            out = np.ones((len(batch), len(ids)), bool)
+            for c in columns:
+                codes, kinds = pd.factorize(batch[c].to_numpy(object), use_na_sentinel=False)
+                asked = [wanted[i][c] for i in ids]
+                out &= np.array([[w is None or w == k for w in asked] for k in kinds], bool).reshape(len(kinds), len(ids))[codes]
+            return out
+
+        return passed
+
+    return {mode: test(columns) for mode, columns in FILTER_MODES.items()}
+
+
 def containing(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """(query_id, document_id) of the documents whose text holds the passage: one pass with an automaton over the
     passages (query_id, query), a stated set."""

@@ -11,8 +11,9 @@ from __future__ import annotations
 import hashlib
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -74,6 +75,19 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
 
 
+class Counted:
+    """The terms of some texts (joined by spaces): ``row``, ``term`` (its place in ``terms``) and ``count`` of each that a text has, by
+    text, and the terms of each text, repeats counted."""
+
+    def __init__(self, words: list[str]):
+        each = [w.split(" ") if w else [] for w in words]
+        self.sizes = np.fromiter(map(len, each), np.int64, len(each))
+        codes, self.terms = pd.factorize(np.array([*chain.from_iterable(each)], object))
+        kinds = max(1, len(self.terms))
+        pairs, count = np.unique(np.repeat(np.arange(len(each)), self.sizes) * kinds + codes, return_counts=True)
+        self.row, self.term, self.count = pairs // kinds, pairs % kinds, count.astype(float)
+
+
 class Hashed:
     """Vectors by feature hashing: the first 8 bytes of a term's SHA-256, modulo ``dimensions``, pick the place, the low bit of
     the ninth the sign, 1 + ln(count) the weight. A task remembers places."""
@@ -84,20 +98,30 @@ class Hashed:
         self.dimensions = dimensions
         self.places: dict[str, tuple[int, float]] = {}
 
+    def place(self, term: str) -> tuple[int, float]:
+        """A term's place and sign."""
+        if term not in self.places:
+            digest = hashlib.sha256(term.encode()).digest()
+            if len(self.places) > REMEMBERED:
+                self.places.clear()
+            self.places[term] = (int.from_bytes(digest[:8], "big") % self.dimensions, 1.0 if digest[8] & 1 else -1.0)
+        return self.places[term]
+
     def vector(self, counts: Counter) -> np.ndarray:
         """The unit vector of counted terms; all zero without any."""
         out = np.zeros(self.dimensions)
         for term, count in counts.items():
-            if term not in self.places:
-                digest = hashlib.sha256(term.encode()).digest()
-                if len(self.places) > REMEMBERED:
-                    self.places.clear()
-                self.places[term] = (int.from_bytes(digest[:8], "big") % self.dimensions, 1.0 if digest[8] & 1 else -1.0)
-            at, sign = self.places[term]
+            at, sign = self.place(term)
             out[at] += sign * (1 + math.log(count))
         norm = math.sqrt(float(out @ out))
         return out / norm if norm else out
 
+    def vectors(self, counted: Counted) -> np.ndarray:
+        """The unit vectors of counted texts, a row each."""
+        at, sign = (np.array(x) for x in zip(*map(self.place, counted.terms), strict=True)) if len(counted.terms) else (np.zeros(0, int), np.zeros(0))
+        flat = np.bincount(counted.row * self.dimensions + at[counted.term], sign[counted.term] * (1 + np.log(counted.count)), len(counted.sizes) * self.dimensions)
+        return unit(flat.reshape(len(counted.sizes), self.dimensions))
+
 
 @dataclass
 class Block:
@@ -139,24 +163,26 @@ class Block:
         """Of the wanted scores (bm25, keyword, cosine, covered, phrase) a matrix (chunk, query); 0 where nothing is shared."""
         shape = (len(words), len(self.ids))
         out = {name: np.zeros(shape) for name in wanted}
-        own = self.own(hashed) if "cosine" in wanted else None
-        phrased = {"keyword", "phrase"} & set(wanted)
-        for i, text in enumerate(words):
-            all_terms = text.split(" ") if text else []
-            counts = Counter(all_terms)
-            if own is not None:
-                out["cosine"][i] = hashed.vector(counts) @ own
-            found = [(self.terms[t], n) for t, n in counts.items() if t in self.terms]
-            if not found:
-                continue
-            at = np.array([f[0] for f in found])
-            tf = np.array([f[1] for f in found], float)
+        counted = Counted(words)
+        if "cosine" in wanted:
+            out["cosine"] = hashed.vectors(counted) @ self.own(hashed)
+        others = set(wanted) - {"cosine"}
+        known = np.fromiter((self.terms.get(t, -1) for t in counted.terms), np.int64, len(counted.terms))[counted.term] if others else np.zeros(0, int)
+        here = known >= 0
+        row, at, tf = (x[here] for x in (counted.row, known, counted.count)) if others else (known, known, known)
+        bounds = np.searchsorted(row, np.arange(len(words) + 1))
+        if "bm25" in wanted:
+            length = counted.sizes / np.array([self.mean[t] for t in tags], float)
+            gain = tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * length[row]))
+        phrased = {"keyword", "phrase"} & others
+        logs = np.log1p(tf)
+        for i in np.flatnonzero(np.diff(bounds)):
+            own = slice(bounds[i], bounds[i + 1])
             if "bm25" in wanted:
-                below = tf + self.k1 * (1 - self.b + self.b * len(all_terms) / self.mean[tags[i]])
-                out["bm25"][i] = (tf * (self.k1 + 1) / below) @ self.weights[tags[i]][at]
-            if len(wanted) == 1 and not phrased:
+                out["bm25"][i] = gain[own] @ self.weights[tags[i]][at[own]]
+            if not others - {"bm25"}:
                 continue
-            present = self.present[at]
+            present = self.present[at[own]]
             matched = present.sum(axis=0)
             share = np.divide(matched, self.sizes, out=np.zeros(len(self.sizes)), where=self.sizes > 0)
             if "covered" in wanted:
@@ -169,8 +195,7 @@ class Block:
                 if "phrase" in wanted:
                     out["phrase"][i] = held
                 if "keyword" in wanted:
-                    logs = np.log1p(tf) @ present
-                    out["keyword"][i] = np.where(matched > 0, share + 0.05 * logs / np.maximum(1, self.sizes) + 0.25 * held, 0)
+                    out["keyword"][i] = np.where(matched > 0, share + 0.05 * (logs[own] @ present) / np.maximum(1, self.sizes) + 0.25 * held, 0)
         for name in out:
             out[name] = np.round(out[name], PLACES) if name in ("bm25", "keyword", "cosine") else out[name]
         return out
@@ -186,10 +211,17 @@ def blocks(index: DataFrame, queries: DataFrame, tag: str | None = None, k1: flo
     totals = {r[0]: (r[1], r[2]) for r in index.groupBy(named).agg(F.count("*"), F.avg("length")).collect()}  # a row a tag
 
     def weighed(block: Block) -> Block:
-        spark = index.sparkSession
-        known = spark.createDataFrame([(t,) for t in block.terms], "term string")
-        each = index.select(named, F.explode(F.array_distinct("terms")).alias("term"))
-        counts = each.join(small(known), "term", "left_semi").groupBy("tag", "term").count()
+        known = frozenset(block.terms)
+
+        def having(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            found: dict[str, Counter] = {}
+            for batch in batches:
+                for t, words in zip(batch["tag"], batch["words"], strict=True):
+                    found.setdefault(t, Counter()).update(known.intersection(words.split(" ")))
+            for t, own in found.items():
+                yield pd.DataFrame({"tag": [t] * len(own), "term": list(own), "n": list(own.values())})
+
+        counts = index.select(named, F.array_join("terms", " ").alias("words")).mapInPandas(having, "tag string, term string, n long").groupBy("tag", "term").agg(F.sum("n"))
         frequencies: dict[str, dict[str, int]] = {}
         for t, term, n in counts.toLocalIterator():  # no more than the block's terms
             frequencies.setdefault(t, {})[term] = n
@@ -262,6 +294,42 @@ def scored(index: DataFrame, queries: DataFrame, wanted: tuple[str, ...], tag: s
     return united([run(block) for block in blocks(index, queries, tag, k1, b)], index.sparkSession, schema)
 
 
+#: Whether the rows of a batch may be found for the queries with these ids: a matrix (row, query).
+Passes = Callable[[pd.DataFrame, np.ndarray], np.ndarray]
+
+
+def leading(index: DataFrame, queries: DataFrame, tops: dict[str, int], modes: dict[str, Passes] | None = None, columns: tuple[str, ...] = ()) -> DataFrame:
+    """(search_method, filter_mode, query_id, document_id, chunk_index, score): in one pass over ``index``, of each query, score of ``tops``
+    (bm25, keyword, cosine) and mode at least the best so many chunks that the mode lets pass: what each task kept. A mode sees
+    ``columns`` of the index; without modes there is one, named by an empty text, which all chunks pass."""
+    kinds = dict(index.dtypes) | {"query_id": dict(queries.dtypes)["query_id"]}
+    schema = f"search_method string, filter_mode string, query_id {kinds['query_id']}, document_id {kinds['document_id']}, chunk_index {kinds['chunk_index']}, score double"
+    rows = index.select("document_id", "chunk_index", "folded", F.array_join("terms", " ").alias("words"), *columns)
+
+    def run(block: Block) -> DataFrame:
+        ids = np.array(block.ids)
+
+        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            hashed = Hashed()
+            best = {(name, mode): Best(len(ids), top) for name, top in tops.items() for mode in modes or {"": None}}
+            for batch in batches:
+                for part in slices(len(batch), len(ids)):
+                    own = batch.iloc[part]
+                    keys = [np.array(list(own[c])) for c in ("document_id", "chunk_index")]
+                    found = block.scores(list(own["words"]), list(own["folded"]), [""] * len(own), tuple(tops), hashed)
+                    able = {mode: test(own, ids) for mode, test in (modes or {}).items()}
+                    for (name, mode), kept in best.items():
+                        kept.add(found[name] * able[mode] if able else found[name], keys)
+            for (name, mode), kept in best.items():
+                if kept.rows is not None:
+                    q, scores, *own = kept.rows
+                    yield pd.DataFrame({"search_method": name, "filter_mode": mode, "query_id": ids[q], "document_id": own[0], "chunk_index": own[1], "score": scores})
+
+        return rows.mapInPandas(score, schema)
+
+    return united([run(block) for block in blocks(index, queries)], index.sparkSession, schema)
+
+
 def document_scores(index: DataFrame, queries: DataFrame, wanted: tuple[str, ...], top: int, expected: DataFrame) -> DataFrame:
     """(search_method, query_id, document_id, score) of chunks, for each of the ``wanted`` scores (bm25, keyword, cosine): of each query at
     least the ``top`` documents of the best chunks and all whose score is no less than that of the best document it ``expected``

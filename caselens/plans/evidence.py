@@ -50,9 +50,9 @@ def registered_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best three chunks of each passage by each registered search and reranker, over one index."""
     index, queries = retrieval.indexed(chunks(spark, sf_dir)), asked(spark, sf_dir)
     out = None
-    for method in retrieval.SEARCHES:
-        for reranker in retrieval.RERANKERS:
-            found = retrieval.search(index, queries, TOP, method, reranker, pool=POOL)
+    for method, candidates in retrieval.searches(index, queries, TOP, POOL).items():
+        for reranker, again in retrieval.RERANKERS.items():
+            found = again(candidates, index, queries, TOP)
             part = found.select(F.lit(method).alias("search_method"), F.lit(reranker).alias("reranker"), "query_id", "document_id", "chunk_index", "score", "rank")
             out = part if out is None else out.unionByName(part)
     return out

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from caselens.operators import phases, retrieval
 from caselens.scratch import written
 
-from .retrieval import _FOLD, BM25, HASHED, _hash_ranks, asked, chunks, dealt, read
+from .retrieval import _FOLD, BM25, HASHED, asked, chunks, dealt, read
 
 TOP = 10
 
@@ -16,9 +16,10 @@ TOP = 10
 def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best chunks of each passage by hashed vectors, by BM25 and by BM25 reranked."""
     index, queries = retrieval.indexed(chunks(spark, sf_dir)), asked(spark, sf_dir)
-    found = written(retrieval.ranked(retrieval.bm25(index, queries, top=4 * TOP), 4 * TOP), "bm25")
+    best = retrieval.lists(index, queries, {"bm25": 4 * TOP, "cosine": TOP})
+    found = written(best["bm25"], "bm25")
     again = retrieval.reranked(found, index, queries, TOP)
-    lists = {"vectors": _hash_ranks(spark, sf_dir, TOP), "bm25": found.filter(F.col("rank") <= TOP), "reranked": again}
+    lists = {"vectors": best["cosine"], "bm25": found.filter(F.col("rank") <= TOP), "reranked": again}
     out = None
     for name, rows in lists.items():
         part = rows.select(F.lit(name).alias("phase"), "query_id", "document_id", F.col("chunk_index").cast("int").alias("chunk_index"), "rank")
