@@ -30,9 +30,9 @@ def _cut(rows: DataFrame, keep: list[str], maximum: int, overlap: int, out: str)
     return cut.select(*keep, F.posexplode("_texts").alias(out, "text"))
 
 
-def fixed_chunks(docs: DataFrame, key: str, maximum: int = 1200, overlap: int = 120) -> DataFrame:
-    """(key, chunk_index, chunk_id, text): pieces of ``maximum`` characters that overlap; an empty text has none."""
-    chunks = _cut(docs, [key], maximum, overlap, "chunk_index")
+def fixed_chunks(docs: DataFrame, key: str, maximum: int = 1200, overlap: int = 120, columns: tuple[str, ...] = ()) -> DataFrame:
+    """(key, columns..., chunk_index, text, chunk_id): pieces of ``maximum`` characters that overlap; an empty text has none."""
+    chunks = _cut(docs, [key, *columns], maximum, overlap, "chunk_index")
     return chunks.withColumn("chunk_id", chunk_id(F.col(key), "fixed", F.col("chunk_index"), F.lit(None).cast("string"), F.col("text")))
 
 

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caselens.functions import names
-from caselens.functions.text import bigram_dice, date_text, jaccard, occurrences, ochiai
-from caselens.operators import cases, incremental, notes, pairs, replies, retrieval, search, sources
+from caselens.functions.text import bigram_dice, date_text, fold, jaccard, occurrences, ochiai
+from caselens.operators import cases, chunking, incremental, notes, pairs, replies, retrieval, scoring, search, sources
 
-from .retrieval import BM25, TOP, asked, chunks, documents, read
+from .retrieval import BM25, TOP, asked, documents, read
 
 
 def _folders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,14 +190,16 @@ def conflict_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 under each filter mode: a document's language stands for its product, its source for its version. Statistics
     are those of all chunks."""
-    rows, queries = chunks(spark, sf_dir), asked(spark, sf_dir)
-    about = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.upper("lang").alias("product"), F.concat(F.lit(" "), F.col("source")).alias("version"))
+    queries = asked(spark, sf_dir)
+    form = lambda c: F.trim(fold(F.col(c)))
+    docs = documents(spark, sf_dir, "lang", "source").select(F.col("doc_id").alias("document_id"), "text", form("lang").alias("product"), form("source").alias("version"))
+    own = ("product", "version")
+    index = retrieval.indexed(chunking.fixed_chunks(docs, "document_id", columns=own), columns=own)
     wanted = queries.select("query_id", F.when(F.col("query_id") % 4 > 0, "en").alias("product"), F.when(F.col("query_id") % 3 > 0, F.lit("Web")).alias("version"))
-    scores = retrieval.written(retrieval.bm25(rows, queries), "scores")
-    keyed = scores.select("document_id", "chunk_index").distinct().join(about, "document_id")
+    scores = retrieval.written(scoring.leading(index, queries, {"bm25": TOP}, retrieval.passes(wanted), own), "leading")
     out = None
     for mode in retrieval.FILTER_MODES:
-        part = retrieval.ranked(retrieval.filtered(scores, keyed, wanted, mode), TOP).select(F.lit(mode).alias("filter_mode"), "query_id", "document_id", "chunk_index", "score", "rank")
+        part = retrieval.ranked(scores.filter(F.col("filter_mode") == mode), TOP).select("filter_mode", "query_id", "document_id", "chunk_index", "score", "rank")
         out = part if out is None else out.unionByName(part)
     return out
 
