@@ -94,7 +94,9 @@ def observed_in_all(texts: Column) -> Column:
 
 def group_coverage(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     """(keys..., coverage): the items that the texts of each group cover, sorted."""
-    each = rows.select(*keys, F.explode_outer(observed(F.col(text))).alias("item")).distinct()
+    given = F.coalesce(F.col(text), F.lit(""))
+    own = rows.select(*keys, given.alias("_text"), fold(given).alias("_folded"))  # a column, as all words look into it
+    each = own.select(*keys, F.explode_outer(observed(F.col("_text"), F.col("_folded"))).alias("item")).distinct()
     return each.groupBy(*keys).agg(F.array_sort(F.collect_list("item")).alias("coverage"))
 
 
