@@ -32,7 +32,7 @@ VERSION_WARNING, VERSION_WORD = "対象バージョンと根拠のバージョ
 
 def excerpt(text: Column) -> Column:
     """The lines of a text, trimmed and joined, of which 240 characters are shown."""
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"[\r\n]"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"[\r\n]"), lambda x: F.trim(x)), lambda x: x != "")
     joined = F.array_join(lines, " ")
     return F.when(F.char_length(joined) <= EXCERPT, joined).otherwise(F.concat(F.substring(joined, 1, EXCERPT), F.lit("...")))
 
