@@ -63,7 +63,7 @@ def past_case_sentence(text: Column, action: bool = False) -> Column:
 def sentences_of(text: Column) -> Column:
     """The sentences of a text with white space joined, of 480 characters at most."""
     flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
-    return F.filter(F.transform(F.split(flat, SENTENCE_END), F.trim), lambda s: (s != "") & (F.char_length(s) <= LONGEST))
+    return F.filter(F.transform(F.split(flat, SENTENCE_END), lambda s: F.trim(s)), lambda s: (s != "") & (F.char_length(s) <= LONGEST))
 
 
 def _source_worth(s: Column, source_type: Column, place: Column) -> Column:
