@@ -131,7 +131,7 @@ class Hashed:
         """The unit vectors of counted texts, a row each."""
         at, sign = (np.array(x) for x in zip(*map(self.place, counted.terms), strict=True)) if len(counted.terms) else (np.zeros(0, int), np.zeros(0))
         flat = np.bincount(counted.row * self.dimensions + at[counted.term], sign[counted.term] * (1 + np.log(counted.count)), len(counted.sizes) * self.dimensions)
-        return unit(flat.reshape(len(counted.sizes), self.dimensions))
+        return unit(flat.astype(float).reshape(len(counted.sizes), self.dimensions))  # whole numbers if no text has a term
 
 
 @dataclass
@@ -228,8 +228,8 @@ def blocks(index: DataFrame, queries: DataFrame, tag: str | None = None, k1: flo
             found: dict[str, Counter] = {}
             for batch in batches:
                 for t, words in zip(batch["tag"], batch["words"], strict=True):
-                    found.setdefault(t, Counter()).update(known.intersection(words.split(" ")))
-            for t, own in found.items():
+                    found.setdefault(t, Counter()).update(known.intersection((words or "").split(" ")))
+            for t, own in ((t, own) for t, own in found.items() if own):  # Spark takes no frame whose lists are empty
                 yield pd.DataFrame({"tag": [t] * len(own), "term": list(own), "n": list(own.values())})
 
         counts = index.select(named, F.array_join("terms", " ").alias("words")).mapInPandas(having, "tag string, term string, n long").groupBy("tag", "term").agg(F.sum("n"))
