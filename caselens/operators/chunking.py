@@ -58,12 +58,12 @@ def heading_title(line: Column) -> Column:
     return F.trim(found)
 
 
-def section_lines(docs: DataFrame, key: str, title) -> DataFrame:
+def section_lines(docs: DataFrame, key: str, title, first: bool = False) -> DataFrame:
     """(key, section, title, lines): each line for which ``title`` (a function of the line) is not null begins a section
-    and is its first line; lines before the first such one are a section too. Sections are found within the row of the
-    document, so nothing is shuffled."""
-    lines = F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n", -1)
-    titled = F.transform(lines, lambda line, i: F.struct(i.alias("at"), title(line).alias("title")))
+    and is its first line; lines before the first such one are a section too. With ``first`` only the first line of a text
+    can have a title, and carriage returns end no line. Sections are found within the row of the document, so nothing is shuffled."""
+    lines = F.split(F.col("text") if first else F.regexp_replace("text", r"\r\n?", "\n"), "\n", -1)
+    titled = F.transform(F.slice(lines, 1, 1) if first else lines, lambda line, i: F.struct(i.alias("at"), title(line).alias("title")))
     begins = F.filter(titled, lambda x: (x["at"] == 0) | x["title"].isNotNull())
     rows = _spans(docs.select(key, lines.alias("_lines"), begins.alias("_begins")), key, "section")
     return rows.select(key, "section", "_b.title", F.slice("_lines", F.col("_b.at") + 1, F.col("_stop") - F.col("_b.at")).alias("lines"))
@@ -79,16 +79,16 @@ def _spans(rows: DataFrame, key: str, out: str) -> DataFrame:
     return each.select(key, "_lines", out, F.col("_p.b").alias("_b"), F.coalesce("_p.stop", F.size("_lines")).alias("_stop"))
 
 
-def sections(docs: DataFrame, key: str, title) -> DataFrame:
+def sections(docs: DataFrame, key: str, title, first: bool = False) -> DataFrame:
     """(key, section, section_title, text) of ``section_lines``, trimmed."""
-    rows = section_lines(docs, key, title)
+    rows = section_lines(docs, key, title, first)
     text = F.regexp_replace(F.array_join("lines", "\n"), r"^\s+|\s+$", "")
     return rows.select(key, "section", F.col("title").alias("section_title"), text.alias("text"))
 
 
-def heading_chunks(docs: DataFrame, key: str, maximum: int = 1200) -> DataFrame:
-    """(key, chunk_index, chunk_id, section_title, text) by sections of ``heading_title``."""
-    return _resplit(sections(docs, key, heading_title), key, "heading", ["section"], maximum)
+def heading_chunks(docs: DataFrame, key: str, maximum: int = 1200, title=heading_title, first: bool = False) -> DataFrame:
+    """(key, chunk_index, chunk_id, section_title, text) by sections of ``title``, with ``first`` by the first line's alone."""
+    return _resplit(sections(docs, key, title, first), key, "heading", ["section"], maximum)
 
 
 def line_category(line: Column) -> Column:
