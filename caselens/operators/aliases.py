@@ -42,7 +42,8 @@ def mentions(rows: DataFrame, key: str, text: str, catalog: DataFrame, itself: b
     terms = aliases.select(F.col("alias").alias("term"), F.col("alias").rlike(r"(?s)^[a-z0-9](?:.*[a-z0-9])?$").alias("bounded")).distinct()
     ids = written(rows.select(F.col(key).alias("_own"), comparable(F.col(text)).alias("text"), F.monotonically_increasing_id().alias("_key")), "texts")
     hits = containment.found(ids.select("_key", "text"), terms, most)
-    named = hits.join(aliases, hits["term"] == aliases["alias"]).select("_key", "dimension", "name").distinct()
+    # dealt out by key once, for the join as for what is different
+    named = hits.join(aliases, hits["term"] == aliases["alias"]).select("_key", "dimension", "name").repartition("_key").distinct()
     return ids.select("_key", "_own").join(named, "_key").select(F.col("_own").alias(key), "dimension", "name")
 
 
