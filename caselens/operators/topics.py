@@ -61,13 +61,16 @@ ENTITIES = {
 SCORE = {"features": 0.24, "components": 0.16, "product": 0.11, "entities": 0.10, "operations": 0.10, "intents": 0.09, "technical": 0.08, "trust": 0.02, "version": 0.02, "base": 0.08, "lexical": 0.05, "semantic": 0.03}
 PENALTY = {"product": 0.65, "features": 0.55, "components": 0.30, "no_topic": 0.20, "version": 0.18, "excluded": 0.90}
 DIMENSIONS = ["products", "components", "features", "objects"]
+ACTIONS = {"operations": OPERATIONS, "intents": INTENTS}
+PROFILE = (*DIMENSIONS, *ACTIONS, "entities")
 
 
 def mentions(folded: Column, alias: str) -> Column:
     """Whether a folded text has the alias; an ASCII one must stand between other characters than letters and digits."""
     alias = " ".join(alias.casefold().split())
     if alias.isascii() and alias[:1].isalnum() and alias[-1:].isalnum():
-        return folded.rlike(rf"(?<![a-z0-9]){re.escape(alias)}(?![a-z0-9])")
+        # most texts have most aliases nowhere, which is told much faster than between which characters they stand
+        return F.contains(folded, F.lit(alias)) & folded.rlike(rf"(?<![a-z0-9]){re.escape(alias)}(?![a-z0-9])")
     return F.contains(folded, F.lit(alias)) if alias else F.lit(False)
 
 
@@ -95,20 +98,21 @@ def entities(text: Column, folded: Column) -> Column:
     return F.array_distinct(F.concat(*parts))
 
 
-def profile(text: Column, catalog: Catalog, folded: Column | None = None) -> Column:
-    """The struct of a text's products, components, features, objects, operations, intents and entities. Within arrays, where
-    a text cannot be folded, its ``folded`` form is given."""
+def profile(text: Column, catalog: Catalog, folded: Column | None = None, wanted: tuple[str, ...] = PROFILE) -> Column:
+    """The struct of a text's products, components, features, objects, operations, intents and entities, or of those ``wanted``. Within
+    arrays, where a text cannot be folded, its ``folded`` form is given."""
     folded = F.regexp_replace(fold(F.coalesce(text, F.lit(""))) if folded is None else folded, r"\s+", " ")
 
     def of(form: Column) -> Column:
-        columns = [named(form, catalog.get(d, {})).alias(d) for d in DIMENSIONS]
-        return F.struct(*columns, *_actions(form), entities(F.coalesce(text, F.lit("")), form).alias("entities"))
+        parts = [*((d, named(form, catalog.get(d, {}))) for d in DIMENSIONS if d in wanted), *((a, named(form, names, False)) for a, names in ACTIONS.items() if a in wanted)]
+        last = [("entities", entities(F.coalesce(text, F.lit("")), form))] if "entities" in wanted else []
+        return F.struct(*(c.alias(n) for n, c in [*parts, *last]))
 
     return F.transform(F.array(folded), of)[0]  # a lambda's variable: the text is folded once and not for each alias
 
 
 def _actions(folded: Column) -> list[Column]:
-    return [named(folded, OPERATIONS, False).alias("operations"), named(folded, INTENTS, False).alias("intents")]
+    return [named(folded, names, False).alias(a) for a, names in ACTIONS.items()]
 
 
 def profiled(rows: DataFrame, key: str, text: str, catalog: DataFrame, out: str = "profile") -> DataFrame:
