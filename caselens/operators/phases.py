@@ -45,9 +45,10 @@ def all_changes(lists: DataFrame, phases: list[str], keys: list[str], item: list
 
 def phase_answers(cases: DataFrame, phases: list[str], product: str | None = None) -> DataFrame:
     """Each case (case_id, question, evidence, insufficient_reasons, expected_decision, expected_unsupported, answers: a map from phase
-    to answer) once for each phase, evaluated (``quality.evaluated``): all phases in one pass."""
+    to answer) once for each phase, evaluated (``quality.evaluated``): all phases in one pass, what rests on question and evidence
+    once for all of them."""
     at = F.explode(F.array(*map(F.lit, phases)))
-    rows = cases.withColumn("phase", at).withColumn("answer", F.col("answers")[F.col("phase")]).drop("answers")
+    rows = quality.supported(cases, product).withColumn("phase", at).withColumn("answer", F.col("answers")[F.col("phase")]).drop("answers")
     return quality.evaluated(rows, product)
 
 

@@ -69,9 +69,10 @@ def _claim_of(kind: str, major: bool):
     return lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"), F.lit(major).alias("major"))
 
 
-def claims(text: Column, catalog: topics.Catalog | None = None, folded: Column | None = None) -> Column:
+def claims(text: Column, catalog: topics.Catalog | None = None, folded: Column | None = None, kind_of: str | None = None) -> Column:
     """Different (kind, value, major) claims of a text, values folded and without the words before them; products and
-    features of the catalog and names of systems count as minor claims. Within arrays its ``folded`` form is given."""
+    features of the catalog and names of systems count as minor claims. Within arrays its ``folded`` form is given. With ``kind_of``
+    only those of one kind of ``CLAIMS``."""
     text = F.coalesce(text, F.lit(""))
     folded = F.regexp_replace(fold(text) if folded is None else folded, r"\s+", " ")
 
@@ -82,10 +83,11 @@ def claims(text: Column, catalog: topics.Catalog | None = None, folded: Column |
 
         return of
 
-    parts = [F.transform(F.transform(F.regexp_extract_all(text, F.lit(pattern), 1), clean(kind)), _claim_of(kind, major)) for kind, pattern, major in CLAIMS]
-    for d in ("products", "features"):
+    parts = [F.transform(F.transform(F.regexp_extract_all(text, F.lit(pattern), 1), clean(kind)), _claim_of(kind, major)) for kind, pattern, major in CLAIMS if kind_of in (None, kind)]
+    for d in ("products", "features") if kind_of is None else ():
         parts.append(F.transform(F.transform(topics.named(folded, (catalog or {}).get(d, {})), F.lower), _claim_of("ProductFeature", False)))
-    parts.append(F.transform(F.transform(topics.named(folded, topics.SYSTEMS, itself=False), F.lower), _claim_of("System", False)))
+    if kind_of is None:
+        parts.append(F.transform(F.transform(topics.named(folded, topics.SYSTEMS, itself=False), F.lower), _claim_of("System", False)))
     found = F.filter(F.concat(*parts), lambda c: (c["value"] != "") & ~c["value"].isin(SAFE))
     return F.array_distinct(found)
 
@@ -120,32 +122,57 @@ def covered_by(folded: Column, found: Column) -> Column:
     return coverage.listed(flags + [(k, coverage.has_any(folded, w)) for k, w in COVERED.items()])
 
 
+#: What ``supported`` adds, and what of a profile is compared with another.
+SUPPORT = ["_evidence", "_reasons", "_q", "_known", "_versions", "_off", "_needs"]
+COMPARED = ("products", "components", "features")
+
+
+def _pair(c: Column) -> Column:
+    return F.concat_ws("\x1f", c["kind"], c["value"])
+
+
+def supported(rows: DataFrame, product: str | None = None, separated: bool = False) -> DataFrame:
+    """``rows`` (question, evidence, insufficient_reasons) with ``SUPPORT``: what ``evaluated`` needs of the question and the evidence, which
+    is the same for all answers to them."""
+    catalog, own = catalog_of(product), rows.columns
+    evidence = F.coalesce("evidence", F.array().cast("array<string>"))
+    reasons = F.coalesce("insufficient_reasons", F.array().cast("array<string>"))
+    folds = {"_evidence": evidence, "_reasons": reasons, "_fq": fold(F.coalesce("question", F.lit(""))), "_fe": fold_all(evidence)}
+    rows = written(rows.withColumns(folds), "questions")  # each step is written, as its arrays are read many times by the next
+    evidence, q = F.col("_evidence"), F.col("_q")
+    rows = rows.withColumn("_q", topics.profile(F.col("question"), catalog, F.col("_fq"), (*COMPARED, *topics.ACTIONS)))
+    each = F.arrays_zip(evidence.alias("t"), F.col("_fe").alias("f"))
+    support = F.array_join(F.concat(F.array(F.coalesce("question", F.lit(""))), evidence), "\n")
+    rows = rows.withColumns(
+        {
+            "_known": F.transform(claims(support, catalog, F.concat_ws("\n", "_fq", F.array_join("_fe", "\n"))), _pair),
+            "_versions": F.array_distinct(F.flatten(F.transform(each, lambda x: F.transform(claims(x["t"], None, x["f"], "Version"), lambda c: c["value"])))),
+            "_off": F.size(F.filter(each, lambda x: F.size(topics.conflicts(q, topics.profile(x["t"], catalog, x["f"], COMPARED))) > 0)),
+            "_needs": coverage.required(F.col("question"), q) if separated else needs_of(q),
+        }
+    )
+    return written(rows.select(*own, *SUPPORT), "supported")
+
+
 def evaluated(rows: DataFrame, product: str | None = None, separated: bool = False) -> DataFrame:
     """Adds the scores and the decision to answers with the columns question, answer, evidence (array of texts) and
     insufficient_reasons (array): topic_alignment, grounding, technical_fidelity, coverage, directness, actionability,
     customer_readiness, unsupported (kind, value, major), unsupported_claims, conflicts, leaks, blocking, warnings,
-    decision. ``separated``: evidence and answer must each cover what the question requires."""
+    decision. ``separated``: evidence and answer must each cover what the question requires. Rows that ``supported`` (by the same
+    arguments) gave are not looked at for that again."""
     catalog = catalog_of(product)
-    answer, evidence = F.coalesce("answer", F.lit("")), F.coalesce("evidence", F.array().cast("array<string>"))
-    reasons = F.coalesce("insufficient_reasons", F.array().cast("array<string>"))
-    own = rows.columns
-    folds = {"_answer": answer, "_evidence": evidence, "_reasons": reasons, "_fq": fold(F.coalesce("question", F.lit(""))), "_fa": fold(answer), "_fe": fold_all(evidence)}
-    rows = written(rows.withColumns(folds), "answers")  # each step is written, as its arrays are read many times by the next
-    answer, evidence, q, a = F.col("_answer"), F.col("_evidence"), F.col("_q"), F.col("_a")
-    rows = rows.withColumns({"_q": topics.profile(F.col("question"), catalog, F.col("_fq")), "_a": topics.profile(answer, catalog, F.col("_fa"))})
-    each = F.arrays_zip(evidence.alias("t"), F.col("_fe").alias("f"))
-    support = F.array_join(F.concat(F.array(F.coalesce("question", F.lit(""))), evidence), "\n")
-    pair = lambda c: F.concat_ws("\x1f", c["kind"], c["value"])
+    own = [c for c in rows.columns if c not in SUPPORT]
+    rows = rows if set(SUPPORT) <= set(rows.columns) else supported(rows, product, separated)
+    answer, evidence, q, a, pair = F.col("_answer"), F.col("_evidence"), F.col("_q"), F.col("_a"), _pair
+    given = F.coalesce("answer", F.lit(""))
+    rows = written(rows.withColumns({"_answer": given, "_fa": fold(given)}), "answers")
+    rows = rows.withColumn("_a", topics.profile(answer, catalog, F.col("_fa"), COMPARED))
     rows = rows.withColumns(
         {
             "_claims": claims(answer, catalog, F.col("_fa")),
-            "_known": F.transform(claims(support, catalog, F.concat_ws("\n", "_fq", F.array_join("_fe", "\n"))), pair),
             "_conflict": F.size(topics.conflicts(q, a)) > 0,
             "_match": F.coalesce(topics.topic_match(q, a), F.lit(False)),
             "leaks": hits(answer, INTERNAL),
-            "_versions": F.array_distinct(F.flatten(F.transform(each, lambda x: F.transform(F.filter(claims(x["t"], None, x["f"]), lambda c: c["kind"] == "Version"), lambda c: c["value"])))),
-            "_off": F.size(F.filter(each, lambda x: F.size(topics.conflicts(q, topics.profile(x["t"], catalog, x["f"]))) > 0)),
-            "_needs": coverage.required(F.col("question"), q) if separated else needs_of(q),
         }
     )
     rows = written(rows, "profiled-answers")
@@ -162,8 +189,8 @@ def evaluated(rows: DataFrame, product: str | None = None, separated: bool = Fal
         .otherwise(1.0)
     )
     rows = rows.withColumns({"topic_alignment": alignment, "coverage": F.when(needs > 0, (needs - F.size("missing_answer")) / needs).otherwise(1.0)})
-    supported = F.when(n > 0, 1 - lost / n)
-    grounding = F.when(F.size(evidence) == 0, 0.0).otherwise(F.coalesce(supported, F.when(F.col("topic_alignment") >= 0.75, 1.0).when(F.col("topic_alignment") >= 0.5, 0.6).otherwise(0.3)))
+    share = F.when(n > 0, 1 - lost / n)
+    grounding = F.when(F.size(evidence) == 0, 0.0).otherwise(F.coalesce(share, F.when(F.col("topic_alignment") >= 0.75, 1.0).when(F.col("topic_alignment") >= 0.5, 0.6).otherwise(0.3)))
     direct = 0.65 * F.col("topic_alignment") + 0.35 * F.col("coverage")
     short = F.char_length(F.trim(answer)) < 20
     directness = F.when(F.trim(answer) == "", 0.0).when(hits(answer, INSUFFICIENT) > 0, 0.25).otherwise(clamp(F.when(short, direct * 0.5).otherwise(direct)))
@@ -177,7 +204,7 @@ def evaluated(rows: DataFrame, product: str | None = None, separated: bool = Fal
             "topic_alignment": F.round("topic_alignment", 6),
             "coverage": F.round("coverage", 6),
             "grounding": F.round(grounding, 6),
-            "technical_fidelity": F.round(F.coalesce(supported, F.lit(1.0)), 6),
+            "technical_fidelity": F.round(F.coalesce(share, F.lit(1.0)), 6),
             "directness": F.round(directness, 6),
             "actionability": F.round(F.when(~acts, 1.0).when(F.array_contains(q["features"], "Stream"), stream).otherwise(steps), 6),
             "customer_readiness": F.round(customer_readiness(answer, F.col("leaks")), 6),
