@@ -123,7 +123,7 @@ def covered_by(folded: Column, found: Column) -> Column:
 
 
 #: What ``supported`` adds, and what of a profile is compared with another.
-SUPPORT = ["_evidence", "_reasons", "_q", "_known", "_versions", "_off", "_needs"]
+SUPPORT = ["_reasons", "_q", "_known", "_versions", "_off", "_needs"]
 COMPARED = ("products", "components", "features")
 
 
@@ -163,9 +163,8 @@ def evaluated(rows: DataFrame, product: str | None = None, separated: bool = Fal
     catalog = catalog_of(product)
     own = [c for c in rows.columns if c not in SUPPORT]
     rows = rows if set(SUPPORT) <= set(rows.columns) else supported(rows, product, separated)
-    answer, evidence, q, a, pair = F.col("_answer"), F.col("_evidence"), F.col("_q"), F.col("_a"), _pair
-    given = F.coalesce("answer", F.lit(""))
-    rows = written(rows.withColumns({"_answer": given, "_fa": fold(given)}), "answers")
+    answer, evidence, q, a, pair = F.coalesce("answer", F.lit("")), F.coalesce("evidence", F.array().cast("array<string>")), F.col("_q"), F.col("_a"), _pair
+    rows = written(rows.withColumn("_fa", fold(answer)), "answers")
     rows = rows.withColumn("_a", topics.profile(answer, catalog, F.col("_fa"), COMPARED))
     rows = rows.withColumns(
         {
